@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, common, decontaminate, exact_dedup, piece_viterbi, quality, token_blocks, toxicity
+from . import chosen_path, common, decontaminate, exact_dedup, html_text, license_scan, piece_viterbi, quality, token_blocks, toxicity
 
 
 def _scored(spark: SparkSession, sf_dir: str, model, label: str, mod: int, rest: int) -> DataFrame:
@@ -15,6 +15,47 @@ def _scored(spark: SparkSession, sf_dir: str, model, label: str, mod: int, rest:
     return model.score(docs, may).select("doc_id", common.held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of repositories: source/lang/doc_id.txt; every 50th is a licence file of its source or language."""
+    docs, key = common.documents(spark, sf_dir), F.col("doc_id")
+    folder = F.when(key % 100 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", "lang"))
+    path = F.when(key % 50 == 0, F.concat(folder, F.lit("/LICENSE-"), key)).otherwise(F.concat_ws("/", "source", "lang", F.concat(key, F.lit(".txt"))))
+    return license_scan.scan(docs.select(path.alias("path"), "text")).select("path", "license", F.round("score", 3).alias("score"), "inherited_from")
+
+
+OP1_SQL = r"""
+WITH files AS (
+  SELECT CASE WHEN doc_id % 100 = 0 THEN source || '/LICENSE-' || doc_id
+              WHEN doc_id % 50 = 0 THEN source || '/' || lang || '/LICENSE-' || doc_id
+              ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path, text FROM documents),
+templates(license, body) AS (VALUES %(templates)s),
+tok AS (SELECT path, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*') AS terms FROM files),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT path, unnest(terms) AS term FROM tok) GROUP BY term),
+lines AS (SELECT path, k AS line, regexp_extract_all(lower(body), '[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*') AS terms
+          FROM (SELECT path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM files)
+          WHERE regexp_matches(lower(body), '%(marker)s')),
+units AS (SELECT path AS a, line AS b, unnest(terms) AS term FROM lines
+          UNION ALL SELECT license, -1, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*')) FROM templates),
+tf AS (SELECT a, b, term, count(*) AS tf FROM units GROUP BY ALL),
+w AS (SELECT a, b, tf.term, tf * ln(1 + (SELECT count(*) FROM files)::DOUBLE / coalesce(df, 1)) AS w FROM tf LEFT JOIN df ON tf.term = df.term),
+v AS (SELECT a, b, term, w / sqrt(sum(w * w) OVER (PARTITION BY a, b)) AS w FROM w),
+cosine AS (SELECT x.a AS path, x.b AS line, t.a AS license, sum(x.w * t.w) AS cosine
+           FROM v x JOIN v t ON x.term = t.term AND t.b = -1 AND x.b <> -1 GROUP BY ALL),
+scored AS (SELECT path, license, round(max(cosine), 6) AS score FROM cosine WHERE cosine >= %(least)s GROUP BY ALL),
+own AS (SELECT files.path, license, score FROM files LEFT JOIN (
+          SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1) s ON files.path = s.path),
+speaks AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, license FROM own
+           WHERE license IS NOT NULL AND regexp_matches(path, '/LICENSE')
+           QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY score DESC, license) = 1)
+SELECT own.path, coalesce(own.license, near.license, top.license) AS license, round(own.score, 3) AS score,
+       CASE WHEN own.license IS NOT NULL THEN NULL ELSE coalesce(near.folder, top.folder) END AS inherited_from
+FROM own LEFT JOIN speaks near ON regexp_extract(own.path, '^(.*)/[^/]*$', 1) = near.folder
+         LEFT JOIN speaks top ON split_part(own.path, '/', 1) = top.folder
+"""
+OP1_SQL = OP1_SQL.replace("%(templates)s", ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items()))
+OP1_SQL = OP1_SQL.replace("%(marker)s", license_scan.MARKER).replace("%(least)s", str(license_scan.MIN_SCORE))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality, "quality", 4, 2)
 
@@ -23,6 +64,11 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.write_and_read(common.documents(spark, sf_dir))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return html_text.extract(pages).select("page_id", "text", (F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -55,8 +101,10 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
     "op3_token_blocks": op3_token_blocks,
+    "op4_html_text": op4_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
@@ -64,6 +112,6 @@ QUERIES = {
     "op10_near_join": op10_near_join,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op9_exact_dedup": OP9_SQL}
+ORACLE = {"op1_license_scan": OP1_SQL, "op9_exact_dedup": OP9_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
