@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, common, decontaminate, exact_dedup, html_text, license_scan, piece_viterbi, quality, token_blocks, toxicity
+from . import bwt_dedup, chosen_path, common, decontaminate, exact_dedup, html_text, license_scan, piece_viterbi, quality, token_blocks, toxicity
 
 
 def _scored(spark: SparkSession, sf_dir: str, model, label: str, mod: int, rest: int) -> DataFrame:
@@ -77,6 +77,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, "toxic", 3, 1)
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(common.documents(spark, sf_dir))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_viterbi.round_trips(common.documents(spark, sf_dir))
 
@@ -107,6 +111,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op7_repeated_bytes": op7_repeated_bytes,
     "op8_pieces": op8_pieces,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_join": op10_near_join,
