@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,9 +39,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that are no longer referenced; it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete shuffle files of plans that are no longer referenced; it does so when the driver collects garbage.
+
+    References from Python end a moment after they are collected here, so a second round follows.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def partitions(spark: SparkSession) -> int:
