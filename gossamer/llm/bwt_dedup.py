@@ -5,6 +5,7 @@ A byte goes when a string of LENGTH bytes that covers it also starts in a docume
 1. Every window of LENGTH bytes is owned by its anchor, the k-gram in it with the smallest hash (leftmost on ties).
    Equal windows have equal anchors at equal places, so only anchors that occur in two documents or more matter.
    These are counted over the whole corpus; everything else leaves the work here, without loss.
+   Of equal whole texts only that of the smallest doc_id goes on; the others go as a whole.
 2. The windows that one anchor owns in a document are one stretch of bytes, its context. Contexts meet by anchor.
    Equal contexts are one string with the smallest doc_id of their documents.
 3. In each bounded group of anchors, contexts are cut into shards; each shard gets its own suffix order and
@@ -352,10 +353,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     common.release(spark)
     placed = texts.select("row", "text").mapInArrow(_anchor_rows(["row"], True), "row long, h long, at long")
     hits = placed.join(repeated.hint("shuffle_hash"), "h", "left_semi").groupBy("row").agg(F.collect_set("at").alias("ats"))
-    hits = common.materialize(hits, "anchor-places")
+    # a whole text that an earlier document has too goes as a whole: its strings are those of the first copy
+    keyed = texts.select("doc_id", "row", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("stop"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = common.materialize(keyed.join(first.hint("merge"), "key").where("doc_id > low").select("row", "stop"), "copies")
+    hits = common.materialize(hits.join(copies.hint("merge"), "row", "left_anti"), "anchor-places")
     common.release(spark)
     contexts = texts.join(hits.hint("shuffle_hash"), "row").mapInArrow(_contexts, "h long, doc_id long, row long, start long, inner long, context binary")
     spans = contexts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_spans, "row long, first long, stop long")
+    spans = spans.unionByName(copies.select("row", F.lit(0).cast("long").alias("first"), "stop"))
     spans = common.materialize(spans.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "spans")
     common.release(spark)
     return spans
