@@ -8,6 +8,7 @@ from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NOT_A_PAGE = r"(?i)^(#|mailto:|tel:|javascript:|data:)"
 
@@ -48,7 +49,7 @@ def _resolve(base: str, ref: str) -> str | None:
     return urlunsplit((parts.scheme, host + port, quote(parts.path or "/", safe=safe), quote(parts.query, safe=safe + "?"), quote(parts.fragment, safe=safe + "?")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolve_rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for base, ref in batches:
         yield pd.Series([_resolve(b, r) if isinstance(b, str) and isinstance(r, str) else None for b, r in zip(base, ref, strict=True)], dtype=object)

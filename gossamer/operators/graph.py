@@ -45,8 +45,8 @@ def redirect_chains(starts: DataFrame, responses: DataFrame, hops: int = MAX_HOP
     log = responses.select("site", "url", "status", "location").dropDuplicates(["site", "url"])
     at = starts.select("site", F.col("url").alias("start"), "url").distinct().withColumn("hops", F.expr("cast(array() as array<struct<url:string,status:int>>)")).withColumn("done", F.lit(False)).withColumn("final_status", F.lit(None).cast("int"))
     for _ in range(hops):
-        r = log.select("site", F.col("url").alias("u"), F.col("status").cast("int").alias("s"), "location")
-        j = at.join(r, (at["site"] == r["site"]) & (at["url"] == r["u"]) & ~at["done"], "left").drop(r["site"])
+        r = log.select(F.col("site").alias("r_site"), F.col("url").alias("u"), F.col("status").cast("int").alias("s"), "location")
+        j = at.join(r, (F.col("site") == F.col("r_site")) & (F.col("url") == F.col("u")) & ~F.col("done"), "left")
         moved = ~F.col("done") & F.col("s").between(300, 399) & F.col("location").isNotNull()
         at = j.select(
             "site",

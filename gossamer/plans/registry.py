@@ -1,4 +1,400 @@
 """Registered queries of the audit engine and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gossamer.functions import urls
+from gossamer.functions.text import units
+from gossamer.operators import cross_rules, features, findings, graph, page_rules, performance, response_rules, sampling, site_files, structured_data
+from gossamer.plans import derived
+from gossamer.plans.derived import table
+from gossamer.sources import responses
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str, site=None) -> DataFrame:
+    return responses.from_pages(table(spark, sf_dir, "pages"), site)
+
+
+PAGE_WORDS = r"""
+WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') AS m FROM pages),
+t AS (SELECT page_id, m, regexp_extract(m, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM m)
+SELECT page_id, length(trim(title)) AS title_units, len(regexp_extract_all(m, '(?is)<h1\b[^>]*>(.*?)</h1>')) AS headings,
+  len(list_filter(string_split_regex(regexp_replace(m, '<[^>]+>', ' ', 'g'), '\s+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))) AS words FROM t
+"""
+
+
+@query(PAGE_WORDS)
+def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.page_features(_pages(spark, sf_dir))
+    return f.select(F.col("seq").alias("page_id"), units(F.col("title")).cast("long").alias("title_units"), F.size("h1").cast("long").alias("headings"), F.col("words").cast("long").alias("words"))
+
+
+@query(r"""
+SELECT src_seq, href FROM (SELECT DISTINCT page_id AS src_seq, regexp_extract(url, '^(https?://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)
+WHERE regexp_matches(href, '^[\x00-\x7F]*$') AND NOT regexp_matches(href, '[<>"`^{}\\]')
+""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with addresses that need no encoding; tests cover the others."""
+    return features.page_links(_pages(spark, sf_dir)).where(~F.col("href").contains("%")).select("src_seq", "href")
+
+
+@query(r"""
+WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages)
+SELECT min_by(url, page_id) AS url, count(*)::VARCHAR AS detail FROM t WHERE title <> '' GROUP BY title HAVING count(*) > 1
+""")
+def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole corpus as one scope."""
+    return cross_rules.duplicates(features.page_features(_pages(spark, sf_dir, F.lit("all"))), "title", "duplicate-title").select("url", "detail")
+
+
+def _crawl_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = derived.crawl(spark, sf_dir)
+    return page_rules.page_findings(r, features.page_features(r))
+
+
+LIVE = "n % 17 <> 0 AND n % 19 <> 0"
+UNITS = "html_units"
+CRAWL_RULES = {
+    ("error", "sitemap-redirect"): "n % 17 = 0",
+    ("error", "page-status"): "n % 17 <> 0 AND n % 19 = 0",
+    ("error", "noindex"): f"{LIVE} AND n % 11 = 0",
+    ("error", "x-robots-noindex"): f"{LIVE} AND n % 13 = 0",
+    ("warn", "nofollow-page"): f"{LIVE} AND n % 11 < 2",
+    ("warn", "meta-refresh"): f"{LIVE} AND n % 23 = 0",
+    ("error", "title-missing"): f"{LIVE} AND n % 80 = 0",
+    ("warn", "title-long"): f"{LIVE} AND n % 80 > 60",
+    ("warn", "title-short"): f"{LIVE} AND n % 80 BETWEEN 1 AND 14",
+    ("warn", "desc-missing"): f"{LIVE} AND n % 200 = 0",
+    ("warn", "desc-long"): f"{LIVE} AND n % 200 > 160",
+    ("info", "desc-short"): f"{LIVE} AND n % 200 BETWEEN 1 AND 69",
+    ("error", "h1-missing"): f"{LIVE} AND n % 4 = 0",
+    ("warn", "h1-multiple"): f"{LIVE} AND n % 4 > 1",
+    ("warn", "lang-missing"): f"{LIVE} AND n % 5 = 0",
+    ("error", "viewport-missing"): f"{LIVE} AND n % 6 = 0",
+    ("warn", "viewport-locked"): f"{LIVE} AND n % 6 IN (2, 3)",
+    ("warn", "viewport-fixed-width"): f"{LIVE} AND n % 6 = 1",
+    ("warn", "canonical-missing"): f"{LIVE} AND n % 8 = 0",
+    ("error", "canonical-multiple"): f"{LIVE} AND n % 8 = 1",
+    ("info", "canonical-other"): f"{LIVE} AND n % 8 = 2",
+    ("error", "og-image-relative"): f"{LIVE} AND n % 9 = 2",
+    ("warn", "og-webp"): f"{LIVE} AND n % 9 = 2 ",
+    ("info", "og-no-dimensions"): f"{LIVE} AND n % 9 = 2  ",
+    ("error", "hreflang-invalid"): f"{LIVE} AND n % 12 = 0",
+    ("warn", "hreflang-no-self"): f"{LIVE} AND n % 12 = 1",
+    ("warn", "hreflang-lang-mismatch"): f"{LIVE} AND n % 5 <> 0 AND n % 12 IN (0, 2)",
+    ("error", "img-alt"): f"{LIVE} AND n % 5 = 0 ",
+    ("warn", "img-alt-filename"): f"{LIVE} AND n % 5 = 1",
+    ("warn", "img-alt-placeholder"): f"{LIVE} AND n % 5 = 2",
+    ("info", "img-alt-duplicate"): f"{LIVE} AND n % 5 = 3",
+    ("info", "img-title-duplicates-alt"): f"{LIVE} AND n % 5 = 3 ",
+    ("info", "img-title-on-decorative"): f"{LIVE} AND n % 5 = 4",
+    ("warn", "img-dimensions"): f"{LIVE} AND n % 5 = 1 ",
+    ("info", "img-srcset"): f"{LIVE} AND n % 5 IN (0, 1)",
+    ("warn", "thin-content"): f"{LIVE} AND n % 600 + n % 4 + 2 + CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END < 300",
+    ("info", "internal-nofollow"): LIVE,
+    ("info", "no-editorial-links"): f"{LIVE} AND n % 2 = 1",
+    ("warn", "heading-skip"): f"{LIVE} AND n % 3 = 0",
+    ("warn", "url-uppercase"): f"{LIVE} AND n % 16 = 0",
+    ("info", "url-underscore"): f"{LIVE} AND n % 16 = 1",
+    ("warn", "url-space"): f"{LIVE} AND n % 16 = 2",
+    ("warn", "charset-missing"): f"{LIVE} AND n % 7 = 0",
+    ("error", "mixed-content"): f"{LIVE} AND n % 14 = 0",
+    ("info", "slow"): f"{LIVE} AND n % 10 >= 8",
+    ("error", "jsonld-invalid"): f"{LIVE} AND n % 10 = 0",
+    ("warn", "jsonld-no-type"): f"{LIVE} AND n % 10 = 1",
+}
+CRAWL_SQL = (
+    "WITH d AS (SELECT doc_id AS n FROM documents) "
+    + " UNION ALL ".join(f"SELECT n AS seq, '{level}' AS level, '{rule}' AS id FROM d WHERE {where}" for (level, rule), where in CRAWL_RULES.items())
+    + f" UNION ALL SELECT n, 'warn', 'og-missing' FROM d, (VALUES (1), (2), (3)) k(k) WHERE {LIVE} AND (n % 9 = 0 OR n % 9 = 1 AND k < 3)"
+)
+
+
+@query(CRAWL_SQL)
+def page_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules on single pages but the three of sizes and contradictions, which tests cover."""
+    return _crawl_findings(spark, sf_dir).where("id not in ('uncompressed', 'huge-html', 'robots-conflict')").select("seq", "level", "id")
+
+
+@query(f"SELECT level, id, count(*) AS findings FROM ({CRAWL_SQL}) GROUP BY ALL")
+def audit_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _crawl_findings(spark, sf_dir).where("id not in ('uncompressed', 'huge-html', 'robots-conflict')")
+    return findings.check_summary(f, ()).select("level", "id", "findings")
+
+
+@query("""
+WITH d AS (SELECT doc_id AS n FROM documents) SELECT n AS seq, 'Article.headline, Event.location, Event.startDate, Recipe.image' AS detail FROM d WHERE n % 17 <> 0 AND n % 19 <> 0 AND n % 10 = 3
+UNION ALL SELECT n, 'Product.name' FROM d WHERE n % 17 <> 0 AND n % 19 <> 0 AND n % 10 = 2
+""")
+def schema_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.page_features(derived.crawl(spark, sf_dir))
+    return structured_data.incomplete_nodes(structured_data.jsonld_nodes(f)).select("seq", "detail")
+
+
+@query("""
+WITH d AS (SELECT doc_id AS n FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0)
+SELECT n AS seq FROM d WHERE n % 16 > 2 AND n % 10 <> 3
+""")
+def schema_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.page_features(derived.crawl(spark, sf_dir))
+    rules = f.select("site").distinct().select("site", F.lit("/p/**").alias("url_glob"), F.lit("Event").alias("type"))
+    return structured_data.missing_types(f, structured_data.jsonld_nodes(f), rules).select("seq")
+
+
+@query("""
+SELECT doc_id AS seq FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 8 IN (1, 2)
+""")
+def not_indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = derived.crawl(spark, sf_dir)
+    hidden = findings.not_indexable(r, features.page_features(r))
+    return hidden.join(r.select("site", "url", "seq"), ["site", "url"]).select("seq")
+
+
+def _next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").selectExpr("'s' as site", "l_orderkey", "l_partkey as src", "l_linenumber", "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst").where("dst is not null").selectExpr("site", "src", "dst", "l_orderkey as ord")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey % 7 = 0) WHERE dst IS NOT NULL AND src <> dst),
+home AS (SELECT min(src) AS k FROM e),
+walk(k, depth) AS (SELECT k, 0 FROM home UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.k WHERE depth < 14)
+SELECT k, min(depth) AS depth FROM walk GROUP BY k
+""")
+def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _next_links(spark, sf_dir)
+    homes = links.where("src <> dst").groupBy("site").agg(F.min("src").alias("k"))
+    return graph.click_depth(links, homes, 14).select("k", "depth")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders),
+walk AS (SELECT k AS start, k AS at, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5)
+SELECT start, arg_max(s, hops) AS final_status, max(hops) AS n_hops FROM walk GROUP BY start
+""")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chains(spark, sf_dir).select(F.col("start").cast("long").alias("start"), "final_status", F.size("hops").cast("long").alias("n_hops"))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for each order; a fourth redirect to the order after."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    after = o.withColumn("bucket", F.lit("all"))
+    from pyspark.sql import Window
+
+    nxt = F.lead("o_orderkey").over(Window.partitionBy("bucket").orderBy("o_orderkey"))
+    return after.select(F.lit("s").alias("site"), F.col("o_orderkey").cast("string").alias("url"), F.expr("case when o_orderkey % 4 = 0 then 301 when o_orderkey % 9 = 0 then 404 else 200 end").alias("status"), nxt.cast("string").alias("location"))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    return graph.redirect_chains(log.select("site", "url"), log)
+
+
+@query("""
+WITH o AS (SELECT user_id, ts, event_id, event_type, CASE WHEN event_type <> lag(event_type) OVER w THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS k FROM i)
+SELECT user_id, min(event_seq) AS settled_at FROM (SELECT user_id, epoch_us(ts)::VARCHAR || lpad(event_id::VARCHAR, 12, '0') AS event_seq, k FROM n) WHERE k = 3 GROUP BY user_id
+""")
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("at"))
+    return graph.settled(e, "user_id", "at", "event_type")
+
+
+ROBOTS = "User-agent: other\\nDisallow: /\\n\\nUser-agent: googlebot\\nUser-agent: two # stacked\\nDisallow: /a/\\nAllow: /a/1*\\nDisallow: /*7$\\nAllow: /b\\nDisallow: /b\\nDisallow:\\n"
+
+
+@query("""
+WITH p AS (SELECT c_nationkey AS k, '/' || CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END || '/' || c_custkey AS path FROM customer)
+SELECT DISTINCT k, path, CASE WHEN path LIKE '/a/1%' THEN TRUE WHEN path LIKE '/a/%' THEN FALSE WHEN path LIKE '%7' THEN FALSE ELSE TRUE END AS allowed FROM p
+""")
+def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    bodies = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("site"), F.expr(f"'{ROBOTS}'").alias("body"))
+    paths = c.select(F.col("c_nationkey").alias("site"), F.expr("concat('/', element_at(array('a','b','c'), cast(c_custkey % 3 as int) + 1), '/', c_custkey)").alias("path"))
+    return site_files.robots_verdicts(paths, site_files.robots_rules(bodies)).select(F.col("site").alias("k"), "path", "allowed")
+
+
+@query("""
+SELECT n_nationkey AS site, '/c/*' AS glob, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_nationkey, '/**/9', c_custkey FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 10 = 9
+""")
+def glob_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), "c_custkey", F.expr("concat('/c/', if(c_custkey % 2 = 0, concat(c_custkey), concat(c_custkey, '/', c_custkey % 10)))").alias("path"))
+    globs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("site"), F.explode(F.array(F.lit("/c/*"), F.lit("/**/9"))).alias("glob"))
+    hits = sampling.glob_matches(c, globs)
+    return hits.where("glob = '/c/*' or path like '%/%/%/9'").join(c, ["site", "path"]).select("site", "glob", "c_custkey")
+
+
+@query("""
+WITH n AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer)
+SELECT DISTINCT c_nationkey, c_custkey FROM n, range(7) r(i) WHERE size <= 7 OR place = i * size // 7
+""")
+def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    return sampling.spread_sample(c, 7, ["c_nationkey"], ["c_custkey"])
+
+
+SNAPSHOT = """SELECT 'https://c' || o_custkey %% 50 || '.example' AS site, 'https://c' || o_custkey %% 50 || '.example/p/' || o_orderkey AS url, o_orderkey,
+  ['error', 'warn', 'info'][o_orderkey %% 3 + 1] AS level, ['noindex', 'title-short', 'slow', 'img-alt', 'og-webp', 'own-rule'][o_orderkey %% 6 + 1] AS id FROM orders WHERE o_orderkey %% 5 <> {which}""".replace("%%", "%")
+BEFORE, AFTER = SNAPSHOT.format(which=0), SNAPSHOT.format(which=1)
+
+
+@query(f"SELECT coalesce(a.id, b.id) AS id, coalesce(a.url, b.url) AS place, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'fixed' ELSE 'unchanged' END AS change FROM ({BEFORE}) b FULL JOIN ({AFTER}) a ON a.site = b.site AND a.id = b.id AND a.url = b.url")
+def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.diff(derived.findings_snapshot(spark, sf_dir, 0), derived.findings_snapshot(spark, sf_dir, 1)).select("id", "place", "change")
+
+
+@query(f"SELECT count(*) AS n, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 5 = 1 THEN 'fixed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT o_orderkey FROM orders) GROUP BY change")
+def findings_diff_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = derived.findings_snapshot(spark, sf_dir, 0)
+    a = derived.findings_snapshot(spark, sf_dir, 1).withColumn("url", F.replace("url", F.lit(".example"), F.lit(".test")))
+    return findings.diff(b, a, ignore_host=True).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH f AS ({BEFORE}), s AS (SELECT site, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warn') AS warnings, count(*) FILTER (level = 'info') AS notes FROM f GROUP BY site),
+r AS (SELECT 'https://c' || k || '.example' AS site, k AS pages FROM range(60) t(k))
+SELECT r.site, pages, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(notes, 0) AS notes, pages = 0 AS empty FROM r LEFT JOIN s ON r.site = s.site
+""")
+def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.range(60).select(F.concat(F.lit("https://c"), "id", F.lit(".example")).alias("site"), F.col("id").alias("pages"))
+    return findings.portfolio(runs, derived.findings_snapshot(spark, sf_dir, 0))
+
+
+@query(f"""
+WITH s AS (SELECT site, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warn') AS warnings, count(*) FILTER (level = 'info') AS notes FROM ({BEFORE}) GROUP BY site)
+SELECT count(*) AS sites, count(*) AS pages, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, sum(notes)::BIGINT AS notes, count(*) FILTER (errors > 0) AS sites_with_errors FROM s
+""")
+def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = derived.findings_snapshot(spark, sf_dir, 0)
+    return findings.portfolio_totals(findings.portfolio(f.select("site").distinct().withColumn("pages", F.lit(1).cast("long")), f))
+
+
+@query(f"""
+WITH c AS (SELECT site, CASE id WHEN 'noindex' THEN 'Indexability' WHEN 'title-short' THEN 'Content' WHEN 'slow' THEN 'Performance' WHEN 'img-alt' THEN 'Images' WHEN 'og-webp' THEN 'Social' ELSE 'Other' END AS category, level, id FROM ({BEFORE}))
+SELECT site, category, count(*) AS findings, count(DISTINCT id) AS rules, ['error', 'warn', 'info'][min(CASE level WHEN 'error' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END)] AS worst FROM c GROUP BY site, category
+""")
+def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.category_summary(derived.findings_snapshot(spark, sf_dir, 0))
+
+
+@query(f"SELECT site, bool_and(level = 'info') AS passed FROM ({BEFORE}) GROUP BY site")
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = derived.findings_snapshot(spark, sf_dir, 0)
+    return findings.gate(f, f, "warn")
+
+
+@query(f"SELECT id, url FROM ({BEFORE}) WHERE NOT (id = 'slow' OR id = 'noindex' AND url LIKE '%/p/1%')")
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([(None, "slow", None), (None, "noindex", "/p/1*")], "site string, id string, url_glob string")
+    return findings.apply_ignores(derived.findings_snapshot(spark, sf_dir, 0), rules).select("id", "url")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS url, o_orderkey % 2 AS m, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 405 WHEN 2 THEN 404 ELSE 200 END AS s FROM orders),
+l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY url, m ORDER BY seq DESC) = 1),
+b AS (SELECT url, max(s) FILTER (m = 0) AS head, max(s) FILTER (m = 1) AS get FROM l GROUP BY url)
+SELECT url, CASE WHEN head IS NULL OR head IN (405, 501) THEN coalesce(get, head) ELSE head END AS status FROM b
+""")
+def asset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("'s' as site", "if(o_orderkey % 2 = 0, 'HEAD', 'GET') as method", "o_custkey as url", "o_orderkey as seq", "case o_orderkey % 4 when 0 then 405 when 2 then 404 else 200 end as status", "cast(null as timestamp) as fetched_at")
+    return responses.asset_status(responses.latest(o)).select("url", "status")
+
+
+@query("""
+WITH e AS (SELECT source AS site, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 50 = 1 THEN '2031-01-01' ELSE '2024-05-0' || (doc_id % 9 + 1) END AS lastmod FROM documents)
+SELECT site, 'sitemap-lastmod-future' AS id, count(*)::VARCHAR AS detail FROM e WHERE lastmod = '2031-01-01' GROUP BY site
+UNION ALL SELECT site, 'sitemap-lastmod-identical', count(lastmod)::VARCHAR FROM e GROUP BY site HAVING count(lastmod) >= 5 AND count(DISTINCT lastmod) = 1
+""")
+def sitemap_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").selectExpr("source as site", "concat('https://', source, '.example/sitemap', doc_id, '.xml') as url", """concat('<urlset><url><loc> https://x/', doc_id, '?a=1&amp;b </loc>', case when doc_id % 3 = 0 then '' when doc_id % 50 = 1 then '<lastmod>2031-01-01</lastmod>' else concat('<lastmod>2024-05-0', doc_id % 9 + 1, '</lastmod>') end, '</url></urlset>') as body""")
+    return site_files.sitemap_findings(site_files.sitemap_files(d), site_files.sitemap_entries(d), F.lit("2026-01-01").cast("timestamp")).select("site", "id", "detail")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders),
+walk AS (SELECT k AS start, k AS at, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5),
+c AS (SELECT start, arg_max(s, hops) AS f, arg_min(s, hops) AS h, CASE WHEN arg_max(s, hops) = 301 AND max(hops) = 5 THEN arg_max(nxt, hops) ELSE arg_max(at, hops) END AS final, count(*) FILTER (s = 301) AS moved FROM walk GROUP BY start),
+k AS (SELECT CASE WHEN h = 404 THEN 'redirect-dead' WHEN h = 200 THEN 'redirect-not-applied' WHEN f <> 200 THEN 'redirect-broken' ELSE 'rest' END AS id, * FROM c)
+SELECT id, count(*)::VARCHAR AS detail FROM k WHERE id <> 'rest' GROUP BY id
+UNION ALL SELECT 'redirect-hops', count(*)::VARCHAR FROM k WHERE id = 'rest' AND moved > 1 HAVING count(*) > 0
+UNION ALL SELECT 'redirect-elsewhere', count(*)::VARCHAR FROM k WHERE id = 'rest' AND final <> start + 1 HAVING count(*) > 0
+""")
+def redirect_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders").selectExpr("'s' as site", "o_orderkey as line_no", "concat(o_orderkey, '  ', o_orderkey + 1, ' 301! # moved') as line")
+    return site_files.redirect_findings(site_files.redirect_rules(lines), _chains(spark, sf_dir)).select("id", "detail")
+
+
+@query("""
+WITH d AS (SELECT source AS site, doc_id AS n, 'https://' || source || '.example/' || doc_id AS url FROM documents),
+e AS (SELECT site, n, CASE WHEN n % 3 = 0 THEN 'https://' || site || '.example/' || (n + 20) ELSE NULL END AS dst FROM d)
+SELECT e.n AS seq, e.dst AS detail FROM e JOIN d ON e.dst = d.url AND e.site = d.site WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.n = d.n AND b.dst = 'https://' || e.site || '.example/' || e.n)
+""")
+def hreflang_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").selectExpr("source as site", "concat('https://', source, '.example/', doc_id) as url", "doc_id as seq", "if(doc_id % 3 = 0, array(struct('en' as lang, concat('https://', source, '.example/', doc_id + 20) as href)), cast(array() as array<struct<lang:string,href:string>>)) as hreflang")
+    return cross_rules.one_way_alternates(d).select("seq", "detail")
+
+
+@query("""
+WITH a AS (SELECT o_custkey % 20 AS site, o_custkey AS target, CASE WHEN o_custkey % 4 = 0 THEN '' WHEN o_custkey % 4 = 1 THEN 'Read more…' ELSE 'Order ' || o_orderkey END AS name FROM orders)
+SELECT site, 'link-no-text-more' AS id, (count(DISTINCT target) - 10)::VARCHAR AS detail FROM a WHERE name = '' GROUP BY site HAVING count(DISTINCT target) > 10
+UNION ALL SELECT site, 'anchor-generic-more', (count(DISTINCT target) - 10)::VARCHAR FROM a WHERE name = 'Read more…' GROUP BY site HAVING count(DISTINCT target) > 10
+""")
+def anchor_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").selectExpr("o_custkey % 20 as site", "'x' as src_url", "o_orderkey as src_seq", "0 as pos", "concat('https://x/', o_custkey) as href", "case when o_custkey % 4 = 0 then '' when o_custkey % 4 = 1 then 'Read more…' else concat('Order ', o_orderkey) end as name")
+    pages = a.select("site", F.concat("href", F.lit("/")).alias("url")).distinct().withColumn("seq", F.lit(1).cast("long"))
+    both = cross_rules.nameless_links(a).unionByName(cross_rules.generic_anchors(a, pages))
+    return both.where("id like '%-more'").select("site", "id", "detail")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS url, c_custkey % 100 AS s, c_custkey % 5000 AS lcp FROM customer)
+SELECT url, CASE WHEN s < 50 THEN 'error' ELSE 'warn' END AS level, 'psi-score' AS id FROM c WHERE s < 90
+UNION ALL SELECT url, CASE WHEN lcp > 4000 THEN 'error' ELSE 'warn' END, 'psi-lcp' FROM c WHERE lcp > 2500
+UNION ALL SELECT url, 'error', 'psi-field-lcp' FROM c WHERE s % 3 = 0
+UNION ALL SELECT url, 'info', 'psi-no-field-data' FROM c WHERE s % 3 = 1
+UNION ALL SELECT url, 'warn', 'psi-opportunity' FROM c WHERE lcp % 500 >= 250
+""")
+def performance_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").selectExpr("'s' as site", "c_custkey as url", """concat('{"lighthouseResult":{"categories":{"performance":{"score":', c_custkey % 100 / 100, '}},"audits":{"largest-contentful-paint":{"numericValue":', c_custkey % 5000, '},"unused":{"details":{"overallSavingsMs":', c_custkey % 500, '}}}}',
+      case c_custkey % 100 % 3 when 0 then ',"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"category":"SLOW"}}}' when 1 then '' else ',"loadingExperience":{"metrics":{"INTERACTION_TO_NEXT_PAINT":{"category":"FAST"}}}' end, '}') as payload""", "cast(null as string) as error")
+    return performance.performance_findings(p).select("url", "level", "id")
+
+
+@query("""
+SELECT s_suppkey AS site, CASE WHEN s_suppkey % 40 < 20 THEN 'tls-expired' ELSE 'tls-expiring' END AS id, (s_suppkey % 40 - 20)::VARCHAR AS detail FROM supplier WHERE s_suppkey % 40 - 20 <= 14
+""")
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    certs = s.select(F.col("s_suppkey").alias("host"), F.timestamp_add("DAY", (F.col("s_suppkey") % 40 - 20).cast("int"), now).alias("not_after"))
+    return response_rules.certificate_findings(s.select(F.col("s_suppkey").alias("site"), F.col("s_suppkey").alias("host")), certs, now).select("site", "id", "detail")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS k FROM lineitem), t AS (SELECT k, count(*) AS n FROM l WHERE k % 3 <> 0 AND k % 5 <> 0 GROUP BY k)
+SELECT k AS url, CASE k % 7 WHEN 1 THEN 'broken-link' ELSE 'missing-from-sitemap-all' END AS id, n::VARCHAR AS detail FROM t WHERE k % 7 = 1
+""")
+def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as targets: a third were crawled, a fifth are listed, of the rest some answer 404."""
+    links = table(spark, sf_dir, "lineitem").selectExpr("'s' as site", "'internal' as kind", "l_orderkey as src_seq", "0 as pos", "concat('u', l_partkey, '/') as href").distinct()
+    parts = table(spark, sf_dir, "part").selectExpr("'s' as site", "p_partkey as k", "concat('u', p_partkey) as url")
+    statuses = parts.selectExpr("site", "concat(url, '/') as url", "if(k % 7 = 1, 404, 200) as status", "false as is_html")
+    swept = response_rules.link_status(links, parts.where("k % 3 = 0"), parts.where("k % 5 = 0").withColumnRenamed("url", "loc"), statuses)
+    return response_rules.link_findings(swept, parts.where("k % 5 = 0").withColumnRenamed("url", "loc")).where("id = 'broken-link'").select(F.regexp_extract("url", r"(\d+)", 1).try_cast("bigint").alias("url"), "id", "detail")
