@@ -183,7 +183,7 @@ def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders),
-walk AS (SELECT k AS start, k AS at, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5)
+walk AS (SELECT k AS start, k AS cur, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5)
 SELECT start, arg_max(s, hops) AS final_status, max(hops) AS n_hops FROM walk GROUP BY start
 """)
 def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,8 +329,8 @@ def sitemap_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders),
-walk AS (SELECT k AS start, k AS at, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5),
-c AS (SELECT start, arg_max(s, hops) AS f, arg_min(s, hops) AS h, CASE WHEN arg_max(s, hops) = 301 AND max(hops) = 5 THEN arg_max(nxt, hops) ELSE arg_max(at, hops) END AS final, count(*) FILTER (s = 301) AS moved FROM walk GROUP BY start),
+walk AS (SELECT k AS start, k AS cur, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5),
+c AS (SELECT start, arg_max(s, hops) AS f, arg_min(s, hops) AS h, CASE WHEN arg_max(s, hops) = 301 AND max(hops) = 5 THEN arg_max(nxt, hops) ELSE arg_max(cur, hops) END AS final, count(*) FILTER (s = 301) AS moved FROM walk GROUP BY start),
 k AS (SELECT CASE WHEN h = 404 THEN 'redirect-dead' WHEN h = 200 THEN 'redirect-not-applied' WHEN f <> 200 THEN 'redirect-broken' ELSE 'rest' END AS id, * FROM c)
 SELECT id, count(*)::VARCHAR AS detail FROM k WHERE id <> 'rest' GROUP BY id
 UNION ALL SELECT 'redirect-hops', count(*)::VARCHAR FROM k WHERE id = 'rest' AND moved > 1 HAVING count(*) > 0
