@@ -25,6 +25,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,13 @@ from . import common
 BLOCK, PERCENTILE, MAGIC = 512, 90, b"PFR1"
 #: Ids after which a page ends, with its last document.
 PAGE_IDS = 1 << 17
-CACHE_WORDS = 200_000
-#: These two separate words for the tokenizer too, so words can be encoded one by one.
-WORD = re.compile(r"[^ \n]+")
+CACHE_WORDS = 600_000
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+#: Units that the tokenizer never joins: it splits at white space, and between a word's letters and the ASCII punctuation
+#: that ends it (but for the apostrophe, which belongs to contractions).
+UNIT = re.compile(rf"(?<![^ \n])[{_LETTER}]+(?=[{_MARK}]*(?![^ \n]))|(?<=[{_LETTER}])[{_MARK}]+(?![^ \n])|[^ \n]+")
+#: Marks that the tokenizer's normal form joins with an ASCII letter before it lower-cases.
+JOINING = re.compile("[\u0300-\u036f]")
 
 
 def default_tokenizer() -> str:
@@ -109,23 +114,31 @@ def unpack(page: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts word by word and keeps the ids of words it has seen, up to a bound."""
+    """Encodes texts unit by unit and keeps the ids of units it has seen, up to a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        a, b = self.tokenizer.encode_batch(["Ab", "ab"], add_special_tokens=False)
+        self.lowers = a.ids == b.ids
 
-    def __call__(self, text: str) -> bytes:
-        words = WORD.findall(text)
-        cache = self.cache
+    def units(self, text: str) -> list[str]:
+        if self.lowers and not JOINING.search(text):
+            text = text.encode().lower().decode()  # A-Z only
+        return UNIT.findall(text)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        cache, split = self.cache, [self.units(t) for t in texts]
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = [w for w in set(words) if w not in cache]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True) if new else ():
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        new = list({u for units in split for u in units if u not in cache})
+        if new:
+            for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                cache[u] = array("I", e.ids).tobytes()
+        return [b"".join([cache[u] for u in units]) for units in split]
 
 
 @functools.cache
@@ -155,8 +168,9 @@ def _pages(path: str, end_id: int):
         held = 0
         for batch in batches:
             for part in common.slices(batch):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = encode(text or "") + end
+                found = encode([t or "" for t in part.column("text").to_pylist()])
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), found, strict=True):
+                    raw += end
                     ids.append(doc_id)
                     lengths.append(len(raw) // 4)
                     parts.append(raw)
