@@ -113,3 +113,32 @@ def missing_page_findings(probes: DataFrame, chains: DataFrame, features: DataFr
     j = j.join(f, ["site", "final_url"], "left")
     mild = (urls.path(F.col("final_url")) == "/") | F.coalesce("hidden", F.lit(False))
     return _rows(j, F.when(mild, "warn").otherwise("error"), "soft-404", "A missing page answers as if it were there", F.col("final_url"))
+
+
+def host_variants(sites: DataFrame) -> DataFrame:
+    """(site, url): the plain scheme, and the form with www where the host is a registrable name."""
+    authority = F.regexp_replace(F.regexp_extract("site", "://([^/?#]+)", 1), r"^www\.", "")
+    host = F.regexp_replace(authority, r":\d+$", "")
+    named = host.contains(".") & ~host.rlike(r"^\[?[\d.:]+\]?$")
+    plain = F.array(F.concat(F.lit("http://"), authority, F.lit("/")))
+    www = F.array(F.concat(F.lit("https://www."), authority, F.lit("/")), F.concat(F.lit("http://www."), authority, F.lit("/")))
+    return sites.select("site", F.explode(F.when(named, F.concat(plain, www)).otherwise(plain)).alias("url")).distinct()
+
+
+def host_variant_findings(variants: DataFrame, chains: DataFrame) -> DataFrame:
+    """host-variant-dead and redirect-chain; chains: of the variants."""
+    j = variants.join(chains.withColumnRenamed("start", "url").hint("merge"), ["site", "url"]).where("final_status is not null")
+    good = F.col("final_status").between(200, 299)
+    dead = _rows(j.where(~good), "warn", "host-variant-dead", "A form of the host leads to no page", F.col("final_status"))
+    return dead.unionByName(_rows(j.where(good & (F.size("hops") > 2)), "warn", "redirect-chain", "A form of the host takes several redirects", F.size("hops") - 1))
+
+
+def schema_image_findings(images: DataFrame, assets: DataFrame) -> DataFrame:
+    """schema-image-broken, one row for a site at the first page that names a dead image.
+
+    images: site, url, seq, target, as structured_data.schema_images gives them; assets: site, url, status.
+    """
+    t = images.groupBy("site", "target").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq"))
+    gone = t.join(assets.select("site", F.col("url").alias("target"), "status").hint("merge"), ["site", "target"]).where(F.col("status").isin(*GONE))
+    g = gone.groupBy("site").agg(F.count("*").alias("n"), F.min_by("url", F.struct("seq", "target")).alias("url"))
+    return _rows(g, "warn", "schema-image-broken", "Structured data names images that are gone", F.col("n"))

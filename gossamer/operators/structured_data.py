@@ -21,6 +21,8 @@ REQUIRED = {
     "Recipe": ["image", "name"],
     "VideoObject": ["name", "thumbnailUrl", "uploadDate"],
 }
+# Properties that hold addresses of images
+IMAGE_KEYS = ["contentUrl", "image", "logo", "thumbnailUrl"]
 PRODUCT_NAME, PRODUCT_ONE_OF = "name", ["aggregateRating", "offers", "review"]
 
 
@@ -69,3 +71,12 @@ def missing_types(features: DataFrame, nodes: DataFrame, rules: DataFrame) -> Da
     have = nodes.select("site", "url", F.explode("types").alias("type")).distinct()
     gone = want.select("site", "url", "seq", "type").distinct().join(have, ["site", "url", "type"], "left_anti")
     return gone.select("site", "url", "seq", F.lit("error").alias("level"), F.lit("schema-expected").alias("id"), F.lit("Expected structured data is missing").alias("title"), F.col("type").alias("detail"))
+
+
+def schema_images(nodes: DataFrame) -> DataFrame:
+    """(site, url, seq, target): absolute addresses of images that nodes name, as text, as objects with a url, or as lists of these."""
+    one = lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$.url", "string"))
+    named = F.array(*(F.try_variant_get("node", f"$.{k}", "variant") for k in IMAGE_KEYS))
+    values = nodes.select("site", "url", "seq", F.explode(named).alias("v")).where("v is not null")
+    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    return values.select("site", "url", "seq", F.explode(items).alias("v")).select("site", "url", "seq", one(F.col("v")).alias("target")).where(F.col("target").rlike("(?i)^https?:")).distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or an own one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Markup of the page of document n; every part depends on n by arithmetic alone.
 MARKUP = """
 concat('<!DOCTYPE html><html', if(n % 5 = 0, '', ' lang="en"'), '><head>',
@@ -43,8 +52,12 @@ concat('<!DOCTYPE html><html', if(n % 5 = 0, '', ' lang="en"'), '><head>',
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response for each document: page n of the site of its source."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "source")
+    return crawl_of(table(spark, sf_dir, "documents"))
+
+
+def crawl_of(documents: DataFrame) -> DataFrame:
+    """A response for each document, which may also come as a stream: page n of the site of its source."""
+    d = documents.select(F.col("doc_id").alias("n"), "source")
     d = d.withColumn("site", F.concat(F.lit("https://"), "source", F.lit(".example"))).withColumn("url", F.expr("concat(site, case n % 16 when 0 then '/Page' when 1 then '/a_b' when 2 then '/a%20b' else '/p' end, '/', n)"))
     headers = F.expr("""map_from_entries(filter(array(struct('content-type' as key, 'text/html' as value), if(n % 13 = 0, struct('x-robots-tag' as key, 'noindex' as value), null),
         if(n % 2 = 0, struct('content-encoding' as key, 'gzip' as value), null)), x -> x is not null))""")

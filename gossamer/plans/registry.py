@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import urls
 from gossamer.functions.text import units
-from gossamer.operators import cross_rules, features, findings, graph, page_rules, performance, response_rules, sampling, site_files, structured_data
-from gossamer.plans import derived
+from gossamer.operators import crawl, cross_rules, features, findings, graph, options, page_rules, performance, response_rules, sampling, site_files, structured_data
+from gossamer.plans import audit, derived
 from gossamer.plans.derived import table
 from gossamer.sources import responses
+from gossamer.streaming import pages as page_stream
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -166,11 +167,11 @@ def not_indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").selectExpr("'s' as site", "l_orderkey", "l_partkey as src", "l_linenumber", "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst").where("dst is not null").selectExpr("site", "src", "dst", "l_orderkey as ord")
+    return table(spark, sf_dir, "lineitem").selectExpr("'s' as site", "l_orderkey", "l_partkey as src", "l_linenumber", "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst").where("dst is not null").selectExpr("site", "src", "dst", "l_orderkey as ord")
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey % 7 = 0) WHERE dst IS NOT NULL AND src <> dst),
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst),
 home AS (SELECT min(src) AS k FROM e),
 walk(k, depth) AS (SELECT k, 0 FROM home UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.k WHERE depth < 14)
 SELECT k, min(depth) AS depth FROM walk GROUP BY k
@@ -398,3 +399,113 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     statuses = parts.selectExpr("site", "concat(url, '/') as url", "if(k % 7 = 1, 404, 200) as status", "false as is_html")
     swept = response_rules.link_status(links, parts.where("k % 3 = 0"), parts.where("k % 5 = 0").withColumnRenamed("url", "loc"), statuses)
     return response_rules.link_findings(swept, parts.where("k % 5 = 0").withColumnRenamed("url", "loc")).where("id = 'broken-link'").select(F.regexp_extract("url", r"(\d+)", 1).try_cast("bigint").alias("url"), "id", "detail")
+
+
+@query("""
+WITH c AS (SELECT 'https://c' || c_custkey || '.example' AS site, c_custkey AS k FROM customer)
+SELECT site, site || CASE WHEN k % 6 = 0 THEN '/declared.xml' WHEN k % 5 = 0 THEN '/sitemap_index.xml' ELSE '/sitemap.xml' END AS source,
+  site || CASE WHEN k % 6 = 0 THEN '/declared.xml' WHEN k % 5 = 0 THEN '/child.xml' ELSE '/sitemap.xml' END AS url, octet_length(encode('<urlset><url><loc>' || site || '/</loc></url></urlset>')) AS n_bytes
+FROM c WHERE k % 6 = 0 OR k % 5 = 0 OR k % 7 <> 0
+""")
+def sitemap_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site for each customer: a third declare a sitemap, half of which are missing; some have an index, whose child may be empty; some redirect."""
+    c = table(spark, sf_dir, "customer").selectExpr("concat('https://c', c_custkey, '.example') as site", "c_custkey as k").withColumn("full", F.expr("concat('<urlset><url><loc>', site, '/</loc></url></urlset>')"))
+    robots = c.where("k % 3 = 0").selectExpr("site", "concat('User-agent: *\\nSitemap: ', site, '/declared.xml') as body")
+    files = c.selectExpr(
+        "site",
+        """stack(5,
+          '/declared.xml', if(k % 2 = 0, 200, 404), cast(null as string), full,
+          '/sitemap_index.xml', if(k % 5 < 2, 200, 404), null, concat('<sitemapindex><sitemap><loc>', site, '/child.xml</loc></sitemap></sitemapindex>'),
+          '/child.xml', 200, null, if(k % 5 = 0, full, '<urlset></urlset>'),
+          '/sitemap.xml', case k % 7 when 0 then 404 when 1 then 301 else 200 end, concat(site, '/moved.xml'), full,
+          '/moved.xml', 200, null, full) as (path, status, location, body)""",
+    )
+    log = files.select("site", F.concat("site", "path").alias("url"), "status", "location", "body")
+    chosen = crawl.chosen_sitemaps(crawl.sitemap_candidates(c, robots), log)
+    return chosen.select("site", "source", "url", F.octet_length("body").cast("long").alias("n_bytes"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst AND dst % 10 > 1),
+home AS (SELECT min(src) AS k FROM e),
+walk(k, depth) AS (SELECT k, 0 FROM home UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.k WHERE depth < 14)
+SELECT 'https://s.example/p/' || k AS k, min(depth) AS depth FROM walk GROUP BY k
+""")
+def crawl_by_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages, linked in the order of an order's lines; some targets are files, barred by robots, or moved."""
+    lines = _next_links(spark, sf_dir).where("src <> dst")
+    href = "concat('https://s.example', case dst % 10 when 0 then concat('/p/', dst, '.pdf') when 1 then concat('/x/', dst) when 2 then concat('/old/', dst) else concat('/p/', dst, '#f') end) as href"
+    links = lines.selectExpr("'https://s.example' as site", "concat('https://s.example/p/', src) as src_url", "cast(dst % 50 as int) as pos", href, "'internal' as kind")
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey as k")
+    forms = parts.selectExpr("stack(4, concat('/p/', k), 200, cast(null as string), concat('/p/', k, '/'), 200, null, concat('/x/', k), 200, null, concat('/old/', k), 301, concat('https://s.example/p/', k, '/')) as (path, status, location)")
+    log = forms.select(F.lit("https://s.example").alias("site"), F.concat(F.lit("https://s.example"), "path").alias("url"), "status", "location")
+    starts = links.select("site", F.regexp_replace("href", "#.*$", "").alias("url")).distinct()
+    robots = site_files.robots_rules(spark.createDataFrame([("https://s.example", "User-agent: *\nDisallow: /x/")], "site string, body string"))
+    verdicts = site_files.robots_verdicts(starts.select("site", urls.path(F.col("url")).alias("path")), robots)
+    home = lines.where("dst % 10 > 1").agg(F.min("src").alias("k")).selectExpr("'https://s.example' as site", "concat('https://s.example/p/', k) as url")
+    seen, _ = crawl.reachable(home, crawl.link_edges(links, graph.redirect_chains(starts, log), verdicts), max_depth=14)
+    return seen.select("k", F.col("depth").cast("long").alias("depth"))
+
+
+@query("""
+SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'redirect-chain' ELSE 'host-variant-dead' END AS id, CASE c_custkey % 5 WHEN 0 THEN '2' ELSE '500' END AS detail FROM customer WHERE c_custkey % 5 < 2
+""")
+def host_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host for each customer: a name, a name with www and a port, or a word; the plain scheme redirects once or twice, or fails."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "case c_custkey % 3 when 0 then concat('c', c_custkey, '.example') when 1 then concat('c', c_custkey, '.example:81') else concat('local', c_custkey) end as host")
+    c = c.withColumn("site", F.concat(F.lit("https://"), F.when(F.col("k") % 3 == 1, F.lit("www.")).otherwise(F.lit("")), "host"))
+    log = c.selectExpr("site", "stack(3, concat('http://', host, '/'), if(k % 5 = 1, 500, 301), concat('https://', host, '/'), concat('https://', host, '/'), if(k % 5 = 0, 301, 200), concat('https://', host, '/home'), concat('https://', host, '/home'), 200, null) as (url, status, location)")
+    variants = response_rules.host_variants(c)
+    found = response_rules.host_variant_findings(variants, graph.redirect_chains(variants, log))
+    return found.join(c.select("site", "k").hint("merge"), "site").select("k", "id", "detail")
+
+
+@query("""
+SELECT 'https://' || source || '.example' AS site, 'schema-image-broken' AS id, count(DISTINCT doc_id % 1000)::VARCHAR AS detail FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 1000 % 3 = 0 GROUP BY source
+""")
+def schema_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").selectExpr("concat('https://', source, '.example') as site", "doc_id as seq", "concat('https://cdn.example/', doc_id % 1000, '.png') as image", "doc_id % 1000 % 3 = 0 as dead")
+    block = "case seq % 4 when 0 then concat('{\"@type\":\"Article\",\"image\":\"', image, '\"}') when 1 then concat('{\"@type\":\"Article\",\"image\":[{\"url\":\"', image, '\"},\"/own.png\"]}') when 2 then concat('{\"@graph\":[{\"@type\":\"Organization\",\"logo\":{\"url\":\"', image, '\"}}]}') else '{\"@type\":\"Article\",\"image\":\"/own.png\"}' end"
+    f = d.select("site", F.concat("site", F.lit("/"), "seq").alias("url"), "seq", F.array(F.expr(block)).alias("jsonld"))
+    assets = d.select("site", F.col("image").alias("url"), F.when(F.col("dead"), 404).otherwise(200).alias("status")).distinct()
+    found = response_rules.schema_image_findings(structured_data.schema_images(structured_data.jsonld_nodes(f)), assets)
+    return found.select("site", "id", "detail")
+
+
+@query("""
+SELECT c_custkey AS k, 'unreachable' AS id, '' AS detail FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT c_custkey, 'nothing-crawlable', '' FROM customer WHERE c_custkey % 4 = 2
+UNION ALL SELECT c_custkey, 'truncated', (c_custkey % 10)::VARCHAR FROM customer WHERE c_custkey % 4 = 3 AND c_custkey % 10 > 0
+""")
+def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as site", "case c_custkey % 4 when 1 then 0 when 2 then 500 else 200 end as status", "c_custkey % 4 as kind")
+    left = c.where("kind = 3").select("site", (F.col("site") % 10).alias("left"))
+    return crawl.run_findings(c, c, c.where("kind = 0"), c, left).select(F.col("site").alias("k"), "id", "detail")
+
+
+@query("""
+SELECT c_custkey AS site, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 15 END::BIGINT AS title_min, 150::BIGINT AS desc_max, 300::BIGINT AS min_words FROM customer
+""")
+def site_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey as site", "if(c_custkey % 3 = 0, 5, null) as title_min")
+    limits = options.site_limits(sites, {"desc_max": 150})
+    return limits.select("site", *(F.col(k).cast("long").alias(k) for k in ("title_min", "desc_max", "min_words")))
+
+
+@query(CRAWL_SQL)
+def page_rules_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_rules_all on a stream: what is there is worked off, appended to a folder, and read back."""
+    path = f"{sf_dir}/documents.parquet"
+    # as a pattern, so that the table may be a file or a folder
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    out = derived.scratch(spark, "page-findings")
+    found = page_stream.page_findings(derived.crawl_of(feed))
+    page_stream.write_findings(found, out, derived.scratch(spark, "page-findings-log"), once=True).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).where("id not in ('uncompressed', 'huge-html', 'robots-conflict')").select("seq", "level", "id")
+
+
+@query()
+def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit of all hosts of the page table, as counts by site and rule."""
+    found, _ = audit.audit({"responses": _pages(spark, sf_dir)}, F.lit("2026-01-01").cast("timestamp"))
+    return findings.check_summary(found).select("site", "level", "id", "findings")
