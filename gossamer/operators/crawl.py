@@ -45,7 +45,8 @@ def chosen_sitemaps(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     responses: (site, url, status, location, body), one row for an address. Only small rows decide; bodies are joined for the chosen.
     """
     asked = candidates.select("site", F.col("url").alias("start"), "rank")
-    found = asked.join(answers(candidates, responses).hint("merge"), ["site", "start"]).where(F.col("body").rlike("(?i)<(urlset|sitemapindex)"))
+    graph._checkpoint_dir(responses.sparkSession)
+    found = asked.join(answers(candidates, responses).hint("merge"), ["site", "start"]).where(F.col("body").rlike("(?i)<(urlset|sitemapindex)")).checkpoint()
     lists = F.col("body").rlike(HAS_LOCATION)
     own = found.where(lists).select("site", "rank", F.col("start").alias("source"), F.col("start").alias("url"), F.lit(0).alias("seq"), "body")
     children = site_files.sitemap_children(found.where(~lists).select("site", F.col("start").alias("url"), "body"))

@@ -86,11 +86,14 @@ def gate(sites: DataFrame, findings: DataFrame, fail_on: str = "error", added: D
     return sites.select("site").distinct().join(failed, "site", "left").select("site", F.col("failed").isNull().alias("passed"))
 
 
-def apply_ignores(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings that no ignore rule silences. rules: site, id, url_glob (NULL: everywhere); a NULL site means every site."""
+def apply_ignores(findings: DataFrame, rules: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Findings that no ignore rule silences (or with how="left_semi", those that one does).
+
+    rules: site, id, url_glob (NULL: everywhere); a NULL site means every site.
+    """
     r = rules.select(F.col("site").alias("r_site"), F.col("id").alias("r_id"), urls.glob_pattern(F.col("url_glob")).alias("pattern"))
     match = (F.col("id") == F.col("r_id")) & F.coalesce(F.col("r_site") == F.col("site"), F.col("r_site").isNull()) & F.coalesce(F.rlike(urls.path(F.col("url")), F.col("pattern")), F.col("pattern").isNull())
-    return findings.join(r, match, "left_anti")
+    return findings.join(r, match, how)
 
 
 def not_indexable(responses: DataFrame, features: DataFrame) -> DataFrame:

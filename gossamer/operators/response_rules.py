@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
+from gossamer.operators import sampling
 
 # Headers that a home page should send, and how much they matter
 HEADERS = {"content-security-policy": "info", "referrer-policy": "info", "strict-transport-security": "warn", "x-content-type-options": "info"}
@@ -22,13 +23,24 @@ def _per_site(df: DataFrame, level: str, rule: str, title: str) -> DataFrame:
     return _rows(g, level, rule, title, F.col("n"))
 
 
-def link_status(links: DataFrame, features: DataFrame, entries: DataFrame, statuses: DataFrame) -> DataFrame:
-    """(site, url, first_seq, sources, status) of each internal target that was neither crawled nor listed; one sweep for three rules."""
+def sweep(targets: DataFrame, cap: int | None, rule: str) -> tuple[DataFrame, DataFrame]:
+    """A site's first `cap` targets, by first_seq and url (all if None); and a finding `rule` for sites that have more."""
+    kept, left = sampling.capped(targets, cap, ["first_seq", "url"])
+    return kept, _rows(left.withColumn("url", F.col("site")), "info", rule, "More targets are known than were asked", F.col("left"))
+
+
+def link_targets(links: DataFrame, features: DataFrame, entries: DataFrame) -> DataFrame:
+    """(site, k, url, first_seq, sources) of each internal target that was neither crawled nor listed."""
     t = links.where("kind = 'internal'").withColumn("k", urls.key(F.col("href"))).where(~F.col("href").contains("/cdn-cgi/"))
     t = t.groupBy("site", "k").agg(F.min_by(F.regexp_replace("href", "#.*$", ""), F.struct("src_seq", "pos")).alias("url"), F.min("src_seq").alias("first_seq"), F.count("*").alias("sources"))
     crawled = features.select("site", urls.key(F.col("url")).alias("k")).distinct()
     listed = entries.select("site", urls.key(F.col("loc")).alias("k")).distinct()
-    rest = t.join(crawled, ["site", "k"], "left_anti").join(listed, ["site", "k"], "left_anti")
+    return t.join(crawled, ["site", "k"], "left_anti").join(listed, ["site", "k"], "left_anti")
+
+
+def link_status(links: DataFrame, features: DataFrame, entries: DataFrame, statuses: DataFrame, cap: int | None = None) -> DataFrame:
+    """(site, url, first_seq, sources, status) of link_targets; one sweep for three rules."""
+    rest, _ = sweep(link_targets(links, features, entries), cap, "link-sweep-capped")
     return rest.join(statuses.select("site", "url", "status", "is_html"), ["site", "url"])
 
 
@@ -44,12 +56,18 @@ def link_findings(swept: DataFrame, entries: DataFrame, top: int = 20) -> DataFr
     )
 
 
-def image_findings(features: DataFrame, assets: DataFrame) -> DataFrame:
-    """assets: site, url, status, by HEAD with GET behind it."""
+def image_targets(features: DataFrame) -> DataFrame:
+    """(site, url, page, first_seq) of each image, at the first page that has it."""
     t = features.select("site", "url", "seq", F.explode("images").alias("i")).where("i.src <> '' and not startswith(i.src, 'data:')")
-    t = t.select("site", urls.resolve(F.col("url"), F.col("i.src")).alias("target"), "seq", F.col("url").alias("page")).groupBy("site", "target").agg(F.min_by("page", "seq").alias("page"))
-    hit = t.join(assets.withColumnRenamed("url", "target"), ["site", "target"]).where(F.col("status").isin(*GONE))
-    return _rows(hit.select("site", F.col("target").alias("url"), "page"), "error", "broken-image", "The image is gone", F.col("page"))
+    t = t.select("site", urls.resolve(F.col("url"), F.col("i.src")).alias("target"), "seq", F.col("url").alias("page"))
+    return t.groupBy("site", F.col("target").alias("url")).agg(F.min_by("page", F.struct("seq", "page")).alias("page"), F.min("seq").alias("first_seq"))
+
+
+def image_findings(features: DataFrame, assets: DataFrame, cap: int | None = None) -> DataFrame:
+    """assets: site, url, status, by HEAD with GET behind it."""
+    t, _ = sweep(image_targets(features), cap, "image-sweep-capped")
+    hit = t.join(assets.hint("merge"), ["site", "url"]).where(F.col("status").isin(*GONE))
+    return _rows(hit, "error", "broken-image", "The image is gone", F.col("page"))
 
 
 def canonical_findings(features: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -100,8 +118,13 @@ def shared_image_findings(features: DataFrame, chains: DataFrame, assets: DataFr
     return _rows(gone, "error", "og-image-broken", "The shared image is gone", F.col("target")).unionByName(_rows(large, "warn", "og-image-heavy", "The shared image is heavy", F.col("length")))
 
 
-def external_findings(links: DataFrame, chains: DataFrame) -> DataFrame:
-    t = links.where("kind = 'external'").select("site", F.col("href").alias("start")).distinct().join(chains, ["site", "start"])
+def external_targets(links: DataFrame) -> DataFrame:
+    return links.where("kind = 'external'").groupBy("site", F.col("href").alias("url")).agg(F.min("src_seq").alias("first_seq"))
+
+
+def external_findings(links: DataFrame, chains: DataFrame, cap: int | None = None) -> DataFrame:
+    t, _ = sweep(external_targets(links), cap, "external-sweep-capped")
+    t = t.join(chains.withColumnRenamed("start", "url").hint("merge"), ["site", "url"])
     first = F.try_element_at("hops", F.lit(1))["status"]
     return _per_site(t.where(F.col("final_status").isin(*GONE)), "warn", "external-broken", "Links to other sites are gone").unionByName(_per_site(t.where(first.between(300, 399) & F.col("final_status").between(200, 299)), "info", "external-redirects", "Links to other sites redirect"))
 

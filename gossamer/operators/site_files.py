@@ -9,6 +9,8 @@ from gossamer.functions import urls
 from gossamer.functions.text import decoded, first, trimmed
 
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
+#: Redirect rules with these aren't followed.
+PLACEHOLDER = r"\*|/:"
 
 
 def robots_rules(bodies: DataFrame) -> DataFrame:
@@ -115,12 +117,12 @@ def redirect_rules(lines: DataFrame) -> DataFrame:
 
 def redirect_findings(rules: DataFrame, chains: DataFrame) -> DataFrame:
     """One row for a site and outcome, with its count. rules: src and dst absolute; chains: of (site, start)."""
-    pattern = F.col("src").rlike(r"\*|/:")
+    pattern = F.col("src").rlike(PLACEHOLDER)
     skipped = _site_rows(rules.where(pattern).groupBy("site").agg(F.count("*").alias("n")), "info", "redirect-pattern-skipped", "Rules with placeholders aren't followed", F.col("n"))
     j = rules.where(~pattern).join(chains.withColumnRenamed("start", "src"), ["site", "src"])
     hop, good = F.try_element_at("hops", F.lit(1))["status"], F.col("final_status").between(200, 299)
     moved = F.size(F.filter("hops", lambda h: h["status"].between(300, 399)))
-    exact = F.col("dst").isNotNull() & ~F.col("dst").rlike(r"\*|/:")
+    exact = F.col("dst").isNotNull() & ~F.col("dst").rlike(PLACEHOLDER)
     later = F.array(F.when(moved > 1, F.lit("redirect-hops")), F.when((F.col("status") == 301) & (hop == 302), F.lit("redirect-temporary")), F.when(exact & (urls.bare(F.col("dst")) != urls.bare(F.col("final_url"))), F.lit("redirect-elsewhere")))
     kinds = F.when(hop.isNull() | F.col("final_status").isNull(), F.expr("cast(array() as array<string>)")).when(hop.isin(404, 410, 0), F.array(F.lit("redirect-dead"))).when(hop.between(200, 299), F.array(F.lit("redirect-not-applied"))).when(~good, F.array(F.lit("redirect-broken"))).otherwise(F.filter(later, lambda x: x.isNotNull()))
     g = j.select("site", F.explode(kinds).alias("id")).groupBy("site", "id").agg(F.count("*").alias("n"))

@@ -20,12 +20,14 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False) -> tuple[DataFrame, DataFrame]:
+def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, run_summary) of all sites in `responses`.
 
     tables: responses; and, where there are any, sitemaps (site, url: explicit choice), certificates (host, not_after),
     probes (site, url of a page that shouldn't exist), psi_payloads, redirect_map, site_limits, ignore_rules, expect_rules.
+    caps: how many targets of a site are asked, by the id of the finding that reports the rest; without one, all are.
     """
+    cap = (caps or {}).get
     asked = _kept(log.latest(tables["responses"]).withColumn("location", F.when(F.col("location").isNotNull(), urls.resolve(F.col("url"), F.col("location")))))
     get = asked.where("method = 'GET'")
     ok = F.col("status").between(200, 299)
@@ -37,10 +39,11 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
     # every page of the log once: targets of links and of canonical addresses are pages too
     every = _kept(features.page_features(get))
     links = _kept(features.page_links(get))
-    targets = links.select("site", F.regexp_replace("href", "#.*$", "").alias("url"))
+    targets = links.where("kind = 'internal'").select("site", F.regexp_replace("href", "#.*$", "").alias("url"))
     homes = sites.select("site", F.concat("site", F.lit("/")).alias("url"))
     variants = response_rules.host_variants(sites)
-    starts = targets.unionByName(homes).unionByName(variants)
+    outside = links.where("kind = 'external'").select("site", F.col("href").alias("url")) if include_external else targets.limit(0)
+    starts = targets.unionByName(homes).unionByName(variants).unionByName(outside)
     if "probes" in tables:
         starts = starts.unionByName(tables["probes"].select("site", "url"))
     shared = every.select("site", F.col("og")["og:image"].alias("url")).where(F.col("url").rlike("(?i)^https?://"))
@@ -82,8 +85,10 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
         site_files.sitemap_not_indexable(entries, live, hidden),
         site_files.robots_findings(sites, robots, entries, get),
         crawl.run_findings(sites, asked, entries, pages, left),
-        response_rules.link_findings(response_rules.link_status(links, live, entries, statuses), entries),
-        response_rules.image_findings(live, assets),
+        response_rules.link_findings(response_rules.link_status(links, live, entries, statuses, cap("link-sweep-capped")), entries),
+        response_rules.sweep(response_rules.link_targets(links, live, entries), cap("link-sweep-capped"), "link-sweep-capped")[1],
+        response_rules.image_findings(live, assets, cap("image-sweep-capped")),
+        response_rules.sweep(response_rules.image_targets(live), cap("image-sweep-capped"), "image-sweep-capped")[1],
         response_rules.canonical_findings(live, statuses),
         response_rules.alternate_findings(live, statuses),
         response_rules.trailing_slash_findings(live, statuses),
@@ -93,7 +98,8 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
         response_rules.host_variant_findings(variants, chains),
     ]
     if include_external:
-        parts.append(response_rules.external_findings(links, chains))
+        parts.append(response_rules.external_findings(links, chains, cap("external-sweep-capped")))
+        parts.append(response_rules.sweep(response_rules.external_targets(links), cap("external-sweep-capped"), "external-sweep-capped")[1])
     if "probes" in tables:
         parts.append(response_rules.missing_page_findings(tables["probes"], chains, every))
     if "certificates" in tables:
@@ -106,11 +112,15 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
     if "redirect_map" in tables:
         at = lambda c: F.when(F.col(c).rlike("^/"), F.concat("site", c)).otherwise(F.col(c))
         rules = site_files.redirect_rules(tables["redirect_map"]).withColumn("src", at("src")).withColumn("dst", at("dst"))
+        whole = rules.where(~F.col("src").rlike(site_files.PLACEHOLDER))
+        kept, more = response_rules.sweep(whole.withColumns({"first_seq": F.col("line_no"), "url": F.col("src")}), cap("redirect-map-capped"), "redirect-map-capped")
+        rules = kept.select(rules.columns).unionByName(rules.where(F.col("src").rlike(site_files.PLACEHOLDER)))
+        parts.append(more)
         parts.append(site_files.redirect_findings(rules, graph.redirect_chains(rules.select("site", F.col("src").alias("url")), get)))
     found = reduce(DataFrame.unionByName, (p.select(F.col("seq").cast("long").alias("seq"), *(c for c in COLUMNS if c != "seq")) for p in parts)).select(COLUMNS)
     # of a site that never answers there is nothing else to say
     silent = found.where("id = 'unreachable'").select("site")
     found = _kept(found.join(silent.hint("merge"), "site", "left_anti").unionByName(found.where("id = 'unreachable'")))
     kept = findings.apply_ignores(found, tables["ignore_rules"]) if "ignore_rules" in tables else found
-    ignored = found.join(kept.select(*COLUMNS).hint("merge"), COLUMNS, "left_anti") if "ignore_rules" in tables else found.limit(0)
+    ignored = findings.apply_ignores(found, tables["ignore_rules"], "left_semi") if "ignore_rules" in tables else found.limit(0)
     return findings.tag_indexable(kept, hidden), findings.run_summary(pages, kept, hidden, ignored)
