@@ -183,7 +183,7 @@ def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders),
+WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders),
 walk AS (SELECT k AS start, k AS cur, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5)
 SELECT start, arg_max(s, hops) AS final_status, max(hops) AS n_hops FROM walk GROUP BY start
 """)
@@ -192,13 +192,10 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response for each order; a fourth redirect to the order after."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    after = o.withColumn("bucket", F.lit("all"))
-    from pyspark.sql import Window
-
-    nxt = F.lead("o_orderkey").over(Window.partitionBy("bucket").orderBy("o_orderkey"))
-    return after.select(F.lit("s").alias("site"), F.col("o_orderkey").cast("string").alias("url"), F.expr("case when o_orderkey % 4 = 0 then 301 when o_orderkey % 9 = 0 then 404 else 200 end").alias("status"), nxt.cast("string").alias("location"))
+    """A response for each order; a fourth redirect to the customer's next order."""
+    o = table(spark, sf_dir, "orders")
+    status = "case when o_orderkey % 4 = 0 then 301 when o_orderkey % 9 = 0 then 404 else 200 end as status"
+    return o.selectExpr("'s' as site", "cast(o_orderkey as string) as url", status, "cast(lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as string) as location")
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +326,7 @@ def sitemap_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders),
+WITH RECURSIVE r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 301 WHEN o_orderkey % 9 = 0 THEN 404 ELSE 200 END AS s, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders),
 walk AS (SELECT k AS start, k AS cur, s, 1 AS hops, nxt FROM r UNION ALL SELECT w.start, r.k, r.s, hops + 1, r.nxt FROM walk w JOIN r ON r.k = w.nxt WHERE w.s = 301 AND hops < 5),
 c AS (SELECT start, arg_max(s, hops) AS f, arg_min(s, hops) AS h, CASE WHEN arg_max(s, hops) = 301 AND max(hops) = 5 THEN arg_max(nxt, hops) ELSE arg_max(cur, hops) END AS final, count(*) FILTER (s = 301) AS moved FROM walk GROUP BY start),
 k AS (SELECT CASE WHEN h = 404 THEN 'redirect-dead' WHEN h = 200 THEN 'redirect-not-applied' WHEN f <> 200 THEN 'redirect-broken' ELSE 'rest' END AS id, * FROM c)
