@@ -188,14 +188,14 @@ walk AS (SELECT k AS start, k AS cur, s, 1 AS hops, nxt FROM r UNION ALL SELECT
 SELECT start, arg_max(s, hops) AS final_status, max(hops) AS n_hops FROM walk GROUP BY start
 """)
 def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chains(spark, sf_dir).select(F.col("start").cast("long").alias("start"), "final_status", F.size("hops").cast("long").alias("n_hops"))
+    return _chains(spark, sf_dir).select(F.ltrim(F.col("start"), F.lit("/")).cast("long").alias("start"), "final_status", F.size("hops").cast("long").alias("n_hops"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response for each order; a fourth redirect to the customer's next order."""
     o = table(spark, sf_dir, "orders")
     status = "case when o_orderkey % 4 = 0 then 301 when o_orderkey % 9 = 0 then 404 else 200 end as status"
-    return o.selectExpr("'s' as site", "cast(o_orderkey as string) as url", status, "cast(lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as string) as location")
+    return o.selectExpr("'s' as site", "concat('/', o_orderkey) as url", status, "concat('/', lead(o_orderkey) over (partition by o_custkey order by o_orderkey)) as location")
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +335,7 @@ UNION ALL SELECT 'redirect-hops', count(*)::VARCHAR FROM k WHERE id = 'rest' AND
 UNION ALL SELECT 'redirect-elsewhere', count(*)::VARCHAR FROM k WHERE id = 'rest' AND final <> start + 1 HAVING count(*) > 0
 """)
 def redirect_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "orders").selectExpr("'s' as site", "o_orderkey as line_no", "concat(o_orderkey, '  ', o_orderkey + 1, ' 301! # moved') as line")
+    lines = table(spark, sf_dir, "orders").selectExpr("'s' as site", "o_orderkey as line_no", "concat('/', o_orderkey, '  /', o_orderkey + 1, ' 301! # moved') as line")
     return site_files.redirect_findings(site_files.redirect_rules(lines), _chains(spark, sf_dir)).select("id", "detail")
 
 
