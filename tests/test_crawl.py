@@ -147,3 +147,31 @@ def test_audit_end_to_end(spark):
     assert "nothing-crawlable" in ids[d] and "unreachable" not in ids[d]
     summary = {x["site"]: (x["pages"], x["ignored"]) for x in runs.collect()}
     assert summary[a] == (3, 1) and summary[b][0] == 1
+
+
+def test_audit_with_side_tables(spark):
+    a = "https://a.test"
+    r = log(
+        spark,
+        (a, "/", 200, None, page("/p", "/gone1", "/gone2", "https://z.test/dead")),
+        (a, "/p", 200, None, page("/")),
+        (a, "/gone1", 404, None, ""),
+        (a, "/gone2", 404, None, ""),
+        (a, "/probe", 200, None, page("/")),
+        (a, "/old", 200, None, page("/")),
+    )
+    dead = spark.createDataFrame([(a, "GET", "https://z.test/dead", 99, 410, HTML, "", None, 10, None, datetime.datetime(2026, 1, 1))], responses.RESPONSES)
+    side = {
+        "responses": r.unionByName(dead),
+        "probes": spark.createDataFrame([(a, f"{a}/probe")], "site string, url string"),
+        "certificates": spark.createDataFrame([("a.test", datetime.datetime(2026, 2, 5))], "host string, not_after timestamp"),
+        "expect_rules": spark.createDataFrame([(a, 1, "/p", "Article")], "site string, rule_no int, url_glob string, type string"),
+        "psi_payloads": spark.createDataFrame([(a, a, "mobile", None, "timeout")], "site string, url string, strategy string, payload string, error string"),
+        "redirect_map": spark.createDataFrame([(a, 1, "/old /p 301"), (a, 2, "/x* /p"), (a, 3, "/old2 /p")], "site string, line_no int, line string"),
+        "site_limits": spark.createDataFrame([(a, 1)], "site string, min_words int"),
+    }
+    found, _ = audit.audit(side, F.lit("2026-02-01").cast("timestamp"), page_budget=2, include_external=True, caps={"link-sweep-capped": 1, "redirect-map-capped": 1})
+    got = {(x["id"], x["detail"]) for x in found.collect()}
+    ids = {i for i, _ in got}
+    assert {"soft-404", "tls-expiring", "schema-expected", "psi-failed", "redirect-not-applied", "redirect-pattern-skipped", "external-broken", "truncated"} <= ids
+    assert {("link-sweep-capped", "1"), ("redirect-map-capped", "1")} <= got and "thin-content" not in ids
