@@ -15,9 +15,11 @@ A byte goes when a string of LENGTH bytes that covers it also starts in a docume
    After LENGTH rounds, slots between boundaries are one repeated interval; no suffix is sorted again.
 4. Each interval's smallest doc_id decides for all its windows; spans go back to their documents.
 
-Every shuffle is by anchor or by document. Contexts of an anchor stay together in one task but are processed as
-distinct strings, so copies of a passage cost one string; an anchor at the edge of a passage that very many
-documents share has a distinct context for each (see the README).
+Every shuffle is by anchor or by document. An anchor with more than HOT contexts, as in a passage that very many
+documents share, isn't left to one task. Its equal contexts are summed up first. Of what remains (contexts at the edge
+of the passage differ in each document) each window's smallest doc_id is counted by hash, and windows that only one
+document has leave, as anchors did. Runs of windows with one such doc_id are the strings of a finer group, equal ones
+being one: a group's windows all start in that one document, whose size bounds the group. Step 3 then decides as above.
 
 Defined results: a null text counts as empty; documents under LENGTH bytes keep everything; rows with a null doc_id
 neither remove nor lose anything; rows with one doc_id never remove from each other; bytes of malformed
@@ -39,6 +41,8 @@ from . import common
 LENGTH, GRAM = 50, 20
 #: Bytes that one anchor scan, one merge and one shard work on.
 SCAN_BYTES, MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 17
+#: Contexts of one anchor that go to one task as they are.
+HOT = 10_000
 
 _VALUE = np.random.RandomState(77).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -114,7 +118,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _anchor_rows(keys: list[str], places: bool):
-    """The key column and hash (and packed place) of every anchor."""
+    """The key column and hash of every anchor, with its packed place or else its count in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,23 +129,26 @@ def _anchor_rows(keys: list[str], places: bool):
                     h, doc = h[order], doc[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                    last = np.diff(np.append(np.flatnonzero(new), len(h)))
                     h, doc = h[new], doc[new]
-                columns = [part.column(keys[0]).take(pa.array(doc)), pa.array(h.view(np.int64))]
-                if places:
-                    columns.append(pa.array((start * 64 + inner) * 64 + more))
-                yield pa.record_batch(columns, names=[keys[0], "h", "at"][: len(columns)])
+                else:
+                    last = (start * 64 + inner) * 64 + more
+                columns = [part.column(keys[0]).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(last)]
+                yield pa.record_batch(columns, names=[keys[0], "h", "at" if places else "n"])
 
     return run
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, doc_id, row, start, inner, context for each place in the list `ats` of a document."""
+    """h, doc_id, row, start, inner, context, hot for each place in the list `ats` of a document; those of hot anchors are complements."""
     for batch in batches:
         for part in common.slices(batch):
             data, offsets = common.buffers(part.column("text"))
             ats = part.column("ats")
             cut, flat = ats.offsets.to_numpy().astype(np.int64), ats.values.to_numpy()
             flat = flat[cut[0] : cut[-1]]
+            hot = flat < 0
+            flat = np.where(hot, ~flat, flat)
             doc = np.repeat(np.arange(len(part)), np.diff(cut))
             start, inner, more = flat // 4096, flat // 64 % 64, flat % 64
             begin = offsets[doc] + start
@@ -156,7 +163,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = common.mix(h)
             contexts = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.binary())
             at = pa.array(doc)
-            yield pa.record_batch([pa.array(h.view(np.int64)), part.column("doc_id").take(at), part.column("row").take(at), pa.array(start), pa.array(inner), contexts], names=["h", "doc_id", "row", "start", "inner", "context"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), part.column("doc_id").take(at), part.column("row").take(at), pa.array(start), pa.array(inner), contexts, pa.array(hot)], names=["h", "doc_id", "row", "start", "inner", "context", "hot"])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -260,23 +267,14 @@ def smallest_sharers(contexts: list[bytes], owner: np.ndarray, length: int = LEN
     return [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def _removed(table: pa.Table) -> pa.RecordBatch:
-    """Spans (row, first, stop) that go, of all contexts of some anchors."""
-    h, docs = table["h"].to_numpy(), table["doc_id"].to_numpy()
-    rows, starts = table["row"].to_numpy(), table["start"].to_numpy()
-    number: dict[tuple, int] = {}
-    context = np.array([number.setdefault(x, len(number)) for x in zip(table["context"].to_pylist(), table["inner"].to_pylist(), strict=True)], np.int64)
-    texts = [c for c, _ in number]
-    owner = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(owner, context, docs)
-    anchor = np.zeros(len(texts), np.int64)
-    anchor[context] = h
-    _, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[back] > 1)  # an anchor's only context shares its windows with no other
+def _windows_of_groups(texts: list[bytes], owner: np.ndarray, group: np.ndarray) -> list[np.ndarray | None]:
+    """For each text the smallest owner of each of its windows within its group; None if that is the text's own throughout."""
+    _, back, count = np.unique(group, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[back] > 1)  # a group's only text shares its windows with no other
     several = several[np.argsort(back[several], kind="stable")]
     windows: list[np.ndarray | None] = [None] * len(texts)
     at = 0
-    while at < len(several):  # anchors together, in bounded groups
+    while at < len(several):  # groups together, in bounded runs
         held, end = 0, at
         while end < len(several) and (held < MERGE_BYTES or back[several[end]] == back[several[end - 1]]):
             held += len(texts[several[end]]) + 1
@@ -286,6 +284,21 @@ def _removed(table: pa.Table) -> pa.RecordBatch:
             if (low < owner[k]).any():
                 windows[k] = low
         at = end
+    return windows
+
+
+def _removed(table: pa.Table) -> pa.RecordBatch:
+    """Spans (row, first, stop) that go, of all contexts of some anchors."""
+    h, docs = table["h"].to_numpy(), table["doc_id"].to_numpy()
+    rows, starts = table["row"].to_numpy(), table["start"].to_numpy()
+    number: dict[tuple, int] = {}
+    context = np.array([number.setdefault(x, len(number)) for x in zip(table["context"].to_pylist(), table["inner"].to_pylist(), strict=True)], np.int64)
+    texts = [c for c, _ in number]
+    owner = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(owner, context, docs)
+    anchor = np.zeros(len(texts), np.int64)
+    anchor[context] = h
+    windows = _windows_of_groups(texts, owner, anchor)
     size = np.array([len(t) for t in texts], np.int64)
     later = docs > owner[context]  # all windows of the context start in an earlier document
     out = [(rows[later], starts[later], starts[later] + size[context[later]])]
@@ -300,23 +313,111 @@ def _removed(table: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["row", "first", "stop"])
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gathers contexts, sorted by anchor, up to a bound and on to the end of an anchor."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _sharers(table: pa.Table) -> pa.RecordBatch:
+    """grp, piece, lows: the smallest doc_id of each window of each string, of all strings of some groups."""
+    texts, low = table["piece"].to_pylist(), table["low"].to_numpy()
+    windows = _windows_of_groups(texts, low, table["grp"].to_numpy())
+    lows = [(np.full(len(t) - LENGTH + 1, o, np.int64) if w is None else w).tolist() for t, o, w in zip(texts, low, windows, strict=True)]
+    columns = [table["grp"].combine_chunks(), table["piece"].combine_chunks(), pa.array(lows, pa.list_(pa.int64()))]
+    return pa.record_batch(columns, names=["grp", "piece", "lows"])
+
+
+def _by_group(work, key: str):
+    """Hands `work` rows that are sorted by `key`, gathered up to a bound and on to the end of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            h = batch.column(key).to_numpy()
+            if size >= 8 * MERGE_BYTES and held:
+                last = held[-1].column(key)[-1].as_py()
+                cut = int(np.searchsorted(h, last, "right")) if h[0] == last else 0
+                if cut < len(h):
+                    held.append(batch.slice(0, cut))
+                    yield work(pa.Table.from_batches(held))
+                    held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.get_total_buffer_size()
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+# ---------------------------------------------------------------------------------------------
+# Anchors with very many contexts
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, inner, c, low, place and hash w of every window of a context; w depends on the anchor too."""
+    names = ["h", "inner", "c", "low"]
+    for batch in batches:
+        data, offsets = common.buffers(batch.column("context").cast(pa.large_binary()).view(pa.large_string()))
+        count = np.diff(offsets) - LENGTH + 1
+        of = np.repeat(np.arange(len(batch)), count)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        # contexts have 80 bytes at most, so prefix sums over a batch are short
+        total = np.zeros(len(data) + 1, np.uint64)
+        inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+        np.cumsum(_VALUE[data] * _UP[inside], out=total[1:])
+        at = offsets[:-1][of] + place
+        w = common.mix((total[at + LENGTH] - total[at]) * _DOWN[place])
+        w = common.mix(w ^ batch.column("h").to_numpy()[of].view(np.uint64))
+        take = pa.array(of)
+        columns = [batch.column(n).take(take) for n in names] + [pa.array(place.astype(np.int32)), pa.array(w.view(np.int64))]
+        yield pa.record_batch(columns, names=[*names, "place", "w"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of windows of each context that have one `first`, as strings."""
+    names = ["h", "inner", "c", "low"]
     for batch in batches:
-        h = batch.column("h").to_numpy()
-        if size >= 8 * MERGE_BYTES and held:
-            last = held[-1].column("h")[-1].as_py()
-            cut = int(np.searchsorted(h, last, "right")) if h[0] == last else 0
-            if cut < len(h):
-                held.append(batch.slice(0, cut))
-                yield _removed(pa.Table.from_batches(held))
-                held, size, batch = [], 0, batch.slice(cut)
-        held.append(batch)
-        size += batch.get_total_buffer_size()
-    if held:
-        yield _removed(pa.Table.from_batches(held))
+        of, first, place, piece = [], [], [], []
+        for i, (context, marks) in enumerate(zip(batch.column("context").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
+            begin = end = -1
+            for mark in [*marks, {"place": -1, "first": None}]:
+                if end >= 0 and mark["place"] == end + 1 and mark["first"] == first[-1]:
+                    end += 1
+                    continue
+                if end >= 0:
+                    place.append(begin)
+                    piece.append(context[begin : end + LENGTH])
+                if mark["first"] is not None:
+                    of.append(i)
+                    first.append(mark["first"])
+                    begin = end = mark["place"]
+        take = pa.array(of, pa.int64())
+        columns = [batch.column(n).take(take) for n in names] + [pa.array(first, pa.int64()), pa.array(place, pa.int32()), pa.array(piece, pa.binary())]
+        yield pa.record_batch(columns, names=[*names, "first", "place", "piece"])
+
+
+def _hot_spans(hot: DataFrame) -> DataFrame:
+    """row, first, stop of what goes, for contexts of hot anchors. Skewed sides of joins are plain tables, which AQE can split."""
+    key = ["h", "inner", "c"]  # a context, by the hash of its bytes
+    hot = hot.withColumn("c", F.unhex(F.md5("context")))
+    distinct = hot.groupBy(*key, "context").agg(F.min("doc_id").alias("low"))
+    distinct = common.materialize(distinct, "hot-contexts")
+    windows = distinct.mapInArrow(_windows, "h long, inner long, c binary, low long, place int, w long")
+    firsts = windows.groupBy("w").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("w", "first")
+    firsts = common.materialize(firsts, "hot-windows")
+    marks = windows.join(firsts.hint("merge"), "w").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("marks"))
+    pieces = distinct.join(marks.hint("merge"), key).mapInArrow(_pieces, "h long, inner long, c binary, low long, first long, place int, piece binary")
+    pieces = common.materialize(pieces.withColumn("grp", F.xxhash64("h", "first")), "hot-pieces")
+    strings = pieces.groupBy("grp", "piece").agg(F.min("low").alias("low"))
+    lows = strings.repartition(F.col("grp")).sortWithinPartitions("grp").mapInArrow(_by_group(_sharers, "grp"), "grp long, piece binary, lows array<long>")
+    gone = F.transform("lows", lambda x, k: F.when(x < F.col("low"), F.col("place") + k))
+    gone = pieces.join(lows.hint("merge"), ["grp", "piece"]).select(*key, F.array_compact(gone).alias("gone")).where(F.size("gone") > 0)
+    gone = gone.groupBy(*key).agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    answers = common.materialize(distinct.select(*key, "low").join(gone.hint("merge"), key, "left"), "hot-answers")
+    common.release(hot.sparkSession)
+    span = lambda first, size: F.struct(first.cast("long").alias("first"), (first + size).cast("long").alias("stop"))
+    whole = F.array(span(F.col("start"), F.octet_length("context")))
+    parts = F.transform("gone", lambda x: span(F.col("start") + x, F.lit(LENGTH)))
+    spans = hot.join(answers.hint("merge"), key).select("row", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(parts)).alias("s"))
+    return spans.select("row", "s.first", "s.stop")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,20 +448,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """row (hash of doc_id and text) and the spans [first, stop) of it that go; neighbouring ones may overlap."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    seen = texts.select("doc_id", "text").mapInArrow(_anchor_rows(["doc_id"], False), "doc_id long, h long")
-    seen = seen.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    seen = texts.select("doc_id", "text").mapInArrow(_anchor_rows(["doc_id"], False), "doc_id long, h long, n long")
+    seen = seen.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).where("low < high").select("h", (F.col("n") > HOT).alias("hot"))
     repeated = common.materialize(seen, "anchors")
     common.release(spark)
     placed = texts.select("row", "text").mapInArrow(_anchor_rows(["row"], True), "row long, h long, at long")
-    hits = placed.join(repeated.hint("shuffle_hash"), "h", "left_semi").groupBy("row").agg(F.collect_set("at").alias("ats"))
+    hits = placed.join(repeated.hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_set(F.when(F.col("hot"), -1 - F.col("at")).otherwise(F.col("at"))).alias("ats"))
     # a whole text that an earlier document has too goes as a whole: its strings are those of the first copy
     keyed = texts.select("doc_id", "row", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("stop"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copies = common.materialize(keyed.join(first.hint("merge"), "key").where("doc_id > low").select("row", "stop"), "copies")
     hits = common.materialize(hits.join(copies.hint("merge"), "row", "left_anti"), "anchor-places")
     common.release(spark)
-    contexts = texts.join(hits.hint("shuffle_hash"), "row").mapInArrow(_contexts, "h long, doc_id long, row long, start long, inner long, context binary")
-    spans = contexts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_spans, "row long, first long, stop long")
+    contexts = texts.join(hits.hint("shuffle_hash"), "row").mapInArrow(_contexts, "h long, doc_id long, row long, start long, inner long, context binary, hot boolean")
+    some = repeated.where("hot").limit(1).count() > 0
+    if some:
+        contexts = common.materialize(contexts, "contexts")
+    rest = contexts.where("not hot").drop("hot")
+    spans = rest.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_by_group(_removed, "h"), "row long, first long, stop long")
+    if some:
+        spans = spans.unionByName(_hot_spans(contexts.where("hot").drop("hot")))
     spans = spans.unionByName(copies.select("row", F.lit(0).cast("long").alias("first"), "stop"))
     spans = common.materialize(spans.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "spans")
     common.release(spark)

@@ -90,7 +90,9 @@ def test_near_join(docs, empty):
     assert chosen_path.runs_for(0.999) > chosen_path.runs_for(0.9)
 
 
-def test_repeated_bytes(docs, empty, monkeypatch):
+@pytest.mark.parametrize("hot", [10_000, 12, 1])
+def test_repeated_bytes(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT", hot)
     monkeypatch.setattr(bwt_dedup, "SHARD_BYTES", 3000)
     first = {}
     raw = [(t or "").encode() for t in TEXTS]
