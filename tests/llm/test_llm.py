@@ -111,6 +111,23 @@ def test_repeated_bytes(docs, empty, monkeypatch, hot):
     assert got[None]["n_removed"] == 0 and bwt_dedup.remove_repeats(empty).count() == 0
 
 
+def test_passage_that_all_share(spark, monkeypatch):
+    """A passage between texts that differ, or that pairs of documents have: its anchors are hot, their contexts differ at its edges."""
+    monkeypatch.setattr(bwt_dedup, "HOT", 8)
+    passage = prose(40)
+    texts = [f"{prose(8)} {passage} {prose(8)}" for _ in range(20)]
+    texts += [f"{texts[k][:30]}{passage}{texts[k][-45:]}" for k in range(10)] + [passage * 3, passage[5:-5], prose(30)]
+    raw, first, want = [t.encode() for t in texts], {}, {}
+    for i, b in enumerate(raw):
+        for j in range(len(b) - 49):
+            first.setdefault(b[j : j + 50], i)
+    for i, b in enumerate(raw):
+        gone = {j + k for j in range(len(b) - 49) if first[b[j : j + 50]] < i for k in range(50)}
+        want[i] = (len(gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in bwt_dedup.remove_repeats(docs).collect()} == want
+
+
 def test_merge_gives_order_and_prefixes():
     rng = np.random.RandomState(1)
     strings = [bytes(rng.choice([98, 99], rng.randint(1, 9)).tolist()) for _ in range(40)]
