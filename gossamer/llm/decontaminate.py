@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare 1-gram seeds, then Smith-Waterman alignment.
 
-Every item's word n-grams are looked up in all documents to count in how many each occurs; the rarer half of an
-item's n-grams become its seeds, so a phrase of common words starts no alignment, and yet no item loses all its
-seeds, however often it was copied. Places where seeds of one item lie close together are aligned with the item,
-word by word; an edited or partly reworded copy keeps a high local alignment score.
+In how many documents each word of an item occurs is counted over all documents; an item's rarer words are its seeds.
+Which places are aligned follows from min_score alone, so that the result is that of aligning every document with
+every item: an alignment of that score matches `need` of the item's words within `span` words. The most common
+words may be left out, so long as they are fewer than `need`: any such alignment still holds `hits` seeds within
+`span` words, however many of the item's words were replaced and however often each was copied. (Longer n-grams
+can't promise that: an edit in every third word leaves no 3-gram.) Places with so many seeds, and enough of the
+item's words, are aligned with the item, word by word. Case is folded in all scripts.
 
 The items are taken in blocks whose texts have at most BLOCK_BYTES, so what is broadcast is bounded, and a larger
 benchmark table costs more passes over the documents.
 
-Defined results: null and empty documents and items without words match nothing; an item of fewer than n words
-is its own only seed; repeated items with one id are aligned each, and the best counts; a document matches an item
+Defined results: null and empty documents and items without words match nothing; repeated items with one id are aligned each, and the best counts; a document matches an item
 once, by its best place (ties: the first); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED_WORDS = 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
+#: Pairs of a seed's place and an item that one numpy pass works on.
+PAIRS = 1 << 21
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -47,52 +50,43 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, case folded, and the bounds that split them by text."""
+    folded = pa.array([t if t is None or t.isascii() else t.casefold() for t in texts.to_pylist()], pa.large_string())
+    _, h, _, cut = common.tokens(*common.buffers(folded))
+    return h, cut
+
+
 class Items:
-    """A block of benchmark items with their n-grams, to be broadcast."""
+    """A block of benchmark items with their words, to be broadcast."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], n: int):
-        self.ids, self.n = ids, n
-        _, h, _, cut = common.tokens(*common.buffers(pa.array(texts, pa.string())))
+    def __init__(self, ids: list[int], texts: list[str | None], min_score: float):
+        self.ids = ids
+        h, cut = words(pa.array(texts, pa.string()))
         self.words = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        grams, item, place, size = [np.zeros(0, np.uint64)], [], [], []
-        for i, w in enumerate(self.words):
-            if len(w):
-                g = common.ngrams(w, min(n, len(w)))
-                grams.append(g)
-                item += [i] * len(g)
-                place += range(len(g))
-                size += [min(n, len(w))] * len(g)
-        gram = np.concatenate(grams) * np.uint64(2) + np.uint64(1)
-        self.item, self.place, self.size = np.array(item, np.int64), np.array(place, np.int64), np.array(size, np.int64)
-        gram ^= common.mix(self.size.astype(np.uint64))
-        self.keys, self.key_of = np.unique(gram, return_inverse=True)
-        self.sizes = sorted(set(size))
-
-    def lookup(self, hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key and word place of every n-gram of the texts that some item has."""
-        doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in self.sizes:
-            g = common.ngrams(hashes, n) * np.uint64(2) + np.uint64(1) ^ common.mix(np.array([n], np.uint64))[0]
-            if not len(g):
-                continue
-            k = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-            at = np.flatnonzero((self.keys[k] == g) & (doc[: len(g)] == doc[n - 1 :]))
-            keys.append(k[at])
-            places.append(at)
-        return np.concatenate(keys), np.concatenate(places)
+        self.sets = [np.unique(w) for w in self.words]
+        self.size = np.diff(cut)
+        self.keys, self.key_of = np.unique(h, return_inverse=True)
+        # a score of s needs s * size matches at least, and leaves room for 2 * (1 - s) * size words besides
+        self.need = np.maximum(1, np.ceil(min_score * self.size - 1e-9).astype(np.int64))
+        self.span = self.size + np.floor(MATCH * (1 - min_score) * self.size + 1e-9).astype(np.int64)
+        self.hits = np.maximum(1, self.need // 4)
+
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key and place of every word that some item has."""
+        k = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[k] == hashes)
+        return k[at], at
 
     def choose(self, df: np.ndarray) -> None:
-        """Keep the rarer half of each item's n-grams as its seeds."""
-        order = np.lexsort((self.keys[self.key_of], df[self.key_of], self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        count = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - first[self.item[order]]
-        kept = order[rank < np.maximum((count[self.item[order]] + 1) // 2, 4)]
-        kept = kept[np.argsort(self.key_of[kept], kind="stable")]
-        self.item, self.place, self.key_of = self.item[kept], self.place[kept], self.key_of[kept]
-        self.seeds = np.bincount(self.item, minlength=len(self.ids))
-        self.first = np.searchsorted(self.key_of, np.arange(len(self.keys) + 1))
+        """Leave out each item's `need - hits` most common words; the others are its seeds."""
+        item = np.repeat(np.arange(len(self.ids)), self.size)
+        order = np.lexsort((self.key_of, df[self.key_of], item))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        kept = order[rank < (self.size - self.need + self.hits)[item]]
+        pair = np.unique(self.key_of[kept] * len(self.ids) + item[kept])
+        self.item = pair % len(self.ids)
+        self.first = np.searchsorted(pair // len(self.ids), np.arange(len(self.keys) + 1))
 
 
 def _counts(shared):
@@ -101,8 +95,8 @@ def _counts(shared):
         total = np.zeros(len(items.keys), np.int64)
         for batch in batches:
             for part in common.slices(batch):
-                _, h, _, cut = common.tokens(*common.buffers(part.column("text")))
-                key, place = items.lookup(h, cut)
+                h, cut = words(part.column("text"))
+                key, place = items.lookup(h)
                 doc = np.searchsorted(cut, place, "right") - 1
                 once = np.unique(doc * len(items.keys) + key)
                 total += np.bincount(once % len(items.keys), minlength=len(total)) if len(once) else 0
@@ -115,46 +109,65 @@ def _counts(shared):
 def _matches(shared, min_score: float):
     names = ["doc_id", "item_id", "score", "first_word", "last_word", "seed_hits"]
 
-    def passages(items: Items, key: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, first word, last word, seeds) of each place of one document where seeds of an item lie together."""
+    def passages(items: Items, key: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item, first word, bound, seeds) of each stretch where `hits` seeds of an item lie within its `span`."""
         n = items.first[key + 1] - items.first[key]
-        at = np.repeat(items.first[key] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, start = items.item[at], np.repeat(place, n) - items.place[at]
-        order = np.lexsort((start, item))
-        item, start, seed = item[order], start[order], at[order]
-        size = np.array([len(items.words[i]) for i in item])
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > np.maximum(4, size[1:] // 3))
-        bounds = np.append(np.flatnonzero(new), len(item))
+        at = np.repeat(items.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, place, doc = items.item[at], np.repeat(place, n), np.repeat(doc, n)
+        order = np.lexsort((place, item, doc))
+        item, place, doc = item[order], place[order], doc[order]
+        i = np.arange(len(item))
+        j = i + items.hits[item] - 1
+        i = i[j < len(item)]
+        j = j[i]
+        near = (doc[i] == doc[j]) & (item[i] == item[j]) & (place[j] - place[i] < items.span[item[i]])
+        i, j = i[near], j[near]
+        lo, hi = place[j] - items.span[item[i]] + 1, place[i] + items.span[item[i]]
+        new = np.ones(len(i), bool)
+        new[1:] = (doc[i[1:]] != doc[i[:-1]]) | (item[i[1:]] != item[i[:-1]]) | (lo[1:] > hi[:-1])
+        bounds = np.append(np.flatnonzero(new), len(i))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            i, hits = item[a], len(np.unique(seed[a:b]))
-            if hits >= min(2, items.seeds[i]):
-                slack = max(4, int(size[a]) // 3)
-                yield i, int(start[a]) - slack, int(start[b - 1] + size[a]) + slack, hits
+            yield doc[i[a]], item[i[a]], lo[a], hi[b - 1], j[b - 1] - i[a] + 1
+
+    def enough(items: Items, i: int, passage: np.ndarray) -> bool:
+        """Whether some `span` words hold `need` words of the item."""
+        total = np.concatenate([[0], np.cumsum(np.isin(passage, items.sets[i]))])
+        span = min(int(items.span[i]), len(passage))
+        return (total[span:] - total[: len(total) - span]).max() >= items.need[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
             rows: list[tuple] = []
             for part in common.slices(batch):
-                _, h, _, cut = common.tokens(*common.buffers(part.column("text")))
-                key, place = items.lookup(h, cut)
-                seeded = items.first[key + 1] > items.first[key] if len(key) else np.zeros(0, bool)
+                h, cut = words(part.column("text"))
+                key, place = items.lookup(h)
+                seeded = items.first[key + 1] > items.first[key]
                 key, place = key[seeded], place[seeded]
                 doc = np.searchsorted(cut, place, "right") - 1
-                order = np.argsort(doc, kind="stable")
-                key, place, doc = key[order], place[order], doc[order]
                 ids = part.column("doc_id").to_pylist()
-                for d in np.unique(doc):
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    words, best = h[cut[d] : cut[d + 1]], {}
-                    for i, lo, hi, hits in passages(items, key[a:b], place[a:b] - cut[d]):
-                        lo = max(0, lo)
-                        got, end = align(items.words[i], words[lo:hi])
+                best: dict[tuple[int, int], tuple] = {}
+                # whole documents of about PAIRS pairs at once
+                pairs = np.cumsum(items.first[key + 1] - items.first[key])
+                at = 0
+                while at < len(key):
+                    end = int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, "right"))
+                    end = int(np.searchsorted(doc, doc[min(end, len(doc) - 1)])) if end < len(doc) else end
+                    if end <= at:
+                        end = int(np.searchsorted(doc, doc[at], "right"))
+                    for d, i, lo, hi, hits in passages(items, key[at:end], place[at:end], doc[at:end]):
+                        lo, hi = max(lo, cut[d]), min(hi, cut[d + 1])
+                        passage = h[lo:hi]
+                        if not enough(items, i, passage):
+                            continue
+                        got, stop = align(items.words[i], passage)
                         share = got / (MATCH * len(items.words[i]))
-                        if share >= min_score and share > best.get(items.ids[i], (0,))[0]:
-                            best[items.ids[i]] = (share, lo, lo + end - 1, hits)
-                    rows += [(ids[d], i, *x) for i, x in sorted(best.items())]
+                        if share >= min_score and share > best.get((d, items.ids[i]), (0,))[0]:
+                            _, length = align(items.words[i][::-1], passage[:stop][::-1])
+                            stop += int(lo - cut[d])
+                            best[d, items.ids[i]] = (share, stop - length, stop - 1, int(hits))
+                    at = end
+                rows += [(ids[d], i, *x) for (d, i), x in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -162,7 +175,7 @@ def _matches(shared, min_score: float):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score (share of the item's best possible score), first_word, last_word, seed_hits."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, first_word long, last_word long, seed_hits long"
@@ -174,7 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
     for b in range(blocks):
         # a block has its share of the bytes, give or take
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        block = Items([r["item_id"] for r in rows], [r["text"] for r in rows], n)
+        block = Items([r["item_id"] for r in rows], [r["text"] for r in rows], min_score)
         if not len(block.keys):
             continue
         counted = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(block)), "key long, df long").groupBy("key").agg(F.sum("df").alias("df")).toPandas()

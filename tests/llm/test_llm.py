@@ -161,6 +161,39 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_equals_alignment_of_all_pairs(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdéñóst", k=r.randint(2, 6))) for _ in range(700)] + ["the"] * 250
+    items = [r.choices(vocab, k=r.choice([6, 15, 15, 24, 40])) for _ in range(24)]
+    change = lambda ws, share: [r.choice(vocab) if r.random() < share else w for w in ws]
+    around = lambda ws: " ".join([*r.choices(vocab, k=r.randint(0, 60)), *ws, *r.choices(vocab, k=r.randint(0, 60))])
+    texts = [around([])]
+    for i, item in enumerate(items):
+        texts += [around(change(item, share)) for share in (0.15, 0.2, 0.25, 0.3)]
+        texts.append(around(item).upper())
+        if i % 3 == 0:  # a verbatim copy
+            texts.append(around(item))
+        if i % 3 == 1:  # many copies with one edit, and one verbatim
+            edited = [w if k % 3 else "zz" for k, w in enumerate(item)]
+            texts += [around(edited) for _ in range(30)] + [around(item)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.matches(table, bench).collect()}
+    code: dict[str, int] = {}
+    coded = [np.array([code.setdefault(w.casefold(), len(code)) for w in t.split()]) for t in texts]
+    want = {}
+    for i, item in enumerate(items):
+        ws = np.array([code.setdefault(w.casefold(), len(code)) for w in item])
+        for d, text in enumerate(coded):
+            score = decontaminate.align(ws, text)[0] / (2 * len(ws)) if len(text) else 0
+            if score >= decontaminate.MIN_SCORE:
+                want[d, i] = score
+    assert {k: x["score"] for k, x in got.items()} == want and len(want) > 300
+    for (d, i), x in got.items():
+        ws = np.array([code[w.casefold()] for w in items[i]])
+        assert decontaminate.align(ws, coded[d][x["first_word"] : x["last_word"] + 1])[0] == x["score"] * 2 * len(ws)
+
+
 def test_alignment():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 3, 4, 9])
     assert decontaminate.align(a, b) == (7, 6)
