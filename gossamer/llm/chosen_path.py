@@ -4,10 +4,10 @@ Each set of five-word shingles follows recursive splits: at every node of a path
 chooses each token with probability 1/(beta*|set|), and every chosen token leads to a child. Two sets that
 share much meet in some leaf. A node's choice depends on nothing but the path and the set, so all paths of a
 set are computed where the set is, without a shuffle for each level. Leaves with two sets or more are compared
-by brute force on exact sets. The number of repeated runs follows from the target recall.
+by brute force on exact sets, all pairs of them; a leaf beyond BLOCK sets is compared as pairs of blocks. The number of repeated runs follows from the target recall.
 
-Sets with equal content are one class from the start, so copies are never expanded into pairs. In a leaf,
-only links that connect further groups are handed on (at most one less than its sets); these give the
+Sets with equal content are one class from the start, so copies are never expanded into pairs. In a pair of
+blocks, only links that connect further groups are handed on (at most one less than its sets); these give the
 connected classes. Then each connected class counts exact links, in blocks of bounded size.
 
 Defined results: a null text counts as empty; texts without words are equal; a text of fewer than n words has
@@ -37,10 +37,10 @@ BLOCK = 2000
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH, beta: float = BETA) -> int:
     """Runs after which two sets just at the threshold have met with this probability.
 
-    Of the larger set a share of at least 2j/(1+j) is common when sizes are equal (the worst case), so a node has
-    a Poisson number of common children with that mean over beta; q is the chance that no common path survives.
+    Of the larger set a share of at least j is common (just j where it holds the smaller one, the worst case), so a
+    node has a Poisson number of common children with that mean over beta; q is the chance that no common path survives.
     """
-    mean, q = 2 * threshold / (1 + threshold) / beta, 0.0
+    mean, q = threshold / beta, 0.0
     for _ in range(depth):
         q = math.exp(-mean * (1 - q))
     return math.ceil(math.log(1 - recall) / math.log(q))
@@ -148,14 +148,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
 
 
 def _links(threshold: float):
-    """Links of each block of a leaf that connect what wasn't connected in it."""
+    """Links of each pair of blocks of a leaf that connect what wasn't connected in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
-        for _, rows in _grouped(batches, ["path", "block"]):
-            if len(rows) < 2:
+        for (_, i, j), rows in _grouped(batches, ["path", "i", "j"]):
+            rows.sort(key=lambda r: (r["block"], r["rep"]))
+            left = sum(r["block"] == i for r in rows) if i != j else None
+            if len(rows) < 2 or left in (0, len(rows)):
                 continue
-            rows.sort(key=lambda r: r["rep"])
             root = list(range(len(rows)))
 
             def top(i, root=root):
@@ -164,7 +165,7 @@ def _links(threshold: float):
                     i = root[i]
                 return i
 
-            for x, ys in similar([np.frombuffer(r["tokens"], np.uint32) for r in rows], threshold):
+            for x, ys in similar([np.frombuffer(r["tokens"], np.uint32) for r in rows], threshold, left):
                 for y in ys:
                     a, b = sorted((top(x), top(int(y))))
                     if a != b:
@@ -196,6 +197,12 @@ def _degrees(threshold: float):
     return run
 
 
+def _pairs(sets: DataFrame, key: str) -> DataFrame:
+    """key, block, i, j, rep: each set of a group of k blocks in all pairs i <= j of blocks that have its own."""
+    sized = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return sized.select(key, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep")
+
+
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True) -> DataFrame:
     """doc_id, class_id (smallest doc_id of all texts connected by links), n_links (different sets at the threshold or more)."""
     spark = docs.sparkSession
@@ -204,8 +211,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
     paths = common.materialize(sets.where("doc_id is not null").mapInArrow(_paths(runs_for(recall, threshold)), "path long, set_key binary").distinct(), "paths")
     leaf = paths.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("sig"), F.min("set_key").alias("low")).where("n > 1")
-    # leaves of the same sets need one comparison; those of many blocks are dealt differently in each run, so all stay
-    once = leaf.groupBy("n", "sig", "low", F.when(F.col("n") > BLOCK, F.col("path")).alias("own")).agg(F.min("path").alias("path")).select("path", "n")
+    # leaves of the same sets need one comparison
+    once = leaf.groupBy("n", "sig", "low").agg(F.min("path").alias("path")).select("path", "n")
     members = common.materialize(paths.join(once.hint("shuffle_hash"), "path").join(classes.hint("merge"), "set_key").select("path", "n", "rep"), "leaf-members")
     common.release(spark)
 
@@ -214,15 +221,14 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     content = common.materialize(content, "leaf-sets")
     common.release(spark)
 
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / BLOCK)))
-    dealt = blocks.join(content.hint("merge"), "rep").select("path", "block", "rep", "tokens").repartition(F.col("path"), F.col("block")).sortWithinPartitions("path", "block")
+    blocks = _pairs(members.withColumn("k", F.ceil(F.col("n") / BLOCK)), "path")
+    dealt = blocks.join(content.hint("merge"), "rep").repartition(F.col("path"), F.col("i"), F.col("j")).sortWithinPartitions("path", "i", "j")
     found = common.components(dealt.mapInArrow(_links(threshold), "src long, dst long"))
     found = common.materialize(found.withColumnRenamed("node", "rep"), "connected")
 
     if links:
         sized = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("k")).hint("merge"), "component")
-        sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        dealt = sized.select("component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep").join(content.hint("merge"), "rep")
+        dealt = _pairs(sized, "component").join(content.hint("merge"), "rep")
         dealt = dealt.repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j")
         degree = dealt.mapInArrow(_degrees(threshold), "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
         found = common.materialize(found.join(degree.hint("merge"), "rep"), "linked")

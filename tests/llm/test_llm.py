@@ -148,6 +148,17 @@ def test_merge_gives_order_and_prefixes():
         assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_near_join_of_pairs_hidden_in_a_template(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK", 5)
+    name = lambda *k: [f"w{'-'.join(map(str, k))}-{i}" for i in range(13)]
+    template = [w for k in range(8) for w in name("t", k)][:104]
+    # all share 0.88 of their shingles with the template; the first 80 are pairs that share one more
+    texts = [" ".join(template + name("pair", i // 2)[:1] + name("own", i)[1:]) for i in range(80)]
+    texts += [" ".join(template + name("own", i)) for i in range(80, 240)]
+    got = chosen_path.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (i - i % 2, 1) if i < 80 else (i, 0) for i in range(240)}
+
+
 def test_decontaminate(spark, docs, empty):
     item = TEXTS[30].split()[5:25]
     edited = ["yy" if i in (4, 12) else w for i, w in enumerate(item)]
