@@ -30,7 +30,7 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 # Fixed values of the HTML standard: void elements, raw text, elements that browsers don't show, blocks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas annotation annotation-xml desc defs metadata symbol clippath".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body center details dialog dd div dt fieldset figcaption footer form header html legend li main menu nav section summary caption tr".split())
 #: An open element of the second set ends when one of the key opens, unless a barrier lies between.
@@ -234,6 +234,10 @@ class Renderer:
             self.text(entities.unescape(node.attributes.get("value", "")), False)
         pre = pre or name in ("pre", "textarea", "xmp")
         stack.append(("close", node, pre))
+        if name == "select":
+            for option in reversed(_shown_options(node)):
+                stack += [("text", " ", False), ("open", option, False)]
+            return
         for child in reversed(node.children):
             if isinstance(child, str):
                 stack.append(("text", child, pre))
@@ -253,22 +257,25 @@ class Renderer:
 
     def table(self, node: Node) -> None:
         rows, captions, loose = [], [], []
-        stack = [c for c in reversed(node.children) if not isinstance(c, str)]
+        stack = list(reversed(node.children))
         while stack:
             x = stack.pop()
-            if not visible(x):
+            if isinstance(x, str):
+                loose.append(x)
+            elif not visible(x):
                 continue
-            if x.name == "tr":
+            elif x.name == "tr":
                 rows.append([c for c in x.children if not isinstance(c, str) and c.name in ("td", "th") and visible(c)])
-                loose += [c for c in x.children if not isinstance(c, str) and c.name not in ("td", "th") and visible(c)]
+                loose += [c for c in x.children if isinstance(c, str) or (c.name not in ("td", "th") and visible(c))]
             elif x.name == "caption":
                 captions.append(x)
             elif x.name in ("td", "th"):
                 rows.append([x])
             elif x.name in ("thead", "tbody", "tfoot"):
-                stack += [c for c in reversed(x.children) if not isinstance(c, str)]
+                stack += reversed(x.children)
             else:
                 loose.append(x)
+        loose = [x for x in loose if not isinstance(x, str) or x.strip()]
         for x in [*loose, *captions]:  # what isn't a cell stands before the table
             self.put(x)
         cells: list[list[list[str]]] = []
@@ -292,10 +299,8 @@ class Renderer:
                     self.start()
                     self.line += shown
                     self.break_to(1)
-        for x in (c for c in node.children if isinstance(c, str) and c.strip()):
-            self.text(x, False)
 
-    def put(self, node: Node) -> None:
+    def put(self, node: Node | str) -> None:
         inner = Renderer()
         box = Node("", {}, None)
         box.children = [node]
@@ -307,6 +312,24 @@ class Renderer:
                 self.break_to(1)
 
 
+def _shown_options(select: Node) -> list[Node]:
+    """The options that a browser shows: all of a list box, of others the last one selected, or else the first."""
+    options, stack = [], list(reversed(select.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or not visible(x):
+            continue
+        if x.name == "option":
+            options.append(x)
+        else:
+            stack += reversed(x.children)
+    size = select.attributes.get("size", "")
+    if "multiple" in select.attributes or (re.fullmatch(r"\d{1,9}", size) and int(size) > 1):
+        return options
+    chosen = [x for x in options if "selected" in x.attributes]
+    return chosen[-1:] or [x for x in options if "disabled" not in x.attributes][:1] or options[:1]
+
+
 def _in_item(node: Node) -> bool:
     p = node.parent
     while p is not None:

@@ -148,6 +148,21 @@ def test_merge_gives_order_and_prefixes():
         assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table>a<tr>b<td>c</td></tr><tbody>d<tr><td>e</td></tr></tbody><tfoot>f</tfoot></table>", "a\nb\nd\nf\nc\ne"),
+        ("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></semantics></math> holds", "so x=1 holds"),
+        ("<p>see <svg><title>no</title><defs><text>no</text></defs><text>label</text></svg>", "see label"),
+        ("<p>in <select><option>red<option selected>blue</select> now", "in blue now"),
+        ("<p>in <select><option>red<option>blue</select> now", "in red now"),
+        ("<p><select multiple><optgroup><option>red<option>blue</optgroup></select>", "red blue"),
+    ],
+)
+def test_html_shows_all_that_browsers_show(page, text):
+    assert html_text.render(page) == text
+
+
 def test_near_join_of_pairs_hidden_in_a_template(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "BLOCK", 5)
     name = lambda *k: [f"w{'-'.join(map(str, k))}-{i}" for i in range(13)]
