@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -23,30 +21,69 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where driver and executors are one process, an own one if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Spark's setting to delete a query's shuffle files when the query ends; what is written needs them no longer.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Write df as Parquet. Its shuffle files go when it is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts the lineage."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    save(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that are no longer referenced; it does so when the driver collects garbage.
+class Tables:
+    """Tables in the shared folder that one operator writes, reads again, and drops when what follows is written."""
 
-    References from Python end a moment after they are collected here, so a second round follows.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex}"
+        save(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs that aren't among `gone` (doc_id, and row: xxhash64 of the text), with all their columns."""
+    a, b, own = fresh(docs, "gone_id"), fresh(docs, "gone_row"), fresh(docs, "own_row")
+    gone, mine = gone.select(F.col("doc_id").alias(a), F.col("row").alias(b)).distinct(), docs.withColumn(own, F.xxhash64("text"))
+    return mine.join(gone.hint("merge"), mine["doc_id"].eqNullSafe(gone[a]) & (mine[own] == gone[b]), "left_anti").select(docs.columns)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -169,7 +206,7 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 # Connected components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (src, dst); the component is its smallest node.
 
     Large-star and small-star steps in turn; each halves the depth of every tree, and each round is
@@ -178,7 +215,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = lambda e: e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:  # ends: each round that changes an edge lowers an end of it
         # large star: every neighbour larger than the node goes to the smallest of node and neighbours
         n = both(e)
         low = n.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))

@@ -6,8 +6,14 @@ that place; so the best segmentation is known when the text ends. A character wi
 written as the pieces of its UTF-8 bytes. A space is the mark U+2581; that mark itself, when it stands in a
 text, is written as bytes, so decoding gives back every text exactly.
 
-No piece goes on after a word into the next space, and none holds a line feed; so each word with the spaces
-before it is segmented by itself, and a worker keeps the results of words it has seen, up to a bound.
+Where no piece goes on after a word into the next space, and none holds a line feed beside other characters, the best
+segmentation of a text is that of its words, each with the spaces before it, one after the other. This is checked when
+a model is loaded. Then the pass over a text stops at each word, and a worker keeps the results of words it has
+seen, up to a bound in bytes; else it goes through the whole text at once.
+
+The pieces' scores are those of the model file. Of a BPE model they are ranks of merges, whose best sum isn't what
+applying the merges in order gives, and no space is put before a text: so the ids are those of the best score, not those of the
+library. They decode to the text alike.
 
 Defined results: a null text counts as empty and has no pieces; ties prefer the longer last piece; lone
 surrogates can't occur in a column of strings; repeated rows encode alike; an empty table gives an empty
@@ -23,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 MARK = "▁"
-#: Words whose pieces a worker keeps.
-CACHE_WORDS = 200_000
+#: Bytes of words and their pieces that a worker keeps, and the longest word among them.
+CACHE_BYTES, CACHE_WORD = 48 << 20, 64
+#: A piece that goes on from a word into what follows it.
+CROSSING = re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.DOTALL)
 
 
 class Pieces:
@@ -44,6 +52,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.automaton, self.byte_id, self.single = ahocorasick.Automaton(), {}, set()
         self.raw: list[bytes] = []
+        self.by_word = True
         low = 0.0
         for i in range(sp.get_piece_size()):
             piece, score = sp.id_to_piece(i), sp.get_score(i)
@@ -56,11 +65,13 @@ class Pieces:
                 self.raw.append(piece.replace(MARK, " ").encode())
                 self.automaton.add_word(piece, (i, score, len(piece)))
                 low = min(low, score)
+                self.by_word = self.by_word and not CROSSING.search(piece)
                 if len(piece) == 1:
                     self.single.add(piece)
         self.automaton.make_automaton()
         self.byte_score = low - 10.0
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def segment(self, word: str) -> bytes:
         """Ids of a word's best segmentation as little-endian 32-bit integers."""
@@ -95,14 +106,20 @@ class Pieces:
         return np.array(ids[::-1], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.segment(text)
         words = SEGMENT.findall(text)
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.held = 0
+        cache, long = self.cache, {}
         for w in set(words):
-            if w not in cache:
-                cache[w] = self.segment(w)
-        return b"".join([cache[w] for w in words])
+            if len(w) > CACHE_WORD:
+                long[w] = self.segment(w)
+            elif w not in cache:
+                ids = cache[w] = self.segment(w)
+                self.held += 200 + 2 * len(w) + len(ids)
+        return b"".join([long[w] if w in long else cache[w] for w in words] if long else [cache[w] for w in words])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -124,21 +141,34 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.record_batch([*(batch.column(c) for c in kept), values], names=[*kept, name])
 
 
-def encode(docs: DataFrame, model: str | None = None, column: str = "text", output: str = "piece_ids") -> DataFrame:
-    """docs with a column of piece ids."""
+def _lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _columns(df: DataFrame, *added: str) -> str:
+    names = {a.split()[0].strip("`") for a in added}
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in names), *added])
+
+
+def encode(docs: DataFrame, model: str | None = None, column: str = "text", output: str = "piece_ids", check: str | None = None) -> DataFrame:
+    """docs with a column of piece ids, and if `check` is given one that says whether they decode to the text."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(model)
         for batch in batches:
-            for part in common.slices(batch, column, 4 * common.SLICE_BYTES):
-                found = [vocab.encode(t or "") for t in part.column(column).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in found])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(found), np.int32))
-                yield _with(part, output, pa.ListArray.from_arrays(pa.array(offsets), values))
+            for part in common.slices(batch, column):
+                texts = [t or "" for t in part.column(column).to_pylist()]
+                found = [vocab.encode(t) for t in texts]
+                out = _with(part, output, _lists(found))
+                if check:
+                    same = [vocab.decode(np.frombuffer(b, "<u4").tolist()) == t for b, t in zip(found, texts, strict=True)]
+                    out = _with(out, check, pa.array(same, pa.bool_()))
+                yield out
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != output]
-    return docs.mapInArrow(run, ", ".join([*kept, f"`{output}` array<int>"]))
+    added = [f"`{output}` array<int>", *([f"`{check}` boolean"] if check else [])]
+    return docs.mapInArrow(run, _columns(docs, *added))
 
 
 def decode(encoded: DataFrame, model: str | None = None, column: str = "piece_ids", output: str = "decoded") -> DataFrame:
@@ -151,8 +181,7 @@ def decode(encoded: DataFrame, model: str | None = None, column: str = "piece_id
             texts = [vocab.decode(ids or []) for ids in batch.column(column).to_pylist()]
             yield _with(batch, output, pa.array(texts, pa.string()))
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != output]
-    return encoded.mapInArrow(run, ", ".join([*kept, f"`{output}` string"]))
+    return encoded.mapInArrow(run, _columns(encoded, f"`{output}` string"))
 
 
 def round_trips(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -162,14 +191,12 @@ def round_trips(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(model)
         for batch in batches:
-            n, crc, same = [], [], []
-            column = batch.column("piece_ids")
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            for i, text in enumerate(pc.fill_null(batch.column("text"), "").to_pylist()):
-                ids = values[offsets[i] : offsets[i + 1]]
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(vocab.decode(ids.tolist()) == text)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
-
-    return encode(docs.select("doc_id", "text"), model).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+            for part in common.slices(batch):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                found = [vocab.encode(t) for t in texts]
+                n = [len(b) // 4 for b in found]
+                crc = [zlib.crc32(b) for b in found]
+                same = [vocab.decode(np.frombuffer(b, "<u4").tolist()) == t for b, t in zip(found, texts, strict=True)]
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
