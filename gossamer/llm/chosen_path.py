@@ -61,7 +61,7 @@ def _sets(n: int):
                 _, h, _, cut = common.tokens(*common.buffers(part.column("text")))
                 sets = [shingles(h[a:b], n).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "set_key", "tokens"])
+                yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "row", "set_key", "tokens"])
 
     return run
 
@@ -203,23 +203,23 @@ def _pairs(sets: DataFrame, key: str) -> DataFrame:
     return sized.select(key, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of all texts connected by links), n_links (different sets at the threshold or more)."""
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, rows: bool = False) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of all texts connected by links), n_links (different sets at the threshold or more); with `rows` also row, a hash of the text."""
     spark = docs.sparkSession
-    sets = common.materialize(docs.select("doc_id", "text").mapInArrow(_sets(n), "doc_id long, set_key binary, tokens binary"), "shingle-sets")
-    classes = common.materialize(sets.where("doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-classes")
+    sets = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(_sets(n), "doc_id long, row long, set_key binary, tokens binary"), "shingle-sets")
+    # a number for each set: one doc_id may have several
+    classes = sets.where("doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id())
+    classes = common.materialize(classes, "set-classes")
 
     paths = common.materialize(sets.where("doc_id is not null").mapInArrow(_paths(runs_for(recall, threshold)), "path long, set_key binary").distinct(), "paths")
     leaf = paths.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("sig"), F.min("set_key").alias("low")).where("n > 1")
     # leaves of the same sets need one comparison
     once = leaf.groupBy("n", "sig", "low").agg(F.min("path").alias("path")).select("path", "n")
-    members = common.materialize(paths.join(once.hint("shuffle_hash"), "path").join(classes.hint("merge"), "set_key").select("path", "n", "rep"), "leaf-members")
-    common.release(spark)
+    members = common.materialize(paths.join(once.hint("shuffle_hash"), "path").join(classes.select("set_key", "rep").hint("merge"), "set_key").select("path", "n", "rep"), "leaf-members")
 
     needed = members.select("rep").distinct()
-    content = sets.withColumnRenamed("doc_id", "rep").join(classes.hint("merge"), ["rep", "set_key"]).join(needed.hint("merge"), "rep", "left_semi").select("rep", "tokens").dropDuplicates(["rep"])
+    content = sets.withColumnRenamed("doc_id", "first").join(classes.hint("merge"), ["first", "set_key"]).join(needed.hint("merge"), "rep", "left_semi").select("rep", "tokens").dropDuplicates(["rep"])
     content = common.materialize(content, "leaf-sets")
-    common.release(spark)
 
     blocks = _pairs(members.withColumn("k", F.ceil(F.col("n") / BLOCK)), "path")
     dealt = blocks.join(content.hint("merge"), "rep").repartition(F.col("path"), F.col("i"), F.col("j")).sortWithinPartitions("path", "i", "j")
@@ -234,13 +234,15 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
         found = common.materialize(found.join(degree.hint("merge"), "rep"), "linked")
     else:
         found = found.withColumn("n_links", F.lit(None).cast("long"))
-    named = classes.join(found.hint("merge"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    all_rows = sets.select("doc_id", "set_key")
-    out = all_rows.where("doc_id is not null").join(named.hint("merge"), "set_key").select("doc_id", "class_id", "n_links")
-    return out.unionByName(all_rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    lowest = found.join(classes.select("rep", "first").hint("merge"), "rep").groupBy("component").agg(F.min("first").alias("class_id"))
+    linked = found.join(lowest.hint("merge"), "component").select("rep", "class_id", "n_links")
+    named = classes.join(linked.hint("merge"), "rep", "left").select("set_key", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    all_rows, keys = sets.select("doc_id", "row", "set_key"), ["doc_id", *(["row"] if rows else [])]
+    out = all_rows.where("doc_id is not null").join(named.hint("merge"), "set_key").select(*keys, "class_id", "n_links")
+    return out.unionByName(all_rows.where("doc_id is null").select(*keys, F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class of near copies, with all its columns."""
-    gone = join(docs, links=False).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The document with the smallest id of each class of near copies, with all its columns. Rows that share an id are judged each by its own text."""
+    gone = join(docs, links=False, rows=True).where("doc_id <> class_id").select("doc_id", "row")
+    return common.without(docs, gone)

@@ -107,7 +107,7 @@ def _counts(shared):
 
 
 def _matches(shared, min_score: float):
-    names = ["doc_id", "item_id", "score", "first_word", "last_word", "seed_hits"]
+    names = ["doc_id", "row", "item_id", "score", "first_word", "last_word", "seed_hits"]
 
     def passages(items: Items, key: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, first word, bound, seeds) of each stretch where `hits` seeds of an item lie within its `span`."""
@@ -145,7 +145,7 @@ def _matches(shared, min_score: float):
                 seeded = items.first[key + 1] > items.first[key]
                 key, place = key[seeded], place[seeded]
                 doc = np.searchsorted(cut, place, "right") - 1
-                ids = part.column("doc_id").to_pylist()
+                ids = list(zip(part.column("doc_id").to_pylist(), part.column("row").to_pylist(), strict=True))
                 best: dict[tuple[int, int], tuple] = {}
                 # whole documents of about PAIRS pairs at once
                 pairs = np.cumsum(items.first[key + 1] - items.first[key])
@@ -167,19 +167,19 @@ def _matches(shared, min_score: float):
                             stop += int(lo - cut[d])
                             best[d, items.ids[i]] = (share, stop - length, stop - 1, int(hits))
                     at = end
-                rows += [(ids[d], i, *x) for (d, i), x in sorted(best.items())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                rows += [(*ids[d], i, *x) for (d, i), x in sorted(best.items())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, score (share of the item's best possible score), first_word, last_word, seed_hits."""
+    """doc_id, row (a hash of the text), item_id, score (share of the item's best possible score), first_word, last_word, seed_hits."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, first_word long, last_word long, seed_hits long"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, row long, item_id long, score double, first_word long, last_word long, seed_hits long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes))
@@ -199,6 +199,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no copy of any item, with all their columns. A null doc_id stays."""
-    hit = matches(docs, benchmark, **options).where("doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit.hint("merge"), F.col("doc_id") == F.col("_hit"), "left_anti")
+    """The documents that hold no copy of any item, with all their columns. Each row is judged by its own text."""
+    return common.without(docs, matches(docs, benchmark, **options))

@@ -81,7 +81,7 @@ def _pooled(shared):
                 for k in range(DIM):
                     run_sum = np.concatenate([[0.0], np.cumsum(vectors[w, k], dtype=np.float64)])
                     out[:, k] = (run_sum[cut[1:]] - run_sum[cut[:-1]]) / np.maximum(n, 1)
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), DIM).cast(pa.list_(pa.float32()))], names=["doc_id", "pooled"])
+                yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), DIM).cast(pa.list_(pa.float32()))], names=["doc_id", "row", "pooled"])
 
     return run
 
@@ -141,22 +141,25 @@ def _scored(shared):
         model = shared.value
         for batch in batches:
             x = np.frombuffer(batch.column("pooled").flatten().buffers()[1], np.float32)[batch.column("pooled").offsets[0].as_py() :][: len(batch) * DIM] if len(batch) else np.zeros(0, np.float32)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(model(x.reshape(-1, DIM).astype(np.float64)), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(model(x.reshape(-1, DIM).astype(np.float64)), pa.float64())], names=["doc_id", "row", "score"])
 
     return run
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score of every row of docs. labels: doc_id, label (0 or 1), only rows that may be learned from."""
+    """doc_id, row (a hash of the text), score of every row of docs. labels: doc_id, label (0 or 1), only rows that may be learned from.
+
+    Of several texts with one labelled id, the first by its vector is learned from.
+    """
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
-    pooled = common.materialize(docs.select("doc_id", "text").mapInArrow(_pooled(vectors), "doc_id long, pooled array<float>"), "pooled")
+    pooled = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(_pooled(vectors), "doc_id long, row long, pooled array<float>"), "pooled")
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = pooled.join(sample.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = pooled.join(sample.hint("shuffle_hash"), "doc_id").groupBy("doc_id", "label").agg(F.min("pooled").alias("pooled")).orderBy("doc_id").toPandas()
     y = rows["label"].to_numpy(np.float64)
     if len(set(y)) > 1:
         model = Network(np.stack(rows["pooled"].to_numpy()).astype(np.float64), y)
     else:
         model = Constant(float(y.mean()) if len(y) else 0.5)
-    return pooled.mapInArrow(_scored(spark.sparkContext.broadcast(model)), "doc_id long, score double")
+    return pooled.mapInArrow(_scored(spark.sparkContext.broadcast(model)), "doc_id long, row long, score double")

@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A document's terms are its words and their first four and five bytes, hashed into TERMS cells, each present or not.
-Terms whose presence differs significantly between toxic and other documents of the labelled sample are active. A factorization machine over
+The ACTIVE terms whose presence differs most between toxic and other documents of the labelled sample, of those that differ by SIGNIFICANT standard errors, are active. A factorization machine over
 them adds to the linear weights a low-rank weight for every pair of active terms that occur together, so a pair
 can count for more, or less, than its terms by themselves. It is trained in numpy with Adagrad; the sample is
 stratified, and scores are shifted back to the share of toxic labels among all that may be learned from.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,6 +25,8 @@ from . import common
 TERMS, PREFIXES = 1 << 18, (None, 4, 5)
 #: Labelled rows that the machine is fitted on at most: toxic and others. Fixed bounds at every corpus size.
 SAMPLE = (3000, 6000)
+#: Bytes of their term lists at most.
+SAMPLE_BYTES = 48 << 20
 ACTIVE, RANK, EPOCHS, BATCH, RATE = 1024, 6, 30, 64, 0.1
 #: Differences in presence of fewer standard errors are left out.
 SIGNIFICANT = 4.0
@@ -143,7 +145,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE[0]), (0, SAMPLE[1]))]
         sample = parts[0].unionByName(parts[1])  # at most sum(SAMPLE) rows, so it may be broadcast
         texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        rows = texts.mapInArrow(_term_lists, "doc_id long, label long, terms binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+        rows = texts.mapInArrow(_term_lists, "doc_id long, label long, terms binary").groupBy("doc_id", "label").agg(F.min("terms").alias("terms"))
+        # whole rows in a fixed order, up to a bound in bytes: what the driver gets doesn't grow with the texts
+        held = F.sum(F.octet_length("terms") + 64).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).drop("held").orderBy("doc_id").toPandas()
         y = rows["label"].to_numpy(np.float64)
         drawn = [min(count[k], n) for k, n in ((1, SAMPLE[0]), (0, SAMPLE[1]))]
         shift = float(np.log(count[1] / drawn[0]) - np.log(count[0] / drawn[1]))
