@@ -3,16 +3,18 @@
 A scanner reads a page's tags, a tree builder opens and closes elements (implied end tags, void elements, stray end
 tags), visibility rules leave out what a browser doesn't show, and a renderer writes all visible text: white space
 collapsed as in a browser, a blank line between paragraphs, headings, lists and tables, a line for each other block,
-markers and indents for list items, and table cells in aligned columns. Text is kept verbatim in `pre` and
-`textarea`.
+markers and indents for list items, and table cells in aligned columns; cells of a table of one column are blocks. Text is kept
+verbatim in `pre` and `textarea`. Every part reads a page once, so that time is in proportion to its length (but for what
+padding deeply nested tables itself takes).
 
 Defined results: a null or empty page renders to an empty text; broken markup never fails (what isn't a tag is
-text; an element left open ends with the page); a null page_id is kept; repeated rows render alike; an empty table
+text; an element left open ends with the page; a tag that the page's end cuts off is dropped); a null page_id is kept; repeated rows render alike; an empty table
 gives an empty result; other columns are kept, but an existing column of the result's name is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import unicodedata
@@ -23,7 +25,12 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, declaration or tag. Quotes count only after an equals sign; possessive, so that nothing is read twice.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)(>|\Z)?",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -49,78 +56,110 @@ IMPLIED_END = {
 }
 #: An open paragraph ends when one of these opens.
 ENDS_P = (BLOCK - {"html", "body", "tr", "caption", "dd", "dt", "li", "legend", "summary"}) | {"li", "dd", "dt"}
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "name", "parent")
+    """An element. hid: its own text isn't visible; in_item: it stands in a list item, not in a table within it; lines: the layout of a table."""
+
+    __slots__ = ("attributes", "children", "hid", "in_item", "lines", "name", "next_number", "parent")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Node | None):
-        self.name, self.attributes, self.parent, self.children = name, attributes, parent, []
+        self.name, self.attributes, self.parent, self.children, self.lines, self.next_number = name, attributes, parent, [], None, None
+        above = parent.name if parent else ""
+        self.in_item = above in ("li", "dd") or bool(parent and parent.in_item and above not in ("table", "td", "th"))
+        style = VISIBILITY.findall(attributes["style"]) if "style" in attributes else None
+        self.hid = style[-1].lower() != "visible" if style else bool(parent and parent.hid)
+
+
+class Open:
+    """The elements that are open, outermost first, and where each name stands among them."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("", {}, None)
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.here = node
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.places[self.nodes.pop().name].pop()
+        self.here = self.nodes[-1] if self.nodes else self.root
+
+    def close(self, names: set[str], barriers: set[str]) -> None:
+        """End the outermost open element of these names inside the innermost barrier."""
+        limit = max((self.places[b][-1] for b in barriers if self.places.get(b)), default=-1)
+        inside = [p[k] for n in names if (p := self.places.get(n)) and (k := bisect.bisect(p, limit)) < len(p)]
+        if inside:
+            self.pop_to(min(inside))
+
+    def end(self, name: str) -> bool:
+        if self.places.get(name):
+            self.pop_to(self.places[name][-1])
+            return True
+        return False
 
 
-def tree(page: str) -> Node:
-    """The page's elements, with strings as leaves."""
-    root = Node("", {}, None)
-    at, here = 0, root
-    end = len(page)
+def tree(page: str) -> tuple[Node, list[Node]]:
+    """The page's elements, with strings as leaves, and its tables in order."""
+    open_, tables = Open(), []
+    at, end = 0, len(page)
 
-    def close(names: set[str], barriers: set[str]) -> None:
-        nonlocal here
-        node, outermost = here, None
-        while node is not root and node.name not in barriers:
-            if node.name in names:
-                outermost = node
-            node = node.parent
-        if outermost is not None:
-            here = outermost.parent
+    def text(raw: str) -> None:
+        open_.here.children.append(entities.unescape(raw))
 
     while at < end:
         m = TAG.search(page, at)
         if m is None:
-            here.children.append(entities.unescape(page[at:]))
+            text(page[at:])
             break
         if m.start() > at:
-            here.children.append(entities.unescape(page[at : m.start()]))
+            text(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if m[0].startswith("<![CDATA["):
-            here.children.append(m[0][9:-3])
+            open_.here.children.append(m[0][9:].removesuffix("]]>"))
         if not name:
             continue
+        if m[4] is None or m[4] == "":  # the page ends within a tag, which browsers drop
+            break
         if m[1]:
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
-            elif name == "br":
-                here.children.append(Node("br", {}, here))
+            if not open_.end(name) and name == "br":
+                open_.here.children.append(Node("br", {}, open_.here))
             continue
         if name in ENDS_P:
-            close({"p"}, {"table", "td", "th", "caption", "button", "object"})
-        if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", here.name):
-            here = here.parent
+            open_.close({"p"}, {"table", "td", "th", "caption", "button", "object"})
+        if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", open_.here.name):
+            open_.pop_to(len(open_.nodes) - 1)
         if name in IMPLIED_END:
-            close(*IMPLIED_END[name])
+            open_.close(*IMPLIED_END[name])
         attributes: dict[str, str] = {}
         for a in ATTRIBUTE.finditer(m[3]) if m[3] and not m[3].isspace() else ():
-            attributes.setdefault(a[1].lower(), next((x for x in a.groups()[1:] if x is not None), ""))
-        node = Node(name, attributes, here)
-        here.children.append(node)
+            attributes.setdefault(a[1].lower(), entities.unescape(next((x for x in a.groups()[1:] if x is not None), "")))
+        node = Node(name, attributes, open_.here)
+        open_.here.children.append(node)
+        if name == "table":
+            tables.append(node)
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             raw = page[at : stop.start() if stop else end]
             node.children.append(entities.unescape(raw) if name in ("title", "textarea") else raw)
             at = stop.end() if stop else end
         elif name not in VOID:
-            here = node
-    return root
+            open_.push(node)
+    return open_.root, tables
 
 
 def visible(node: Node) -> bool:
+    """Whether a browser lays the element out; `hid` tells whether its text then shows."""
     a = node.attributes
-    return not (node.name in HIDDEN or "hidden" in a or (node.name == "input" and a.get("type", "").lower() == "hidden") or UNSEEN.search(a.get("style", "")))
+    shut = node.name == "dialog" and "open" not in a
+    return not (shut or node.name in HIDDEN or "hidden" in a or (node.name == "input" and a.get("type", "").lower() == "hidden") or UNSEEN.search(a.get("style", "")))
 
 
 def width(text: str) -> int:
@@ -184,19 +223,30 @@ class Renderer:
         self.break_to(1)
         return "\n".join(self.lines)
 
-    def render(self, root: Node) -> None:
+    def render(self, children: list, hid: bool = False, pre: bool = False) -> Renderer:
         # an explicit stack, as a page may nest elements without bound
-        stack: list[tuple] = [("open", root, False)]
+        stack: list[tuple] = []
+        self.push(children, hid, pre, stack)
         while stack:
             what, node, pre = stack.pop()
             if what == "text":
                 self.text(node, pre)
             elif what == "close":
                 self.close(node)
-            elif what == "marker":
-                self.marker = node
+            elif what == "break":
+                self.break_to(node)
             else:
                 self.open(node, pre, stack)
+        return self
+
+    @staticmethod
+    def push(children: list, hid: bool, pre: bool, stack: list[tuple]) -> None:
+        for child in reversed(children):
+            if not isinstance(child, str):
+                if visible(child):
+                    stack.append(("open", child, pre))
+            elif not hid:
+                stack.append(("text", child, pre))
 
     def open(self, node: Node, pre: bool, stack: list[tuple]) -> None:
         name = node.name
@@ -205,13 +255,16 @@ class Renderer:
             self.lines.append(self.line.rstrip())
             self.line = ""
             return
-        if name == "table":
+        if name == "table" and node.lines is not None:
             self.break_to(2)
-            self.table(node)
+            for line in node.lines:
+                self.start()
+                self.line += line
+                self.break_to(1)
             self.break_to(2)
             return
+        nested = name in ("ul", "ol", "menu") and node.in_item
         if name in BLOCK:
-            nested = name in ("ul", "ol", "menu") and _in_item(node)
             self.break_to(2 if name in SPACED and not nested else 1)
             if name == "hr":
                 self.start()
@@ -219,8 +272,7 @@ class Renderer:
                 self.break_to(2)
                 return
             if name == "li":
-                marker = f"{_number(node)}. " if node.parent is not None and node.parent.name == "ol" else "- "
-                self.marker = marker
+                self.marker = f"{_number(node)}. " if node.parent is not None and node.parent.name == "ol" else "- "
                 self.prefix.append("")
             elif name == "blockquote":
                 self.prefix.append("> ")
@@ -230,86 +282,94 @@ class Renderer:
                 self.prefix.append("  ")
         elif name in ("td", "th"):
             self.text(" ", False)
-        elif name in ("input",) and node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", ""):
-            self.text(entities.unescape(node.attributes.get("value", "")), False)
+        elif name == "input" and not node.hid and node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", ""):
+            self.text(node.attributes.get("value", ""), False)
         pre = pre or name in ("pre", "textarea", "xmp")
         stack.append(("close", node, pre))
-        if name == "select":
+        if name == "table":  # of one column: its cells stand below one another
+            captions, rows, loose = _grid(node)
+            for row in reversed(rows):
+                for cell in reversed(row):
+                    stack.append(("break", 1, pre))
+                    self.push(cell.children, cell.hid, pre, stack)
+                    stack.append(("break", 1, pre))
+            for x in reversed([*loose, *captions]):
+                stack.append(("break", 1, pre))
+                self.push([x], node.hid, pre, stack)
+        elif name == "select":
             for option in reversed(_shown_options(node)):
                 stack += [("text", " ", False), ("open", option, False)]
-            return
-        for child in reversed(node.children):
-            if isinstance(child, str):
-                stack.append(("text", child, pre))
-            elif visible(child):
-                stack.append(("open", child, pre))
+        elif name == "details" and "open" not in node.attributes:
+            self.push([c for c in node.children if not isinstance(c, str) and c.name == "summary"][:1], node.hid, pre, stack)
+        else:
+            self.push(node.children, node.hid, pre, stack)
 
     def close(self, node: Node) -> None:
         name = node.name
         if name not in BLOCK:
             return
-        nested = name in ("ul", "ol", "menu") and _in_item(node)
+        nested = name in ("ul", "ol", "menu") and node.in_item
         if name == "li" and self.marker:
             self.start()  # an item without text
         self.break_to(2 if name in SPACED and not nested else 1)
         if name in ("li", "blockquote", "dd") or nested:
             self.prefix.pop()
 
-    def table(self, node: Node) -> None:
-        rows, captions, loose = [], [], []
-        stack = list(reversed(node.children))
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                loose.append(x)
-            elif not visible(x):
-                continue
-            elif x.name == "tr":
-                rows.append([c for c in x.children if not isinstance(c, str) and c.name in ("td", "th") and visible(c)])
-                loose += [c for c in x.children if isinstance(c, str) or (c.name not in ("td", "th") and visible(c))]
-            elif x.name == "caption":
-                captions.append(x)
-            elif x.name in ("td", "th"):
-                rows.append([x])
-            elif x.name in ("thead", "tbody", "tfoot"):
-                stack += reversed(x.children)
-            else:
-                loose.append(x)
-        loose = [x for x in loose if not isinstance(x, str) or x.strip()]
-        for x in [*loose, *captions]:  # what isn't a cell stands before the table
-            self.put(x)
-        cells: list[list[list[str]]] = []
-        for row in rows:
-            line: list[list[str]] = []
-            for c in row:
-                inner = Renderer()
-                box = Node("", {}, None)
-                box.children = c.children
-                inner.render(box)
-                line.append(inner.result().split("\n"))
-                line += [[""]] * (_span(c) - 1)
-            cells.append(line)
-        columns = max((len(r) for r in cells), default=0)
-        widths = [max((width(t) for r in cells if k < len(r) for t in r[k]), default=0) for k in range(columns)]
-        for r in cells:
-            for k in range(max((len(c) for c in r), default=0)):
-                texts = [c[k] if k < len(c) else "" for c in r]
-                shown = " | ".join(t + " " * (widths[i] - width(t)) for i, t in enumerate(texts)).rstrip()
-                if shown.strip(" |"):
-                    self.start()
-                    self.line += shown
-                    self.break_to(1)
-
-    def put(self, node: Node | str) -> None:
-        inner = Renderer()
-        box = Node("", {}, None)
-        box.children = [node]
-        inner.render(box)
-        for line in inner.result().split("\n"):
-            if line:
-                self.start()
-                self.line += line
-                self.break_to(1)
+
+def _grid(table: Node) -> tuple[list[Node], list[list[Node]], list]:
+    """Captions, rows of cells, and what else stands in a table; browsers show that before it."""
+    rows, captions, loose = [], [], []
+    stack = list(reversed(table.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            loose += [x] if x.strip() else []
+        elif not visible(x):
+            continue
+        elif x.name == "tr":
+            rows.append([c for c in x.children if not isinstance(c, str) and c.name in ("td", "th") and visible(c)])
+            loose += [c for c in x.children if (c.strip() if isinstance(c, str) else c.name not in ("td", "th") and visible(c))]
+        elif x.name == "caption":
+            captions.append(x)
+        elif x.name in ("td", "th"):
+            rows.append([x])
+        elif x.name in ("thead", "tbody", "tfoot"):
+            stack += reversed(x.children)
+        else:
+            loose.append(x)
+    return captions, rows, loose
+
+
+def lay_out(table: Node) -> None:
+    """Lines of a table with several columns, whose inner tables are laid out already."""
+    captions, rows, loose = _grid(table)
+    if all(len(r) < 2 for r in rows):
+        return
+    lines = [line for x in [*loose, *captions] for line in Renderer().render([x], table.hid).result().split("\n") if line]
+    taken: dict[int, int] = {}  # columns that a cell of a row above still covers, and for how many rows
+    cells: list[dict[int, list[str]]] = []
+    for row in rows:
+        line: dict[int, list[str]] = {}
+        k, covered = 0, dict(taken)
+        for c in row:
+            while covered.get(k, 0) > 0:
+                k += 1
+            line[k] = Renderer().render(c.children, c.hid).result().split("\n")
+            wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
+            if high > 1:
+                taken.update((j, high) for j in range(k, k + wide))
+            k += wide
+        cells.append(line)
+        taken = {j: n - 1 for j, n in taken.items() if n > 1}
+    columns = sorted({k for line in cells for k in line})  # columns where no cell begins take no room
+    widths = {k: max((width(t) for line in cells if k in line for t in line[k]), default=0) for k in columns}
+    for line in cells:
+        for i in range(max((len(c) for c in line.values()), default=0)):
+            texts = [line[k][i] if k in line and i < len(line[k]) else "" for k in columns]
+            shown = " | ".join(t + " " * (widths[k] - width(t)) for k, t in zip(columns, texts, strict=True)).rstrip()
+            if shown.strip(" |"):
+                lines.append(shown)
+    table.lines = lines
 
 
 def _shown_options(select: Node) -> list[Node]:
@@ -330,39 +390,29 @@ def _shown_options(select: Node) -> list[Node]:
     return chosen[-1:] or [x for x in options if "disabled" not in x.attributes][:1] or options[:1]
 
 
-def _in_item(node: Node) -> bool:
-    p = node.parent
-    while p is not None:
-        if p.name in ("li", "dd"):
-            return True
-        if p.name in ("table", "td", "th"):
-            return False
-        p = p.parent
-    return False
-
-
 def _number(item: Node) -> int:
     """An item's number in its ordered list."""
-    raw = item.parent.attributes.get("start", "1")
-    n = int(raw) if re.fullmatch(r"-?\d{1,9}", raw) else 1
-    seen = getattr(item.parent, "attributes")
-    k = seen.get("\0next")
-    value = item.attributes.get("value", "")
-    n = int(value) if re.fullmatch(r"-?\d{1,9}", value) else int(k) if k is not None else n
-    seen["\0next"] = str(n + 1)
+    whole = lambda raw: int(raw) if re.fullmatch(r"-?\d{1,9}", raw) else None
+    ordered, own = item.parent, whole(item.attributes.get("value", ""))
+    if ordered.next_number is None:
+        first = whole(ordered.attributes.get("start", ""))
+        ordered.next_number = 1 if first is None else first
+    n = ordered.next_number if own is None else own
+    ordered.next_number = n + 1
     return n
 
 
-def _span(cell: Node) -> int:
-    raw = cell.attributes.get("colspan", "1")
-    return min(max(int(raw), 1), 1000) if re.fullmatch(r"\d{1,9}", raw) else 1
+def _span(cell: Node, name: str, most: int) -> int:
+    raw = cell.attributes.get(name, "1")
+    return min(max(int(raw), 1), most) if re.fullmatch(r"\d{1,9}", raw) else 1
 
 
 def render(page: str | None) -> str:
     """All visible text of a page."""
-    out = Renderer()
-    out.render(tree(page or ""))
-    return out.result()
+    root, tables = tree(page or "")
+    for table in reversed(tables):  # inner tables first
+        lay_out(table)
+    return Renderer().render(root.children).result()
 
 
 def extract(pages: DataFrame, column: str = "html", output: str = "text") -> DataFrame:
