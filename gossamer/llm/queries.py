@@ -28,18 +28,20 @@ WITH files AS (
   SELECT CASE WHEN doc_id % 100 = 0 THEN source || '/LICENSE-' || doc_id
               WHEN doc_id % 50 = 0 THEN source || '/' || lang || '/LICENSE-' || doc_id
               ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path, text FROM documents),
-templates(license, body) AS (VALUES %(templates)s),
-tok AS (SELECT path, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*') AS terms FROM files),
+templates(template, license, body) AS (VALUES %(templates)s),
+tok AS (SELECT path, regexp_extract_all(lower(text), '%(term)s') AS terms FROM files),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT path, unnest(terms) AS term FROM tok) GROUP BY term),
-lines AS (SELECT path, k AS line, regexp_extract_all(lower(body), '[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*') AS terms
-          FROM (SELECT path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM files)
-          WHERE regexp_matches(lower(body), '%(marker)s')),
-units AS (SELECT path AS a, line AS b, unnest(terms) AS term FROM lines
-          UNION ALL SELECT license, -1, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*')) FROM templates),
-tf AS (SELECT a, b, term, count(*) AS tf FROM units GROUP BY ALL),
-w AS (SELECT a, b, tf.term, tf * ln(1 + (SELECT count(*) FROM files)::DOUBLE / coalesce(df, 1)) AS w FROM tf LEFT JOIN df ON tf.term = df.term),
-v AS (SELECT a, b, term, w / sqrt(sum(w * w) OVER (PARTITION BY a, b)) AS w FROM w),
-cosine AS (SELECT x.a AS path, x.b AS line, t.a AS license, sum(x.w * t.w) AS cosine
+lines AS (SELECT path, k - 1 AS line, regexp_extract_all(lower(body), '%(term)s') AS terms
+          FROM (SELECT path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM files)),
+windows AS (SELECT path, 0 AS size, 0 AS w, terms FROM lines WHERE regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$')
+            UNION ALL SELECT path, 1, line, terms FROM lines
+            UNION ALL SELECT path, s, line // (s // 2) - d, terms FROM lines, (VALUES (4), (16)) a(s), (VALUES (0), (1)) b(d) WHERE line // (s // 2) >= d),
+units AS (SELECT path AS a, size AS b, w AS c, '' AS license, unnest(terms) AS term FROM windows
+          UNION ALL SELECT NULL, -1, template, license, unnest(regexp_extract_all(lower(body), '%(term)s')) FROM templates),
+tf AS (SELECT a, b, c, license, term, count(*) AS tf FROM units GROUP BY ALL),
+w AS (SELECT a, b, c, license, tf.term, tf * ln(1 + (SELECT count(*) FROM files)::DOUBLE / coalesce(df, 1)) AS w FROM tf LEFT JOIN df ON tf.term = df.term),
+v AS (SELECT a, b, c, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY a, b, c)) AS w FROM w),
+cosine AS (SELECT x.a AS path, x.b, x.c, t.license, t.c AS template, sum(x.w * t.w) AS cosine
            FROM v x JOIN v t ON x.term = t.term AND t.b = -1 AND x.b <> -1 GROUP BY ALL),
 scored AS (SELECT path, license, round(max(cosine), 6) AS score FROM cosine WHERE cosine >= %(least)s GROUP BY ALL),
 own AS (SELECT files.path, license, score FROM files LEFT JOIN (
@@ -52,8 +54,8 @@ SELECT own.path, coalesce(own.license, near.license, top.license) AS license, ro
 FROM own LEFT JOIN speaks near ON regexp_extract(own.path, '^(.*)/[^/]*$', 1) = near.folder
          LEFT JOIN speaks top ON split_part(own.path, '/', 1) = top.folder
 """
-OP1_SQL = OP1_SQL.replace("%(templates)s", ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items()))
-OP1_SQL = OP1_SQL.replace("%(marker)s", license_scan.MARKER).replace("%(least)s", str(license_scan.MIN_SCORE))
+OP1_SQL = OP1_SQL.replace("%(templates)s", ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(license_scan.TEMPLATES)))
+OP1_SQL = OP1_SQL.replace("%(term)s", license_scan.TERM).replace("%(least)s", str(license_scan.MIN_SCORE))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
