@@ -6,20 +6,21 @@ A byte goes when a string of LENGTH bytes that covers it also starts in a docume
    Equal windows have equal anchors at equal places, so only anchors that occur in two documents or more matter.
    These are counted over the whole corpus; everything else leaves the work here, without loss.
    Of equal whole texts only that of the smallest doc_id goes on; the others go as a whole.
-2. The windows that one anchor owns in a document are one stretch of bytes, its context. Contexts meet by anchor.
-   Equal contexts are one string with the smallest doc_id of their documents.
-3. In each bounded group of anchors, contexts are cut into shards; each shard gets its own suffix order and
+2. The windows that one anchor owns in a document are one stretch of bytes, its context. Equal contexts are one string
+   with the smallest doc_id of their documents; a later document's context then goes as a whole. What is left to decide
+   are anchors with several contexts that differ, as at the edges of a passage.
+3. Windows of these that no second document has leave, as anchors did, by counts of hashes. The rest forms groups: an anchor
+   and the smallest doc_id with a window, with runs of windows as strings, equal ones being one. All windows of a group
+   start in that one document, so its size bounds the group, however many documents share the passage.
+4. In each group, strings are cut into shards; each shard gets its own suffix order and
    Burrows-Wheeler transform. The transforms are merged by refining their interleave: in round k, reading the
    transforms in the current order and dealing each suffix's shard to the bucket of its preceding byte gives the
    order by k bytes, and the round in which a boundary first appears is the common prefix length there plus one.
    After LENGTH rounds, slots between boundaries are one repeated interval; no suffix is sorted again.
-4. Each interval's smallest doc_id decides for all its windows; spans go back to their documents.
+5. Each interval's smallest doc_id decides for all its windows; spans go back to their documents.
 
-Every shuffle is by anchor or by document. An anchor with more than HOT contexts, as in a passage that very many
-documents share, isn't left to one task. Its equal contexts are summed up first. Of what remains (contexts at the edge
-of the passage differ in each document) each window's smallest doc_id is counted by hash, and windows that only one
-document has leave, as anchors did. Runs of windows with one such doc_id are the strings of a finer group, equal ones
-being one: a group's windows all start in that one document, whose size bounds the group. Step 3 then decides as above.
+There is one plan for anchors of every size. Hashes only bring together what may be equal (96 bits for a window, 128 for a
+context, a doc_id and 64 bits for a document); steps 2 and 4 compare bytes.
 
 Defined results: a null text counts as empty; documents under LENGTH bytes keep everything; rows with a null doc_id
 neither remove nor lose anything; rows with one doc_id never remove from each other; bytes of malformed
@@ -41,8 +42,8 @@ from . import common
 LENGTH, GRAM = 50, 20
 #: Bytes that one anchor scan, one merge and one shard work on.
 SCAN_BYTES, MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 17
-#: Contexts of one anchor that go to one task as they are.
-HOT = 10_000
+#: In place of a span: the whole text goes.
+WHOLE = -1
 
 _VALUE = np.random.RandomState(77).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -117,38 +118,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchor_rows(keys: list[str], places: bool):
-    """The key column and hash of every anchor, with its packed place or else its count in the document."""
+def _anchor_rows(places: bool):
+    """doc_id and hash of every anchor, with its document's row and its packed place if `places`."""
+    keys = ["doc_id", "row"] if places else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 h, doc, start, inner, more = anchors(*common.buffers(part.column("text")))
-                if not places:  # once for each document is enough
-                    order = np.lexsort((h, doc))
-                    h, doc = h[order], doc[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    last = np.diff(np.append(np.flatnonzero(new), len(h)))
-                    h, doc = h[new], doc[new]
-                else:
-                    last = (start * 64 + inner) * 64 + more
-                columns = [part.column(keys[0]).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(last)]
-                yield pa.record_batch(columns, names=[keys[0], "h", "at" if places else "n"])
+                at = pa.array(doc)
+                columns = [*(part.column(k).take(at) for k in keys), pa.array(h.view(np.int64))]
+                if places:
+                    columns.append(pa.array((start * 64 + inner) * 64 + more))
+                yield pa.record_batch(columns, names=[*keys, "h", "at"][: len(columns)])
 
     return run
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, doc_id, row, start, inner, context, hot for each place in the list `ats` of a document; those of hot anchors are complements."""
+    """h, doc_id, row, start, inner, context for each place in the list `ats` of a document."""
     for batch in batches:
         for part in common.slices(batch):
             data, offsets = common.buffers(part.column("text"))
             ats = part.column("ats")
             cut, flat = ats.offsets.to_numpy().astype(np.int64), ats.values.to_numpy()
             flat = flat[cut[0] : cut[-1]]
-            hot = flat < 0
-            flat = np.where(hot, ~flat, flat)
             doc = np.repeat(np.arange(len(part)), np.diff(cut))
             start, inner, more = flat // 4096, flat // 64 % 64, flat % 64
             begin = offsets[doc] + start
@@ -163,7 +157,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = common.mix(h)
             contexts = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.binary())
             at = pa.array(doc)
-            yield pa.record_batch([pa.array(h.view(np.int64)), part.column("doc_id").take(at), part.column("row").take(at), pa.array(start), pa.array(inner), contexts, pa.array(hot)], names=["h", "doc_id", "row", "start", "inner", "context", "hot"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), part.column("doc_id").take(at), part.column("row").take(at), pa.array(start), pa.array(inner.astype(np.int32)), contexts], names=["h", "doc_id", "row", "start", "inner", "context"])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -287,32 +281,6 @@ def _windows_of_groups(texts: list[bytes], owner: np.ndarray, group: np.ndarray)
     return windows
 
 
-def _removed(table: pa.Table) -> pa.RecordBatch:
-    """Spans (row, first, stop) that go, of all contexts of some anchors."""
-    h, docs = table["h"].to_numpy(), table["doc_id"].to_numpy()
-    rows, starts = table["row"].to_numpy(), table["start"].to_numpy()
-    number: dict[tuple, int] = {}
-    context = np.array([number.setdefault(x, len(number)) for x in zip(table["context"].to_pylist(), table["inner"].to_pylist(), strict=True)], np.int64)
-    texts = [c for c, _ in number]
-    owner = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(owner, context, docs)
-    anchor = np.zeros(len(texts), np.int64)
-    anchor[context] = h
-    windows = _windows_of_groups(texts, owner, anchor)
-    size = np.array([len(t) for t in texts], np.int64)
-    later = docs > owner[context]  # all windows of the context start in an earlier document
-    out = [(rows[later], starts[later], starts[later] + size[context[later]])]
-    partly = np.array([w is not None for w in windows], bool)
-    extra: list[tuple] = []
-    for i in np.flatnonzero(partly[context] & ~later):
-        gone = np.concatenate([[False], windows[context[i]] < docs[i], [False]])
-        edge = np.flatnonzero(gone[1:] != gone[:-1])
-        extra += [(rows[i], starts[i] + a, starts[i] + b - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-    if extra:
-        out.append(tuple(np.array(x, np.int64) for x in zip(*extra, strict=True)))
-    return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["row", "first", "stop"])
-
-
 def _sharers(table: pa.Table) -> pa.RecordBatch:
     """grp, piece, lows: the smallest doc_id of each window of each string, of all strings of some groups."""
     texts, low = table["piece"].to_pylist(), table["low"].to_numpy()
@@ -347,135 +315,111 @@ def _by_group(work, key: str):
     return run
 
 
-# ---------------------------------------------------------------------------------------------
-# Anchors with very many contexts
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, inner, c, low, place and hash w of every window of a context; w depends on the anchor too."""
-    names = ["h", "inner", "c", "low"]
-    for batch in batches:
-        data, offsets = common.buffers(batch.column("context").cast(pa.large_binary()).view(pa.large_string()))
-        count = np.diff(offsets) - LENGTH + 1
-        of = np.repeat(np.arange(len(batch)), count)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        # contexts have 80 bytes at most, so prefix sums over a batch are short
-        total = np.zeros(len(data) + 1, np.uint64)
-        inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-        np.cumsum(_VALUE[data] * _UP[inside], out=total[1:])
-        at = offsets[:-1][of] + place
-        w = common.mix((total[at + LENGTH] - total[at]) * _DOWN[place])
-        w = common.mix(w ^ batch.column("h").to_numpy()[of].view(np.uint64))
-        take = pa.array(of)
-        columns = [batch.column(n).take(take) for n in names] + [pa.array(place.astype(np.int32)), pa.array(w.view(np.int64))]
-        yield pa.record_batch(columns, names=[*names, "place", "w"])
-
-
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of windows of each context that have one `first`, as strings."""
-    names = ["h", "inner", "c", "low"]
+    names = ["id", "h", "low"]
     for batch in batches:
-        of, first, place, piece = [], [], [], []
-        for i, (context, marks) in enumerate(zip(batch.column("context").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
-            begin = end = -1
-            for mark in [*marks, {"place": -1, "first": None}]:
-                if end >= 0 and mark["place"] == end + 1 and mark["first"] == first[-1]:
-                    end += 1
-                    continue
-                if end >= 0:
-                    place.append(begin)
-                    piece.append(context[begin : end + LENGTH])
-                if mark["first"] is not None:
-                    of.append(i)
-                    first.append(mark["first"])
-                    begin = end = mark["place"]
-        take = pa.array(of, pa.int64())
-        columns = [batch.column(n).take(take) for n in names] + [pa.array(first, pa.int64()), pa.array(place, pa.int32()), pa.array(piece, pa.binary())]
+        places = batch.column("place")
+        cut = places.offsets.to_numpy().astype(np.int64)
+        place = places.values.to_numpy()[cut[0] : cut[-1]]
+        first = batch.column("first").values.to_numpy()[cut[0] : cut[-1]]
+        of = np.repeat(np.arange(len(batch)), np.diff(cut))
+        new = np.ones(len(place), bool)
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1) | (first[1:] != first[:-1])
+        begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(place)) - 1
+        take, contexts = of[begin], batch.column("context").to_pylist()
+        piece = [contexts[i][x : y + LENGTH] for i, x, y in zip(take.tolist(), place[begin].tolist(), place[stop].tolist(), strict=True)]
+        at = pa.array(take)
+        columns = [batch.column(n).take(at) for n in names] + [pa.array(first[begin]), pa.array(place[begin]), pa.array(piece, pa.binary())]
         yield pa.record_batch(columns, names=[*names, "first", "place", "piece"])
 
 
-def _hot_spans(hot: DataFrame) -> DataFrame:
-    """row, first, stop of what goes, for contexts of hot anchors. Skewed sides of joins are plain tables, which AQE can split."""
-    key = ["h", "inner", "c"]  # a context, by the hash of its bytes
-    hot = hot.withColumn("c", F.unhex(F.md5("context")))
-    distinct = hot.groupBy(*key, "context").agg(F.min("doc_id").alias("low"))
-    distinct = common.materialize(distinct, "hot-contexts")
-    windows = distinct.mapInArrow(_windows, "h long, inner long, c binary, low long, place int, w long")
-    firsts = windows.groupBy("w").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("w", "first")
-    firsts = common.materialize(firsts, "hot-windows")
-    marks = windows.join(firsts.hint("merge"), "w").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("marks"))
-    pieces = distinct.join(marks.hint("merge"), key).mapInArrow(_pieces, "h long, inner long, c binary, low long, first long, place int, piece binary")
-    pieces = common.materialize(pieces.withColumn("grp", F.xxhash64("h", "first")), "hot-pieces")
+def _shared_windows(several: DataFrame, tables: common.Tables) -> DataFrame:
+    """id and `gone` (places of windows that start in an earlier document) of contexts (id, h, low, context)."""
+    windows = several.select("id", "low", "h", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("place"))
+    w = F.xxhash64("h", F.substring(F.col("context"), F.col("place") + 1, F.lit(LENGTH)))
+    windows = windows.select((F.col("id") * 64 + F.col("place")).alias("at"), "low", F.shiftright("h", 32).cast("int").alias("v"), w.alias("w"))
+    firsts = windows.groupBy("v", "w").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("v", "w", "first")
+    firsts = tables.keep(firsts, "windows")
+    marks = windows.drop("low").join(firsts.hint("shuffle_hash"), ["v", "w"]).select(F.shiftright("at", 6).alias("id"), F.struct((F.col("at") % 64).cast("int").alias("place"), "first").alias("mark"))
+    marks = marks.groupBy("id").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
+    pieces = several.join(marks.hint("shuffle_hash"), "id").select("id", "h", "low", "context", "marks.place", "marks.first").mapInArrow(_pieces, "id long, h long, low long, first long, place int, piece binary")
+    pieces = tables.keep(pieces.withColumn("grp", F.xxhash64("h", "first")), "pieces")
     strings = pieces.groupBy("grp", "piece").agg(F.min("low").alias("low"))
     lows = strings.repartition(F.col("grp")).sortWithinPartitions("grp").mapInArrow(_by_group(_sharers, "grp"), "grp long, piece binary, lows array<long>")
-    gone = F.transform("lows", lambda x, k: F.when(x < F.col("low"), F.col("place") + k))
-    gone = pieces.join(lows.hint("merge"), ["grp", "piece"]).select(*key, F.array_compact(gone).alias("gone")).where(F.size("gone") > 0)
-    gone = gone.groupBy(*key).agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    answers = common.materialize(distinct.select(*key, "low").join(gone.hint("merge"), key, "left"), "hot-answers")
-    common.release(hot.sparkSession)
-    span = lambda first, size: F.struct(first.cast("long").alias("first"), (first + size).cast("long").alias("stop"))
-    whole = F.array(span(F.col("start"), F.octet_length("context")))
-    parts = F.transform("gone", lambda x: span(F.col("start") + x, F.lit(LENGTH)))
-    spans = hot.join(answers.hint("merge"), key).select("row", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(parts)).alias("s"))
-    return spans.select("row", "s.first", "s.stop")
+    gone = F.array_compact(F.transform("lows", lambda x, k: F.when(x < F.col("low"), F.col("place") + k)))
+    gone = pieces.join(lows.hint("merge"), ["grp", "piece"]).select("id", gone.alias("gone")).where(F.size("gone") > 0)
+    return gone.groupBy("id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text without its spans."""
+    """What is left of each text without its spans, which come as packed numbers; WHOLE stands for the whole text."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
-        out = []
-        for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            runs: list[list[int]] = []
-            for first, stop in sorted((s["first"], s["stop"]) for s in spans or []):
-                if runs and first <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], stop)
-                else:
-                    runs.append([first, stop])
-            at, left = 0, hashlib.sha256()
-            for first, stop in runs:
-                left.update(raw[at:first])
-                at = stop
-            left.update(raw[at:])
-            out.append((doc_id, len(raw), sum(b - a for a, b in runs), len(runs), left.hexdigest()))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        for part in common.slices(batch):
+            data, offsets = common.buffers(part.column("text"))
+            out = []
+            for i, packed in enumerate(part.column("spans")):
+                raw = data[offsets[i] : offsets[i + 1]]
+                n, removed, runs = len(raw), 0, 0
+                if packed.is_valid:
+                    spans = np.sort(packed.values.to_numpy())
+                    gone = np.zeros(n + 1, np.int32)
+                    if spans[0] == WHOLE:
+                        gone[0] = 1
+                    else:
+                        np.add.at(gone, spans >> 7, 1)
+                        np.add.at(gone, (spans >> 7) + (spans & 127), -1)
+                    gone = np.cumsum(gone[:-1]) > 0
+                    removed, runs = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    raw = raw[~gone]
+                out.append((n, removed, runs, hashlib.sha256(raw.tobytes()).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=names)
+
+
+def _repeated_places(texts: DataFrame, tables: common.Tables) -> DataFrame:
+    """doc_id, row and the list of packed places of anchors that another document has too."""
+    seen = texts.select("doc_id", "text").mapInArrow(_anchor_rows(False), "doc_id long, h long")
+    repeated = seen.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    repeated = tables.keep(repeated, "anchors")
+    placed = texts.mapInArrow(_anchor_rows(True), "doc_id long, row long, h long, at long")
+    return tables.keep(placed.join(repeated.hint("shuffle_hash"), "h").groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats")), "places")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """row (hash of doc_id and text) and the spans [first, stop) of it that go; neighbouring ones may overlap."""
-    spark = docs.sparkSession
-    texts = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    seen = texts.select("doc_id", "text").mapInArrow(_anchor_rows(["doc_id"], False), "doc_id long, h long, n long")
-    seen = seen.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).where("low < high").select("h", (F.col("n") > HOT).alias("hot"))
-    repeated = common.materialize(seen, "anchors")
-    common.release(spark)
-    placed = texts.select("row", "text").mapInArrow(_anchor_rows(["row"], True), "row long, h long, at long")
-    hits = placed.join(repeated.hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_set(F.when(F.col("hot"), -1 - F.col("at")).otherwise(F.col("at"))).alias("ats"))
+    """doc_id, row (hash of the text) and its spans that go, each packed as 128 * start + length, or WHOLE; neighbouring ones may overlap."""
+    tables = common.Tables(docs.sparkSession)
+    texts = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     # a whole text that an earlier document has too goes as a whole: its strings are those of the first copy
-    keyed = texts.select("doc_id", "row", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("stop"))
+    keyed = texts.select("doc_id", "row", F.sha2("text", 256).alias("key"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = common.materialize(keyed.join(first.hint("merge"), "key").where("doc_id > low").select("row", "stop"), "copies")
-    hits = common.materialize(hits.join(copies.hint("merge"), "row", "left_anti"), "anchor-places")
-    common.release(spark)
-    contexts = texts.join(hits.hint("shuffle_hash"), "row").mapInArrow(_contexts, "h long, doc_id long, row long, start long, inner long, context binary, hot boolean")
-    some = repeated.where("hot").limit(1).count() > 0
-    if some:
-        contexts = common.materialize(contexts, "contexts")
-    rest = contexts.where("not hot").drop("hot")
-    spans = rest.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_by_group(_removed, "h"), "row long, first long, stop long")
-    if some:
-        spans = spans.unionByName(_hot_spans(contexts.where("hot").drop("hot")))
-    spans = spans.unionByName(copies.select("row", F.lit(0).cast("long").alias("first"), "stop"))
-    spans = common.materialize(spans.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("spans")), "spans")
-    common.release(spark)
+    copies = tables.keep(keyed.join(first.hint("merge"), "key").where("doc_id > low").select("doc_id", "row").distinct(), "copies")
+    texts = tables.keep(texts.join(copies.hint("shuffle_hash"), ["doc_id", "row"], "left_anti"), "texts")
+    hits = _repeated_places(texts, tables)
+    contexts = texts.join(hits.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "ats").mapInArrow(_contexts, "h long, doc_id long, row long, start long, inner int, context binary")
+    contexts = tables.keep(contexts.withColumn("c", F.xxhash64("inner", "context")), "contexts")
+    tables.drop("anchors", "places", "texts")
+    distinct = contexts.groupBy("h", "c", "inner", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    distinct = tables.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-contexts")
+    mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high").select("h")
+    several = tables.keep(distinct.select("id", "h", "low", "context").join(mixed.hint("shuffle_hash"), "h"), "mixed-contexts")
+    answers = distinct.select("h", "c", "id", "low", "high").join(_shared_windows(several, tables).hint("shuffle_hash"), "id", "left")
+    answers = tables.keep(answers.where("low < high or gone is not null").select("h", "c", "low", "gone"), "answers")
+    tables.drop("distinct-contexts", "mixed-contexts", "windows", "pieces")
+    found = contexts.select("h", "c", "doc_id", "row", "start", F.octet_length("context").alias("size")).join(answers.hint("shuffle_hash"), ["h", "c"])
+    later, parts = F.col("doc_id") > F.col("low"), F.transform("gone", lambda x: (F.col("start") + x) * 128 + LENGTH)
+    spans = found.where(later | F.col("gone").isNotNull()).select("doc_id", "row", F.explode(F.when(later, F.array(F.col("start") * 128 + F.col("size"))).otherwise(parts)).alias("span"))
+    spans = spans.unionByName(copies.select("doc_id", "row", F.lit(WHOLE).cast("long").alias("span")))
+    spans = common.materialize(spans.groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans")), "spans")
+    tables.drop("answers", "contexts", "copies")
     return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spans = repeated_spans(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id"), F.col("text"))).alias("row"))
-    return rows.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    return rows.join(spans.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

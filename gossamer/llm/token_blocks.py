@@ -21,6 +21,7 @@ doc_id are each written (in order of their texts); an empty table gives no pages
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import uuid
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,13 +41,16 @@ from . import common
 BLOCK, PERCENTILE, MAGIC = 512, 90, b"PFR1"
 #: Ids after which a page ends, with its last document.
 PAGE_IDS = 1 << 17
-CACHE_WORDS = 600_000
-_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
-#: Units that the tokenizer never joins: it splits at white space, and between a word's letters and the ASCII punctuation
-#: that ends it (but for the apostrophe, which belongs to contractions).
-UNIT = re.compile(rf"(?<![^ \n])[{_LETTER}]+(?=[{_MARK}]*(?![^ \n]))|(?<=[{_LETTER}])[{_MARK}]+(?![^ \n])|[^ \n]+")
-#: Marks that the tokenizer's normal form joins with an ASCII letter before it lower-cases.
-JOINING = re.compile("[\u0300-\u036f]")
+#: Bytes of words and their ids that a worker keeps, and the longest word among them.
+CACHE_BYTES, CACHE_WORD = 96 << 20, 64
+#: Text bytes that are encoded at once, and words that are in one call.
+SLICE = 8 << 20
+CALL_WORDS = 2000
+#: Normal form and splitting of the default tokenizer. They drop white space and join nothing across it.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII punctuation, without the apostrophe, which may belong to a contraction.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -114,31 +119,108 @@ def unpack(page: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts unit by unit and keeps the ids of units it has seen, up to a bound."""
+    """Encodes texts as the tokenizer does with each whole text, but every distinct word only once.
+
+    A tokenizer with the normal form and the splitting above never joins what stands on two sides of ASCII white space:
+    no character composes with a space, lower-casing looks at single characters, and no match of the pattern holds
+    white space. Ids of a text are then the ids of its words, one after the other. Of words, those in ASCII alone
+    are lower-cased first, unless they may hold a special token. Any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        a, b = self.tokenizer.encode_batch(["Ab", "ab"], add_special_tokens=False)
-        self.lowers = a.ids == b.ids
-
-    def units(self, text: str) -> list[str]:
-        if self.lowers and not JOINING.search(text):
-            text = text.encode().lower().decode()  # A-Z only
-        return UNIT.findall(text)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cache, split = self.cache, [self.units(t) for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({u for units in split for u in units if u not in cache})
-        if new:
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[u] = array("I", e.ids).tobytes()
-        return [b"".join([cache[u] for u in units]) for units in split]
+        self.tokenizer, self.cache, self.held = Tokenizer.from_file(path), {}, 0
+        self.several: set[bytes] = set()  # words of letters that give several pieces of the splitting
+        with open(path, encoding="utf-8") as f:
+            shape = json.load(f)
+        parts = (shape["normalizer"] or {}).get("normalizers", [])
+        split = ((shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        special = all(re.fullmatch("<[|a-z]+>", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in shape["added_tokens"])
+        same = [p["type"] for p in parts] == NORMALIZER and parts[1]["pattern"] == {"Regex": r"\s+"} and parts[1]["content"] == " "
+        self.by_word = same and split.get("pattern") == {"Regex": PATTERN} and split["behavior"] == "Removed" and special
+        suffix = shape["model"].get("end_of_word_suffix")
+        #: ids that end a word, so that many words can be encoded as one text
+        self.ends = np.zeros(max(shape["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in shape["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, encoded together where each ends in just one id that ends a word."""
+        out = []
+        for k in range(0, len(words), CALL_WORDS):
+            part = words[k : k + CALL_WORDS]
+            raw = self._ids([b" ".join(part).decode()])[0]
+            stop = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+            if len(stop) == len(part) and 4 * stop[-1] == len(raw):  # each word gives one end at least, so each gave one
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+            else:
+                found = self._ids([w.decode() for w in part])
+                self.several.update(w for w, ids in zip(part, found, strict=True) if self.ends[np.frombuffer(ids, "<u4")].sum() != 1)
+                out += found
+        return out
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. A word of letters with ASCII punctuation behind it is encoded as two."""
+        known, cut, letters, other = {}, {}, set(), set()
+        for w in words:
+            core = w.rstrip(TAIL)
+            if core.decode().isalpha():
+                letters.add(core)
+                if len(core) < len(w):
+                    cut[w] = core
+                    other.add(w[len(core) :])
+            else:
+                other.add(w)
+        for group, encode in ((letters, self._one_by_one), (other, lambda ws: self._ids([w.decode() for w in ws]))):
+            for w in group & self.cache.keys():
+                known[w] = self.cache[w]
+            new = list(group - self.cache.keys())
+            known.update(zip(new, encode(new), strict=True))
+        for w, core in cut.items():
+            # a core in several pieces may end in a mark that joins what follows
+            known[w] = self._ids([w.decode()])[0] if core in self.several else known[core] + known[w[len(core) :]]
+        return known
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from what is known or learned."""
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.several.clear()
+            self.held = 0
+        # lower-casing changes nothing for the tokenizer, but lets fewer words be learned
+        keys = [(w.lower() if w.isascii() and "<" not in w else w).encode() for w in words]
+        cache = self.cache
+        new = set(keys) - cache.keys()
+        if not new:
+            return [cache[k] for k in keys]
+        found = self._learn(new)
+        out = [found[k] if k in found else cache[k] for k in keys]
+        for w, ids in found.items():
+            if len(w) <= CACHE_WORD and w not in cache:
+                cache[w] = ids
+                self.held += 200 + len(w) + len(ids)
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            parts = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(parts), "<u4"), np.array([len(b) // 4 for b in parts], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        known = self._words(coded.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(b) // 4 for b in known], np.int64)
+        at = coded.indices.to_numpy()
+        stop = np.concatenate([[0], np.cumsum(size[at])])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+        ids = lists.take(coded.indices).flatten().to_numpy()
+        cut = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        return ids, stop[cut[1:]] - stop[cut[:-1]]
 
 
 @functools.cache
@@ -153,31 +235,39 @@ def _pages(path: str, end_id: int):
     names = ["shard", "page", "first_place", "n_ids", "doc_ids", "lengths", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, page, place = encoder(path), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        encode, shard = encoder(path), TaskContext.get().partitionId()
+        page = place = held = 0
+        parts: list[np.ndarray] = []
         ids: list = []
         lengths: list[int] = []
-        parts: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            body = pack(np.frombuffer(b"".join(parts), "<u4").astype(np.int64))
-            row = [shard, page, place, sum(lengths), ids, lengths, body]
+            nonlocal page, place, held, parts, ids, lengths
+            body = pack(np.concatenate(parts).astype(np.int64))
+            row = [shard, page, place, held, ids, lengths, body]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            page, place, held, parts, ids, lengths = page + 1, place + held, 0, [], [], []
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
-        held = 0
         for batch in batches:
-            for part in common.slices(batch):
-                found = encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), found, strict=True):
-                    raw += end
-                    ids.append(doc_id)
-                    lengths.append(len(raw) // 4)
-                    parts.append(raw)
-                    held += len(raw) // 4
+            for part in common.slices(batch, limit=SLICE):
+                found, n = encode(part.column("text"))
+                stop = np.cumsum(n + 1)
+                whole = np.full(stop[-1], end_id, "<u4")
+                ends = np.zeros(len(whole), bool)
+                ends[stop - 1] = True
+                whole[~ends] = found
+                names_of, first = part.column("doc_id").to_pylist(), 0
+                while first < len(stop):  # pages end with the document that fills them
+                    before = int(stop[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(stop, before + PAGE_IDS - held)), len(stop) - 1)
+                    parts.append(whole[before : stop[last]])
+                    ids += names_of[first : last + 1]
+                    lengths += (n[first : last + 1] + 1).tolist()
+                    held += int(stop[last]) - before
+                    first = last + 1
                     if held >= PAGE_IDS:
                         yield flush()
-                        page, place, held, ids, lengths, parts = page + 1, place + held, 0, [], [], []
         if ids:
             yield flush()
 
@@ -188,7 +278,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Write the ids of docs, in ascending doc_id order, to pages under path."""
     spark = docs.sparkSession
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_pages(tokenizer or default_tokenizer(), end_id), PAGES).write.option("compression", "uncompressed").parquet(path)
+    common.save(ranged.mapInArrow(_pages(tokenizer or default_tokenizer(), end_id), PAGES), path, "uncompressed")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,5 +315,4 @@ def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = f"{common.scratch(spark)}/token-pages-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
-    common.release(spark)
     return read(spark, path, digest=True)

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import textwrap
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,29 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.dedup(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    rows = [(1, "aa bb", "x"), (2, "AA bb", "y"), (1, "unique text here", "z"), (None, "aa BB", "n"), (None, "only one", "m")]
+    names = "doc_id long, text string, gone_id string, own_row int, gone_row int, gone_digest int, own_digest int, Gone_ID_ int"
+    table = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], names)
+    left = exact_dedup.dedup(table)
+    assert left.columns == table.columns and {r["gone_id"] for r in left.collect()} == {"y", "z", "m"}
+    long = prose(120)
+    edited = " ".join("zzz" if i == 11 else w for i, w in enumerate(long.split()))
+    near = [(5, long, "a"), (7, edited, "b"), (7, prose(60), "c"), (None, long, "d")]
+    table = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in near], names)
+    left = chosen_path.keep_one(table)
+    assert left.columns == table.columns and {r["gone_id"] for r in left.collect()} == {"a", "c", "d"}
+    bench = spark.createDataFrame([(0, edited)], "item_id long, text string")
+    left = decontaminate.decontaminate(table, bench)
+    assert left.columns == table.columns and {r["gone_id"] for r in left.collect()} == {"c"}
+
+
+def test_index_hands_on_what_it_cannot_hold(docs, monkeypatch):
+    want = sorted(map(tuple, exact_dedup.decide(docs).collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "KEYS", 3)
+    assert sorted(map(tuple, exact_dedup.decide(docs).collect()), key=str) == want
+
+
 def test_cuckoo_index_grows_and_deletes():
     index = exact_dedup.CuckooIndex(buckets=2)
     keys = [hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(3000)]
@@ -90,9 +116,7 @@ def test_near_join(docs, empty):
     assert chosen_path.runs_for(0.999) > chosen_path.runs_for(0.9)
 
 
-@pytest.mark.parametrize("hot", [10_000, 12, 1])
-def test_repeated_bytes(docs, empty, monkeypatch, hot):
-    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+def test_repeated_bytes(docs, empty, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "SHARD_BYTES", 3000)
     first = {}
     raw = [(t or "").encode() for t in TEXTS]
@@ -111,9 +135,8 @@ def test_repeated_bytes(docs, empty, monkeypatch, hot):
     assert got[None]["n_removed"] == 0 and bwt_dedup.remove_repeats(empty).count() == 0
 
 
-def test_passage_that_all_share(spark, monkeypatch):
-    """A passage between texts that differ, or that pairs of documents have: its anchors are hot, their contexts differ at its edges."""
-    monkeypatch.setattr(bwt_dedup, "HOT", 8)
+def test_passage_that_all_share(spark):
+    """A passage between texts that differ, or that pairs of documents have: its anchors' contexts differ at its edges."""
     passage = prose(40)
     texts = [f"{prose(8)} {passage} {prose(8)}" for _ in range(20)]
     texts += [f"{texts[k][:30]}{passage}{texts[k][-45:]}" for k in range(10)] + [passage * 3, passage[5:-5], prose(30)]
@@ -163,6 +186,43 @@ def test_html_shows_all_that_browsers_show(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A | b\n  | c\nd | e"),
+        ("<div style='visibility:hidden'>no <i style='visibility: visible'>yes</i></div>", "yes"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes<tr><td>a<td>b</table>", " | yes"),
+        ("<details><summary>S</summary>no</details><details open><summary>T</summary>u</details>", "S\nT\nu"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<p>a<table><tr><td>one<tr><td><ul><li>two</ul></table>b", "a\n\none\n\n- two\n\nb"),
+        ("<table><tr><td>x<td><table><tr><td>1<td>2<tr><td>3<td>4</table><td>y</table>", "x | 1 | 2 | y\n  | 3 | 4 |"),
+        ("<ol start=0><li>a<li value=7>b<li>c</ol>", "0. a\n7. b\n8. c"),
+        ("a<b", "a"),
+        ("<a title='>'>x</a> 1 < 2 <>", "x 1 < 2 <>"),
+    ],
+)
+def test_html_layout(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "deep", "<a '" * 40_000, "<a b=\"<a b='" * 20_000, "<p><button>" + "<div>" * 40_000 + "x", "<ul>" * 20_000 + "x", "<![CDATA[" * 40_000, "<table><tr><td>x" * 5000, "<table>" + "<tr><td colspan=1000>a<td>b" * 4000, "<" * 400_000])
+def test_html_time_grows_with_the_page(page):
+    began = time.process_time()
+    html_text.render(page)
+    assert time.process_time() - began < 10
+
+
+def test_nested_tables_without_end():
+    assert html_text.render("<table><tr><td>x<td>" * 600 + "deep").count("x") == 600
+
+
+def test_html_of_a_table(spark):
+    pages = [(1, "<p>a<p>b", "t"), (None, None, "u"), (2, "", "v"), (1, "<p>a<p>b", "t"), (3, "<p>" + "word " * 200_000, "w")]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, html string, text string")).collect()
+    assert [(r["page_id"], r["text"]) for r in got[:4]] == [(1, "a\n\nb"), (None, ""), (2, ""), (1, "a\n\nb")] and got[4]["text"] == ("word " * 200_000).strip()
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_near_join_of_pairs_hidden_in_a_template(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "BLOCK", 5)
     name = lambda *k: [f"w{'-'.join(map(str, k))}-{i}" for i in range(13)]
@@ -239,6 +299,20 @@ def test_pieces(docs, empty):
         assert sum(score[i] for i in ids) == best[-1] and v.decode(ids.tolist()) == word
 
 
+def test_token_ids_are_those_of_whole_texts():
+    r = random.Random(11)
+    parts = [*"aIzK'.,!<>|-", "İ", "ı", "ß", "ſ", "K", "\u0301", "\u0307", "\u093c", "क", "क़", "é", "J\u030c", "ǅ", "日本", "ﬁ", "½", "٣", "😀", "\u200d", "\u00a0", "\u3000", "\x1c", "\x85", "\0", "<|endoftext|>", "<|STARTOFTEXT|>", "don't", "'S", "We'Ve", "x" * 70, "\u3000" * 70]
+    texts = ["".join(r.choices([*parts, " ", " ", "\n", "\t", "\x0b"], k=r.randint(0, 14))) for _ in range(6000)] + ["'İ,'", "", " "]
+    encode = token_blocks.WordEncoder(token_blocks.default_tokenizer())
+    assert encode.by_word
+    want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for whole in (False, True):
+        encode.by_word = not whole
+        for k in range(0, len(texts), 500):
+            ids, n = encode(pa.array([*texts[k : k + 500], None]).slice(1))
+            assert ids.tobytes() == b"".join(want[k + 1 : k + 500]) and [4 * x for x in n] == [len(w) for w in want[k + 1 : k + 500]] + [0]
+
+
 def test_token_blocks(docs, empty):
     from tokenizers import Tokenizer
 
@@ -278,10 +352,53 @@ def test_html():
     assert html_text.render("<div>" * 5000 + "deep") == "deep"
 
 
-def test_licences(spark):
-    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code"), ("a/b/COPYING", license_scan.TEMPLATES["GPL-3.0"]), ("a/y.py", None), ("z.py", ""), ("a/b/own.py", "# licensed under the apache license, version 2.0\n" + prose(50)), (None, "x")]
-    got = {r["path"]: (r["license"], r["inherited_from"]) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
-    assert got == {"a/LICENSE": ("MIT", None), "a/b/c/x.py": ("GPL-3.0", "a/b"), "a/b/COPYING": ("GPL-3.0", None), "a/y.py": ("MIT", "a"), "z.py": (None, None), "a/b/own.py": ("Apache-2.0", None), None: (None, None)}
+def text_of(license, k=-1):
+    return [b for name, b in license_scan.TEMPLATES if name == license and not b.startswith("SPDX")][k]
+
+
+def wrapped(text, mark, columns=60):
+    return "\n".join(f"{mark} {line}" for line in textwrap.wrap(text, columns))
+
+
+def test_licences(spark, docs):
+    code = "\n".join(prose(8) for _ in range(40))
+    files = [
+        ("a/LICENSE", "Released under the MIT License."),
+        ("a/b/c/x.py", "code"),
+        ("a/b/COPYING", text_of("GPL-3.0", 0)),
+        ("a/y.py", None),
+        ("z.py", ""),
+        ("a/b/own.py", "# licensed under the apache license, version 2.0\n" + prose(50)),
+        (None, "x"),
+        ("a/y.py", None),
+        # whole licence files without their titles, and headers wrapped in comments before and within code
+        ("m/LICENSE", "Copyright (c) 2020 Ann Example\n\n" + wrapped(text_of("MIT"), "")),
+        ("b3/LICENSE.txt", "Copyright 2020, Bo Example.\nAll rights reserved.\n\n" + wrapped(text_of("BSD-3-Clause"), "")),
+        ("b2/LICENSE", "Copyright 2020, Bo Example.\n" + wrapped(text_of("BSD-2-Clause"), "")),
+        ("ap/LICENSE", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n" + code),
+        ("h/apache.c", wrapped(text_of("Apache-2.0", 1), " *") + "\n" + code),
+        ("h/gpl.c", "/* Copyright (C) 2020 Cy */\n" + wrapped(text_of("GPL-3.0", 1), "//", 40) + "\n" + code),
+        ("h/lgpl.c", code + "\n" + wrapped(text_of("LGPL-3.0", 1), "#", 70)),
+        ("h/mpl.js", wrapped(text_of("MPL-2.0", 1), " *", 50) + "\n" + code),
+        ("h/isc.py", wrapped(text_of("ISC"), "#") + "\n" + code),
+        ("h/spdx.rs", "// SPDX-License-Identifier: Apache-2.0\n" + code),
+        ("h/none.rs", code),
+        ("h/long.txt", prose(30_000)),
+        # of two licence files of a folder the better one speaks
+        ("t/LICENSE-1", text_of("ISC")),
+        ("t/LICENSE-2", "Released under the MIT License, as some say"),
+        ("t/f", "x"),
+    ]
+    table = spark.createDataFrame(files, "path string, text string").withColumns({"license": F.lit("clash"), "w": F.lit(1)})
+    rows = license_scan.scan(table).collect()
+    got = {r["path"]: (r["license"], r["inherited_from"]) for r in rows}
+    assert got == {
+        "a/LICENSE": ("MIT", None), "a/b/c/x.py": ("GPL-3.0", "a/b"), "a/b/COPYING": ("GPL-3.0", None), "a/y.py": ("MIT", "a"), "z.py": (None, None), "a/b/own.py": ("Apache-2.0", None), None: (None, None),
+        "m/LICENSE": ("MIT", None), "b3/LICENSE.txt": ("BSD-3-Clause", None), "b2/LICENSE": ("BSD-2-Clause", None), "ap/LICENSE": ("Apache-2.0", None), "h/apache.c": ("Apache-2.0", None), "h/gpl.c": ("GPL-3.0", None),
+        "h/lgpl.c": ("LGPL-3.0", None), "h/mpl.js": ("MPL-2.0", None), "h/isc.py": ("ISC", None), "h/spdx.rs": ("Apache-2.0", None), "h/none.rs": (None, None), "h/long.txt": (None, None),
+        "t/LICENSE-1": ("ISC", None), "t/LICENSE-2": ("MIT", None), "t/f": ("ISC", "t"),
+    }
+    assert len(rows) == len(files) and license_scan.scan(table.limit(0)).count() == 0
 
 
 def test_long_text_hashes_alike():
