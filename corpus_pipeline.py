@@ -15,8 +15,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~common.held_out(F.col("doc_id"), 4, 2))
     scores = quality.score(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    low = scores.where(F.col("score") < MIN_QUALITY).select(F.col("doc_id").alias("_low")).distinct()
-    return docs.join(low.hint("merge"), F.col("doc_id") == F.col("_low"), "left_anti")
+    return common.without(docs, scores.where(F.col("score") < MIN_QUALITY))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +35,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
-    both = piece_viterbi.decode(piece_viterbi.encode(docs))
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return both.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    coded = piece_viterbi.encode(docs, check="round_trip")
+    return coded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [
@@ -59,5 +57,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.materialize(docs, f"stage-{k}")
-            common.release(spark)
     return docs
