@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +43,7 @@ def chosen_sitemaps(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     responses: (site, url, status, location, body), one row for an address. Only small rows decide; bodies are joined for the chosen.
     """
     asked = candidates.select("site", F.col("url").alias("start"), "rank")
-    graph._checkpoint_dir(responses.sparkSession)
-    found = asked.join(answers(candidates, responses).hint("merge"), ["site", "start"]).where(F.col("body").rlike("(?i)<(urlset|sitemapindex)")).checkpoint()
+    found = graph.kept(asked.join(answers(candidates, responses).hint("merge"), ["site", "start"]).where(F.col("body").rlike("(?i)<(urlset|sitemapindex)")), "sitemaps")
     lists = F.col("body").rlike(HAS_LOCATION)
     own = found.where(lists).select("site", "rank", F.col("start").alias("source"), F.col("start").alias("url"), F.lit(0).alias("seq"), "body")
     children = site_files.sitemap_children(found.where(~lists).select("site", F.col("start").alias("url"), "body"))
@@ -74,33 +71,32 @@ def link_edges(links: DataFrame, chains: DataFrame, verdicts: DataFrame | None =
     return t.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("pos").alias("pos"), F.min_by("url", F.struct("pos", "start")).alias("url"))
 
 
-def reachable(homes: DataFrame, edges: DataFrame, budget: int | None = None, max_depth: int = graph.MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def reachable(homes: DataFrame, edges: DataFrame, budget: int | None = None, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages (site, k, url, depth, trail) that links lead to from home, level by level, and (site, left): linked from these, but not visited.
 
     homes: site, url (where the home page's redirects end). trail lists the positions of the links on the way, so that
     (depth, trail) is the order of visits without ranking a site's pages in one task. With a budget, a site's first so
     many pages in this order are visited, and `left` is a floor: pages behind unvisited ones aren't known.
     """
-    graph._checkpoint_dir(homes.sparkSession)
-    edges = edges.checkpoint()
+    edges = graph.kept(edges, "edges")
     trail = F.expr("cast(array() as array<int>)")
-    frontier = homes.groupBy("site", urls.bare(F.col("url")).alias("k")).agg(F.min("url").alias("url")).withColumns({"depth": F.lit(0), "trail": trail}).checkpoint()
-    levels = [frontier]
-    for depth in range(1, max_depth + 1):
-        seen = reduce(DataFrame.unionByName, levels)
+    folder = graph.scratch(homes.sparkSession, "levels")
+    first = homes.groupBy("site", urls.bare(F.col("url")).alias("k")).agg(F.min("url").alias("url")).withColumn("trail", trail)
+    frontier = graph.kept(first, path=f"{folder}/depth=0")
+    levels, depth = homes.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in first.dtypes)}, depth int"), 0
+    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
+        seen = levels.parquet(folder)
         step = frontier.select("site", F.col("k").alias("src"), "trail").join(edges.hint("merge"), ["site", "src"])
         step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min(F.struct(F.concat("trail", F.array(F.col("pos").cast("int"))).alias("trail"), "url")).alias("at"))
-        step = step.join(seen.select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "at.url", F.lit(depth).alias("depth"), "at.trail")
+        step = step.join(seen.select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "at.url", "at.trail")
         if budget is not None:
             room = seen.groupBy("site").agg((F.lit(budget) - F.count("*")).alias("room"))
             # the rank is bounded by a constant, so each task sends on no more than the budget
             rank = F.row_number().over(Window.partitionBy("site").orderBy("trail", "k"))
-            step = step.withColumn("n", rank).where(F.col("n") <= budget).join(room.hint("merge"), "site").where("n <= room").select("site", "k", "url", "depth", "trail")
-        frontier = step.checkpoint()
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    seen = reduce(DataFrame.unionByName, levels)
+            step = step.withColumn("n", rank).where(F.col("n") <= budget).join(room.hint("merge"), "site").where("n <= room").select("site", "k", "url", "trail")
+        frontier = graph.kept(step, path=f"{folder}/depth={depth}")
+    seen = levels.parquet(folder).select("site", "k", "url", "depth", "trail")
     keys = seen.select("site", "k")
     known = edges.join(keys.withColumnRenamed("k", "src").hint("merge"), ["site", "src"], "left_semi").select("site", F.col("dst").alias("k")).distinct()
     left = known.join(keys.hint("merge"), ["site", "k"], "left_anti").groupBy("site").agg(F.count("*").alias("left"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gossamer.functions import urls
 from gossamer.functions.text import attribute, collapsed, decoded, first, plain, trimmed, units, words
 
+# What counts as a script or style, an address in a tag's attribute, a picture, a named link
 SCRIPTS = r"(?is)<script.*?</script>|<style.*?</style>"
 
 
@@ -18,7 +19,8 @@ def _sections(responses: DataFrame) -> DataFrame:
     ok = responses.where((F.col("status").between(200, 299)) & F.lower(F.col("headers")["content-type"]).contains("text/html"))
     html = F.regexp_replace(F.coalesce("body", F.lit("")), r'(?i)="[^"]*<[a-z][^">]*>[^"]*"', '=""')
     d = ok.withColumn("html", html).withColumn("markup", F.regexp_replace("html", SCRIPTS, " "))
-    return d.withColumn("main", F.coalesce(first(F.col("markup"), r"(?is)<main.*?</main>"), F.col("markup")))
+    section = lambda name: F.coalesce(first(F.col("markup"), rf"(?is)<{name}.*?</{name}>"), F.col("markup"))
+    return d.withColumns({"head": first(F.col("markup"), r"(?is)<head\b.*?</head>"), "main": section("main")})
 
 
 def _tags(source: str, name: str) -> Column:
@@ -54,6 +56,7 @@ def page_features(responses: DataFrame) -> DataFrame:
     d = _sections(responses).withColumn("metas", _tags("markup", "meta")).withColumn("links", _tags("markup", "link"))
     d = d.withColumn("pictures", F.regexp_extract_all("markup", F.lit(r"(?is)<picture.*?</picture>"), F.lit(0)))
     rel = lambda value: F.filter("links", lambda t: F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))) == value)
+    absolute = lambda ref: urls.let(ref, lambda r: F.when(r != "", urls.resolve(F.col("url"), r)))
     charset = F.filter(F.transform("metas", lambda t: attribute(t, "charset")), lambda c: c.isNotNull())
     loaded = F.filter(
         F.regexp_extract_all("html", F.lit(r"(?i)<(?:img|script|iframe|video|audio|source|embed|track|input|object|link)\b[^>]*>"), F.lit(0)),
@@ -72,9 +75,9 @@ def page_features(responses: DataFrame) -> DataFrame:
         _meta("http-equiv", "refresh").alias("refresh"),
         _meta("name", "viewport").alias("viewport"),
         attribute(first(F.col("markup"), r"(?i)<html\b[^>]*>"), "lang").alias("lang"),
-        F.coalesce(F.try_element_at(charset, F.lit(1)), F.when(F.col("markup").rlike(r"(?is)<head.*?charset=.*?</head>"), F.lit("declared"))).alias("charset"),
-        F.filter(F.transform(rel("canonical"), lambda t: attribute(t, "href")), lambda h: F.coalesce(h, F.lit("")) != "").alias("canonical_refs"),
-        F.filter(F.transform(rel("alternate"), lambda t: F.struct(attribute(t, "hreflang").alias("lang"), attribute(t, "href").alias("href"))), lambda x: F.coalesce(x["lang"], F.lit("")) != "").alias("hreflang"),
+        F.coalesce(F.try_element_at(charset, F.lit(1)), F.when(F.col("head").rlike("(?i)charset="), F.lit("declared"))).alias("charset"),
+        F.filter(F.transform(rel("canonical"), lambda t: absolute(attribute(t, "href"))), lambda h: h.isNotNull()).alias("canonical_refs"),
+        F.filter(F.transform(rel("alternate"), lambda t: F.struct(attribute(t, "hreflang").alias("lang"), absolute(attribute(t, "href")).alias("href"))), lambda x: F.coalesce(x["lang"], F.lit("")) != "").alias("hreflang"),
         _meta_map("property", "og:").alias("og"),
         _meta_map("name", "twitter:").alias("twitter"),
         F.transform(F.regexp_extract_all("markup", F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), plain).alias("h1"),
@@ -105,14 +108,16 @@ def _link_counts() -> list[Column]:
 
 
 def page_links(responses: DataFrame, strict_origin: bool = False) -> DataFrame:
-    """(site, src_url, src_seq, pos, href, kind, in_main, nofollow): each target once for a page, at its first place."""
-    d = _sections(responses).select("site", "url", "seq", _hrefs("markup").alias("all"), F.transform(_hrefs("main"), lambda a: a["href"]).alias("main"))
-    one = d.select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.posexplode("all").alias("pos", "a"), "main")
-    nofollow = F.coalesce(F.col("a.rel"), F.lit("")).rlike(r"(?i)(^|\s)nofollow(\s|$)")
-    one = one.select("site", "src_url", "src_seq", "pos", urls.resolve(F.col("src_url"), F.col("a.href")).alias("href"), F.array_contains("main", F.col("a.href")).alias("in_main"), nofollow.alias("nofollow"))
+    """(site, src_url, src_seq, pos, href, kind, in_main, nofollow): each target once for a page, at its first place. Narrow: nothing is shuffled."""
+    nofollow = lambda a: F.coalesce(a["rel"], F.lit("")).rlike(r"(?i)(^|\s)nofollow(\s|$)")
+    full = lambda refs: F.transform(refs, lambda a: F.struct(urls.resolve(F.col("url"), a["href"]).alias("href"), nofollow(a).alias("nofollow")))
+    d = _sections(responses).select("site", "url", "seq", full(_hrefs("markup")).alias("all"), F.array_distinct(F.transform(_hrefs("main"), lambda a: urls.resolve(F.col("url"), a["href"]))).alias("main"))
+    barred = F.transform(F.filter("all", lambda a: a["nofollow"]), lambda a: a["href"])
+    d = d.select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.col("all.href").alias("hrefs"), F.array_compact("main").alias("main"), F.array_compact(barred).alias("barred"))
+    one = d.select("site", "src_url", "src_seq", "hrefs", "main", "barred", F.explode(F.array_compact(F.array_distinct("hrefs"))).alias("href"))
     inside = (urls.origin(F.col("href")) == F.col("site")) if strict_origin else F.startswith("href", "site")
-    grouped = one.where("href is not null").groupBy("site", "src_url", "src_seq", "href").agg(F.min("pos").alias("pos"), F.bool_or("in_main").alias("in_main"), F.bool_or("nofollow").alias("nofollow"))
-    return grouped.withColumn("kind", F.when(inside, "internal").otherwise("external"))
+    at = (F.array_position("hrefs", F.col("href")) - 1).cast("int")
+    return one.select("site", "src_url", "src_seq", "href", at.alias("pos"), F.array_contains("main", F.col("href")).alias("in_main"), F.array_contains("barred", F.col("href")).alias("nofollow"), F.when(inside, "internal").otherwise("external").alias("kind"))
 
 
 def page_anchors(responses: DataFrame) -> DataFrame:

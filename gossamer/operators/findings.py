@@ -14,17 +14,158 @@ SCHEMA = "site string, url string, seq long, level string, id string, title stri
 
 # The areas that rules belong to, in order of presentation
 CATEGORIES = {
-    "Indexability": "canonical-chain canonical-dead canonical-missing canonical-multiple canonical-noindex canonical-other canonical-redirects nofollow-page noindex nothing-crawlable page-status robots-conflict soft-404 unreachable x-robots-noindex",
-    "Content": "charset-missing desc-long desc-missing desc-short duplicate-description duplicate-title h1-missing h1-multiple heading-skip lang-missing thin-content title-long title-missing title-short viewport-fixed-width viewport-locked viewport-missing",
-    "Links": "anchor-generic anchor-generic-more broken-link click-depth-skipped deep-page deep-page-more external-broken external-redirects external-sweep-capped internal-nofollow link-no-text link-no-text-more link-redirects link-sweep-capped missing-from-sitemap missing-from-sitemap-more no-editorial-links no-path-from-home orphan-page",
-    "Redirects": "host-variant-dead meta-refresh redirect-broken redirect-chain redirect-dead redirect-elsewhere redirect-hops redirect-map-capped redirect-not-applied redirect-pattern-skipped redirect-temporary sitemap-redirect trailing-slash",
-    "Images": "broken-image image-sweep-capped img-alt img-alt-duplicate img-alt-filename img-alt-long img-alt-placeholder img-dimensions img-srcset img-title-duplicates-alt img-title-on-decorative",
-    "Social": "og-image-broken og-image-heavy og-image-relative og-missing og-no-dimensions og-webp",
-    "Structured data": "jsonld-invalid jsonld-no-type schema-expected schema-image-broken schema-incomplete",
-    "Multilingual": "hreflang-dead hreflang-invalid hreflang-lang-mismatch hreflang-no-self hreflang-no-x-default hreflang-one-way",
-    "Sitemap & robots": "llms-missing no-sitemap robots-blocks-all robots-blocks-sitemap-url robots-missing robots-no-sitemap sitemap-lastmod-future sitemap-lastmod-identical sitemap-lastmod-missing sitemap-not-indexable sitemap-too-large sitemap-too-many-urls truncated",
-    "Site & security": "header-content-security-policy header-referrer-policy header-strict-transport-security header-x-content-type-options mixed-content tls-expired tls-expiring url-space url-underscore url-uppercase",
-    "Performance": "huge-html psi-cls psi-failed psi-field-cls psi-field-inp psi-field-lcp psi-inp psi-lcp psi-no-field-data psi-no-match psi-opportunity psi-sampled psi-score slow uncompressed",
+    "Indexability": [
+        "canonical-chain",
+        "canonical-dead",
+        "canonical-missing",
+        "canonical-multiple",
+        "canonical-noindex",
+        "canonical-other",
+        "canonical-redirects",
+        "nofollow-page",
+        "noindex",
+        "nothing-crawlable",
+        "page-status",
+        "robots-conflict",
+        "soft-404",
+        "unreachable",
+        "x-robots-noindex",
+    ],
+    "Content": [
+        "charset-missing",
+        "desc-long",
+        "desc-missing",
+        "desc-short",
+        "duplicate-description",
+        "duplicate-title",
+        "h1-missing",
+        "h1-multiple",
+        "heading-skip",
+        "lang-missing",
+        "thin-content",
+        "title-long",
+        "title-missing",
+        "title-short",
+        "viewport-fixed-width",
+        "viewport-locked",
+        "viewport-missing",
+    ],
+    "Links": [
+        "anchor-generic",
+        "anchor-generic-more",
+        "broken-link",
+        "click-depth-skipped",
+        "deep-page",
+        "deep-page-more",
+        "external-broken",
+        "external-redirects",
+        "external-sweep-capped",
+        "internal-nofollow",
+        "link-no-text",
+        "link-no-text-more",
+        "link-redirects",
+        "link-sweep-capped",
+        "missing-from-sitemap",
+        "missing-from-sitemap-more",
+        "no-editorial-links",
+        "no-path-from-home",
+        "orphan-page",
+    ],
+    "Redirects": [
+        "host-variant-dead",
+        "meta-refresh",
+        "redirect-broken",
+        "redirect-chain",
+        "redirect-dead",
+        "redirect-elsewhere",
+        "redirect-hops",
+        "redirect-map-capped",
+        "redirect-not-applied",
+        "redirect-pattern-skipped",
+        "redirect-temporary",
+        "sitemap-redirect",
+        "trailing-slash",
+    ],
+    "Images": [
+        "broken-image",
+        "image-sweep-capped",
+        "img-alt",
+        "img-alt-duplicate",
+        "img-alt-filename",
+        "img-alt-long",
+        "img-alt-placeholder",
+        "img-dimensions",
+        "img-srcset",
+        "img-title-duplicates-alt",
+        "img-title-on-decorative",
+    ],
+    "Social": [
+        "og-image-broken",
+        "og-image-heavy",
+        "og-image-relative",
+        "og-missing",
+        "og-no-dimensions",
+        "og-webp",
+    ],
+    "Structured data": [
+        "jsonld-invalid",
+        "jsonld-no-type",
+        "schema-expected",
+        "schema-image-broken",
+        "schema-incomplete",
+    ],
+    "Multilingual": [
+        "hreflang-dead",
+        "hreflang-invalid",
+        "hreflang-lang-mismatch",
+        "hreflang-no-self",
+        "hreflang-no-x-default",
+        "hreflang-one-way",
+    ],
+    "Sitemap & robots": [
+        "llms-missing",
+        "no-sitemap",
+        "robots-blocks-all",
+        "robots-blocks-sitemap-url",
+        "robots-missing",
+        "robots-no-sitemap",
+        "sitemap-lastmod-future",
+        "sitemap-lastmod-identical",
+        "sitemap-lastmod-missing",
+        "sitemap-not-indexable",
+        "sitemap-too-large",
+        "sitemap-too-many-urls",
+        "truncated",
+    ],
+    "Site & security": [
+        "header-content-security-policy",
+        "header-referrer-policy",
+        "header-strict-transport-security",
+        "header-x-content-type-options",
+        "mixed-content",
+        "tls-expired",
+        "tls-expiring",
+        "url-space",
+        "url-underscore",
+        "url-uppercase",
+    ],
+    "Performance": [
+        "huge-html",
+        "psi-cls",
+        "psi-failed",
+        "psi-field-cls",
+        "psi-field-inp",
+        "psi-field-lcp",
+        "psi-inp",
+        "psi-lcp",
+        "psi-no-field-data",
+        "psi-no-match",
+        "psi-opportunity",
+        "psi-sampled",
+        "psi-score",
+        "slow",
+        "uncompressed",
+    ],
 }
 
 
@@ -38,7 +179,7 @@ def level_name(rank: Column) -> Column:
 
 def categorized(findings: DataFrame) -> DataFrame:
     """findings with category and its rank; an unknown rule belongs to Other, which comes last."""
-    rows = [(rule, name, k) for k, (name, rules) in enumerate(CATEGORIES.items()) for rule in rules.split()]
+    rows = [(rule, name, k) for k, (name, rules) in enumerate(CATEGORIES.items()) for rule in rules]
     names = findings.sparkSession.createDataFrame(rows, "id string, category string, category_rank int")
     joined = findings.join(F.broadcast(names), "id", "left")  # a fixed table of rules
     return joined.withColumns({"category": F.coalesce("category", F.lit("Other")), "category_rank": F.coalesce("category_rank", F.lit(len(CATEGORIES)))})
@@ -47,13 +188,13 @@ def categorized(findings: DataFrame) -> DataFrame:
 def check_summary(findings: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """A row for each rule: worst level, findings, first title."""
     out = findings.groupBy(*keys, "id").agg(F.min(level_rank(F.col("level"))).alias("rank"), F.count("*").alias("findings"), F.min_by("title", F.struct("seq", "url", "title")).alias("title"))
-    return out.withColumn("level", level_name(F.col("rank"))).orderBy(*keys, "rank", F.desc("findings"), "id").drop("rank")
+    return out.withColumn("level", level_name(F.col("rank"))).drop("rank")
 
 
 def category_summary(findings: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """A row for each area that has findings, in order of presentation."""
+    """A row for each area that has findings."""
     out = categorized(findings).groupBy(*keys, "category", "category_rank").agg(F.count("*").alias("findings"), F.count_distinct("id").alias("rules"), level_name(F.min(level_rank(F.col("level")))).alias("worst"))
-    return out.orderBy(*keys, "category_rank").drop("category_rank")
+    return out.drop("category_rank")
 
 
 def level_counts(findings: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
@@ -61,9 +202,9 @@ def level_counts(findings: DataFrame, keys: tuple[str, ...] = ("site",)) -> Data
 
 
 def portfolio(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """A row for each site of runs (site, pages), worst first; `empty` marks sites without pages."""
+    """A row for each site of runs (site, pages); `empty` marks sites without pages. Most errors, then most warnings, come first where it is shown."""
     out = runs.join(level_counts(findings), "site", "left").fillna(0, ["errors", "warnings", "notes"])
-    return out.withColumn("empty", F.col("pages") == 0).orderBy(F.desc("errors"), F.desc("warnings"), "site")
+    return out.withColumn("empty", F.col("pages") == 0)
 
 
 def portfolio_totals(rows: DataFrame) -> DataFrame:
@@ -86,22 +227,37 @@ def gate(sites: DataFrame, findings: DataFrame, fail_on: str = "error", added: D
     return sites.select("site").distinct().join(failed, "site", "left").select("site", F.col("failed").isNull().alias("passed"))
 
 
+#: Ignore rules that are sent to all executors; more are joined by shuffling.
+SENT_RULES = 10_000
+
+
 def apply_ignores(findings: DataFrame, rules: DataFrame, how: str = "left_anti") -> DataFrame:
     """Findings that no ignore rule silences (or with how="left_semi", those that one does).
 
-    rules: site, id, url_glob (NULL: everywhere); a NULL site means every site.
+    rules: site, id, url_glob (NULL: everywhere); a NULL site means every site. Rules for every site meet findings by
+    id, those of a site by site and id. They are broadcast only if they are counted to be few.
     """
     r = rules.select(F.col("site").alias("r_site"), F.col("id").alias("r_id"), urls.glob_pattern(F.col("url_glob")).alias("pattern"))
-    match = (F.col("id") == F.col("r_id")) & F.coalesce(F.col("r_site") == F.col("site"), F.col("r_site").isNull()) & F.coalesce(F.rlike(urls.path(F.col("url")), F.col("pattern")), F.col("pattern").isNull())
-    return findings.join(r, match, how)
+
+    def joined(df: DataFrame, some: DataFrame, keys: Column, how: str) -> DataFrame:
+        small = some.limit(SENT_RULES + 1).count() <= SENT_RULES
+        fits = F.col("pattern").isNull() | F.rlike(urls.path(F.col("url")), F.coalesce("pattern", F.lit("")))
+        return df.join(some.hint("broadcast" if small else "merge"), keys & fits, how)
+
+    shared, own, same = r.where("r_site is null"), r.where("r_site is not null"), F.col("id") == F.col("r_id")
+    rest = joined(findings, shared, same, "left_anti")
+    if how == "left_anti":
+        return joined(rest, own, same & (F.col("site") == F.col("r_site")), how)
+    return joined(findings, shared, same, how).unionByName(joined(rest, own, same & (F.col("site") == F.col("r_site")), how))
 
 
 def not_indexable(responses: DataFrame, features: DataFrame) -> DataFrame:
-    """(site, url): not ok, or noindex by meta element or header, or with its canonical address elsewhere."""
+    """(site, url, reason): not ok, or noindex by meta element or header, or with its canonical address elsewhere."""
     has = lambda s: F.lower(F.coalesce(s, F.lit(""))).contains("noindex")
     one = F.try_element_at("canonical_refs", F.lit(1))
     elsewhere = (F.size("canonical_refs") > 0) & (urls.bare(one) != urls.bare(F.col("url")))
-    return responses.where(~F.col("status").between(200, 299)).select("site", "url").unionByName(features.where(has(F.col("robots")) | has(F.col("headers")["x-robots-tag"]) | elsewhere).select("site", "url")).distinct()
+    reason = F.when(has(F.col("robots")), "noindex").when(has(F.col("headers")["x-robots-tag"]), "x-robots-noindex").when(elsewhere, "canonical-other")
+    return responses.where(~F.col("status").between(200, 299)).select("site", "url", F.lit("status").alias("reason")).unionByName(features.select("site", "url", reason.alias("reason")).where("reason is not null")).groupBy("site", "url").agg(F.min("reason").alias("reason"))
 
 
 def tag_indexable(findings: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -109,23 +265,39 @@ def tag_indexable(findings: DataFrame, hidden: DataFrame) -> DataFrame:
     return findings.join(hidden.select("site", "url", F.lit(False).alias("indexable")).distinct(), ["site", "url"], "left")
 
 
-def run_summary(responses: DataFrame, findings: DataFrame, hidden: DataFrame, ignored: DataFrame) -> DataFrame:
-    """(site, pages, requests, not_indexable, findings, ignored)."""
+def run_summary(responses: DataFrame, findings: DataFrame, hidden: DataFrame, ignored: DataFrame, sitemaps: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """(site, pages, requests, not_indexable, findings, ignored, sitemap, date). sitemaps: site, source of the chosen one; date: that of as_of."""
     pages = responses.groupBy("site").agg(F.count_if(F.col("status").between(200, 299)).alias("pages"), F.count("*").alias("requests"))
     count = lambda df, name: df.groupBy("site").agg(F.count("*").alias(name))
     out = pages.join(count(hidden, "not_indexable"), "site", "left").join(count(findings, "findings"), "site", "left").join(count(ignored, "ignored"), "site", "left")
-    return out.fillna(0)
-
-
-def write_findings(findings: DataFrame, path: str, kind: str = "parquet") -> None:
-    findings.write.mode("overwrite").partitionBy("site").format(kind).save(path)
-
-
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Findings from JSON documents {"site", "findings": [...]}; a document that isn't one is an error."""
-    raw = spark.read.text(path, wholetext=True)
-    body = "struct<site:string,findings:array<struct<url:string,seq:bigint,level:string,id:string,title:string,detail:string>>>"
-    parsed = raw.select("value", F.from_json("value", body, {"mode": "PERMISSIVE"}).alias("d"))
+    out = out.fillna(0)
+    if sitemaps is not None:
+        out = out.join(sitemaps.groupBy("site").agg(F.min("source").alias("sitemap")), "site", "left")
+    else:
+        out = out.withColumn("sitemap", F.lit(None).cast("string"))
+    return out.withColumn("date", F.lit(None).cast("date") if as_of is None else as_of.cast("date"))
+
+
+DOCUMENT = "struct<site:string,date:string,findings:array<struct<url:string,seq:bigint,level:string,id:string,title:string,detail:string>>>"
+#: Documents that a site's findings are spread over, so that none has to hold them all.
+DOCUMENTS = 32
+
+
+def write_findings(findings: DataFrame, path: str, kind: str = "parquet", date: str | None = None) -> None:
+    """Findings as a table by site, or with kind="json" as documents {"site", "date", "findings": [...]}, one in a line."""
+    if kind != "json":
+        findings.write.mode("overwrite").partitionBy("site").format(kind).save(path)
+        return
+    one = F.struct("url", "seq", "level", "id", "title", "detail")
+    part = F.pmod(F.xxhash64("url", "id"), F.lit(DOCUMENTS))
+    docs = findings.groupBy("site", part.alias("part")).agg(F.collect_list(one).alias("findings"))
+    docs.select(F.to_json(F.struct("site", F.lit(date).alias("date"), "findings")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_findings(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Findings from JSON documents {"site", "findings": [...]}, one in a line or (whole_files) one in a file; one that isn't such a document is an error."""
+    raw = spark.read.text(path, wholetext=whole_files).where(F.trim("value") != "")
+    parsed = raw.select("value", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
     broken = parsed.where(F.col("d").isNull() | F.col("d.findings").isNull()).limit(1).collect()
     if broken:
         raise ValueError("not a findings document: " + json.dumps(broken[0]["value"][:80]))

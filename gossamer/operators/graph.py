@@ -3,60 +3,99 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_HOPS, MAX_DEPTH = 5, 50
+MAX_HOPS = 5
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names; an own one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir. Only where driver and executors are one process, an own one if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def click_depth(links: DataFrame, homes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(site, k, depth, via, route): shortest path of links from home, breadth first.
+def kept(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """df, written as Parquet into the shared folder and read from it: computed once, read by column, without lineage."""
+    path = path or scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def click_depth(links: DataFrame, homes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(site, k, depth, via): length of the shortest path of links from home, breadth first, and the page before on it.
 
     links: site, src, dst, and ord, which breaks ties of the predecessor; homes: site, k. A round extends all
-    sites by a level, so rounds are the largest depth; each is checkpointed to the shared folder.
+    sites by a level, until no site has a new page; its level is one more folder of the table of pages seen.
     """
-    _checkpoint_dir(links.sparkSession)
-    edges = links.select("site", "src", "dst", "ord").where("src <> dst").distinct().checkpoint()
-    seen = homes.select("site", "k", F.lit(0).alias("depth"), F.lit(None).cast(dict(links.dtypes)["src"]).alias("via"), F.array("k").alias("route")).dropDuplicates(["site", "k"]).checkpoint()
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.select("site", F.col("k").alias("src"), F.col("route").alias("before")).join(edges, ["site", "src"])
-        step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min_by(F.struct("src", "before"), F.struct("ord", "src")).alias("p"))
-        step = step.join(seen.select("site", "k"), ["site", "k"], "left_anti")
-        frontier = step.select("site", "k", F.lit(depth).alias("depth"), F.col("p.src").alias("via"), F.concat(F.col("p.before"), F.array("k")).alias("route")).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
+    spark = links.sparkSession
+    edges = kept(links.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("ord").alias("ord")), "edges")
+    folder = scratch(spark, "levels")
+    key = dict(links.dtypes)["src"]
+    frontier = kept(homes.select("site", "k", F.lit(None).cast(key).alias("via")).dropDuplicates(["site", "k"]), path=f"{folder}/depth=0")
+    levels, depth = spark.read.schema(f"site {dict(homes.dtypes)['site']}, k {key}, via {key}, depth int"), 0
+    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
+        step = frontier.select("site", F.col("k").alias("src")).join(edges.hint("merge"), ["site", "src"])
+        step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min_by("src", F.struct("ord", "src")).alias("via"))
+        frontier = kept(step.join(levels.parquet(folder).select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "via"), path=f"{folder}/depth={depth}")
+    return levels.parquet(folder).select("site", "k", "depth", "via")
+
+
+def routes(depths: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, k, route) of pages (site, k): the keys on the way from home, found by climbing from page to predecessor."""
+    up = depths.select("site", F.col("k").alias("at"), "via")
+    climb = kept(pages.select("site", "k", F.col("k").alias("at"), F.array("k").alias("route")).join(depths.select("site", "k").hint("merge"), ["site", "k"], "left_semi"), "routes")
+    done = []
+    while not climb.isEmpty():
+        step = climb.join(up.hint("merge"), ["site", "at"])
+        done.append(step.where("via is null").select("site", "k", "route"))
+        climb = kept(step.where("via is not null").select("site", "k", F.col("via").alias("at"), F.concat(F.array("via"), "route").alias("route")), "routes")
+    out = pages.select("site", "k", F.array("k").alias("route")).limit(0)
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def _one_answer(responses: DataFrame) -> DataFrame:
+    """(site, url, status, location): of several responses to an address that to GET, then the latest."""
+    have = set(responses.columns)
+    order = [F.coalesce(F.col("method") == "GET", F.lit(False))] if "method" in have else []
+    order += [F.col(c) for c in ("fetched_at", "seq") if c in have]
+    order += [-F.col("status").cast("int"), F.coalesce("location", F.lit(""))]
+    one = responses.groupBy("site", "url").agg(F.max_by(F.struct(F.col("status").cast("int").alias("status"), "location"), F.struct(*order)).alias("r"))
+    return one.select("site", "url", "r.status", "r.location")
 
 
 def redirect_chains(starts: DataFrame, responses: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """(site, start, hops, final_url, final_status) following locations, `hops` at most. starts: site, url; responses: site, url, status, location.
 
-    An address without a response ends its chain with a NULL status: not judged. When the hops run out, the address last asked is final.
+    An address without a response ends its chain with a NULL status: not judged. When the hops run out, the address last
+    asked is final. Chains that have ended take no part in the rounds that follow.
     """
-    log = responses.select("site", "url", "status", "location").dropDuplicates(["site", "url"])
-    at = starts.select("site", F.col("url").alias("start"), "url").distinct().withColumn("hops", F.expr("cast(array() as array<struct<url:string,status:int>>)")).withColumn("done", F.lit(False)).withColumn("final_status", F.lit(None).cast("int"))
-    for _ in range(hops):
-        r = log.select(F.col("site").alias("r_site"), F.col("url").alias("u"), F.col("status").cast("int").alias("s"), "location")
-        j = at.join(r, (F.col("site") == F.col("r_site")) & (F.col("url") == F.col("u")) & ~F.col("done"), "left")
-        moved = ~F.col("done") & F.col("s").between(300, 399) & F.col("location").isNotNull()
-        at = j.select(
-            "site",
-            "start",
-            F.when(moved, F.col("location")).otherwise(F.col("url")).alias("url"),
-            F.when(F.col("done"), F.col("hops")).otherwise(F.concat("hops", F.array(F.struct(F.col("url").alias("url"), F.col("s").alias("status"))))).alias("hops"),
-            (F.col("done") | ~F.coalesce(moved, F.lit(False))).alias("done"),
-            F.when(F.col("done"), F.col("final_status")).otherwise(F.col("s")).alias("final_status"),
-        )
-    return at.select("site", "start", "hops", F.when(F.col("done"), F.col("url")).otherwise(F.element_at("hops", -1)["url"]).alias("final_url"), "final_status")
+    log = kept(_one_answer(responses), "answers")
+    going = starts.select("site", F.col("url").alias("start"), "url", F.expr("cast(array() as array<struct<url:string,status:int>>)").alias("hops")).distinct()
+    ended = []
+    for k in range(hops):
+        j = going.join(log.hint("merge"), ["site", "url"], "left")
+        j = j.select("site", "start", "url", F.concat("hops", F.array(F.struct(F.col("url").alias("url"), F.col("status").alias("status")))).alias("hops"), "status", "location")
+        j = kept(j.withColumn("moved", F.coalesce(F.col("status").between(300, 399) & F.col("location").isNotNull() & F.lit(k < hops - 1), F.lit(False))), "chains")
+        ended.append(j.where("not moved").select("site", "start", "hops", F.col("url").alias("final_url"), F.col("status").alias("final_status")))
+        going = j.where("moved").select("site", "start", F.col("location").alias("url"), "hops")
+        if k < hops - 1 and going.isEmpty():
+            break
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return out
 
 
 def settled(observations: DataFrame, key: str = "url", order: str = "ts", fingerprint: str = "fingerprint", times: int = 3) -> DataFrame:

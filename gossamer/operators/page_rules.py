@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import urls
 from gossamer.functions.text import collapsed, first, trimmed, units
+from gossamer.operators import structured_data
 
 #: Limits that a site may override: see site_limits.
 LIMITS = {"title_min": 15, "title_max": 60, "desc_min": 70, "desc_max": 160, "min_words": 300, "max_ms": 800, "max_click_depth": 4}
@@ -154,11 +155,11 @@ def with_limits(features: DataFrame, limits: DataFrame | None = None) -> DataFra
 
 def page_findings(responses: DataFrame, features: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """(site, url, seq, level, id, title, detail). A redirected or failed page has that one finding and no other."""
+    structured_data.repeated_keys(responses.sparkSession)
     failed = responses.where(~F.col("status").between(200, 299))
     redirected = F.col("status").between(300, 399)
     stopped = failed.select("site", "url", "seq", F.when(redirected, finding("error", "sitemap-redirect", "A listed address redirects", F.col("location"))).otherwise(finding("error", "page-status", "The page doesn't answer well", F.col("status"))).alias("f"))
     pages = with_limits(features, limits)
-    canonical = F.transform("canonical_refs", lambda h: F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), h).when(h.startswith("/"), F.concat("site", h)).otherwise(F.concat(F.regexp_extract("url", "^(.*/)", 1), h)))
-    pages = pages.withColumn("canonical", canonical).withColumn("viewport_map", _viewport())
+    pages = pages.withColumn("canonical", F.col("canonical_refs")).withColumn("viewport_map", _viewport())
     found = pages.select("site", "url", "seq", F.explode(F.filter(F.concat(*_rules()), lambda f: f.isNotNull())).alias("f"))
     return stopped.unionByName(found).select("site", "url", "seq", "f.level", "f.id", "f.title", "f.detail")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.operators import sampling
+from gossamer.operators import cross_rules, sampling
 
 # Headers that a home page should send, and how much they matter
 HEADERS = {"content-security-policy": "info", "referrer-policy": "info", "strict-transport-security": "warn", "x-content-type-options": "info"}
@@ -15,7 +15,8 @@ GONE = (404, 410, 0)
 
 def _rows(df: DataFrame, level, rule, title: str, detail: Column | None = None) -> DataFrame:
     as_col = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select("site", "url", F.lit(None).cast("long").alias("seq"), as_col(level).alias("level"), as_col(rule).alias("id"), F.lit(title).alias("title"), F.coalesce((F.lit("") if detail is None else detail).cast("string"), F.lit("")).alias("detail"))
+    evidence = F.col("evidence") if "evidence" in df.columns else F.lit(None).cast("string").alias("evidence")
+    return df.select("site", "url", F.lit(None).cast("long").alias("seq"), as_col(level).alias("level"), as_col(rule).alias("id"), F.lit(title).alias("title"), F.coalesce((F.lit("") if detail is None else detail).cast("string"), F.lit("")).alias("detail"), evidence)
 
 
 def _per_site(df: DataFrame, level: str, rule: str, title: str) -> DataFrame:
@@ -35,19 +36,24 @@ def link_targets(links: DataFrame, features: DataFrame, entries: DataFrame) -> D
     t = t.groupBy("site", "k").agg(F.min_by(F.regexp_replace("href", "#.*$", ""), F.struct("src_seq", "pos")).alias("url"), F.min("src_seq").alias("first_seq"), F.count("*").alias("sources"))
     crawled = features.select("site", urls.key(F.col("url")).alias("k")).distinct()
     listed = entries.select("site", urls.key(F.col("loc")).alias("k")).distinct()
-    return t.join(crawled, ["site", "k"], "left_anti").join(listed, ["site", "k"], "left_anti")
+    return t.join(crawled.hint("merge"), ["site", "k"], "left_anti").join(listed.hint("merge"), ["site", "k"], "left_anti")
 
 
 def link_status(links: DataFrame, features: DataFrame, entries: DataFrame, statuses: DataFrame, cap: int | None = None) -> DataFrame:
     """(site, url, first_seq, sources, status) of link_targets; one sweep for three rules."""
     rest, _ = sweep(link_targets(links, features, entries), cap, "link-sweep-capped")
-    return rest.join(statuses.select("site", "url", "status", "is_html"), ["site", "url"])
+    return rest.join(statuses.select("site", "url", "status", "is_html").hint("merge"), ["site", "url"])
 
 
-def link_findings(swept: DataFrame, entries: DataFrame, top: int = 20) -> DataFrame:
-    broken = _rows(swept.where(F.col("status").isin(404, 0)), "error", "broken-link", "The link leads nowhere", F.col("sources"))
+def link_findings(swept: DataFrame, entries: DataFrame, top: int = 20, links: DataFrame | None = None, shown: int = 3) -> DataFrame:
+    """broken-link, missing-from-sitemap and link-redirects of swept targets; with links, the first pages that link to a broken target are named."""
+    dead = swept.where(F.col("status").isin(404, 0))
+    if links is not None:
+        at = links.where("kind = 'internal'").select("site", urls.key(F.col("href")).alias("k"), "src_url", "src_seq").join(dead.select("site", "k").hint("merge"), ["site", "k"], "left_semi")
+        dead = dead.join(cross_rules.examples(at, ["site", "k"], "src_url", ["src_seq", "src_url"], shown).hint("merge"), ["site", "k"], "left")
+    broken = _rows(dead, "error", "broken-link", "The link leads nowhere", F.col("sources"))
     sites = entries.select("site").distinct()
-    absent = swept.where("status = 200 and is_html").join(sites, "site", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("first_seq", "url")))
+    absent = swept.where("status = 200 and is_html").join(sites.hint("merge"), "site", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("first_seq", "url")))
     more = absent.groupBy("site").agg((F.count("*") - top).alias("n")).where("n > 0").withColumn("url", F.col("site"))
     return (
         broken.unionByName(_rows(absent.where(F.col("n") <= top), "warn", "missing-from-sitemap", "A linked page isn't in the sitemap"))
@@ -76,15 +82,15 @@ def canonical_findings(features: DataFrame, statuses: DataFrame) -> DataFrame:
     t = t.groupBy("site", "target").agg(F.max_by("url", "seq").alias("url"))
     s = statuses.select("site", F.col("url").alias("target"), "status", "noindex", "canonical")
     kind = F.when(F.col("status").between(300, 399), "canonical-redirects").when(~F.col("status").between(200, 299), "canonical-dead").when(F.col("noindex"), "canonical-noindex").when(F.col("canonical").isNotNull() & (urls.bare(F.col("canonical")) != urls.bare(F.col("target"))), "canonical-chain")
-    j = t.join(s, ["site", "target"]).withColumn("kind", kind).where("kind is not null")
+    j = t.join(s.hint("merge"), ["site", "target"]).withColumn("kind", kind).where("kind is not null")
     return _rows(j, F.when(F.col("kind") == "canonical-chain", "warn").otherwise("error"), F.col("kind"), "The canonical address doesn't serve", F.col("target"))
 
 
 def alternate_findings(features: DataFrame, statuses: DataFrame) -> DataFrame:
     """Pages that declare alternates outside the crawl that are gone: a row for each page."""
     e = features.select("site", "url", F.explode("hreflang").alias("a")).select("site", "url", F.col("a.href").alias("target"))
-    e = e.join(features.select("site", F.col("url").alias("target")).distinct(), ["site", "target"], "left_anti")
-    gone = e.distinct().join(statuses.select("site", F.col("url").alias("target"), "status"), ["site", "target"]).where(F.col("status").isin(*GONE))
+    e = e.join(features.select("site", F.col("url").alias("target")).distinct().hint("merge"), ["site", "target"], "left_anti")
+    gone = e.distinct().join(statuses.select("site", F.col("url").alias("target"), "status").hint("merge"), ["site", "target"]).where(F.col("status").isin(*GONE))
     return _rows(gone.groupBy("site", "url").agg(F.count("*").alias("n")), "error", "hreflang-dead", "Alternates are gone", F.col("n"))
 
 
@@ -92,7 +98,7 @@ def trailing_slash_findings(features: DataFrame, statuses: DataFrame, sample: in
     """Sites whose sampled pages also answer under the form with, or without, a trailing slash."""
     p = features.where(urls.path(F.col("url")) != "/").withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("seq", "url"))).where(F.col("n") <= sample)
     flipped = F.when(F.col("url").endswith("/"), urls.bare(F.col("url"))).otherwise(F.concat("url", F.lit("/")))
-    both = p.select("site", flipped.alias("url")).join(statuses.where("status = 200").select("site", "url"), ["site", "url"])
+    both = p.select("site", flipped.alias("url")).join(statuses.where("status = 200").select("site", "url").hint("merge"), ["site", "url"])
     return _per_site(both, "warn", "trailing-slash", "Pages answer with and without a trailing slash")
 
 
@@ -113,8 +119,8 @@ def header_findings(homes: DataFrame) -> DataFrame:
 def shared_image_findings(features: DataFrame, chains: DataFrame, assets: DataFrame, heavy: int = 5_000_000) -> DataFrame:
     """chains: of the absolute og:image addresses; assets: site, url, length."""
     t = features.select("site", F.col("og")["og:image"].alias("target"), "seq", "url").where(F.col("target").rlike("(?i)^https?://")).groupBy("site", "target").agg(F.max_by("url", "seq").alias("url"))
-    gone = t.join(chains.select("site", F.col("start").alias("target"), "final_status"), ["site", "target"]).where(F.col("final_status").isin(*GONE))
-    large = t.join(assets.select("site", F.col("url").alias("target"), "length"), ["site", "target"]).where(F.col("length") > heavy)
+    gone = t.join(chains.select("site", F.col("start").alias("target"), "final_status").hint("merge"), ["site", "target"]).where(F.col("final_status").isin(*GONE))
+    large = t.join(assets.select("site", F.col("url").alias("target"), "length").hint("merge"), ["site", "target"]).where(F.col("length") > heavy)
     return _rows(gone, "error", "og-image-broken", "The shared image is gone", F.col("target")).unionByName(_rows(large, "warn", "og-image-heavy", "The shared image is heavy", F.col("length")))
 
 
@@ -131,9 +137,9 @@ def external_findings(links: DataFrame, chains: DataFrame, cap: int | None = Non
 
 def missing_page_findings(probes: DataFrame, chains: DataFrame, features: DataFrame) -> DataFrame:
     """soft-404 of probes (site, url): an address that shouldn't exist ends as an ok HTML page."""
-    j = probes.join(chains.select("site", F.col("start").alias("url"), "final_url", "final_status"), ["site", "url"]).where("final_status = 200")
+    j = probes.join(chains.select("site", F.col("start").alias("url"), "final_url", "final_status").hint("merge"), ["site", "url"]).where("final_status = 200")
     f = features.select("site", F.col("url").alias("final_url"), F.lower(F.coalesce("robots", F.lit(""))).contains("noindex").alias("hidden"))
-    j = j.join(f, ["site", "final_url"], "left")
+    j = j.join(f.hint("merge"), ["site", "final_url"], "left")
     mild = (urls.path(F.col("final_url")) == "/") | F.coalesce("hidden", F.lit(False))
     return _rows(j, F.when(mild, "warn").otherwise("error"), "soft-404", "A missing page answers as if it were there", F.col("final_url"))
 

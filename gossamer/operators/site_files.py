@@ -23,18 +23,19 @@ def robots_rules(bodies: DataFrame) -> DataFrame:
     lines = lines.withColumn("opens", opens).withColumn("group_no", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("group_no > 0")
     agents = lines.where(agent).select("site", "group_no", F.lower("value").alias("agent"))
     rules = lines.where(~agent).select("site", "group_no", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path"))
-    return agents.join(rules, ["site", "group_no"], "left")
+    return agents.join(rules.hint("merge"), ["site", "group_no"], "left")
 
 
 def robots_verdicts(paths: DataFrame, rules: DataFrame, agent: str = "googlebot") -> DataFrame:
     """(site, path, allowed, rule) of the distinct paths (site, path): the group of the agent, else of *; the longest pattern wins, ties allow."""
     group = rules.groupBy("site").agg(F.coalesce(F.min(F.when(F.col("agent") == agent, F.col("group_no"))), F.min(F.when(F.col("agent") == "*", F.col("group_no")))).alias("group_no"))
-    mine = rules.join(group, ["site", "group_no"]).where("path <> ''").select("site", "allow", F.col("path").alias("rule")).distinct()
+    mine = rules.join(group.hint("merge"), ["site", "group_no"]).where("path <> ''").select("site", "allow", F.col("path").alias("rule")).distinct()
     body = F.regexp_replace(F.regexp_replace("rule", r"\$$", ""), r"([\\.+?^${}()|\[\]])", r"\\$1")
     mine = mine.withColumn("pattern", F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.col("rule").endswith("$"), F.lit("$")).otherwise(F.lit(""))))
-    hits = paths.select("site", "path").distinct().join(mine, "site", "left")
-    ok = F.coalesce(F.rlike("path", F.col("pattern")), F.lit(False))
-    best = hits.groupBy("site", "path").agg(F.max(F.when(ok, F.struct(F.length("rule").alias("n"), "allow", "rule"))).alias("best"))
+    # the rules of one file come to each of its paths as a list, so rows stay as many as paths
+    lists = mine.groupBy("site").agg(F.collect_list(F.struct(F.length("rule").alias("n"), "allow", "rule", "pattern")).alias("rules"))
+    fits = F.filter("rules", lambda r: F.rlike(F.col("path"), r["pattern"]))
+    best = paths.select("site", "path").distinct().join(lists.hint("merge"), "site", "left").select("site", "path", F.array_max(fits).alias("best"))
     return best.select("site", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"), F.col("best.rule").alias("rule"))
 
 
@@ -65,7 +66,8 @@ def instant(s: Column) -> Column:
 
 
 def _site_rows(df: DataFrame, level: str, rule: str, title: str, detail: Column, url: str = "site") -> DataFrame:
-    return df.select("site", F.col(url).alias("url"), F.lit(None).cast("long").alias("seq"), F.lit(level).alias("level"), F.lit(rule).alias("id"), F.lit(title).alias("title"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"))
+    evidence = F.col("evidence") if "evidence" in df.columns else F.lit(None).cast("string").alias("evidence")
+    return df.select("site", F.col(url).alias("url"), F.lit(None).cast("long").alias("seq"), F.lit(level).alias("level"), F.lit(rule).alias("id"), F.lit(title).alias("title"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"), evidence)
 
 
 def sitemap_findings(files: DataFrame, entries: DataFrame, as_of: Column) -> DataFrame:
@@ -85,23 +87,24 @@ def sitemap_findings(files: DataFrame, entries: DataFrame, as_of: Column) -> Dat
 
 def sitemap_not_indexable(entries: DataFrame, features: DataFrame, hidden: DataFrame) -> DataFrame:
     """Listed live pages that must not be indexed: one row for a site."""
-    listed = entries.select("site", F.col("loc").alias("url")).distinct().join(features.select("site", "url").distinct(), ["site", "url"], "left_semi").join(hidden, ["site", "url"], "left_semi")
-    return _site_rows(listed.groupBy("site").agg(F.count("*").alias("n")), "warn", "sitemap-not-indexable", "The sitemap lists pages that aren't to be indexed", F.col("n"))
+    listed = entries.select("site", F.col("loc").alias("url")).distinct().join(features.select("site", "url").distinct().hint("merge"), ["site", "url"], "left_semi").join(hidden.hint("merge"), ["site", "url"])
+    g = listed.groupBy("site", "reason").agg(F.count("*").alias("n")).groupBy("site").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "reason", "n"))), ", ").alias("evidence"))
+    return _site_rows(g, "warn", "sitemap-not-indexable", "The sitemap lists pages that aren't to be indexed", F.col("n"))
 
 
 def robots_findings(sites: DataFrame, bodies: DataFrame, entries: DataFrame, responses: DataFrame) -> DataFrame:
     """Missing or contradicting robots, sitemap and llms files. sites: site; bodies: site, body of robots.txt that answered well."""
     rules = robots_rules(bodies)
-    missing = _site_rows(sites.join(bodies, "site", "left_anti"), "warn", "robots-missing", "No robots.txt", F.lit(""))
+    missing = _site_rows(sites.join(bodies.hint("merge"), "site", "left_anti"), "warn", "robots-missing", "No robots.txt", F.lit(""))
     all_blocked = robots_verdicts(bodies.select("site", F.lit("/").alias("path")), rules).where("not allowed").select("site", "rule")
     blocked = _site_rows(all_blocked, "error", "robots-blocks-all", "Robots may not visit the site", F.col("rule"))
     silent = _site_rows(bodies.where(~F.col("body").rlike(r"(?im)^\s*sitemap\s*:")), "info", "robots-no-sitemap", "robots.txt names no sitemap", F.lit(""))
-    listed = entries.select("site", urls.path(F.col("loc")).alias("path")).join(all_blocked, "site", "left_anti")
+    listed = entries.select("site", urls.path(F.col("loc")).alias("path")).join(all_blocked.hint("merge"), "site", "left_anti")
     barred = robots_verdicts(listed, rules).where("not allowed").groupBy("site").agg(F.count("*").alias("n"))
     shut = _site_rows(barred, "error", "robots-blocks-sitemap-url", "Robots may not visit listed addresses", F.col("n"))
     llms = responses.where(F.col("url").endswith("/llms.txt") & F.col("status").between(200, 299)).select("site").distinct()
-    no_llms = _site_rows(sites.join(llms, "site", "left_anti"), "info", "llms-missing", "No llms.txt", F.lit(""))
-    no_map = _site_rows(sites.join(entries.select("site").distinct(), "site", "left_anti"), "warn", "no-sitemap", "No sitemap", F.lit(""))
+    no_llms = _site_rows(sites.join(llms.hint("merge"), "site", "left_anti"), "info", "llms-missing", "No llms.txt", F.lit(""))
+    no_map = _site_rows(sites.join(entries.select("site").distinct().hint("merge"), "site", "left_anti"), "warn", "no-sitemap", "No sitemap", F.lit(""))
     return missing.unionByName(blocked).unionByName(silent).unionByName(shut).unionByName(no_llms).unionByName(no_map)
 
 
@@ -119,7 +122,7 @@ def redirect_findings(rules: DataFrame, chains: DataFrame) -> DataFrame:
     """One row for a site and outcome, with its count. rules: src and dst absolute; chains: of (site, start)."""
     pattern = F.col("src").rlike(PLACEHOLDER)
     skipped = _site_rows(rules.where(pattern).groupBy("site").agg(F.count("*").alias("n")), "info", "redirect-pattern-skipped", "Rules with placeholders aren't followed", F.col("n"))
-    j = rules.where(~pattern).join(chains.withColumnRenamed("start", "src"), ["site", "src"])
+    j = rules.where(~pattern).join(chains.withColumnRenamed("start", "src").hint("merge"), ["site", "src"])
     hop, good = F.try_element_at("hops", F.lit(1))["status"], F.col("final_status").between(200, 299)
     moved = F.size(F.filter("hops", lambda h: h["status"].between(300, 399)))
     exact = F.col("dst").isNotNull() & ~F.col("dst").rlike(PLACEHOLDER)
@@ -127,4 +130,4 @@ def redirect_findings(rules: DataFrame, chains: DataFrame) -> DataFrame:
     kinds = F.when(hop.isNull() | F.col("final_status").isNull(), F.expr("cast(array() as array<string>)")).when(hop.isin(404, 410, 0), F.array(F.lit("redirect-dead"))).when(hop.between(200, 299), F.array(F.lit("redirect-not-applied"))).when(~good, F.array(F.lit("redirect-broken"))).otherwise(F.filter(later, lambda x: x.isNotNull()))
     g = j.select("site", F.explode(kinds).alias("id")).groupBy("site", "id").agg(F.count("*").alias("n"))
     level = F.when(F.col("id").isin("redirect-dead", "redirect-broken"), "error").otherwise("warn")
-    return skipped.unionByName(g.select("site", F.col("site").alias("url"), F.lit(None).cast("long").alias("seq"), level.alias("level"), "id", F.lit("Redirect rules don't work as written").alias("title"), F.col("n").cast("string").alias("detail")))
+    return skipped.drop("evidence").unionByName(g.select("site", F.col("site").alias("url"), F.lit(None).cast("long").alias("seq"), level.alias("level"), "id", F.lit("Redirect rules don't work as written").alias("title"), F.col("n").cast("string").alias("detail")))

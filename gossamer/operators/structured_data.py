@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
+from gossamer.operators import graph
 
-MAX_LEVELS = 20
 # Properties that a rich result of a type needs
 REQUIRED = {
     "Article": ["headline"],
@@ -26,24 +26,28 @@ IMAGE_KEYS = ["contentUrl", "image", "logo", "thumbnailUrl"]
 PRODUCT_NAME, PRODUCT_ONE_OF = "name", ["aggregateRating", "offers", "review"]
 
 
-def jsonld_nodes(features: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+def repeated_keys(spark) -> None:
+    """From now on the session reads JSON objects that repeat a key as browsers do: the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def jsonld_nodes(features: DataFrame) -> DataFrame:
     """(site, url, seq, block, path, types, keys, node): every typed node that isn't a mere reference.
 
-    All pages descend a level in each round of the union; a level without objects adds nothing.
+    All pages descend a level in each round, until none has objects or lists below; each level is a table of its own.
     """
-    spark = features.sparkSession
-    blocks = features.select("site", "url", "seq", F.posexplode("jsonld").alias("block", "raw")).select("site", "url", "seq", "block", F.try_parse_json(F.trim("raw")).alias("node")).where("node is not null")
-    blocks.createOrReplaceTempView("_jsonld_blocks")
-    walk = spark.sql(
-        f"""
-        WITH RECURSIVE walk(site, url, seq, block, path, node, level) AS (
-          SELECT site, url, seq, block, '$', node, 0 FROM _jsonld_blocks
-          UNION ALL
-          SELECT w.site, w.url, w.seq, w.block, w.path || '/' || coalesce(e.key, cast(e.pos AS string)), e.value, w.level + 1
-          FROM walk w, LATERAL variant_explode_outer(w.node) AS e
-          WHERE w.level < {levels} AND e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)<'
-        ) SELECT * FROM walk"""
-    )
+    repeated_keys(features.sparkSession)
+    blocks = features.select("site", "url", "seq", F.posexplode("jsonld").alias("block", "raw")).select("site", "url", "seq", "block", F.lit("$").alias("path"), F.try_parse_json(F.trim("raw")).alias("node"))
+    inner = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<")
+    level = graph.kept(blocks.where("node is not null"), "jsonld")
+    walk = level
+    while True:
+        # an array lists values by place, an object by key
+        parts = level.select("site", "url", "seq", "block", "path", F.explode(_parts()).alias("key", "value"))
+        level = graph.kept(parts.where(F.col("value").isNotNull() & inner).select("site", "url", "seq", "block", F.concat_ws("/", "path", "key").alias("path"), F.col("value").alias("node")), "jsonld")
+        if level.isEmpty():
+            break
+        walk = walk.unionByName(level)
     kind = F.schema_of_variant("node")
     members = F.map_keys(F.try_variant_get("node", "$", "map<string,variant>"))
     types = F.coalesce(F.try_variant_get("node", "$['@type']", "array<string>"), F.array(F.try_variant_get("node", "$['@type']", "string")))
@@ -51,6 +55,14 @@ def jsonld_nodes(features: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
     return typed.where((F.size("types") > 0) & ~(F.array_contains("keys", "@id") & (F.size("keys") <= 2))).select("site", "url", "seq", "block", "path", "types", "keys", "node")
 
 
+def _parts():
+    """A map of the members of an object, or of the items of a list by their place."""
+    members = F.try_variant_get("node", F.lit("$"), "map<string,variant>")
+    items = F.try_variant_get("node", F.lit("$"), "array<variant>")
+    places = F.transform(F.sequence(F.lit(1), F.size(items)), lambda k: (k - 1).cast("string"))
+    return F.coalesce(members, F.when(F.size(items) > 0, F.map_from_arrays(places, items)))
+
+
 def incomplete_nodes(nodes: DataFrame) -> DataFrame:
     """schema-incomplete: one row for each page, its distinct shortfalls joined."""
     spark = nodes.sparkSession
@@ -67,10 +79,13 @@ def incomplete_nodes(nodes: DataFrame) -> DataFrame:
 
 def missing_types(features: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """schema-expected: pages on a glob (rules: site, url_glob, type) without the type."""
-    want = features.select("site", "url", "seq", urls.path(F.col("url")).alias("path")).join(rules.select("site", "type", urls.glob_pattern(F.col("url_glob")).alias("pattern")), "site").where(F.rlike("path", F.col("pattern")))
+    want = features.select("site", "url", "seq", urls.path(F.col("url")).alias("path")).join(rules.select("site", "type", urls.glob_pattern(F.col("url_glob")).alias("pattern")).hint("merge"), "site").where(F.rlike("path", F.col("pattern")))
     have = nodes.select("site", "url", F.explode("types").alias("type")).distinct()
-    gone = want.select("site", "url", "seq", "type").distinct().join(have, ["site", "url", "type"], "left_anti")
-    return gone.select("site", "url", "seq", F.lit("error").alias("level"), F.lit("schema-expected").alias("id"), F.lit("Expected structured data is missing").alias("title"), F.col("type").alias("detail"))
+    gone = want.select("site", "url", "seq", "type").distinct().join(have.hint("merge"), ["site", "url", "type"], "left_anti")
+    declared = have.groupBy("site", "url").agg(F.array_join(F.slice(F.array_sort(F.collect_set("type")), 1, 10), ", ").alias("declared"))  # the types of one page
+    gone = gone.join(declared.hint("merge"), ["site", "url"], "left")
+    detail = F.concat(F.col("type"), F.lit("; has "), F.coalesce("declared", F.lit("none")))
+    return gone.select("site", "url", "seq", F.lit("error").alias("level"), F.lit("schema-expected").alias("id"), F.lit("Expected structured data is missing").alias("title"), detail.alias("detail"))
 
 
 def schema_images(nodes: DataFrame) -> DataFrame:

@@ -8,23 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.operators import crawl, cross_rules, features, findings, graph, page_rules, performance, response_rules, site_files, structured_data
+from gossamer.operators import crawl, cross_rules, features, findings, graph, options, page_rules, performance, response_rules, sampling, site_files, structured_data
 from gossamer.sources import responses as log
 
-COLUMNS = ["site", "url", "seq", "level", "id", "title", "detail"]
+COLUMNS = ["site", "url", "seq", "level", "id", "title", "detail", "evidence"]
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder: used by many rules, computed once."""
-    graph._checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+_kept = graph.kept
 
 
-def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None, shared_limits: dict | None = None, psi_sample: int = 3) -> tuple[DataFrame, DataFrame]:
     """(findings, run_summary) of all sites in `responses`.
 
     tables: responses; and, where there are any, sitemaps (site, url: explicit choice), certificates (host, not_after),
-    probes (site, url of a page that shouldn't exist), psi_payloads, redirect_map, site_limits, ignore_rules, expect_rules.
+    probes (site, url of a page that shouldn't exist), psi_payloads, psi_targets (site, entry: address, path or glob of
+    pages to measure), redirect_map, site_limits, ignore_rules, shared_ignore_rules (id, url_glob), expect_rules.
+    shared_limits: limits for sites that have none of their own in site_limits.
     caps: how many targets of a site are asked, by the id of the finding that reports the rest; without one, all are.
     """
     cap = (caps or {}).get
@@ -76,8 +75,9 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
     lengths = asked.groupBy("site", "url").agg(F.max(F.col("headers")["content-length"].try_cast("bigint")).alias("length"))
     nodes = structured_data.jsonld_nodes(live)
     hidden = _kept(findings.not_indexable(pages, live))
+    limits = sites if "site_limits" not in tables else sites.join(tables["site_limits"].hint("merge"), "site", "left")
     parts = [
-        page_rules.page_findings(pages, live, tables.get("site_limits")),
+        page_rules.page_findings(pages, live, options.site_limits(limits, shared_limits)),
         structured_data.incomplete_nodes(nodes),
         cross_rules.cross_page_findings(live, links, anchors, homes),
         cross_rules.depth_findings(live, depths, links, homes, truncated=left.where("left > 0")),
@@ -85,7 +85,7 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
         site_files.sitemap_not_indexable(entries, live, hidden),
         site_files.robots_findings(sites, robots, entries, get),
         crawl.run_findings(sites, asked, entries, pages, left),
-        response_rules.link_findings(response_rules.link_status(links, live, entries, statuses, cap("link-sweep-capped")), entries),
+        response_rules.link_findings(_kept(response_rules.link_status(links, live, entries, statuses, cap("link-sweep-capped"))), entries, links=links),
         response_rules.sweep(response_rules.link_targets(links, live, entries), cap("link-sweep-capped"), "link-sweep-capped")[1],
         response_rules.image_findings(live, assets, cap("image-sweep-capped")),
         response_rules.sweep(response_rules.image_targets(live), cap("image-sweep-capped"), "image-sweep-capped")[1],
@@ -107,6 +107,8 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
         parts.append(response_rules.certificate_findings(hosts, tables["certificates"], as_of))
     if "expect_rules" in tables:
         parts.append(structured_data.missing_types(live, nodes, tables["expect_rules"]))
+    if "psi_targets" in tables:
+        parts.append(sampling.sample_targets(tables["psi_targets"], pages, psi_sample)[1])
     if "psi_payloads" in tables:
         parts.append(performance.performance_findings(tables["psi_payloads"]))
     if "redirect_map" in tables:
@@ -117,10 +119,15 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
         rules = kept.select(rules.columns).unionByName(rules.where(F.col("src").rlike(site_files.PLACEHOLDER)))
         parts.append(more)
         parts.append(site_files.redirect_findings(rules, graph.redirect_chains(rules.select("site", F.col("src").alias("url")), get)))
-    found = reduce(DataFrame.unionByName, (p.select(F.col("seq").cast("long").alias("seq"), *(c for c in COLUMNS if c != "seq")) for p in parts)).select(COLUMNS)
+    bare = F.lit(None).cast("string").alias("evidence")
+    found = reduce(DataFrame.unionByName, (p.select(F.col("seq").cast("long").alias("seq"), *(c for c in COLUMNS[:-1] if c != "seq"), "evidence" if "evidence" in p.columns else bare) for p in parts)).select(COLUMNS)
     # of a site that never answers there is nothing else to say
     silent = found.where("id = 'unreachable'").select("site")
     found = _kept(found.join(silent.hint("merge"), "site", "left_anti").unionByName(found.where("id = 'unreachable'")))
-    kept = findings.apply_ignores(found, tables["ignore_rules"]) if "ignore_rules" in tables else found
-    ignored = findings.apply_ignores(found, tables["ignore_rules"], "left_semi") if "ignore_rules" in tables else found.limit(0)
-    return findings.tag_indexable(kept, hidden), findings.run_summary(pages, kept, hidden, ignored)
+    own, common = tables.get("ignore_rules"), tables.get("shared_ignore_rules")
+    kept, ignored = found, found.limit(0)
+    if own is not None or common is not None:
+        none = sites.select("site", F.lit("").alias("id"), F.lit("").alias("url_glob")).limit(0)
+        rules = options.ignore_rules(none if own is None else own, common)
+        kept, ignored = findings.apply_ignores(found, rules), findings.apply_ignores(found, rules, "left_semi")
+    return findings.tag_indexable(kept, hidden), findings.run_summary(pages, kept, hidden, ignored, files, as_of)

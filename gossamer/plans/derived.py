@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or an own one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: Markup of the page of document n; every part depends on n by arithmetic alone.
 MARKUP = """
 concat('<!DOCTYPE html><html', if(n % 5 = 0, '', ' lang="en"'), '><head>',
@@ -31,13 +22,13 @@ concat('<!DOCTYPE html><html', if(n % 5 = 0, '', ' lang="en"'), '><head>',
     when 3 then '<meta name="viewport" content="width=device-width, maximum-scale=1.5">'
     else '<meta name="viewport" content="width=device-width, initial-scale=1">' end,
   case n % 8 when 0 then '' when 1 then '<link rel="canonical" href="/a"><link rel="canonical" href="/b">'
-    when 2 then '<link rel="canonical" href="/elsewhere">' else concat('<link rel="canonical" href="', url, '">') end,
+    when 2 then '<link rel="canonical" href="/elsewhere">' when 3 then concat('<link rel="canonical" href="./', n, '">') else concat('<link rel="canonical" href="', url, '">') end,
   case n % 9 when 0 then '' when 1 then '<meta property="og:title" content="x">'
     when 2 then '<meta property="og:title" content="x"><meta property="og:description" content="x"><meta property="og:image" content="/i.webp">'
     else '<meta property="og:title" content="x"><meta property="og:description" content="x"><meta property="og:image" content="https://cdn.example/i.png"><meta property="og:image:width" content="9">' end,
   if(n % 23 = 0, '<meta http-equiv="refresh" content="0; url=/next">', ''),
   case n % 12 when 0 then concat('<link rel="alternate" hreflang="en_GB" href="', url, '">') when 1 then '<link rel="alternate" hreflang="de" href="https://other.example/">'
-    when 2 then concat('<link rel="alternate" hreflang="de-AT" href="', url, '">') else '' end,
+    when 2 then concat('<link rel="alternate" hreflang="de-AT" href="../', substring_index(url, '/', -2), '">') else '' end,
   if(n % 14 = 0, '<script src="http://cdn.example/x.js"></script>', ''),
   case n % 10 when 0 then '<script type="application/ld+json">{bad</script>' when 1 then '<script type="application/ld+json">{"name":"x"}</script>'
     when 2 then '<script type="application/ld+json">{"@type":"Product","offers":{"@type":"Offer"}}</script>'
@@ -47,6 +38,7 @@ concat('<!DOCTYPE html><html', if(n % 5 = 0, '', ' lang="en"'), '><head>',
   case n % 5 when 0 then '<img src="/i.png" width="1" height="1">' when 1 then '<img src="/i.png" alt="IMG_1234.jpg" width="1">'
     when 2 then '<img src="/i.svg" alt=" Photo " width="1" height="1">' when 3 then '<img src="/i.png" srcset="/i2.png 2x" alt="A cat" title="A cat" width=1 height=1><img alt="A cat"><img alt="a  cat">'
     else '<img src="/i.png" alt="" title="t" width="1" height="1" srcset="x">' end,
+  if(n % 20 = 9, concat('<img src="/l.svg" alt="', repeat('long ', 30), '" width="1" height="1">'), ''), if(n % 499 = 3, repeat('<!-- pad -->', 90000), ''),
   if(n % 2 = 0, '<a href="/more">Read more</a>', ''), '<p>', repeat('word ', cast(n % 600 as int)), '</p></main></body></html>')
 """
 
@@ -59,7 +51,7 @@ def crawl_of(documents: DataFrame) -> DataFrame:
     """A response for each document, which may also come as a stream: page n of the site of its source."""
     d = documents.select(F.col("doc_id").alias("n"), "source")
     d = d.withColumn("site", F.concat(F.lit("https://"), "source", F.lit(".example"))).withColumn("url", F.expr("concat(site, case n % 16 when 0 then '/Page' when 1 then '/a_b' when 2 then '/a%20b' else '/p' end, '/', n)"))
-    headers = F.expr("""map_from_entries(filter(array(struct('content-type' as key, 'text/html' as value), if(n % 13 = 0, struct('x-robots-tag' as key, 'noindex' as value), null),
+    headers = F.expr("""map_from_entries(filter(array(struct('content-type' as key, 'text/html' as value), if(n % 13 = 0, struct('x-robots-tag' as key, if(n % 2 = 0, 'all', 'noindex') as value), null),
         if(n % 2 = 0, struct('content-encoding' as key, 'gzip' as value), null)), x -> x is not null))""")
     status = F.expr("case when n % 17 = 0 then 301 when n % 19 = 0 then 404 else 200 end")
     return d.select("site", F.lit("GET").alias("method"), "url", F.col("n").alias("seq"), status.alias("status"), headers.alias("headers"), F.expr(MARKUP).alias("body"), F.lit("/moved").alias("location"), F.expr("cast(n % 10 * 100 + 50 as int)").alias("ms"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("fetched_at"))

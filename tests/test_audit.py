@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gossamer.functions import text, urls
-from gossamer.operators import features, findings, graph, page_rules, sampling, site_files
+from gossamer.operators import cross_rules, features, findings, graph, page_rules, response_rules, sampling, site_files, structured_data
 from gossamer.sources import responses
 
 HEAD = '<meta charset=utf-8><meta name=viewport content="width=device-width"><title>A title that is long enough</title>'
@@ -42,6 +42,48 @@ def test_resolve(spark, ref, want):
     assert d.select(urls.resolve(F.col("b"), F.col("r"))).first()[0] == want
 
 
+@pytest.mark.parametrize(
+    ("ref", "want"),
+    [
+        (" ../../../x ", "https://a.test/x"), ("..", "https://a.test/"), ("./%2E%2e/é?ü=a b#c d", "https://a.test/%C3%A9?%C3%BC=a%20b#c%20d"), ("#f", "https://a.test/d/p?k=1#f"), ("", "https://a.test/d/p?k=1"),
+        ("https://bücher.test/", "https://xn--bcher-kva.test/"), ("http:\\\\b.test\\c", "http://b.test/c"), ("http://U:p@B.test:8080", "http://U:p@b.test:8080/"), ("mailto:x@y", "mailto:x@y"), ("/a😀b", "https://a.test/a%F0%9F%98%80b"), (None, None),
+    ],
+)
+def test_resolve_hard(spark, ref, want):
+    d = spark.createDataFrame([("https://a.test/d/p?k=1#frag", ref)], "b string, r string")
+    out = d.select(urls.resolve(F.col("b"), F.col("r")).alias("o"))
+    assert out.first()[0] == want and "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_relative_canonical_and_alternates(spark):
+    """A page that names itself by a relative address is its own canonical page and alternate."""
+    r = crawl(spark, f'<html lang=en>{HEAD}<link rel=canonical href="/p0"><link rel=alternate hreflang=en href="./p0"><link rel=alternate hreflang=de href="//a.test/p1">', '<html lang=de><link rel=canonical href="gone"><link rel=alternate hreflang=de href="../p1"><link rel=alternate hreflang=en href="p0">')
+    f = features.page_features(r)
+    got = {(x["seq"], x["id"]) for x in page_rules.page_findings(r, f).collect()}
+    assert not got & {(0, "canonical-other"), (0, "hreflang-no-self"), (1, "hreflang-no-self"), (0, "canonical-missing")} and (1, "canonical-other") in got
+    assert [(x["url"][-1], x["reason"]) for x in findings.not_indexable(r, f).collect()] == [("1", "canonical-other")]
+    assert cross_rules.one_way_alternates(f).count() == 0
+    log = spark.createDataFrame([("https://a.test", "https://a.test/gone", 404, False, None)], "site string, url string, status int, noindex boolean, canonical string")
+    assert [(x["id"], x["detail"]) for x in response_rules.canonical_findings(f, log).collect()] == [("canonical-dead", "https://a.test/gone")]
+
+
+def test_structured_data_with_repeated_keys_and_depth(spark):
+    deep = '{"@type":"Event","x":' * 40 + "1" + "}" * 40
+    r = crawl(spark, '<script type="application/ld+json">{"@type":"Article","@type":"Recipe","name":"n"}</script>', f'<script type="application/ld+json">[{deep}]</script>', '<script type="application/ld+json">{"a":</script>')
+    f = features.page_features(r)
+    got = [(x["seq"], x["id"]) for x in page_rules.page_findings(r, f).collect()]
+    assert (0, "jsonld-invalid") not in got and (2, "jsonld-invalid") in got
+    nodes = structured_data.jsonld_nodes(f).collect()
+    assert [x["types"] for x in nodes if x["seq"] == 0] == [["Recipe"]] and sum(x["seq"] == 1 for x in nodes) == 40
+
+
+def test_links_of_a_page_once_each(spark):
+    r = crawl(spark, '<a href="/x" rel="nofollow">1</a><main><a href="./x">2</a><a href="https://b.test">3</a></main><a href="/x">4</a>')
+    got = {x["href"]: (x["pos"], x["in_main"], x["nofollow"], x["kind"]) for x in features.page_links(r).collect()}
+    assert got == {"https://a.test/x": (0, True, True, "internal"), "https://b.test/": (2, True, False, "external")}
+    assert "Exchange" not in features.page_links(r)._jdf.queryExecution().toString()
+
+
 def test_page_rules(spark):
     good = f'<html lang=en><head>{HEAD}<link rel=canonical href="https://a.test/p0"></head><body><h1>H</h1><h2>h</h2><img src=a.png width=1 height=1 srcset=x alt="A cat"></body></html>'
     got = ids(spark, good)
@@ -85,8 +127,35 @@ def test_redirect_map(spark):
 def test_corridor_depth_and_route(spark):
     links = spark.createDataFrame([("s", i, i + 1, i) for i in range(5)], "site string, src int, dst int, ord int")
     homes = spark.createDataFrame([("s", 0)], "site string, k int")
-    got = {r["k"]: (r["depth"], r["route"]) for r in graph.click_depth(links, homes).collect()}
-    assert got[5] == (5, [0, 1, 2, 3, 4, 5]) and len(got) == 6
+    depths = graph.click_depth(links, homes)
+    got = {r["k"]: (r["depth"], r["via"]) for r in depths.collect()}
+    assert got[5] == (5, 4) and got[0] == (0, None) and len(got) == 6
+    assert graph.routes(depths, spark.createDataFrame([("s", 5), ("s", 9)], "site string, k int")).first()["route"] == [0, 1, 2, 3, 4, 5]
+
+
+def test_ignore_rules_by_site_and_shared(spark, monkeypatch):
+    rows = [(s, f"https://{s}/{p}", 1, "warn", i, "", "") for s in ("a", "b") for p in ("x", "y") for i in ("slow", "noindex")]
+    table = spark.createDataFrame(rows, findings.SCHEMA)
+    rules = spark.createDataFrame([(None, "slow", "/x"), ("a", "noindex", None), ("a", "slow", "/x"), ("b", "other", None)], "site string, id string, url_glob string")
+    gone = {("a", "x", "slow"), ("b", "x", "slow"), ("a", "x", "noindex"), ("a", "y", "noindex")}
+    for sent in (10_000, 0):
+        monkeypatch.setattr(findings, "SENT_RULES", sent)
+        silent = [(r["site"], r["url"][-1], r["id"]) for r in findings.apply_ignores(table, rules, "left_semi").collect()]
+        assert sorted(silent) == sorted(gone)
+        assert {(r["site"], r["url"][-1], r["id"]) for r in findings.apply_ignores(table, rules).collect()} == {(s, u[-1], i) for s, u, _, _, i, _, _ in rows} - gone
+
+
+def test_long_corridor_has_no_bound(spark):
+    links = spark.createDataFrame([("s", i, i + 1, 0) for i in range(60)], "site string, src int, dst int, ord int")
+    homes = spark.createDataFrame([("s", 0)], "site string, k int")
+    assert graph.click_depth(links, homes).agg(F.max("depth")).first()[0] == 60
+    assert graph.click_depth(links, homes, 7).agg(F.max("depth")).first()[0] == 7
+
+
+def test_chains_prefer_get_and_the_latest(spark):
+    log = spark.createDataFrame([("s", "a", "HEAD", 404, None, 9), ("s", "a", "GET", 301, "b", 1), ("s", "b", "GET", 200, None, 1), ("s", "b", "GET", 410, None, 2)], "site string, url string, method string, status int, location string, seq int")
+    got = graph.redirect_chains(spark.createDataFrame([("s", "a"), ("s", "z")], "site string, url string"), log).collect()
+    assert {r["start"]: (r["final_url"], r["final_status"], len(r["hops"])) for r in got} == {"a": ("b", 410, 2), "z": ("z", None, 1)}
 
 
 def test_sample_and_globs(spark):
@@ -105,6 +174,19 @@ def test_every_rule_has_a_category(spark):
 def test_findings_round_trip(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"site": "s", "findings": [{"url": "u", "seq": 1, "level": "warn", "id": "slow", "title": "t", "detail": ""}]}')
     assert findings.read_findings(spark, str(tmp_path / "a.json")).first()["id"] == "slow"
+    (tmp_path / "c.json").write_text('{"site": "s",\n "findings": [{"url": "u",\n "id": "slow"}]}')
+    assert findings.read_findings(spark, str(tmp_path / "c.json"), whole_files=True).first()["id"] == "slow"
+    rows = [(f"s{i % 3}", f"u{i}", i, "warn", "slow", 'a "title"', "x\ny") for i in range(500)]
+    table = spark.createDataFrame(rows, findings.SCHEMA)
+    for kind in ("json", "parquet"):
+        findings.write_findings(table, str(tmp_path / kind), kind, "2026-01-01")
+    again = findings.read_findings(spark, str(tmp_path / "json"))
+    assert sorted(map(tuple, again.select(table.columns).collect())) == sorted(rows)
+    assert spark.read.text(str(tmp_path / "json")).count() <= 3 * findings.DOCUMENTS
+    assert {r["change"] for r in findings.diff(again, table).collect()} == {"unchanged"}
+    (tmp_path / "d.json").write_text("not json")
+    with pytest.raises(ValueError, match="not a findings"):
+        findings.read_findings(spark, str(tmp_path / "d.json"))
     (tmp_path / "b.json").write_text('{"site": "s"}')
     with pytest.raises(ValueError, match="not a findings"):
         findings.read_findings(spark, str(tmp_path / "b.json"))
