@@ -9,9 +9,11 @@ A byte goes when a string of LENGTH bytes that covers it also starts in a docume
 2. The windows that one anchor owns in a document are one stretch of bytes, its context. Equal contexts are one string
    with the smallest doc_id of their documents; a later document's context then goes as a whole. What is left to decide
    are anchors with several contexts that differ, as at the edges of a passage.
-3. Windows of these that no second document has leave, as anchors did, by counts of hashes. The rest forms groups: an anchor
-   and the smallest doc_id with a window, with runs of windows as strings, equal ones being one. All windows of a group
-   start in that one document, so its size bounds the group, however many documents share the passage.
+3. Two neighbouring windows share a core, all their bytes but one at either end. Cores of these contexts that no second
+   document has leave, with their windows, as anchors did, by counts of hashes. The rest forms groups: an anchor
+   and the smallest doc_id with a core, with the windows around runs of such cores as strings, equal ones being one. All cores of a group
+   start in that one document, so its size, times what one byte at either end can be, bounds the group, however many
+   documents share the passage.
 4. In each group, strings are cut into shards; each shard gets its own suffix order and
    Burrows-Wheeler transform. The transforms are merged by refining their interleave: in round k, reading the
    transforms in the current order and dealing each suffix's shard to the bucket of its preceding byte gives the
@@ -19,7 +21,7 @@ A byte goes when a string of LENGTH bytes that covers it also starts in a docume
    After LENGTH rounds, slots between boundaries are one repeated interval; no suffix is sorted again.
 5. Each interval's smallest doc_id decides for all its windows; spans go back to their documents.
 
-There is one plan for anchors of every size. Hashes only bring together what may be equal (96 bits for a window, 128 for a
+There is one plan for anchors of every size. Hashes only bring together what may be equal (96 bits for a core, 128 for a
 context, a doc_id and 64 bits for a document); steps 2 and 4 compare bytes.
 
 Defined results: a null text counts as empty; documents under LENGTH bytes keep everything; rows with a null doc_id
@@ -316,7 +318,7 @@ def _by_group(work, key: str):
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of windows of each context that have one `first`, as strings."""
+    """The windows of each context around runs of cores that have one `first`, as strings."""
     names = ["id", "h", "low"]
     for batch in batches:
         places = batch.column("place")
@@ -325,20 +327,25 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = batch.column("first").values.to_numpy()[cut[0] : cut[-1]]
         of = np.repeat(np.arange(len(batch)), np.diff(cut))
         new = np.ones(len(place), bool)
-        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1) | (first[1:] != first[:-1])
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 2) | (first[1:] != first[:-1])
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], len(place)) - 1
         take, contexts = of[begin], batch.column("context").to_pylist()
-        piece = [contexts[i][x : y + LENGTH] for i, x, y in zip(take.tolist(), place[begin].tolist(), place[stop].tolist(), strict=True)]
+        start = np.maximum(place[begin] - 1, 0)
+        piece = [contexts[i][x : y + LENGTH] for i, x, y in zip(take.tolist(), start.tolist(), place[stop].tolist(), strict=True)]
         at = pa.array(take)
-        columns = [batch.column(n).take(at) for n in names] + [pa.array(first[begin]), pa.array(place[begin]), pa.array(piece, pa.binary())]
+        columns = [batch.column(n).take(at) for n in names] + [pa.array(first[begin]), pa.array(start.astype(np.int32)), pa.array(piece, pa.binary())]
         yield pa.record_batch(columns, names=[*names, "first", "place", "piece"])
 
 
 def _shared_windows(several: DataFrame, tables: common.Tables) -> DataFrame:
-    """id and `gone` (places of windows that start in an earlier document) of contexts (id, h, low, context)."""
-    windows = several.select("id", "low", "h", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("place"))
-    w = F.xxhash64("h", F.substring(F.col("context"), F.col("place") + 1, F.lit(LENGTH)))
+    """id and `gone` (places of windows that start in an earlier document) of contexts (id, h, inner, low, context).
+
+    Places of cores are counted from the anchor, so that contexts which share a window share its core too.
+    """
+    places = F.sequence(F.col("inner") % 2, F.octet_length("context") - LENGTH + 1, F.lit(2))
+    windows = several.select("id", "low", "h", "context", F.explode(places).alias("place"))
+    w = F.xxhash64("h", F.substring(F.col("context"), F.col("place") + 1, F.lit(LENGTH - 1)))
     windows = windows.select((F.col("id") * 64 + F.col("place")).alias("at"), "low", F.shiftright("h", 32).cast("int").alias("v"), w.alias("w"))
     firsts = windows.groupBy("v", "w").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("v", "w", "first")
     firsts = tables.keep(firsts, "windows")
@@ -405,7 +412,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     distinct = contexts.groupBy("h", "c", "inner", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     distinct = tables.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-contexts")
     mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 and low < high").select("h")
-    several = tables.keep(distinct.select("id", "h", "low", "context").join(mixed.hint("shuffle_hash"), "h"), "mixed-contexts")
+    several = tables.keep(distinct.select("id", "h", "inner", "low", "context").join(mixed.hint("shuffle_hash"), "h"), "mixed-contexts")
     answers = distinct.select("h", "c", "id", "low", "high").join(_shared_windows(several, tables).hint("shuffle_hash"), "id", "left")
     answers = tables.keep(answers.where("low < high or gone is not null").select("h", "c", "low", "gone"), "answers")
     tables.drop("distinct-contexts", "mixed-contexts", "windows", "pieces")

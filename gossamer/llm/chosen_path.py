@@ -30,8 +30,8 @@ from . import common
 
 N, THRESHOLD = 5, 0.8
 DEPTH, BETA, RECALL = 3, 0.7, 0.999
-#: Sets that one brute-force comparison holds at once.
-BLOCK = 2000
+#: Sets, and bytes of sets, that a block of one brute-force comparison holds, give or take.
+BLOCK, BLOCK_BYTES = 2000, 8 << 20
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH, beta: float = BETA) -> int:
@@ -198,8 +198,10 @@ def _degrees(threshold: float):
 
 
 def _pairs(sets: DataFrame, key: str) -> DataFrame:
-    """key, block, i, j, rep: each set of a group of k blocks in all pairs i <= j of blocks that have its own."""
-    sized = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    """key, block, i, j, rep: each set (rep, bytes) of a group, dealt into k blocks, in all pairs i <= j of blocks that have its own."""
+    k = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    sized = sets.join(sets.groupBy(key).agg(k.alias("k")).hint("merge"), key)
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return sized.select(key, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep")
 
 
@@ -208,26 +210,26 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     spark = docs.sparkSession
     sets = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(_sets(n), "doc_id long, row long, set_key binary, tokens binary"), "shingle-sets")
     # a number for each set: one doc_id may have several
-    classes = sets.where("doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id())
+    classes = sets.where("doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.max(F.octet_length("tokens")).alias("bytes")).withColumn("rep", F.monotonically_increasing_id())
     classes = common.materialize(classes, "set-classes")
 
     paths = common.materialize(sets.where("doc_id is not null").mapInArrow(_paths(runs_for(recall, threshold)), "path long, set_key binary").distinct(), "paths")
     leaf = paths.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("sig"), F.min("set_key").alias("low")).where("n > 1")
     # leaves of the same sets need one comparison
-    once = leaf.groupBy("n", "sig", "low").agg(F.min("path").alias("path")).select("path", "n")
-    members = common.materialize(paths.join(once.hint("shuffle_hash"), "path").join(classes.select("set_key", "rep").hint("merge"), "set_key").select("path", "n", "rep"), "leaf-members")
+    once = leaf.groupBy("n", "sig", "low").agg(F.min("path").alias("path")).select("path")
+    members = common.materialize(paths.join(once.hint("shuffle_hash"), "path").join(classes.select("set_key", "rep", "bytes").hint("merge"), "set_key").select("path", "rep", "bytes"), "leaf-members")
 
     needed = members.select("rep").distinct()
     content = sets.withColumnRenamed("doc_id", "first").join(classes.hint("merge"), ["first", "set_key"]).join(needed.hint("merge"), "rep", "left_semi").select("rep", "tokens").dropDuplicates(["rep"])
     content = common.materialize(content, "leaf-sets")
 
-    blocks = _pairs(members.withColumn("k", F.ceil(F.col("n") / BLOCK)), "path")
+    blocks = _pairs(members, "path")
     dealt = blocks.join(content.hint("merge"), "rep").repartition(F.col("path"), F.col("i"), F.col("j")).sortWithinPartitions("path", "i", "j")
     found = common.components(dealt.mapInArrow(_links(threshold), "src long, dst long"))
     found = common.materialize(found.withColumnRenamed("node", "rep"), "connected")
 
     if links:
-        sized = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("k")).hint("merge"), "component")
+        sized = common.materialize(found.join(classes.select("rep", "bytes").hint("merge"), "rep"), "sized")
         dealt = _pairs(sized, "component").join(content.hint("merge"), "rep")
         dealt = dealt.repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j")
         degree = dealt.mapInArrow(_degrees(threshold), "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))

@@ -28,7 +28,7 @@ from . import common
 #: A comment, declaration or tag. Quotes count only after an equals sign; possessive, so that nothing is read twice.
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)(>|\Z)?",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)(>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -126,7 +126,7 @@ def tree(page: str) -> tuple[Node, list[Node]]:
             open_.here.children.append(m[0][9:].removesuffix("]]>"))
         if not name:
             continue
-        if m[4] is None or m[4] == "":  # the page ends within a tag, which browsers drop
+        if not m[4]:  # the page ends within a tag, which browsers drop
             break
         if m[1]:
             if not open_.end(name) and name == "br":

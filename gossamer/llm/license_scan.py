@@ -14,7 +14,7 @@ without any are left out without loss.
 
 Defined results: a null or empty text has no licence of its own, but may inherit; ties of templates prefer the first
 id in order; of several licence files of a folder the highest score speaks for it, ties by template, then path; a
-null path neither gives nor inherits; repeated rows of one path are read as one file and each returned; an empty table gives an empty
+null path neither gives nor inherits; rows of one path are read as one file and each returned; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -118,9 +118,11 @@ def own_licenses(files: DataFrame) -> DataFrame:
     weigh = lambda asked: asked.distinct().join(seen.hint("merge"), "term", "left").select("term", F.log1p(n / F.coalesce("df", F.lit(1))).alias("idf"))
     wanted = common.materialize(_vectors(known, ["template", "license"], weigh(known.select("term"))), "templates")
 
-    keyed = _lines(files.where("path is not null").distinct()).where(F.arrays_overlap("terms", F.array(*map(F.lit, _keys(wanted)))))
+    keys = F.array(*map(F.lit, _keys(wanted)))
+    # lines of files without a key are never split off
+    near = files.where(F.col("path").isNotNull() & F.arrays_overlap(terms(F.col("text")), keys))
+    keyed = _lines(near).where(F.arrays_overlap("terms", keys))
     units = common.materialize(keyed.select("path", F.explode(_windows()).alias("u")).select("path", "u.size", "u.w").distinct(), "licence-units")
-    near = files.where("path is not null").distinct().join(units.select("path").distinct().hint("merge"), "path", "left_semi")
     rows = _lines(near).select("path", "terms", F.explode(_windows()).alias("u")).select("path", "u.size", "u.w", "terms").join(units.hint("merge"), ["path", "size", "w"], "left_semi")
     rows = common.materialize(rows.select("path", "size", "w", F.explode("terms").alias("term")), "licence-terms")
     # as many rows as the templates have terms

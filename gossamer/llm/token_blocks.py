@@ -50,7 +50,7 @@ CALL_WORDS = 2000
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII punctuation, without the apostrophe, which may belong to a contraction.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -132,7 +132,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.held = Tokenizer.from_file(path), {}, 0
-        self.several: set[bytes] = set()  # words of letters that give several pieces of the splitting
+        self.several: set[str] = set()  # words of letters that give several pieces of the splitting
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         parts = (shape["normalizer"] or {}).get("normalizers", [])
@@ -148,61 +148,62 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, encoded together where each ends in just one id that ends a word."""
         out = []
         for k in range(0, len(words), CALL_WORDS):
             part = words[k : k + CALL_WORDS]
-            raw = self._ids([b" ".join(part).decode()])[0]
-            stop = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
-            if len(stop) == len(part) and 4 * stop[-1] == len(raw):  # each word gives one end at least, so each gave one
-                out += [raw[4 * a : 4 * b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+            raw = self._ids([" ".join(part)])[0]
+            stop = (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            if len(stop) == len(part) and stop[-1] == len(raw):  # each word gives one end at least, so each gave one
+                out += [raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
             else:
-                found = self._ids([w.decode() for w in part])
+                found = self._ids(part)
                 self.several.update(w for w, ids in zip(part, found, strict=True) if self.ends[np.frombuffer(ids, "<u4")].sum() != 1)
                 out += found
         return out
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words. A word of letters with ASCII punctuation behind it is encoded as two."""
-        known, cut, letters, other = {}, {}, set(), set()
+        cut, letters, other = {}, set(), set()
         for w in words:
             core = w.rstrip(TAIL)
-            if core.decode().isalpha():
+            if core.isalpha():
                 letters.add(core)
                 if len(core) < len(w):
                     cut[w] = core
-                    other.add(w[len(core) :])
             else:
                 other.add(w)
-        for group, encode in ((letters, self._one_by_one), (other, lambda ws: self._ids([w.decode() for w in ws]))):
+        other.update(w[len(core) :] for w, core in cut.items())
+        known = {}
+        for group, encode in ((letters, self._one_by_one), (other, self._ids)):
             for w in group & self.cache.keys():
                 known[w] = self.cache[w]
-            new = list(group - self.cache.keys())
+            new = list(group - known.keys())
             known.update(zip(new, encode(new), strict=True))
         for w, core in cut.items():
             # a core in several pieces may end in a mark that joins what follows
-            known[w] = self._ids([w.decode()])[0] if core in self.several else known[core] + known[w[len(core) :]]
+            known[w] = self._ids([w])[0] if core in self.several else known[core] + known[w[len(core) :]]
         return known
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: pa.Array) -> list[bytes]:
         """Ids of distinct words, from what is known or learned."""
         if self.held > CACHE_BYTES:
             self.cache.clear()
             self.several.clear()
             self.held = 0
         # lower-casing changes nothing for the tokenizer, but lets fewer words be learned
-        keys = [(w.lower() if w.isascii() and "<" not in w else w).encode() for w in words]
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+        keys = pc.if_else(plain, pc.ascii_lower(words), words).to_pylist()
         cache = self.cache
         new = set(keys) - cache.keys()
         if not new:
             return [cache[k] for k in keys]
         found = self._learn(new)
-        out = [found[k] if k in found else cache[k] for k in keys]
-        for w, ids in found.items():
-            if len(w) <= CACHE_WORD and w not in cache:
-                cache[w] = ids
-                self.held += 200 + len(w) + len(ids)
+        out = [found[k] if k in new else cache[k] for k in keys]
+        short = {w: ids for w, ids in found.items() if len(w) <= CACHE_WORD}
+        cache.update(short)
+        self.held += 200 * len(short) + sum(map(len, short.values()))
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +214,7 @@ class WordEncoder:
             return np.frombuffer(b"".join(parts), "<u4"), np.array([len(b) // 4 for b in parts], np.int64)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        known = self._words(coded.dictionary.to_pylist())
+        known = self._words(coded.dictionary)
         flat, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(b) // 4 for b in known], np.int64)
         at = coded.indices.to_numpy()
         stop = np.concatenate([[0], np.cumsum(size[at])])
