@@ -8,9 +8,9 @@ compared with templates: headers, short statements, SPDX lines and full texts. A
 template's, if the cosine reaches MIN_SCORE. A licence file also speaks for its folder and all folders below: a file
 without a licence of its own inherits that of the nearest ancestor folder that has one. Only DataFrame functions.
 
-Which units are scored follows from MIN_SCORE alone. The lightest terms of a template whose weights' root sum of squares stays
-below MIN_SCORE can't give that cosine by themselves, so a unit that reaches it has one of the others, its keys; units
-without any are left out without loss.
+Which units are scored follows from MIN_SCORE alone. Terms of a template whose weights' root sum of squares stays below MIN_SCORE can't give that cosine by themselves,
+so a unit that reaches it has one of the others, its keys; the most common terms are set aside first. Units without any key are
+left out without loss.
 
 Defined results: a null or empty text has no licence of its own, but may inherit; ties of templates prefer the first
 id in order; of several licence files of a folder the highest score speaks for it, ties by template, then path; a
@@ -100,10 +100,10 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("text", r"\n")).alias("line", "body")).select("path", "line", terms(F.col("body")).alias("terms"))
 
 
-def _keys(vectors: DataFrame) -> list[str]:
-    """Terms of the templates without which no unit reaches MIN_SCORE: at most as many as the templates have."""
-    light = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0))
-    heavy = vectors.withColumn("light", light).where(F.col("light") >= MIN_SCORE * MIN_SCORE * 0.999)
+def _keys(vectors: DataFrame, idf: DataFrame) -> list[str]:
+    """Terms of the templates of which a unit that reaches MIN_SCORE has one: at most as many as the templates have."""
+    light = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0))
+    heavy = vectors.join(idf.hint("merge"), "term").withColumn("light", light).where(F.col("light") >= MIN_SCORE * MIN_SCORE * 0.999)
     return sorted(r["term"] for r in heavy.select("term").distinct().collect())
 
 
@@ -116,9 +116,10 @@ def own_licenses(files: DataFrame) -> DataFrame:
     seen = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     seen = common.materialize(seen, "document-frequencies")
     weigh = lambda asked: asked.distinct().join(seen.hint("merge"), "term", "left").select("term", F.log1p(n / F.coalesce("df", F.lit(1))).alias("idf"))
-    wanted = common.materialize(_vectors(known, ["template", "license"], weigh(known.select("term"))), "templates")
+    common_first = weigh(known.select("term"))
+    wanted = common.materialize(_vectors(known, ["template", "license"], common_first), "templates")
 
-    keys = F.array(*map(F.lit, _keys(wanted)))
+    keys = F.array(*map(F.lit, _keys(wanted, common_first)))
     # lines of files without a key are never split off
     near = files.where(F.col("path").isNotNull() & F.arrays_overlap(terms(F.col("text")), keys))
     keyed = _lines(near).where(F.arrays_overlap("terms", keys))
