@@ -486,7 +486,7 @@ def test_network_and_machine_equal_plain_sums():
         hidden = [max(0.0, sum(z[i] * w1[i, j] for i in range(len(z))) + b1[j]) for j in range(len(b1))]
         logit = sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]
         assert abs(p - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-9
-    lists = [np.array(sorted(rng.choice(40, rng.randint(0, 12), replace=False))) + (100 if k % 2 else 0) for k in range(400)]
+    lists = [np.array(sorted(rng.choice(40, rng.randint(0, 12), replace=False)), np.int64) + (100 if k % 2 else 0) for k in range(400)]
     machine = toxicity.FactorizationMachine(lists, np.array([k % 2 for k in range(400)], float))
     terms = np.flatnonzero(machine.active)
     assert len(terms) > 10
