@@ -191,6 +191,30 @@ def tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS, low
     return s, np.concatenate(hashes), np.concatenate(lengths), np.searchsorted(s, offsets)
 
 
+def split(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of concatenated texts as strings, the start byte of each, and whether it is the first of its piece.
+
+    Kind 0 of a byte stands between words, 1 in words, 2 between words that are of two pieces; texts are pieces too.
+    """
+    kind = kinds[data]
+    inside = kind == 1
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    ends = offsets[1:-1]
+    ends = ends[ends < len(data)]
+    new[ends] = inside[ends]
+    starts = np.flatnonzero(new)
+    held = np.cumsum(inside)
+    bounds = np.append(held[starts] - 1, held[-1] if len(held) else 0)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    breaks = (kind == 2).astype(np.int32)
+    breaks[ends] += 1
+    piece = np.cumsum(breaks)[starts]
+    opens = np.ones(len(starts), bool)
+    opens[1:] = piece[1:] != piece[:-1]
+    return words, starts, opens
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words."""
     m = len(hashes) - n + 1

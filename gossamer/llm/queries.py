@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, chosen_path, common, decontaminate, exact_dedup, html_text, license_scan, piece_viterbi, quality, token_blocks, toxicity
+from . import bwt_dedup, chosen_path, common, decontaminate, exact_dedup, html_text, license_scan, periodic_runs, piece_viterbi, quality, token_blocks, toxicity
 
 
 def _scored(spark: SparkSession, sf_dir: str, model, label: str, mod: int, rest: int) -> DataFrame:
@@ -106,6 +106,10 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(common.documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.with_loops(common.documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_join": op10_near_join,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_license_scan": OP1_SQL, "op9_exact_dedup": OP9_SQL}
