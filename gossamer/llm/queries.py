@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, chosen_path, common, decontaminate, exact_dedup, html_text, license_scan, periodic_runs, piece_viterbi, quality, token_blocks, toxicity
+from . import bwt_dedup, chosen_path, collocations, common, decontaminate, exact_dedup, html_text, license_scan, periodic_runs, piece_viterbi, quality, token_blocks, toxicity
 
 
 def _scored(spark: SparkSession, sf_dir: str, model, label: str, mod: int, rest: int) -> DataFrame:
@@ -106,6 +106,27 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(common.documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(common.documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 5) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT c.*, k, h.f AS l, t.f AS r, (2000000::HUGEINT * a) // (h.f + t.f) AS score FROM c, range(1, 4) x(k)
+         JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(w[1:k], ' ') JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(w[k + 1:], ' ') WHERE k < c.m),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 4) y(s), range(1, 4) z(i) WHERE s < m AND i + s - 1 <= m GROUP BY ALL)
+SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, encode(q.phrase)) AS rank, q.phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest q JOIN totals ON totals.lang = q.lang LEFT JOIN inner_of i ON i.lang = q.lang AND i.phrase = q.phrase
+WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, TRUE) QUALIFY rank <= 2000
+"""
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.with_loops(common.documents(spark, sf_dir)))
 
@@ -121,9 +142,10 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_join": op10_near_join,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op1_license_scan": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE = {"op1_license_scan": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_collocations": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
