@@ -67,7 +67,7 @@ class _Slice:
     def rows(self, lang: np.ndarray, parts: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
         """Counts of phrases; parts: the numbers of their first, second ... words."""
         words = [self.vocabulary.take(pa.array(p)) for p in parts]
-        phrase = pc.binary_join_element_wise(*words, " ") if words else pa.array([""] * len(n))
+        phrase = pc.binary_join_element_wise(*words, " ") if words else pa.array([""] * len(n), pa.string())
         return pa.record_batch([self.langs.take(pa.array(lang)), pa.array(np.full(len(n), len(parts), np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
     def pair_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, chosen_path, collocations, common, decontaminate, exact_dedup, html_text, license_scan, periodic_runs, piece_viterbi, quality, token_blocks, toxicity
+from . import best_fit, bwt_dedup, chosen_path, collocations, common, decontaminate, exact_dedup, html_text, license_scan, periodic_runs, piece_viterbi, quality, token_blocks, toxicity
 
 
 def _scored(spark: SparkSession, sf_dir: str, model, label: str, mod: int, rest: int) -> DataFrame:
@@ -131,6 +131,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.with_loops(common.documents(spark, sf_dir)))
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.packed_documents(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -144,6 +148,7 @@ QUERIES = {
     "op10_near_join": op10_near_join,
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit": op13_best_fit,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_license_scan": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op11_collocations": OP11_SQL}
