@@ -49,6 +49,51 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(decoded(F.coalesce(quoted, single, bare)), F.when(tag.rlike(rf"{start}(?=[\s/>])"), F.lit("")))
 
 
+# Fixed value: a name that isn't part of a longer or bound one, and a value in double quotes, single quotes or none
+TOKEN = r"""(?i)(?<![-:\[\w])[a-z][a-z0-9-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'`=<>]+)|(?=[\s/>]))"""
+
+#: Double quotes within single ones, or a value apart from its equals sign: what one pass may take for something else.
+ODD = r"""='[^']*"|=\s+[^\s"']"""
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def attributes(tag: Column) -> Column:
+    """A tag with its attributes, read in one pass: a struct of the tag and a map of lower-case names to values. Of one name, double-quoted values come first, then single-quoted, bare and valueless ones."""
+
+    def entry(token: Column, at: Column) -> Column:
+        name = F.lower(F.substring_index(token, "=", 1))
+        value = F.ltrim(F.substring(token, F.length(name) + 2, F.length(token)), F.lit(" \t\n\x0b\f\r"))
+        quote = F.substring(value, 1, 1)
+        form = F.when(quote == '"', 0).when(quote == "'", 1).when(F.contains(token, F.lit("=")), 2).otherwise(3)
+        inner = F.when(form < 2, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(F.rtrim(name, F.lit(" \t\n\x0b\f\r")).alias("k"), form.alias("form"), at.alias("at"), F.when(inner.contains("&"), decoded(inner)).otherwise(inner).alias("v"))
+
+    def as_map(entries: Column) -> Column:
+        names = F.array_distinct(entries["k"])
+        best = lambda n: F.array_min(F.filter(entries, lambda e: e["k"] == n))
+        return F.when(F.size(names) == F.size(entries), F.map_from_arrays(entries["k"], entries)).otherwise(F.map_from_arrays(names, F.transform(names, best)))
+
+    tokens = F.regexp_extract_all(tag, F.lit(TOKEN), F.lit(0))
+    return F.struct(tag.alias("tag"), tag.rlike(ODD).alias("odd"), let(F.transform(tokens, entry), as_map).alias("map"))
+
+
+def read(tag: Column, name: str) -> Column:
+    """attribute() of a tag with its map.
+
+    The tag itself is searched only where its map can't tell: where it is odd; or where the name stands within a value, too, while the
+    map lacks it or has it without double quotes.
+    """
+    low, found = F.lower(tag["tag"]), tag["map"][name]
+    rest = F.length(low) - F.length(F.replace(low, F.lit(name), F.lit("")))
+    sure = F.map_contains_key(tag["map"], name) & ((found["form"] == 0) | (rest == len(name)))
+    return F.when(~tag["odd"] & sure, found["v"]).when(rest > 0, attribute(tag["tag"], name))
+
+
+
 def words(text: Column) -> Column:
     """Words of a text; of unspaced scripts, two characters count as a word."""
     unspaced = F.regexp_count(text, F.lit(UNSPACED))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gossamer.functions.text import let
+
 NOT_A_PAGE = r"(?i)^(#|mailto:|tel:|javascript:|data:)"
 
 
@@ -28,11 +30,6 @@ def key(url: Column) -> Column:
     return bare(F.regexp_replace(F.coalesce(url, F.lit("")), "#.*$", ""))
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with the value computed once, however often f uses it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _encoded(s: Column, safe: str) -> Column:
     """s with the UTF-8 bytes of every character outside the set `safe` percent-encoded."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.functions.text import attribute, collapsed, decoded, first, plain, trimmed, units, words
+from gossamer.functions.text import attribute, attributes, collapsed, decoded, first, let, plain, read, trimmed, units, words
 
 # What counts as a script or style, an address in a tag's attribute, a picture, a named link
 SCRIPTS = r"(?is)<script.*?</script>|<style.*?</style>"
@@ -24,29 +24,37 @@ def _sections(responses: DataFrame) -> DataFrame:
 
 
 def _tags(source: str, name: str) -> Column:
-    return F.regexp_extract_all(F.col(source), F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
+    """All tags of a name, each with a map of its attributes."""
+    return F.transform(F.regexp_extract_all(F.col(source), F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0)), attributes)
+
+
+def _is(tag: Column, name: str, value: str) -> Column:
+    return F.lower(F.coalesce(read(tag, name), F.lit(""))) == value
 
 
 def _meta(key: str, value: str) -> Column:
     """Content of the first meta element with this key."""
-    hit = F.filter("metas", lambda t: F.lower(F.coalesce(attribute(t, key), F.lit(""))) == value)
-    return attribute(F.try_element_at(hit, F.lit(1)), "content")
+    return read(F.try_element_at(F.filter("metas", lambda t: _is(t, key, value)), F.lit(1)), "content")
 
 
 def _meta_map(key: str, prefix: str) -> Column:
     """Later elements win."""
-    hit = F.filter("metas", lambda t: F.coalesce(attribute(t, key), F.lit("")).startswith(prefix))
-    pairs = F.transform(hit, lambda t: F.struct(attribute(t, key).alias("k"), attribute(t, "content").alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.try_element_at(F.filter(pairs, lambda p: p["k"] == n), F.lit(-1))["v"]))
+
+    def as_map(pairs: Column) -> Column:
+        names = F.array_distinct(pairs["k"])
+        last = lambda n: F.try_element_at(F.filter(pairs, lambda p: p["k"] == n), F.lit(-1))["v"]
+        return F.when(F.size(names) == F.size(pairs), F.map_from_arrays(pairs["k"], pairs["v"])).otherwise(F.map_from_arrays(names, F.transform(names, last)))
+
+    hit = F.filter("metas", lambda t: F.coalesce(read(t, key), F.lit("")).startswith(prefix))
+    return let(F.transform(hit, lambda t: F.struct(read(t, key).alias("k"), read(t, "content").alias("v"))), as_map)
 
 
 def _images() -> Column:
     def image(tag: Column) -> Column:
-        read = [attribute(tag, a).alias(a) for a in ("src", "alt", "width", "height", "srcset", "loading", "role", "title")]
-        src = attribute(tag, "src")
-        inside = F.exists("pictures", lambda p: (src != "") & p.contains(src))
-        return F.struct(*read, tag.rlike(r"(?i)[:\[]alt\b").alias("alt_bound"), F.coalesce(inside, F.lit(False)).alias("in_picture"))
+        names = [read(tag, a).alias(a) for a in ("src", "alt", "width", "height", "srcset", "loading", "role", "title")]
+        src = read(tag, "src")
+        inside = (F.col("pictures") != "") & (src != "") & F.col("pictures").contains(src)
+        return F.struct(*names, tag["tag"].rlike(r"(?i)[:\[]alt\b").alias("alt_bound"), F.coalesce(inside, F.lit(False)).alias("in_picture"))
 
     return F.transform(_tags("markup", "img"), image)
 
@@ -54,14 +62,13 @@ def _images() -> Column:
 def page_features(responses: DataFrame) -> DataFrame:
     """One row for each ok HTML response: everything that the rules read from its markup."""
     d = _sections(responses).withColumn("metas", _tags("markup", "meta")).withColumn("links", _tags("markup", "link"))
-    d = d.withColumn("pictures", F.regexp_extract_all("markup", F.lit(r"(?is)<picture.*?</picture>"), F.lit(0)))
-    rel = lambda value: F.filter("links", lambda t: F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))) == value)
-    absolute = lambda ref: urls.let(ref, lambda r: F.when(r != "", urls.resolve(F.col("url"), r)))
-    charset = F.filter(F.transform("metas", lambda t: attribute(t, "charset")), lambda c: c.isNotNull())
-    loaded = F.filter(
-        F.regexp_extract_all("html", F.lit(r"(?i)<(?:img|script|iframe|video|audio|source|embed|track|input|object|link)\b[^>]*>"), F.lit(0)),
-        lambda t: ~t.rlike("(?i)^<link") | F.coalesce(attribute(t, "rel"), F.lit("")).rlike(r"(?i)stylesheet"),
-    )
+    # all pictures in one text, so that an image is looked for once
+    d = d.withColumn("pictures", F.array_join(F.regexp_extract_all("markup", F.lit(r"(?is)<picture.*?</picture>"), F.lit(0)), "\u0001"))
+    rel = lambda value: F.filter("links", lambda t: _is(t, "rel", value))
+    absolute = lambda ref: let(ref, lambda r: F.when(r != "", urls.resolve(F.col("url"), r)))
+    charset = F.filter(F.transform("metas", lambda t: read(t, "charset")), lambda c: c.isNotNull())
+    is_link = lambda t: t["tag"].rlike("(?i)^<link")
+    loaded = F.filter(_tags("html", "(?:img|script|iframe|video|audio|source|embed|track|input|object|link)"), lambda t: ~is_link(t) | F.coalesce(read(t, "rel"), F.lit("")).rlike(r"(?i)stylesheet"))
     return d.select(
         "site",
         "url",
@@ -76,8 +83,8 @@ def page_features(responses: DataFrame) -> DataFrame:
         _meta("name", "viewport").alias("viewport"),
         attribute(first(F.col("markup"), r"(?i)<html\b[^>]*>"), "lang").alias("lang"),
         F.coalesce(F.try_element_at(charset, F.lit(1)), F.when(F.col("head").rlike("(?i)charset="), F.lit("declared"))).alias("charset"),
-        F.filter(F.transform(rel("canonical"), lambda t: absolute(attribute(t, "href"))), lambda h: h.isNotNull()).alias("canonical_refs"),
-        F.filter(F.transform(rel("alternate"), lambda t: F.struct(attribute(t, "hreflang").alias("lang"), absolute(attribute(t, "href")).alias("href"))), lambda x: F.coalesce(x["lang"], F.lit("")) != "").alias("hreflang"),
+        F.filter(F.transform(rel("canonical"), lambda t: absolute(read(t, "href"))), lambda h: h.isNotNull()).alias("canonical_refs"),
+        F.filter(F.transform(rel("alternate"), lambda t: F.struct(read(t, "hreflang").alias("lang"), absolute(read(t, "href")).alias("href"))), lambda x: F.coalesce(x["lang"], F.lit("")) != "").alias("hreflang"),
         _meta_map("property", "og:").alias("og"),
         _meta_map("name", "twitter:").alias("twitter"),
         F.transform(F.regexp_extract_all("markup", F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), plain).alias("h1"),
@@ -87,58 +94,70 @@ def page_features(responses: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)).alias("jsonld"),
         words(plain(F.col("main"))).alias("words"),
         units(F.coalesce("body", F.lit(""))).cast("long").alias("html_units"),
-        F.filter(F.transform(loaded, lambda t: F.coalesce(attribute(t, "src"), F.when(t.rlike("(?i)^<link"), attribute(t, "href")))), lambda u: u.isNotNull()).alias("subresources"),
+        F.filter(F.transform(loaded, lambda t: F.coalesce(read(t, "src"), F.when(is_link(t), read(t, "href")))), lambda u: u.isNotNull()).alias("subresources"),
         *_link_counts(),
     )
 
 
 def _hrefs(source: str) -> Column:
-    anchors = F.regexp_extract_all(source, F.lit(r"(?i)<a\b[^>]*>"), F.lit(0))
-    return F.filter(F.transform(anchors, lambda t: F.struct(attribute(t, "href").alias("href"), attribute(t, "rel").alias("rel"))), lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike(urls.NOT_A_PAGE))
+    found = F.transform(_tags(source, "a"), lambda t: F.struct(read(t, "href").alias("href"), read(t, "rel").alias("rel")))
+    return F.filter(found, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike(urls.NOT_A_PAGE))
+
+
+def _nofollow(a: Column) -> Column:
+    return F.coalesce(a["rel"], F.lit("")).rlike(r"(?i)(^|\s)nofollow(\s|$)")
 
 
 def _link_counts() -> list[Column]:
-    """Internal links by their form alone: on the origin, or relative."""
-    inside = lambda a: F.when(a["href"].rlike(r"^(?i:[a-z][\w+.-]*:)?//"), F.startswith(F.lower(a["href"]), F.col("site"))).otherwise(F.lit(True))
-    nofollow = lambda a: F.coalesce(a["rel"], F.lit("")).rlike(r"(?i)(^|\s)nofollow(\s|$)")
+    """Whether the main part links to a page of the origin; and the pages of the origin, other than this one, that links with nofollow lead to."""
+    home = urls.origin(F.col("url"))
+    full = lambda a: urls.resolve(F.col("url"), a["href"])
+    barred = F.filter(F.transform(F.filter(_hrefs("markup"), _nofollow), full), lambda u: F.startswith(u, home))
+    barred = F.array_distinct(F.transform(barred, lambda u: F.substring_index(u, "#", 1)))
     return [
-        F.size(F.filter(_hrefs("main"), inside)).alias("internal_in_main"),
-        F.array_distinct(F.transform(F.filter(_hrefs("markup"), lambda a: inside(a) & nofollow(a)), lambda a: a["href"])).alias("nofollow_internal"),
+        F.exists(_hrefs("main"), lambda a: F.coalesce(F.startswith(full(a), home), F.lit(False))).alias("internal_in_main"),
+        F.filter(barred, lambda u: urls.bare(u) != urls.key(F.col("url"))).alias("nofollow_internal"),
     ]
 
 
 def page_links(responses: DataFrame, strict_origin: bool = False) -> DataFrame:
-    """(site, src_url, src_seq, pos, href, kind, in_main, nofollow): each target once for a page, at its first place. Narrow: nothing is shuffled."""
-    nofollow = lambda a: F.coalesce(a["rel"], F.lit("")).rlike(r"(?i)(^|\s)nofollow(\s|$)")
-    full = lambda refs: F.transform(refs, lambda a: F.struct(urls.resolve(F.col("url"), a["href"]).alias("href"), nofollow(a).alias("nofollow")))
-    d = _sections(responses).select("site", "url", "seq", full(_hrefs("markup")).alias("all"), F.array_distinct(F.transform(_hrefs("main"), lambda a: urls.resolve(F.col("url"), a["href"]))).alias("main"))
-    barred = F.transform(F.filter("all", lambda a: a["nofollow"]), lambda a: a["href"])
-    d = d.select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.col("all.href").alias("hrefs"), F.array_compact("main").alias("main"), F.array_compact(barred).alias("barred"))
-    one = d.select("site", "src_url", "src_seq", "hrefs", "main", "barred", F.explode(F.array_compact(F.array_distinct("hrefs"))).alias("href"))
+    """(site, src_url, src_seq, pos, href, kind, in_main, nofollow): each target once for a page; pos: its place among the page's targets, from 0. Narrow: nothing is shuffled.
+
+    Distinct targets, those of the main part and those with nofollow are sorted together, so that the marks of a target are its neighbours.
+    """
+    full = lambda refs: F.transform(refs, lambda a: F.struct(urls.resolve(F.col("url"), a["href"]).alias("href"), _nofollow(a).alias("nofollow")))
+    d = _sections(responses).select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), full(_hrefs("markup")).alias("links"), full(_hrefs("main")).alias("main"))
+    distinct = lambda refs: F.array_compact(F.array_distinct(refs["href"]))
+    marked = lambda refs, mark: F.transform(distinct(refs), lambda h, i: F.struct(h.alias("href"), F.lit(mark).alias("mark"), i.alias("pos")))
+    marks = F.array_sort(F.concat(marked(F.col("links"), 0), marked(F.col("main"), 1), marked(F.filter("links", lambda a: a["nofollow"]), 2)))
+    d = d.withColumn("marks", marks)
+    has = lambda x, i, mark: F.exists(F.slice("marks", i + 2, F.lit(2)), lambda y: (y["href"] == x["href"]) & (y["mark"] == mark))
+    told = F.filter(F.transform("marks", lambda x, i: F.when(x["mark"] == 0, F.struct(x["href"], x["pos"], has(x, i, 1).alias("in_main"), has(x, i, 2).alias("nofollow")))), lambda x: x.isNotNull())
+    one = d.select("site", "src_url", "src_seq", F.explode(told).alias("a")).select("site", "src_url", "src_seq", "a.*")
     inside = (urls.origin(F.col("href")) == F.col("site")) if strict_origin else F.startswith("href", "site")
-    at = (F.array_position("hrefs", F.col("href")) - 1).cast("int")
-    return one.select("site", "src_url", "src_seq", "href", at.alias("pos"), F.array_contains("main", F.col("href")).alias("in_main"), F.array_contains("barred", F.col("href")).alias("nofollow"), F.when(inside, "internal").otherwise("external").alias("kind"))
+    return one.select("site", "src_url", "src_seq", "href", "pos", "in_main", "nofollow", F.when(inside, "internal").otherwise("external").alias("kind"))
 
 
 def page_anchors(responses: DataFrame) -> DataFrame:
     """(site, src_url, src_seq, pos, href, name): named internal anchors; links of a page to itself are left out."""
     pairs = F.regexp_extract_all("markup", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
     d = _sections(responses).select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.posexplode(pairs).alias("pos", "a"))
-    tag, inner = first(F.col("a"), r"(?is)^<a\b[^>]*>"), F.regexp_replace("a", r"(?is)^<a\b[^>]*>|</a>$", "")
-    img = first(inner, r"(?i)<img\b[^>]*>")
+    d = d.withColumns({"inner": F.regexp_replace("a", r"(?is)^<a\b[^>]*>|</a>$", ""), "tag": attributes(first(F.col("a"), r"(?is)^<a\b[^>]*>"))})
+    d = d.withColumn("img", attributes(first(F.col("inner"), r"(?i)<img\b[^>]*>")))
+    inner, tag, img = F.col("inner"), F.col("tag"), F.col("img")
     some = lambda c: F.when(c != "", c)
-    believed = img.rlike(r"(?i)[:\[]alt\b") | tag.rlike(r"(?i)[:\[](attr\.)?aria-?label\b") | attribute(tag, "aria-labelledby").isNotNull() | inner.rlike(r"(?i)aria-label(ledby)?=")
+    believed = img["tag"].rlike(r"(?i)[:\[]alt\b") | tag["tag"].rlike(r"(?i)[:\[](attr\.)?aria-?label\b") | read(tag, "aria-labelledby").isNotNull() | inner.rlike(r"(?i)aria-label(ledby)?=")
     name = F.coalesce(
         some(decoded(plain(inner))),
-        some(attribute(img, "alt")),
-        some(attribute(tag, "aria-label")),
-        some(attribute(tag, "title")),
+        some(read(img, "alt")),
+        some(read(tag, "aria-label")),
+        some(read(tag, "title")),
         some(decoded(plain(first(inner, r"(?is)<title\b[^>]*>(.*?)</title>", 1)))),
-        some(attribute(img, "title")),
+        some(read(img, "title")),
         F.when(F.coalesce(believed, F.lit(False)), F.lit("…")),
         F.lit(""),
     )
-    href = attribute(tag, "href")
+    href = read(tag, "href")
     d = d.where((href != "") & ~href.rlike(urls.NOT_A_PAGE)).select("site", "src_url", "src_seq", "pos", urls.resolve(F.col("src_url"), href).alias("href"), F.substring(name, 1, 300).alias("name"))
     d = d.where(F.startswith("href", "site")).withColumn("href", F.regexp_replace("href", "#.*$", ""))
     return d.where(urls.bare(F.col("href")) != urls.key(F.col("src_url")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.functions.text import collapsed, first, trimmed, units
+from gossamer.functions.text import collapsed, first, let, trimmed, units
 from gossamer.operators import structured_data
 
 #: Limits that a site may override: see site_limits.
@@ -43,16 +43,17 @@ def _viewport() -> Column:
 
 
 def _image_rules() -> list[Column]:
-    img = F.col("images")
+    img = F.col("pictured")
     hidden = lambda x: F.coalesce(x["role"].isin("presentation", "none"), F.lit(False))
-    alt = lambda x: F.lower(collapsed(F.coalesce(x["alt"], F.lit(""))))
+    alt = lambda x: x["plain_alt"]
     named = lambda x: (alt(x).rlike(ALT_FILENAME)) | alt(x).rlike(ALT_SERIAL)
     blank = lambda x: alt(x).isin(ALT_PLACEHOLDER)
     count = lambda f: F.size(F.filter(img, f))
     rule = lambda f, level, rule, title: _if(count(f) > 0, level, rule, title, count(f))
     fine = F.filter(img, lambda x: (alt(x) != "") & ~named(x) & ~blank(x))
-    alts = F.array_distinct(F.transform(fine, alt))
-    repeated = F.filter(alts, lambda a: F.size(F.filter(fine, lambda x: alt(x) == a)) >= ALT_DUPLICATES)
+    # equal alt texts are neighbours once sorted: one that stands so many places on, too, is met so often
+    alike = lambda alts: F.array_distinct(F.filter(alts, lambda a, i: F.get(alts, i + ALT_DUPLICATES - 1) == a))
+    repeated = let(F.array_sort(F.transform(fine, alt)), alike)
     has = lambda c: F.coalesce(c, F.lit("")) != ""
     return [
         rule(lambda x: x["alt"].isNull() & ~hidden(x) & ~x["alt_bound"], "error", "img-alt", "Images lack an alt attribute"),
@@ -119,7 +120,7 @@ def _rules() -> list[Column]:
         *_image_rules(),
         _if(c("words") < c("min_words"), "warn", "thin-content", "Little text", c("words")),
         _if(F.size("nofollow_internal") > 0, "info", "internal-nofollow", "Internal links aren't to be followed", F.array_join(F.slice("nofollow_internal", 1, 3), " ")),
-        _if(c("internal_in_main") == 0, "info", "no-editorial-links", "The text links nowhere on the site"),
+        _if(~c("internal_in_main"), "info", "no-editorial-links", "The text links nowhere on the site"),
         _if(F.size(skip) > 0, "warn", "heading-skip", "A heading level is skipped", F.try_element_at(skip, F.lit(1))["to"]),
         _if(path.rlike("[A-Z]"), "warn", "url-uppercase", "The path has capitals", path),
         _if(path.contains("_"), "info", "url-underscore", "The path has underscores", path),
@@ -160,6 +161,8 @@ def page_findings(responses: DataFrame, features: DataFrame, limits: DataFrame |
     redirected = F.col("status").between(300, 399)
     stopped = failed.select("site", "url", "seq", F.when(redirected, finding("error", "sitemap-redirect", "A listed address redirects", F.col("location"))).otherwise(finding("error", "page-status", "The page doesn't answer well", F.col("status"))).alias("f"))
     pages = with_limits(features, limits)
-    pages = pages.withColumn("canonical", F.col("canonical_refs")).withColumn("viewport_map", _viewport())
+    alt = lambda x: F.lower(collapsed(F.coalesce(x["alt"], F.lit(""))))
+    pictured = F.transform("images", lambda x: F.struct(*(x[k].alias(k) for k in ("src", "alt", "width", "height", "srcset", "role", "title", "alt_bound", "in_picture")), alt(x).alias("plain_alt")))
+    pages = pages.withColumns({"canonical": F.col("canonical_refs"), "viewport_map": _viewport(), "pictured": pictured})
     found = pages.select("site", "url", "seq", F.explode(F.filter(F.concat(*_rules()), lambda f: f.isNotNull())).alias("f"))
     return stopped.unionByName(found).select("site", "url", "seq", "f.level", "f.id", "f.title", "f.detail")

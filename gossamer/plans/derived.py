@@ -44,7 +44,9 @@ concat('<!DOCTYPE html><html', if(n % 5 = 0, '', ' lang="en"'), '><head>',
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl_of(table(spark, sf_dir, "documents"))
+    # a few bytes of a document make a whole page here, so rows are dealt before markup is made from them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return crawl_of(table(spark, sf_dir, "documents").select("doc_id", "source").repartition(tasks))
 
 
 def crawl_of(documents: DataFrame) -> DataFrame:

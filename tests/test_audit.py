@@ -80,7 +80,7 @@ def test_structured_data_with_repeated_keys_and_depth(spark):
 def test_links_of_a_page_once_each(spark):
     r = crawl(spark, '<a href="/x" rel="nofollow">1</a><main><a href="./x">2</a><a href="https://b.test">3</a></main><a href="/x">4</a>')
     got = {x["href"]: (x["pos"], x["in_main"], x["nofollow"], x["kind"]) for x in features.page_links(r).collect()}
-    assert got == {"https://a.test/x": (0, True, True, "internal"), "https://b.test/": (2, True, False, "external")}
+    assert got == {"https://a.test/x": (0, True, True, "internal"), "https://b.test/": (1, True, False, "external")}
     assert "Exchange" not in features.page_links(r)._jdf.queryExecution().toString()
 
 
@@ -190,3 +190,52 @@ def test_findings_round_trip(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"site": "s"}')
     with pytest.raises(ValueError, match="not a findings"):
         findings.read_findings(spark, str(tmp_path / "b.json"))
+
+
+def test_tag_maps_equal_single_reads(spark):
+    """One pass over a tag gives what a search for each attribute gives, on odd tags too."""
+    import random
+
+    rnd = random.Random(1)
+    parts = """alt="a"|alt='b'|alt=c|alt|ALT = "d &amp; e"|data-alt="f"|:alt="g"|[alt]='h'|title='say alt="k" now'|title="the alt of it"|title="alt=x"|x_alt=1|alt=""|src="/a.png?alt=1"|src|/|alt="i|alt=|alt\n=\n"j"|é|\"""".split("|")
+    tags = ["<img " + " ".join(rnd.sample(parts, rnd.randrange(0, 5))) + rnd.choice([">", " >", "/>"]) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in tags], "t string").withColumn("m", text.attributes(F.col("t")))
+    for name in ("alt", "src", "title"):
+        rows = d.select("t", text.read(F.col("m"), name).alias("a"), text.attribute(F.col("t"), name).alias("b")).collect()
+        assert [r for r in rows if r.a != r.b] == []
+
+
+def test_counts_within_a_page_take_time_in_proportion(spark):
+    """A page with thousands of images and links, many of them alike."""
+    import time
+
+    images = "".join(f'<img src="/i{k}.png" alt="Picture of {k % 900}" width=1 height=1>' for k in range(2000)) + '<picture><source srcset="/i7.png 2x"></picture>'
+    anchors = "".join(f'<a href="/p{k % 9000}" rel={"nofollow" if k % 9000 == 1 else "x"}>t</a>' for k in range(16000))
+    r = crawl(spark, f"{HEAD}<nav>{anchors}</nav><main>{images}<a href=/p5>5</a></main>")
+    f = features.page_features(r)
+    start = time.time()
+    found = page_rules.page_findings(r, f).collect()
+    assert time.time() - start < 12  # most of it compiles the plan
+    assert sum(x["id"] == "img-alt-duplicate" for x in found) == 200
+    assert [x["detail"] for x in found if x["id"] == "internal-nofollow"] == ["https://a.test/p1"]
+    assert next(x["detail"] for x in found if x["id"] == "img-srcset") == "1999"
+    links = features.page_links(r)
+    start = time.time()
+    rows = links.collect()
+    assert time.time() - start < 12
+    assert len(rows) == 9000 and [x["href"] for x in rows if x["in_main"]] == ["https://a.test/p5"] and [x["pos"] for x in rows if x["nofollow"]] == [1]
+
+
+@pytest.mark.parametrize(
+    ("body", "fires"),
+    [
+        ('<main><a href="https://a.test/p0#respond" rel=nofollow>x</a><a href="p0#c" rel=nofollow>x</a></main>', set()),
+        ('<main><a href="/elsewhere/#section" rel="noopener nofollow">x</a></main>', {"internal-nofollow"}),
+        ('<main><a href="//a.test/x">x</a></main>', set()),
+        ('<main><a href="sms:+123">x</a><a href="//other.test/a.test">x</a></main>', {"no-editorial-links"}),
+        ('<main><a href="sms:+123" rel=nofollow>x</a><a href="/y">y</a></main>', set()),
+        ('<main><a href="https://other.test/" rel=nofollow>x</a><a href="/a" rel=nofollowing>y</a></main>', set()),
+    ],
+)
+def test_links_are_judged_where_they_lead(spark, body, fires):
+    assert {x for x in ids(spark, HEAD + body) if x in ("internal-nofollow", "no-editorial-links")} == fires
