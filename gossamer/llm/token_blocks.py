@@ -132,6 +132,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.held = Tokenizer.from_file(path), {}, 0
+        self.model = self.tokenizer.model
         self.several: set[str] = set()  # words of letters that give several pieces of the splitting
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
@@ -148,6 +149,10 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in words]
+
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, encoded together where each ends in just one id that ends a word."""
         out = []
@@ -163,48 +168,66 @@ class WordEncoder:
                 out += found
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words. A word of letters with ASCII punctuation behind it is encoded as two."""
-        cut, letters, other = {}, set(), set()
-        for w in words:
-            core = w.rstrip(TAIL)
-            if core.isalpha():
-                letters.add(core)
-                if len(core) < len(w):
-                    cut[w] = core
-            else:
-                other.add(w)
-        other.update(w[len(core) :] for w, core in cut.items())
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each by the shortest way that gives what the tokenizer gives."""
         known = {}
-        for group, encode in ((letters, self._one_by_one), (other, self._ids)):
-            for w in group & self.cache.keys():
-                known[w] = self.cache[w]
-            new = list(group - known.keys())
-            known.update(zip(new, encode(new), strict=True))
-        for w, core in cut.items():
-            # a core in several pieces may end in a mark that joins what follows
-            known[w] = self._ids([w])[0] if core in self.several else known[core] + known[w[len(core) :]]
-        return known
-
-    def _words(self, words: pa.Array) -> list[bytes]:
+        letters = {w for w in words if w.isalpha()}
+        # lower-case ASCII letters are their own normal form and one piece of the splitting: the model alone gives their ids
+        simple = {w for w in letters if w.isascii() and w.islower()}
+        for group, encode in ((simple, self._by_model), (letters - simple, self._one_by_one), (set(words) - letters, self._ids)):
+            part = list(group)
+            known.update(zip(part, encode(part), strict=True))
+        return [known[w] for w in words]
+
+    def _known(self, words: pa.Array) -> list[bytes]:
         """Ids of distinct words, from what is known or learned."""
+        keys = words.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, keys))
+        new = [k for k, ids in zip(keys, found, strict=True) if ids is None]
+        if not new:
+            return found
+        learned = dict(zip(new, self._encode(new), strict=True))
+        short = {w: ids for w, ids in learned.items() if len(w) <= CACHE_WORD}
+        self.cache.update(short)
+        self.held += 200 * len(short) + sum(map(len, short.values()))
+        return [learned[k] if ids is None else ids for k, ids in zip(keys, found, strict=True)]
+
+    def _units(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of units of which words consist, and the one or two units of each word (-1: none).
+
+        A word of letters with ASCII punctuation behind it is two units, unless the letters are several pieces, whose last may join what follows.
+        """
         if self.held > CACHE_BYTES:
             self.cache.clear()
             self.several.clear()
             self.held = 0
         # lower-casing changes nothing for the tokenizer, but lets fewer words be learned
         plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
-        keys = pc.if_else(plain, pc.ascii_lower(words), words).to_pylist()
-        cache = self.cache
-        new = set(keys) - cache.keys()
-        if not new:
-            return [cache[k] for k in keys]
-        found = self._learn(new)
-        out = [found[k] if k in new else cache[k] for k in keys]
-        short = {w: ids for w, ids in found.items() if len(w) <= CACHE_WORD}
-        cache.update(short)
-        self.held += 200 * len(short) + sum(map(len, short.values()))
-        return out
+        coded = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        cores = pc.utf8_rtrim(words, TAIL)
+        alpha = pc.utf8_is_alpha(cores)
+        coded = pc.if_else(alpha, cores, words).dictionary_encode()
+        first, core = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        ids = self._known(core)
+        data, offsets = common.buffers(words)
+        size = common.buffers(cores)[1]
+        behind = np.where(alpha.to_numpy(zero_copy_only=False), np.diff(offsets) - np.diff(size), 0)
+        units = np.full((len(words), 2), -1, np.int64)
+        units[:, 0] = first
+        cut = np.flatnonzero(behind)
+        if len(cut) and self.several:
+            odd = pc.is_in(core, pa.array(list(self.several), pa.string())).to_numpy(zero_copy_only=False)[first]
+            whole = np.flatnonzero(odd & (behind > 0))
+            units[whole, 0] = len(ids) + np.arange(len(whole))
+            ids += self._known(words.take(pa.array(whole)))
+            cut = np.flatnonzero((behind > 0) & ~odd)
+        # tails: the last bytes of their words
+        stop = np.concatenate([[0], np.cumsum(behind[cut])])
+        raw = data[np.arange(stop[-1]) + np.repeat(offsets[1:][cut] - stop[1:], behind[cut])]
+        tails = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        units[cut, 1] = len(ids) + tails.indices.to_numpy()
+        return ids + self._known(tails.dictionary), units[at]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -214,12 +237,14 @@ class WordEncoder:
             return np.frombuffer(b"".join(parts), "<u4"), np.array([len(b) // 4 for b in parts], np.int64)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        known = self._words(coded.dictionary)
-        flat, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(b) // 4 for b in known], np.int64)
+        known, units = self._units(coded.dictionary)
+        flat, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(b) // 4 for b in known] + [0], np.int64)
+        each = size[units].sum(axis=1)  # -1 is the last, of no ids
         at = coded.indices.to_numpy()
-        stop = np.concatenate([[0], np.cumsum(size[at])])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-        ids = lists.take(coded.indices).flatten().to_numpy()
+        stop = np.concatenate([[0], np.cumsum(each[at])])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[:-1])]).astype(np.int32)), pa.array(flat))
+        order = units[at].ravel()
+        ids = lists.take(pa.array(order[order >= 0])).flatten().to_numpy()
         cut = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         return ids, stop[cut[1:]] - stop[cut[:-1]]
 
