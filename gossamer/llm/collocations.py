@@ -39,7 +39,7 @@ HELD = 80
 #: Bits of the map of frequent pairs (4 MB), and shares of a language that are ranked apart first.
 BITS, SALTS = 1 << 25, 64
 #: Text bytes that are counted at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 COUNTS = "lang string, words int, phrase string, n long"
 
 #: Kinds of a byte: between words, in a word, between pieces.
