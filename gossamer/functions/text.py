@@ -50,10 +50,11 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 # Fixed value: a name that isn't part of a longer or bound one, and a value in double quotes, single quotes or none
-TOKEN = r"""(?i)(?<![-:\[\w])[a-z][a-z0-9-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'`=<>]+)|(?=[\s/>]))"""
+TOKEN = r"""(?i)(?<![-:\[\w])[a-z][a-z0-9-]*(?:\s*=\s*(?:"[^"]*"|\x27[^\x27]*\x27|[^\s"\x27`=<>]+)|(?=[\s/>]))"""
 
 #: Double quotes within single ones, or a value apart from its equals sign: what one pass may take for something else.
-ODD = r"""='[^']*"|=\s+[^\s"']"""
+ODD = r"""=\x27[^\x27]*"|=\s+[^\s"\x27]"""
+_BLANKS = r"' \t\n\u000b\f\r'"
 
 
 def let(value: Column, f) -> Column:
@@ -61,37 +62,33 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def attributes(tag: Column) -> Column:
-    """A tag with its attributes, read in one pass: a struct of the tag and a map of lower-case names to values. Of one name, double-quoted values come first, then single-quoted, bare and valueless ones."""
+def attributes(tag: str, names: tuple[str, ...]) -> str:
+    """SQL for a tag with its attributes, read in one pass: a struct of the tag and a map of these names to values, as attribute() gives them.
 
-    def entry(token: Column, at: Column) -> Column:
-        name = F.lower(F.substring_index(token, "=", 1))
-        value = F.ltrim(F.substring(token, F.length(name) + 2, F.length(token)), F.lit(" \t\n\x0b\f\r"))
-        quote = F.substring(value, 1, 1)
-        form = F.when(quote == '"', 0).when(quote == "'", 1).when(F.contains(token, F.lit("=")), 2).otherwise(3)
-        inner = F.when(form < 2, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-        return F.struct(F.rtrim(name, F.lit(" \t\n\x0b\f\r")).alias("k"), form.alias("form"), at.alias("at"), F.when(inner.contains("&"), decoded(inner)).otherwise(inner).alias("v"))
-
-    def as_map(entries: Column) -> Column:
-        names = F.array_distinct(entries["k"])
-        best = lambda n: F.array_min(F.filter(entries, lambda e: e["k"] == n))
-        return F.when(F.size(names) == F.size(entries), F.map_from_arrays(entries["k"], entries)).otherwise(F.map_from_arrays(names, F.transform(names, best)))
-
-    tokens = F.regexp_extract_all(tag, F.lit(TOKEN), F.lit(0))
-    return F.struct(tag.alias("tag"), tag.rlike(ODD).alias("odd"), let(F.transform(tokens, entry), as_map).alias("map"))
+    Of one name, double-quoted values come first, then single-quoted, bare and valueless ones. The tag itself is searched for a name only where the
+    pass can't tell: where the tag is odd; or where the name stands within a value, too, and wasn't found with double quotes.
+    Written as SQL text, as a plan has many of these and text is analysed once.
+    """
+    decode = "{}"
+    for entity, char in ENTITIES:
+        decode = f"replace({decode}, '{entity}', '{char.replace(chr(39), chr(92) + chr(39))}')"
+    entry = f"""transform(array(named_struct('name', lower(substring_index(token, '=', 1)), 'value', trim(LEADING {_BLANKS} FROM substring(token, length(substring_index(token, '=', 1)) + 2)))), x ->
+      named_struct('k', trim(TRAILING {_BLANKS} FROM x.name), 'form', case when x.value like '"%' then 0 when x.value like "'%" then 1 when contains(token, '=') then 2 else 3 end, 'at', at,
+        'v', transform(array(if(x.value like '"%' or x.value like "'%", substring(x.value, 2, length(x.value) - 2), x.value)), v -> if(contains(v, '&'), {decode.format("v")}, v))[0]))[0]"""
+    start = r"concat(r'(?i)(?<![-:\[\w])', n)"
+    found = lambda rest: f"try_element_at(regexp_extract_all({tag}, concat({start}, r'{rest}'), 1), 1)"
+    value = f"coalesce({found(r'\s*=\s*"([^"]*)"')}, {found(r'\s*=\s*\x27([^\x27]*)\x27')}, {found(r'\s*=\s*([^\s"\x27`=<>]+)')})"
+    search = f"coalesce({decode.format(value)}, if(rlike({tag}, concat({start}, r'(?=[\s/>])')), '', null))"
+    listed = f"array({', '.join(repr(n) for n in names)})"
+    times = f"(length({tag}) - length(replace(lower({tag}), n, ''))) / length(n)"
+    one = f"""transform(array(named_struct('e', array_min(filter(es, e -> e.k = n)), 'times', {times})), x ->
+      case when not rlike({tag}, r'{ODD}') and x.e is not null and (x.e.form = 0 or x.times = 1) then x.e.v when x.times > 0 then {search} end)[0]"""
+    return f"named_struct('tag', {tag}, 'map', transform(array(transform(regexp_extract_all({tag}, r'{TOKEN}', 0), (token, at) -> {entry})), es -> map_from_arrays({listed}, transform({listed}, n -> {one})))[0])"
 
 
 def read(tag: Column, name: str) -> Column:
-    """attribute() of a tag with its map.
-
-    The tag itself is searched only where its map can't tell: where it is odd; or where the name stands within a value, too, while the
-    map lacks it or has it without double quotes.
-    """
-    low, found = F.lower(tag["tag"]), tag["map"][name]
-    rest = F.length(low) - F.length(F.replace(low, F.lit(name), F.lit("")))
-    sure = F.map_contains_key(tag["map"], name) & ((found["form"] == 0) | (rest == len(name)))
-    return F.when(~tag["odd"] & sure, found["v"]).when(rest > 0, attribute(tag["tag"], name))
-
+    """An attribute of a tag with its map."""
+    return tag["map"][name]
 
 
 def words(text: Column) -> Column:

@@ -23,9 +23,14 @@ def _sections(responses: DataFrame) -> DataFrame:
     return d.withColumns({"head": first(F.col("markup"), r"(?is)<head\b.*?</head>"), "main": section("main")})
 
 
-def _tags(source: str, name: str) -> Column:
-    """All tags of a name, each with a map of its attributes."""
-    return F.transform(F.regexp_extract_all(F.col(source), F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0)), attributes)
+#: Attributes that are read from a kind of tag.
+META, LINK, LOADED, ANCHOR = ("name", "http-equiv", "property", "content", "charset"), ("rel", "href", "hreflang"), ("src", "href", "rel"), ("href", "rel")
+IMAGE = ("src", "alt", "width", "height", "srcset", "loading", "role", "title")
+
+
+def _tags(source: str, name: str, names: tuple[str, ...]) -> Column:
+    """All tags of a name, each with a map of these attributes."""
+    return F.expr(rf"transform(regexp_extract_all({source}, r'(?i)<{name}\b[^>]*>', 0), t -> {attributes('t', names)})")
 
 
 def _is(tag: Column, name: str, value: str) -> Column:
@@ -51,24 +56,25 @@ def _meta_map(key: str, prefix: str) -> Column:
 
 def _images() -> Column:
     def image(tag: Column) -> Column:
-        names = [read(tag, a).alias(a) for a in ("src", "alt", "width", "height", "srcset", "loading", "role", "title")]
+        names = [read(tag, a).alias(a) for a in IMAGE]
         src = read(tag, "src")
         inside = (F.col("pictures") != "") & (src != "") & F.col("pictures").contains(src)
         return F.struct(*names, tag["tag"].rlike(r"(?i)[:\[]alt\b").alias("alt_bound"), F.coalesce(inside, F.lit(False)).alias("in_picture"))
 
-    return F.transform(_tags("markup", "img"), image)
+    return F.transform(_tags("markup", "img", IMAGE), image)
 
 
 def page_features(responses: DataFrame) -> DataFrame:
     """One row for each ok HTML response: everything that the rules read from its markup."""
-    d = _sections(responses).withColumn("metas", _tags("markup", "meta")).withColumn("links", _tags("markup", "link"))
+    d = _sections(responses).withColumn("metas", _tags("markup", "meta", META)).withColumn("links", _tags("markup", "link", LINK))
     # all pictures in one text, so that an image is looked for once
     d = d.withColumn("pictures", F.array_join(F.regexp_extract_all("markup", F.lit(r"(?is)<picture.*?</picture>"), F.lit(0)), "\u0001"))
     rel = lambda value: F.filter("links", lambda t: _is(t, "rel", value))
-    absolute = lambda ref: let(ref, lambda r: F.when(r != "", urls.resolve(F.col("url"), r)))
+    d = d.withColumn("refs", _references(rel)).withColumn("refs", F.filter("refs", lambda r: r["href"].isNotNull() | (r["kind"] == "alternate")))
+    of_kind = lambda kind: F.filter("refs", lambda r: r["kind"] == kind)
     charset = F.filter(F.transform("metas", lambda t: read(t, "charset")), lambda c: c.isNotNull())
     is_link = lambda t: t["tag"].rlike("(?i)^<link")
-    loaded = F.filter(_tags("html", "(?:img|script|iframe|video|audio|source|embed|track|input|object|link)"), lambda t: ~is_link(t) | F.coalesce(read(t, "rel"), F.lit("")).rlike(r"(?i)stylesheet"))
+    loaded = F.filter(_tags("html", "(?:img|script|iframe|video|audio|source|embed|track|input|object|link)", LOADED), lambda t: ~is_link(t) | F.coalesce(read(t, "rel"), F.lit("")).rlike(r"(?i)stylesheet"))
     return d.select(
         "site",
         "url",
@@ -83,8 +89,8 @@ def page_features(responses: DataFrame) -> DataFrame:
         _meta("name", "viewport").alias("viewport"),
         attribute(first(F.col("markup"), r"(?i)<html\b[^>]*>"), "lang").alias("lang"),
         F.coalesce(F.try_element_at(charset, F.lit(1)), F.when(F.col("head").rlike("(?i)charset="), F.lit("declared"))).alias("charset"),
-        F.filter(F.transform(rel("canonical"), lambda t: absolute(read(t, "href"))), lambda h: h.isNotNull()).alias("canonical_refs"),
-        F.filter(F.transform(rel("alternate"), lambda t: F.struct(read(t, "hreflang").alias("lang"), absolute(read(t, "href")).alias("href"))), lambda x: F.coalesce(x["lang"], F.lit("")) != "").alias("hreflang"),
+        of_kind("canonical")["href"].alias("canonical_refs"),
+        F.transform(of_kind("alternate"), lambda r: F.struct(r["lang"].alias("lang"), r["href"].alias("href"))).alias("hreflang"),
         _meta_map("property", "og:").alias("og"),
         _meta_map("name", "twitter:").alias("twitter"),
         F.transform(F.regexp_extract_all("markup", F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), plain).alias("h1"),
@@ -95,12 +101,12 @@ def page_features(responses: DataFrame) -> DataFrame:
         words(plain(F.col("main"))).alias("words"),
         units(F.coalesce("body", F.lit(""))).cast("long").alias("html_units"),
         F.filter(F.transform(loaded, lambda t: F.coalesce(read(t, "src"), F.when(is_link(t), read(t, "href")))), lambda u: u.isNotNull()).alias("subresources"),
-        *_link_counts(),
+        *_link_counts(of_kind),
     )
 
 
 def _hrefs(source: str) -> Column:
-    found = F.transform(_tags(source, "a"), lambda t: F.struct(read(t, "href").alias("href"), read(t, "rel").alias("rel")))
+    found = F.transform(_tags(source, "a", ANCHOR), lambda t: F.struct(read(t, "href").alias("href"), read(t, "rel").alias("rel")))
     return F.filter(found, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike(urls.NOT_A_PAGE))
 
 
@@ -108,14 +114,20 @@ def _nofollow(a: Column) -> Column:
     return F.coalesce(a["rel"], F.lit("")).rlike(r"(?i)(^|\s)nofollow(\s|$)")
 
 
-def _link_counts() -> list[Column]:
+def _references(rel) -> Column:
+    """What a page refers to, as (kind, lang, absolute href): resolved in one place, as that is a long expression."""
+    some = lambda tags, kind, lang=None: F.transform(tags, lambda t: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if lang is None else lang(t)).alias("lang"), (t["href"] if kind in ("main", "nofollow") else read(t, "href")).alias("href")))
+    alternates = F.filter(rel("alternate"), lambda t: F.coalesce(read(t, "hreflang"), F.lit("")) != "")
+    refs = F.concat(some(rel("canonical"), "canonical"), some(alternates, "alternate", lambda t: read(t, "hreflang")), some(_hrefs("main"), "main"), some(F.filter(_hrefs("markup"), _nofollow), "nofollow"))
+    return F.transform(refs, lambda r: F.struct(r["kind"].alias("kind"), r["lang"].alias("lang"), F.when(r["href"] != "", urls.resolve(F.col("url"), r["href"])).alias("href")))
+
+
+def _link_counts(of_kind) -> list[Column]:
     """Whether the main part links to a page of the origin; and the pages of the origin, other than this one, that links with nofollow lead to."""
     home = urls.origin(F.col("url"))
-    full = lambda a: urls.resolve(F.col("url"), a["href"])
-    barred = F.filter(F.transform(F.filter(_hrefs("markup"), _nofollow), full), lambda u: F.startswith(u, home))
-    barred = F.array_distinct(F.transform(barred, lambda u: F.substring_index(u, "#", 1)))
+    barred = F.array_distinct(F.transform(F.filter(of_kind("nofollow"), lambda r: F.startswith(r["href"], home)), lambda r: F.substring_index(r["href"], "#", 1)))
     return [
-        F.exists(_hrefs("main"), lambda a: F.coalesce(F.startswith(full(a), home), F.lit(False))).alias("internal_in_main"),
+        F.exists(of_kind("main"), lambda r: F.startswith(r["href"], home)).alias("internal_in_main"),
         F.filter(barred, lambda u: urls.bare(u) != urls.key(F.col("url"))).alias("nofollow_internal"),
     ]
 
@@ -142,8 +154,9 @@ def page_anchors(responses: DataFrame) -> DataFrame:
     """(site, src_url, src_seq, pos, href, name): named internal anchors; links of a page to itself are left out."""
     pairs = F.regexp_extract_all("markup", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
     d = _sections(responses).select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.posexplode(pairs).alias("pos", "a"))
-    d = d.withColumns({"inner": F.regexp_replace("a", r"(?is)^<a\b[^>]*>|</a>$", ""), "tag": attributes(first(F.col("a"), r"(?is)^<a\b[^>]*>"))})
-    d = d.withColumn("img", attributes(first(F.col("inner"), r"(?i)<img\b[^>]*>")))
+    d = d.withColumns({"inner": F.regexp_replace("a", r"(?is)^<a\b[^>]*>|</a>$", ""), "tag": first(F.col("a"), r"(?is)^<a\b[^>]*>")})
+    d = d.withColumn("img", first(F.col("inner"), r"(?i)<img\b[^>]*>"))
+    d = d.withColumns({"tag": F.expr(attributes("tag", ("href", "aria-label", "aria-labelledby", "title"))), "img": F.expr(attributes("img", ("alt", "title")))})
     inner, tag, img = F.col("inner"), F.col("tag"), F.col("img")
     some = lambda c: F.when(c != "", c)
     believed = img["tag"].rlike(r"(?i)[:\[]alt\b") | tag["tag"].rlike(r"(?i)[:\[](attr\.)?aria-?label\b") | read(tag, "aria-labelledby").isNotNull() | inner.rlike(r"(?i)aria-label(ledby)?=")
