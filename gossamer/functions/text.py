@@ -78,7 +78,8 @@ def attributes(tag: str, names: tuple[str, ...]) -> str:
     start = r"concat(r'(?i)(?<![-:\[\w])', n)"
     found = lambda rest: f"try_element_at(regexp_extract_all({tag}, concat({start}, r'{rest}'), 1), 1)"
     value = f"coalesce({found(r'\s*=\s*"([^"]*)"')}, {found(r'\s*=\s*\x27([^\x27]*)\x27')}, {found(r'\s*=\s*([^\s"\x27`=<>]+)')})"
-    search = f"coalesce({decode.format(value)}, if(rlike({tag}, concat({start}, r'(?=[\s/>])')), '', null))"
+    alone = r"r'(?=[\s/>])'"
+    search = f"coalesce({decode.format(value)}, if(rlike({tag}, concat({start}, {alone})), '', null))"
     listed = f"array({', '.join(repr(n) for n in names)})"
     times = f"(length({tag}) - length(replace(lower({tag}), n, ''))) / length(n)"
     one = f"""transform(array(named_struct('e', array_min(filter(es, e -> e.k = n)), 'times', {times})), x ->

@@ -78,31 +78,36 @@ def reachable(homes: DataFrame, edges: DataFrame, budget: int | None = None, max
     (depth, trail) is the order of visits without ranking a site's pages in one task. With a budget, a site's first so
     many pages in this order are visited, and `left` is a floor: pages behind unvisited ones aren't known.
     """
-    edges = graph.kept(edges, "edges")
-    trail = F.expr("cast(array() as array<int>)")
-    folder = graph.scratch(homes.sparkSession, "levels")
-    first = homes.groupBy("site", urls.bare(F.col("url")).alias("k")).agg(F.min("url").alias("url")).withColumn("trail", trail)
-    frontier = graph.kept(first, path=f"{folder}/depth=0")
-    levels, depth = homes.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in first.dtypes)}, depth int"), 0
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        seen = levels.parquet(folder)
-        step = frontier.select("site", F.col("k").alias("src"), "trail").join(edges.hint("merge"), ["site", "src"])
-        step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min(F.struct(F.concat("trail", F.array(F.col("pos").cast("int"))).alias("trail"), "url")).alias("at"))
-        step = step.join(seen.select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "at.url", "at.trail")
-        if budget is not None:
-            room = seen.groupBy("site").agg((F.lit(budget) - F.count("*")).alias("room"))
-            # the rank is bounded by a constant, so each task sends on no more than the budget
-            rank = F.row_number().over(Window.partitionBy("site").orderBy("trail", "k"))
-            step = step.withColumn("n", rank).where(F.col("n") <= budget).join(room.hint("merge"), "site").where("n <= room").select("site", "k", "url", "trail")
-        frontier = graph.kept(step, path=f"{folder}/depth={depth}")
-    seen = levels.parquet(folder).select("site", "k", "url", "depth", "trail")
+    spark, trail = homes.sparkSession, F.expr("cast(array() as array<int>)")
+    links, levels = graph.Buckets(spark, "edges", ["site", "src"]), graph.Buckets(spark, "levels", ["site", "k"])
+    try:
+        links.append(edges.repartition("site", "src"))
+        first = homes.groupBy("site", urls.bare(F.col("url")).alias("k")).agg(F.min("url").alias("url")).withColumn("trail", trail)
+        frontier = levels.append(first)
+        while not frontier.isEmpty() and (max_depth is None or levels.depth < max_depth):
+            frontier = levels.append(_next_level(frontier, links.read(), levels.read(), budget))
+    finally:
+        edges = links.close().drop("depth")
+        seen = levels.close().select("site", "k", "url", "depth", "trail")
     keys = seen.select("site", "k")
     known = edges.join(keys.withColumnRenamed("k", "src").hint("merge"), ["site", "src"], "left_semi").select("site", F.col("dst").alias("k")).distinct()
     left = known.join(keys.hint("merge"), ["site", "k"], "left_anti").groupBy("site").agg(F.count("*").alias("left"))
     return seen, left
 
 
+def _next_level(frontier: DataFrame, edges: DataFrame, seen: DataFrame, budget: int | None) -> DataFrame:
+    """(site, k, url, trail) of pages that the frontier links to and that weren't seen, as many as the budget has room for. Links and pages seen aren't shuffled."""
+    step = frontier.select("site", F.col("k").alias("src"), "trail").join(edges.hint("merge"), ["site", "src"])
+    step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min(F.struct(F.concat("trail", F.array(F.col("pos").cast("int"))).alias("trail"), "url")).alias("at"))
+    step = step.join(seen.select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "at.url", "at.trail")
+    if budget is not None:
+        room = seen.groupBy("site").agg((F.lit(budget) - F.count("*")).alias("room"))
+        # the rank is bounded by a constant, so each task sends on no more than the budget
+        rank = F.row_number().over(Window.partitionBy("site").orderBy("trail", "k"))
+        step = step.withColumn("n", rank).where(F.col("n") <= budget).join(room.hint("merge"), "site").where("n <= room").select("site", "k", "url", "trail")
+    return step
+
+
 def run_findings(sites: DataFrame, responses: DataFrame, entries: DataFrame, crawled: DataFrame, left: DataFrame) -> DataFrame:
     """unreachable, nothing-crawlable and truncated. crawled: site, status of the pages looked at; left: site, left."""
     listed, answered = entries.select("site").distinct(), responses.where("status > 0").select("site").distinct()

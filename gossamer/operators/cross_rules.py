@@ -15,6 +15,8 @@ from gossamer.operators.features import anchor_phrase
 
 # Phrases that say nothing about where a link leads
 GENERIC = ["click", "click here", "continue reading", "details", "find out more", "go", "here", "learn more", "link", "more", "more info", "more information", "open", "read more", "read the rest", "see more", "this", "this link", "this page", "view", "view more"]
+#: Sites whose limits are sent to all executors.
+SENT_LIMITS = 100_000
 TOP_DEEP, TOP_NAMELESS, TOP_GENERIC = 20, 10, 10
 
 
@@ -84,8 +86,8 @@ def one_way_alternates(features: DataFrame) -> DataFrame:
     return _rows(e.join(known.hint("merge"), ["site", "dst"], "left_semi").join(back.hint("merge"), ["site", "dst", "src"], "left_anti"), "error", "hreflang-one-way", "The alternate doesn't point back", F.col("href"))
 
 
-def depth_findings(features: DataFrame, depths: DataFrame, links: DataFrame, homes: DataFrame, max_depth: int = 4, truncated: DataFrame | None = None, top: int = TOP_DEEP) -> DataFrame:
-    """deep-page, no-path-from-home and their guards; depths: site, k (bare url), depth, via."""
+def depth_findings(features: DataFrame, depths: DataFrame, links: DataFrame, homes: DataFrame, max_depth: int = 4, truncated: DataFrame | None = None, top: int = TOP_DEEP, limits: DataFrame | None = None) -> DataFrame:
+    """deep-page, no-path-from-home and their guards; depths: site, k (bare url), depth, via. limits: site, max_click_depth, which go before max_depth."""
     pages = features.select("site", "url", "seq", urls.key(F.col("url")).alias("k")).join(homes.select("site").distinct(), "site", "left_semi")
     placed = pages.join(depths.select("site", "k", "depth").hint("merge"), ["site", "k"], "left")
     share = placed.groupBy("site").agg(F.count("*").alias("n"), F.count_if(F.col("depth").isNull()).alias("stranded"))
@@ -96,7 +98,13 @@ def depth_findings(features: DataFrame, depths: DataFrame, links: DataFrame, hom
     judged = placed.join(skipped.select("site"), "site", "left_anti")
     targets = links.where("kind = 'internal'").select("site", urls.key(F.col("href")).alias("k")).distinct()
     lost = _rows(judged.where("depth is null").join(targets.hint("merge"), ["site", "k"], "left_semi"), "warn", "no-path-from-home", "No path of links from the home page")
-    deep = judged.where(F.col("depth") > max_depth)
+    # a site whose depth isn't judged by its own limit has the common one; pages at the home page's depth are never deep, so few rows meet limits
+    deep = judged.where("depth > 0")
+    if limits is None:
+        deep = deep.where(F.col("depth") > max_depth)
+    else:
+        own = limits.select("site", F.col("max_click_depth").alias("_limit"))
+        deep = deep.join(own.hint("broadcast" if own.limit(SENT_LIMITS + 1).count() <= SENT_LIMITS else "merge"), "site", "left").where(F.col("depth") > F.coalesce("_limit", F.lit(max_depth))).drop("_limit")
     first = graph.kept(deep.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("depth"), "seq", "url"))).where(F.col("rank") <= top), "deep-pages")
     way = graph.routes(depths, first.select("site", "k").distinct()).select("site", "k", F.array_join(F.transform("route", lambda x: urls.path(x.cast("string"))), " > ").alias("evidence"))
     shown = first.join(way.hint("merge"), ["site", "k"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
+from gossamer.operators import pattern_index
 
 LEVELS = {"error": 0, "warn": 1, "info": 2}
 SCHEMA = "site string, url string, seq long, level string, id string, title string, detail string"
@@ -237,11 +238,13 @@ def apply_ignores(findings: DataFrame, rules: DataFrame, how: str = "left_anti")
     rules: site, id, url_glob (NULL: everywhere); a NULL site means every site. Rules for every site meet findings by
     id, those of a site by site and id. They are broadcast only if they are counted to be few.
     """
-    r = rules.select(F.col("site").alias("r_site"), F.col("id").alias("r_id"), urls.glob_pattern(F.col("url_glob")).alias("pattern"))
+    r = pattern_index.indexed(rules.select(F.col("site").alias("r_site"), F.col("id").alias("r_id"), "url_glob"), "url_glob", end=True).drop("url_glob")
 
     def joined(df: DataFrame, some: DataFrame, keys: Column, how: str) -> DataFrame:
         small = some.limit(SENT_RULES + 1).count() <= SENT_RULES
-        fits = F.col("pattern").isNull() | F.rlike(urls.path(F.col("url")), F.coalesce("pattern", F.lit("")))
+        path = urls.path(F.col("url"))
+        # the glob's literal beginning is compared first; NULL: the rule holds everywhere
+        fits = F.when(F.col("_key").isNull(), True).when(F.startswith(path, F.col("_key")), F.rlike(path, F.col("_regex"))).otherwise(False)
         return df.join(some.hint("broadcast" if small else "merge"), keys & fits, how)
 
     shared, own, same = r.where("r_site is null"), r.where("r_site is not null"), F.col("id") == F.col("r_id")

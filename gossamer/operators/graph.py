@@ -30,24 +30,61 @@ def kept(df: DataFrame, name: str = "table", path: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """A table that grows by levels, bucketed by its keys into as many buckets as a shuffle has partitions.
+
+    What is bucketed alike meets without a shuffle, and a join with other rows shuffles those alone. The catalogue knows the table only
+    while it grows; its files lie in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keys: list[str]):
+        self.spark, self.keys, self.depth = spark, keys, -1
+        self.path = scratch(spark, name)
+        self.name = "gossamer_" + self.path.rsplit("/", 1)[-1].replace("-", "_")
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write rows as the next level, and read them."""
+        self.depth += 1
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.withColumn("depth", F.lit(self.depth)).write.mode("append").format("parquet").partitionBy("depth").bucketBy(n, *self.keys)
+        dealt.option("path", self.path).saveAsTable(self.name)
+        return self.read().where(F.col("depth") == self.depth)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """All rows, read by path; the catalogue forgets the table."""
+        schema = self.read().schema
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def click_depth(links: DataFrame, homes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(site, k, depth, via): length of the shortest path of links from home, breadth first, and the page before on it.
 
     links: site, src, dst, and ord, which breaks ties of the predecessor; homes: site, k. A round extends all
-    sites by a level, until no site has a new page; its level is one more folder of the table of pages seen.
+    sites by a level, until no site has a new page; its level is one more folder of the table of pages seen. Links and pages seen
+    are bucketed alike, so a round shuffles what it finds and nothing else.
     """
-    spark = links.sparkSession
-    edges = kept(links.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("ord").alias("ord")), "edges")
-    folder = scratch(spark, "levels")
-    key = dict(links.dtypes)["src"]
-    frontier = kept(homes.select("site", "k", F.lit(None).cast(key).alias("via")).dropDuplicates(["site", "k"]), path=f"{folder}/depth=0")
-    levels, depth = spark.read.schema(f"site {dict(homes.dtypes)['site']}, k {key}, via {key}, depth int"), 0
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        step = frontier.select("site", F.col("k").alias("src")).join(edges.hint("merge"), ["site", "src"])
-        step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min_by("src", F.struct("ord", "src")).alias("via"))
-        frontier = kept(step.join(levels.parquet(folder).select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "via"), path=f"{folder}/depth={depth}")
-    return levels.parquet(folder).select("site", "k", "depth", "via")
+    spark, key = links.sparkSession, dict(links.dtypes)["src"]
+    edges, seen = Buckets(spark, "edges", ["site", "src"]), Buckets(spark, "levels", ["site", "k"])
+    try:
+        edges.append(links.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("ord").alias("ord")).repartition("site", "src"))
+        frontier = seen.append(homes.select("site", "k", F.lit(None).cast(key).alias("via")).dropDuplicates(["site", "k"]))
+        while not frontier.isEmpty() and (max_depth is None or seen.depth < max_depth):
+            frontier = seen.append(next_level(frontier, edges.read(), seen.read()))
+    finally:
+        edges.close()
+        levels = seen.close()
+    return levels.select("site", "k", "depth", "via")
+
+
+def next_level(frontier: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """(site, k, via) of pages that the frontier links to and that weren't seen. Only the rows that links make of the frontier are shuffled."""
+    step = frontier.select("site", F.col("k").alias("src")).join(edges.select("site", "src", "dst", "ord").hint("merge"), ["site", "src"])
+    step = step.groupBy("site", F.col("dst").alias("k")).agg(F.min_by("src", F.struct("ord", "src")).alias("via"))
+    return step.join(seen.select("site", "k").hint("merge"), ["site", "k"], "left_anti").select("site", "k", "via")
 
 
 def routes(depths: DataFrame, pages: DataFrame) -> DataFrame:

@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.operators import graph
+from gossamer.operators import graph, pattern_index
 
 
 def glob_matches(paths: DataFrame, globs: DataFrame) -> DataFrame:
-    """(site, path, glob) of paths (site, path) and globs (site, glob) that match as a whole. A site's globs come to its paths as one list."""
-    g = globs.select("site", "glob", urls.glob_pattern(F.col("glob")).alias("pattern")).distinct().groupBy("site").agg(F.collect_list(F.struct("glob", "pattern")).alias("globs"))
-    hits = F.filter("globs", lambda g: F.rlike(F.col("path"), g["pattern"]))
-    return paths.select("site", "path").distinct().join(g.hint("merge"), "site").select("site", "path", F.explode(hits).alias("g")).select("site", "path", "g.glob")
+    """(site, path, glob) of paths (site, path) and globs (site, glob) that match as a whole."""
+    return pattern_index.matches(paths.select("site", "path").distinct(), globs.select("site", "glob").distinct(), ["site"], "glob", end=True).select("site", "path", "glob")
 
 
 def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import urls
 from gossamer.functions.text import decoded, first, trimmed
+from gossamer.operators import pattern_index
 
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
 #: Redirect rules with these aren't followed.
@@ -30,13 +31,9 @@ def robots_verdicts(paths: DataFrame, rules: DataFrame, agent: str = "googlebot"
     """(site, path, allowed, rule) of the distinct paths (site, path): the group of the agent, else of *; the longest pattern wins, ties allow."""
     group = rules.groupBy("site").agg(F.coalesce(F.min(F.when(F.col("agent") == agent, F.col("group_no"))), F.min(F.when(F.col("agent") == "*", F.col("group_no")))).alias("group_no"))
     mine = rules.join(group.hint("merge"), ["site", "group_no"]).where("path <> ''").select("site", "allow", F.col("path").alias("rule")).distinct()
-    body = F.regexp_replace(F.regexp_replace("rule", r"\$$", ""), r"([\\.+?^${}()|\[\]])", r"\\$1")
-    mine = mine.withColumn("pattern", F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.col("rule").endswith("$"), F.lit("$")).otherwise(F.lit(""))))
-    # the rules of one file come to each of its paths as a list, so rows stay as many as paths
-    lists = mine.groupBy("site").agg(F.collect_list(F.struct(F.length("rule").alias("n"), "allow", "rule", "pattern")).alias("rules"))
-    fits = F.filter("rules", lambda r: F.rlike(F.col("path"), r["pattern"]))
-    best = paths.select("site", "path").distinct().join(lists.hint("merge"), "site", "left").select("site", "path", F.array_max(fits).alias("best"))
-    return best.select("site", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"), F.col("best.rule").alias("rule"))
+    rule = F.struct(F.length("rule").alias("n"), "allow", "rule")
+    verdict = pattern_index.best(paths, mine, ["site"], rule, rule, pattern="rule")
+    return verdict.select("site", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"), F.col("best.rule").alias("rule"))
 
 
 def _texts(block: Column, tag: str) -> Column:

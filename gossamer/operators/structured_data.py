@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.operators import graph
+from gossamer.operators import graph, pattern_index
 
 # Properties that a rich result of a type needs
 REQUIRED = {
@@ -79,7 +79,8 @@ def incomplete_nodes(nodes: DataFrame) -> DataFrame:
 
 def missing_types(features: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """schema-expected: pages on a glob (rules: site, url_glob, type) without the type."""
-    want = features.select("site", "url", "seq", urls.path(F.col("url")).alias("path")).join(rules.select("site", "type", urls.glob_pattern(F.col("url_glob")).alias("pattern")).hint("merge"), "site").where(F.rlike("path", F.col("pattern")))
+    pages = features.select("site", "url", "seq", urls.path(F.col("url")).alias("path"))
+    want = pattern_index.matches(pages, rules.select("site", "type", "url_glob").distinct(), ["site"], "url_glob", end=True)
     have = nodes.select("site", "url", F.explode("types").alias("type")).distinct()
     gone = want.select("site", "url", "seq", "type").distinct().join(have.hint("merge"), ["site", "url", "type"], "left_anti")
     declared = have.groupBy("site", "url").agg(F.array_join(F.slice(F.array_sort(F.collect_set("type")), 1, 10), ", ").alias("declared"))  # the types of one page

@@ -17,13 +17,15 @@ COLUMNS = ["site", "url", "seq", "level", "id", "title", "detail", "evidence"]
 _kept = graph.kept
 
 
-def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None, shared_limits: dict | None = None, psi_sample: int = 3) -> tuple[DataFrame, DataFrame]:
+def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None, shared_limits: dict | None = None, psi_sample: int = 3, rules=None) -> tuple[DataFrame, DataFrame]:
     """(findings, run_summary) of all sites in `responses`.
 
     tables: responses; and, where there are any, sitemaps (site, url: explicit choice), certificates (host, not_after),
     probes (site, url of a page that shouldn't exist), psi_payloads, psi_targets (site, entry: address, path or glob of
     pages to measure), redirect_map, site_limits, ignore_rules, shared_ignore_rules (id, url_glob), expect_rules.
     shared_limits: limits for sites that have none of their own in site_limits.
+    rules: a gossamer.rules registry of own rules; they get features, links, anchors, responses, nodes, sitemap_entries and sites (of the pages looked at), and
+    one that fails is a finding `rule-failed` of no site.
     caps: how many targets of a site are asked, by the id of the finding that reports the rest; without one, all are.
     """
     cap = (caps or {}).get
@@ -76,11 +78,12 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
     nodes = structured_data.jsonld_nodes(live)
     hidden = _kept(findings.not_indexable(pages, live))
     limits = sites if "site_limits" not in tables else sites.join(tables["site_limits"].hint("merge"), "site", "left")
+    limits = options.site_limits(limits, shared_limits)
     parts = [
-        page_rules.page_findings(pages, live, options.site_limits(limits, shared_limits)),
+        page_rules.page_findings(pages, live, limits),
         structured_data.incomplete_nodes(nodes),
         cross_rules.cross_page_findings(live, links, anchors, homes),
-        cross_rules.depth_findings(live, depths, links, homes, truncated=left.where("left > 0")),
+        cross_rules.depth_findings(live, depths, links, homes, truncated=left.where("left > 0"), limits=limits),
         site_files.sitemap_findings(site_files.sitemap_files(files), entries, as_of),
         site_files.sitemap_not_indexable(entries, live, hidden),
         site_files.robots_findings(sites, robots, entries, get),
@@ -113,12 +116,16 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
         parts.append(performance.performance_findings(tables["psi_payloads"]))
     if "redirect_map" in tables:
         at = lambda c: F.when(F.col(c).rlike("^/"), F.concat("site", c)).otherwise(F.col(c))
-        rules = site_files.redirect_rules(tables["redirect_map"]).withColumn("src", at("src")).withColumn("dst", at("dst"))
-        whole = rules.where(~F.col("src").rlike(site_files.PLACEHOLDER))
+        moves = site_files.redirect_rules(tables["redirect_map"]).withColumn("src", at("src")).withColumn("dst", at("dst"))
+        whole = moves.where(~F.col("src").rlike(site_files.PLACEHOLDER))
         kept, more = response_rules.sweep(whole.withColumns({"first_seq": F.col("line_no"), "url": F.col("src")}), cap("redirect-map-capped"), "redirect-map-capped")
-        rules = kept.select(rules.columns).unionByName(rules.where(F.col("src").rlike(site_files.PLACEHOLDER)))
+        moves = kept.select(moves.columns).unionByName(moves.where(F.col("src").rlike(site_files.PLACEHOLDER)))
         parts.append(more)
-        parts.append(site_files.redirect_findings(rules, graph.redirect_chains(rules.select("site", F.col("src").alias("url")), get)))
+        parts.append(site_files.redirect_findings(moves, graph.redirect_chains(moves.select("site", F.col("src").alias("url")), get)))
+    if rules is not None:
+        own_rows, failed = rules.run({"features": live, "links": links, "anchors": anchors, "responses": pages, "nodes": nodes, "sitemap_entries": entries, "sites": sites})
+        parts.append(own_rows)
+        parts.append(failed.select(F.lit("").alias("site"), F.lit("").alias("url"), F.lit(None).cast("long").alias("seq"), F.lit("error").alias("level"), F.lit("rule-failed").alias("id"), F.lit("A rule of one's own failed").alias("title"), F.concat_ws(": ", "rule", "error").alias("detail")))
     bare = F.lit(None).cast("string").alias("evidence")
     found = reduce(DataFrame.unionByName, (p.select(F.col("seq").cast("long").alias("seq"), *(c for c in COLUMNS[:-1] if c != "seq"), "evidence" if "evidence" in p.columns else bare) for p in parts)).select(COLUMNS)
     # of a site that never answers there is nothing else to say
@@ -128,6 +135,6 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
     kept, ignored = found, found.limit(0)
     if own is not None or common is not None:
         none = sites.select("site", F.lit("").alias("id"), F.lit("").alias("url_glob")).limit(0)
-        rules = options.ignore_rules(none if own is None else own, common)
-        kept, ignored = findings.apply_ignores(found, rules), findings.apply_ignores(found, rules, "left_semi")
+        silent = options.ignore_rules(none if own is None else own, common)
+        kept, ignored = findings.apply_ignores(found, silent), findings.apply_ignores(found, silent, "left_semi")
     return findings.tag_indexable(kept, hidden), findings.run_summary(pages, kept, hidden, ignored, files, as_of)

@@ -58,7 +58,7 @@ def cross_page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", "id", "detail", "evidence")
 
 
-@query("""
+DEPTH_SQL = """
 WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS depth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
 lost AS (SELECT c, k, depth, n, c % 3 = 1 AND depth >= n - 1 AND n > 4 OR c % 3 = 2 AND depth >= 2 AS cut FROM o),
 s AS (SELECT c, count(*) AS n, count(*) FILTER (cut) AS stranded FROM lost GROUP BY c),
@@ -69,9 +69,23 @@ SELECT c AS site, NULL::BIGINT AS seq, 'click-depth-skipped' AS id, stranded::VA
 UNION ALL SELECT c, k, 'no-path-from-home', '', NULL FROM judged WHERE cut AND depth > CASE c % 3 WHEN 1 THEN n - 1 ELSE 2 END
 UNION ALL SELECT c, k, 'deep-page', depth::VARCHAR, (SELECT string_agg('/' || b.k, ' > ' ORDER BY b.k) FROM o b WHERE b.c = deep.c AND b.depth <= deep.depth) FROM deep WHERE place <= 20
 UNION ALL SELECT c, NULL, 'deep-page-more', (count(*) - 20)::VARCHAR, NULL FROM deep GROUP BY c HAVING count(*) > 20
-""")
+"""
+
+
+@query(DEPTH_SQL)
 def depth_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site for each customer, whose orders are pages in a chain; some chains are cut, and some sites were left unfinished."""
+    return _depths(spark, sf_dir)
+
+
+@query(DEPTH_SQL.replace("depth > 4)", "depth > CASE c % 5 WHEN 0 THEN 1 WHEN 1 THEN 9 ELSE 6 END)"))
+def depth_rules_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """depth_rules where sites have limits of their own: some one click, some nine; six are shared."""
+    sites = table(spark, sf_dir, "customer").selectExpr("concat('https://c', c_custkey, '.example') as site", "case c_custkey % 5 when 0 then 1 when 1 then 9 end as max_click_depth")
+    return _depths(spark, sf_dir, options.site_limits(sites, {"max_click_depth": 6}))
+
+
+def _depths(spark: SparkSession, sf_dir: str, limits: DataFrame | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr("o_custkey as c", "o_orderkey as k", "row_number() over (partition by o_custkey order by o_orderkey) - 1 as place", "count(*) over (partition by o_custkey) as n", "lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as before")
     rows = graph.kept(rows.withColumns({"site": F.concat(F.lit("https://c"), "c", F.lit(".example")), "cut": F.expr("c % 3 = 1 and place = n - 1 and n > 4 or c % 3 = 2 and place = 2")}), "orders")
     pages = rows.select("site", F.concat("site", F.lit("/"), "k").alias("url"), F.col("k").alias("seq"))
@@ -80,7 +94,7 @@ def depth_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = chain.select("site", urls.key(F.col("src_url")).alias("src"), urls.key(F.col("href")).alias("dst"), F.struct("src_seq", "pos").alias("ord"))
     depths = graph.click_depth(clicks, homes.select("site", urls.key(F.col("url")).alias("k")))
     unfinished = rows.where("c % 10 = 7").select("site").distinct()
-    found = cross_rules.depth_findings(pages, depths, chain, homes, truncated=unfinished)
+    found = cross_rules.depth_findings(pages, depths, chain, homes, truncated=unfinished, limits=limits)
     return found.select(F.regexp_extract("site", r"c(\d+)", 1).cast("long").alias("site"), "seq", "id", "detail", "evidence")
 
 

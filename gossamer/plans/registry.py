@@ -10,6 +10,7 @@ from gossamer.functions.text import units
 from gossamer.operators import crawl, cross_rules, features, findings, graph, options, page_rules, performance, response_rules, sampling, site_files, structured_data
 from gossamer.plans import audit, derived, families
 from gossamer.plans.derived import table
+from gossamer.rules.registry import Rules
 from gossamer.sources import responses
 from gossamer.streaming import pages as page_stream
 
@@ -138,6 +139,45 @@ def page_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl_findings(spark, sf_dir).select("seq", "level", "id")
 
 
+OWN_RULES = Rules()
+
+
+@OWN_RULES.rule("title-repeats-path")
+def title_repeats_path(tables: dict[str, DataFrame]) -> DataFrame:
+    """A rule over a site: pages whose title is as long as that of more than ten pages of their site."""
+    f = tables["features"].select("site", "url", "seq", F.length("title").alias("n"))
+    common = f.groupBy("site", "n").agg(F.count("*").alias("pages")).where("pages > 10")
+    rows = f.join(common.hint("merge"), ["site", "n"])
+    return rows.select("site", "url", "seq", F.lit("info").alias("level"), F.lit("title-repeats-path").alias("id"), F.lit("Titles are of one length").alias("title"), F.concat("pages", F.lit("")).alias("detail"))
+
+
+@OWN_RULES.page_rule("even-headings", columns=["h1", "h2", "headers"])
+def even_headings(page: dict):
+    """A rule in Python over pages: findings for pages with two main headings, worse for those that aren't compressed."""
+    if len(page["h1"]) == 2:
+        yield "warn" if "content-encoding" in page["headers"] else "error", "Two main headings", len(page["h1"]) + len(page["h2"])
+
+
+@OWN_RULES.rule("never-there")
+def never_there(tables: dict[str, DataFrame]) -> DataFrame:
+    """A rule that can't be planned; the others run all the same."""
+    return tables["features"].select("no_such_column")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS n, source, doc_id % 80 AS t FROM documents WHERE {LIVE.replace("n %", "doc_id %")}),
+c AS (SELECT source, t, count(*) AS pages FROM d GROUP BY source, t HAVING count(*) > 10)
+SELECT n AS seq, 'title-repeats-path' AS id, 'info' AS level, pages::VARCHAR AS detail FROM d JOIN c ON c.source = d.source AND c.t = d.t
+UNION ALL SELECT n, 'even-headings', CASE WHEN n % 2 = 0 THEN 'warn' ELSE 'error' END, '3' FROM d WHERE n % 4 = 2
+UNION ALL SELECT NULL, 'rule-failed', 'error', 'never-there'
+""")
+def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules of a user's own, one over DataFrames and one in Python, and one that fails."""
+    found, failed = OWN_RULES.run({"features": features.page_features(derived.crawl(spark, sf_dir))})
+    failures = failed.select(F.lit(None).cast("long").alias("seq"), F.lit("rule-failed").alias("id"), F.lit("error").alias("level"), F.col("rule").alias("detail"))
+    return found.select("seq", "id", "level", "detail").unionByName(failures)
+
+
 @query(f"SELECT level, id, count(*) AS findings FROM ({CRAWL_SQL}) GROUP BY ALL")
 def audit_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.check_summary(_crawl_findings(spark, sf_dir), ()).select("level", "id", "findings")
@@ -234,6 +274,18 @@ def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_files.robots_verdicts(paths, site_files.robots_rules(bodies)).select(F.col("site").alias("k"), "path", "allowed")
 
 
+@query("""
+SELECT '/o/' || o_custkey || '/' || o_orderkey AS path, NOT (o_custkey % 3 = 0 AND NOT (o_custkey % 2 = 0 AND o_orderkey % 10 = 7)) AS allowed,
+  CASE WHEN o_custkey % 6 = 0 AND o_orderkey % 10 = 7 THEN '/o/' || o_custkey || '/*7$' WHEN o_custkey % 3 = 0 THEN '/o/' || o_custkey || '/' END AS rule
+FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+def robots_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots.txt of one site with a rule or two for every third customer, over a path for each order."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr("'s' as site", "0 as group_no", "'*' as agent", "inline(filter(array(struct(false as allow, concat('/o/', c_custkey, '/') as path), if(c_custkey % 2 = 0, struct(true as allow, concat('/o/', c_custkey, '/*7$') as path), null)), x -> x is not null))")
+    paths = table(spark, sf_dir, "orders").selectExpr("'s' as site", "concat('/o/', o_custkey, '/', o_orderkey) as path")
+    return site_files.robots_verdicts(paths, c).select("path", "allowed", "rule")
+
+
 @query("""
 SELECT n_nationkey AS site, '/c/*' AS glob, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0
 UNION ALL SELECT c_nationkey, '/**/9', c_custkey FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 10 = 9
