@@ -228,6 +228,20 @@ def gate(sites: DataFrame, findings: DataFrame, fail_on: str = "error", added: D
     return sites.select("site").distinct().join(failed, "site", "left").select("site", F.col("failed").isNull().alias("passed"))
 
 
+def gate_portfolio(gates: DataFrame) -> DataFrame:
+    """(passed, sites, failed): a portfolio passes if all of its sites do; one without sites passes."""
+    return gates.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"), F.count("*").alias("sites"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def rollup(findings: DataFrame) -> DataFrame:
+    """(site, category, level, grouping, findings, rules): counts by site, area and level, and all their totals, in one pass.
+
+    grouping tells totals from groups: 0 is a level of an area of a site, 1 an area of a site, 3 a site, 7 everything.
+    """
+    counted = categorized(findings).rollup("site", "category", "level").agg(F.grouping_id().cast("int").alias("grouping"), F.count("*").alias("findings"), F.count_distinct("id").alias("rules"))
+    return counted.select("site", "category", "level", "grouping", "findings", "rules")
+
+
 #: Ignore rules that are sent to all executors; more are joined by shuffling.
 SENT_RULES = 10_000
 
@@ -281,30 +295,59 @@ def run_summary(responses: DataFrame, findings: DataFrame, hidden: DataFrame, ig
     return out.withColumn("date", F.lit(None).cast("date") if as_of is None else as_of.cast("date"))
 
 
-DOCUMENT = "struct<site:string,date:string,findings:array<struct<url:string,seq:bigint,level:string,id:string,title:string,detail:string>>>"
+#: What a run's summary says of a site, and how a document holds it.
+META = ["pages", "requests", "not_indexable", "findings", "ignored", "sitemap", "date"]
+META_TYPE = "struct<pages:bigint,requests:bigint,not_indexable:bigint,findings:bigint,ignored:bigint,sitemap:string,date:string>"
+DOCUMENT = f"struct<site:string,date:string,meta:{META_TYPE},findings:array<struct<url:string,seq:bigint,level:string,id:string,title:string,detail:string>>>"
 #: Documents that a site's findings are spread over, so that none has to hold them all.
 DOCUMENTS = 32
 
 
-def write_findings(findings: DataFrame, path: str, kind: str = "parquet", date: str | None = None) -> None:
-    """Findings as a table by site, or with kind="json" as documents {"site", "date", "findings": [...]}, one in a line."""
-    if kind != "json":
-        findings.write.mode("overwrite").partitionBy("site").format(kind).save(path)
-        return
-    one = F.struct("url", "seq", "level", "id", "title", "detail")
-    part = F.pmod(F.xxhash64("url", "id"), F.lit(DOCUMENTS))
-    docs = findings.groupBy("site", part.alias("part")).agg(F.collect_list(one).alias("findings"))
-    docs.select(F.to_json(F.struct("site", F.lit(date).alias("date"), "findings")).alias("value")).write.mode("overwrite").text(path)
+def write_findings(findings: DataFrame, path: str, kind: str = "parquet", date: str | None = None, runs: DataFrame | None = None) -> None:
+    """Findings as a table by site, or with kind="json" as documents {"site", "date", "meta", "findings": [...]}, one in a line.
 
-
-def read_findings(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Findings from JSON documents {"site", "findings": [...]}, one in a line or (whole_files) one in a file; one that isn't such a document is an error."""
+    Sites that are written replace what is there of them; other sites stay. runs (run_summary): sites looked at; each of them is
+    written even if it has no findings, which replaces those of an earlier run, and documents carry its summary as meta.
+    """
+    one = ["url", "seq", "level", "id", "title", "detail"]
+    rows = findings
+    if runs is not None:
+        have = {f.name.lower() for f in findings.schema}
+        clean = runs.select("site").distinct().join(findings.select("site").distinct().hint("merge"), "site", "left_anti")
+        rows = findings.unionByName(clean, allowMissingColumns=True) if len(have) > 1 else clean
+    if kind == "json":
+        part = F.pmod(F.xxhash64("url", "id"), F.lit(DOCUMENTS))
+        found = F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*one)))
+        docs = rows.groupBy("site", part.alias("part")).agg(found.alias("findings"))
+        if runs is not None:
+            told = [(F.col(c) if c in runs.columns else F.lit(None)).cast("string" if c in ("sitemap", "date") else "bigint").alias(c) for c in META]
+            docs = docs.join(runs.select("site", F.struct(*told).alias("meta")).hint("merge"), "site", "left")
+        else:
+            docs = docs.withColumn("meta", F.lit(None).cast(META_TYPE))
+        rows = docs.select("site", F.to_json(F.struct("site", F.lit(date).alias("date"), "meta", "findings")).alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").format("text" if kind == "json" else kind).save(path)
+
+
+def _documents(spark: SparkSession, path: str, whole_files: bool) -> DataFrame:
     raw = spark.read.text(path, wholetext=whole_files).where(F.trim("value") != "")
     parsed = raw.select("value", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
     broken = parsed.where(F.col("d").isNull() | F.col("d.findings").isNull()).limit(1).collect()
     if broken:
         raise ValueError("not a findings document: " + json.dumps(broken[0]["value"][:80]))
-    return parsed.select(F.col("d.site").alias("site"), F.explode("d.findings").alias("f")).select("site", "f.*")
+    return parsed.select("d.*")
+
+
+def read_findings(spark: SparkSession, path: str, whole_files: bool = False, kind: str = "json") -> DataFrame:
+    """Findings from JSON documents {"site", "findings": [...]}, one in a line or (whole_files) one in a file; one that isn't such a document is an error. kind="parquet": from a table."""
+    if kind == "parquet":
+        table = spark.read.parquet(path).where("id is not null")
+        return table.withColumn("site", F.col("site").cast("string")).select(*(["site"] + [c for c in table.columns if c != "site"]))
+    return _documents(spark, path, whole_files).select("site", F.explode("findings").alias("f")).select("site", "f.*")
+
+
+def read_runs(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """(site, date, meta) of findings documents, once for each site."""
+    return _documents(spark, path, whole_files).groupBy("site").agg(F.max("date").alias("date"), F.max("meta").alias("meta"))
 
 
 def ranked(findings: DataFrame) -> DataFrame:

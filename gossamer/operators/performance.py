@@ -11,8 +11,10 @@ FIELDS = {"psi-field-lcp": "LARGEST_CONTENTFUL_PAINT_MS", "psi-field-cls": "CUMU
 SAVINGS_MS = 250
 
 
-def performance_findings(payloads: DataFrame) -> DataFrame:
-    """payloads: site, url, payload (JSON), error."""
+def performance_findings(payloads: DataFrame, strategy: str | None = None) -> DataFrame:
+    """payloads: site, url, payload (JSON), error; and strategy (mobile, desktop), of which one is judged if asked for. A payload without one is mobile."""
+    if strategy is not None and "strategy" in payloads.columns:
+        payloads = payloads.where(F.coalesce("strategy", F.lit("mobile")) == strategy)
     v = F.try_parse_json("payload")
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     score = F.floor(get("$.lighthouseResult.categories.performance.score", "double") * 100 + 0.5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
@@ -17,19 +17,26 @@ COLUMNS = ["site", "url", "seq", "level", "id", "title", "detail", "evidence"]
 _kept = graph.kept
 
 
-def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None, shared_limits: dict | None = None, psi_sample: int = 3, rules=None) -> tuple[DataFrame, DataFrame]:
+def _session() -> SparkSession:
+    return SparkSession.active()
+
+
+def audit(tables: dict[str, DataFrame | str], as_of: Column, page_budget: int | None = None, include_external: bool = False, caps: dict[str, int] | None = None, shared_limits: dict | None = None, psi_sample: int = 3, psi_strategy: str = "mobile", rules=None) -> tuple[DataFrame, DataFrame]:
     """(findings, run_summary) of all sites in `responses`.
 
-    tables: responses; and, where there are any, sitemaps (site, url: explicit choice), certificates (host, not_after),
+    tables: responses (a DataFrame, or the path of a log in Parquet files, whose bodies then move once, when they are kept); and, where there are any, sitemaps (site, url: explicit choice), certificates (host, not_after),
     probes (site, url of a page that shouldn't exist), psi_payloads, psi_targets (site, entry: address, path or glob of
     pages to measure), redirect_map, site_limits, ignore_rules, shared_ignore_rules (id, url_glob), expect_rules.
     shared_limits: limits for sites that have none of their own in site_limits.
     rules: a gossamer.rules registry of own rules; they get features, links, anchors, responses, nodes, sitemap_entries and sites (of the pages looked at), and
     one that fails is a finding `rule-failed` of no site.
+    psi_strategy: the payloads judged, where the table has several strategies.
     caps: how many targets of a site are asked, by the id of the finding that reports the rest; without one, all are.
     """
     cap = (caps or {}).get
-    asked = _kept(log.latest(tables["responses"]).withColumn("location", F.when(F.col("location").isNotNull(), urls.resolve(F.col("url"), F.col("location")))))
+    given = tables["responses"]
+    latest = log.read_latest(_session(), given) if isinstance(given, str) else log.latest(given)
+    asked = _kept(latest.withColumn("location", F.when(F.col("location").isNotNull(), urls.resolve(F.col("url"), F.col("location")))))
     get = asked.where("method = 'GET'")
     ok = F.col("status").between(200, 299)
     sites = _kept(asked.select("site").distinct())
@@ -113,7 +120,7 @@ def audit(tables: dict[str, DataFrame], as_of: Column, page_budget: int | None =
     if "psi_targets" in tables:
         parts.append(sampling.sample_targets(tables["psi_targets"], pages, psi_sample)[1])
     if "psi_payloads" in tables:
-        parts.append(performance.performance_findings(tables["psi_payloads"]))
+        parts.append(performance.performance_findings(tables["psi_payloads"], psi_strategy))
     if "redirect_map" in tables:
         at = lambda c: F.when(F.col(c).rlike("^/"), F.concat("site", c)).otherwise(F.col(c))
         moves = site_files.redirect_rules(tables["redirect_map"]).withColumn("src", at("src")).withColumn("dst", at("dst"))

@@ -356,6 +356,77 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.gate(f, f, "warn")
 
 
+GATES = f"""
+WITH b AS ({BEFORE}), a AS ({AFTER}), sites AS (SELECT DISTINCT site FROM a),
+new AS (SELECT DISTINCT a.site FROM a LEFT JOIN b ON b.site = a.site AND b.id = a.id AND b.url = a.url WHERE b.id IS NULL),
+g AS (SELECT 'error' AS mode, site, NOT EXISTS (SELECT 1 FROM a WHERE a.site = s.site AND level = 'error') AS passed FROM sites s
+  UNION ALL SELECT 'warn', site, NOT EXISTS (SELECT 1 FROM a WHERE a.site = s.site AND level <> 'info') FROM sites s
+  UNION ALL SELECT 'new', site, NOT EXISTS (SELECT 1 FROM new WHERE new.site = s.site) FROM sites s UNION ALL SELECT 'never', site, TRUE FROM sites)
+SELECT * FROM g UNION ALL SELECT mode, 'portfolio', bool_and(passed) FROM g GROUP BY mode
+"""
+
+
+@query(GATES)
+def gate_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mode of the gate for each site, and for the portfolio; two thirds of the sites have but notes in one half of them."""
+    before, after = (derived.findings_snapshot(spark, sf_dir, k) for k in (0, 1))
+    added = findings.diff(before, after).where("change = 'added'")
+    out = None
+    for mode in ("error", "warn", "new", "never"):
+        g = findings.gate(after, after, mode, added)
+        rows = g.unionByName(findings.gate_portfolio(g).select(F.lit("portfolio").alias("site"), "passed")).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("mode", "site", "passed")
+
+
+@query(f"""
+WITH c AS (SELECT site, CASE id WHEN 'noindex' THEN 'Indexability' WHEN 'title-short' THEN 'Content' WHEN 'slow' THEN 'Performance' WHEN 'img-alt' THEN 'Images' WHEN 'og-webp' THEN 'Social' ELSE 'Other' END AS category, level, id FROM ({BEFORE}))
+SELECT site, category, level, GROUPING_ID(site, category, level)::INT AS grouping, count(*) AS findings, count(DISTINCT id) AS rules FROM c GROUP BY ROLLUP (site, category, level)
+""")
+def portfolio_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.rollup(derived.findings_snapshot(spark, sf_dir, 0))
+
+
+@query(f"""
+WITH a AS ({AFTER}), b AS ({BEFORE}), w AS (SELECT 1 AS run, * FROM b UNION ALL SELECT 2, * FROM a WHERE o_orderkey % 3 = 0 AND site LIKE '%c%0.example'),
+last AS (SELECT *, max(run) OVER (PARTITION BY site) AS newest FROM w)
+SELECT site, id, url, run AS date, count(*) OVER (PARTITION BY site) AS pages FROM last WHERE run = newest
+""")
+def findings_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of all sites, then one of some of them, written to one place as documents and read back: the others keep what they had. With the meta of each site."""
+    path = graph.scratch(spark, "findings-documents")
+    second = derived.findings_snapshot(spark, sf_dir, 1).where(F.col("site").like("%c%0.example") & (F.col("seq") % 3 == 0))
+    for run, found in enumerate((derived.findings_snapshot(spark, sf_dir, 0), second), 1):
+        findings.write_findings(found, path, "json", str(run), found.groupBy("site").agg(F.count("*").alias("pages")))
+    runs = findings.read_runs(spark, path).select("site", F.col("date").cast("int").alias("date"), F.col("meta.pages").alias("pages"))
+    return findings.read_findings(spark, path).join(runs.hint("merge"), "site").select("site", "id", "url", "date", "pages")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS url, o_orderkey AS seq, o_orderkey % 2 AS m, o_orderkey % 3 AS day FROM orders)
+SELECT url, CASE m WHEN 0 THEN 'HEAD' ELSE 'GET' END AS method, seq, 'body ' || seq AS body FROM o QUALIFY row_number() OVER (PARTITION BY url, m ORDER BY day DESC, seq DESC) = 1
+""")
+def latest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which a customer's orders are fetches of one address, written to files; only the keys of superseded rows move."""
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "'s' as site", "if(o_orderkey % 2 = 0, 'HEAD', 'GET') as method", "concat(o_custkey) as url", "o_orderkey as seq", "200 as status", "cast(null as map<string,string>) as headers", "concat('body ', o_orderkey) as body", "cast(null as string) as location", "1 as ms", "cast(null as string) as error",
+        "timestamp_millis(o_orderkey % 3 * 86400000) as fetched_at",
+    )
+    path = graph.scratch(spark, "log")
+    o.write.parquet(path)
+    return responses.read_latest(spark, path).select(F.col("url").cast("long").alias("url"), "method", "seq", "body")
+
+
+@query("""
+SELECT c_custkey AS url, 'psi-score' AS id, (c_custkey % 100)::VARCHAR AS detail FROM customer WHERE c_custkey % 3 <> 1 AND c_custkey % 100 < 90
+UNION ALL SELECT c_custkey, 'psi-no-field-data', '' FROM customer WHERE c_custkey % 3 <> 1
+""")
+def performance_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mobile payloads alone; some rows name no strategy."""
+    p = table(spark, sf_dir, "customer").selectExpr("'s' as site", "c_custkey as url", "element_at(array('mobile', 'desktop', null), cast(c_custkey % 3 as int) + 1) as strategy", """concat('{"lighthouseResult":{"categories":{"performance":{"score":', c_custkey % 100 / 100, '}}}}') as payload""", "cast(null as string) as error")
+    return performance.performance_findings(p, "mobile").select("url", "id", "detail")
+
+
 @query(f"SELECT id, url FROM ({BEFORE}) WHERE NOT (id = 'slow' OR id = 'noindex' AND url LIKE '%/p/1%')")
 def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(None, "slow", None), (None, "noindex", "/p/1*")], "site string, id string, url_glob string")

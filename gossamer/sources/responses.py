@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
@@ -16,6 +19,29 @@ def latest(log: DataFrame) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Superseded rows that are sent to all executors.
+SENT_ROWS = 200_000
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """latest() of a response log in Parquet files, without moving a body.
+
+    Keys and times alone tell which rows are superseded, each known by its file and place; these few are taken out where
+    bodies are read. (Equal times and seqs: the last by file and place.)
+    """
+    log = spark.read.schema(RESPONSES).parquet(path)
+    keys, own = ["site", "method", "url"], ["_file", "_row"]
+    at = {"_file": F.xxhash64("_metadata.file_path", "_metadata.file_size"), "_row": F.col("_metadata.row_index")}
+    rows = log.select(*keys, "fetched_at", "seq", *(c.alias(n) for n, c in at.items()))
+    order = F.struct("fetched_at", "seq", *own)
+    last = rows.groupBy(*keys).agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    last = last.select(*(F.col(k).alias(f"_{k}") for k in keys), "last")
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    gone = rows.join(last.hint("merge"), same).where(~order.eqNullSafe(F.col("last"))).select(*own)
+    few = gone.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return log.withColumns(at).join(gone.hint("broadcast" if few else "merge"), own, "left_anti").drop(*own)
+
+
 def from_pages(pages: DataFrame, site=None) -> DataFrame:
     """(page_id, url, html) as responses: status 200, text/html. site: an expression, the url's origin by default."""
     return pages.select(
