@@ -150,7 +150,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         held = F.sum(F.octet_length("terms") + 64).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
         rows = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).drop("held").orderBy("doc_id").toPandas()
         y = rows["label"].to_numpy(np.float64)
-        drawn = [min(count[k], n) for k, n in ((1, SAMPLE[0]), (0, SAMPLE[1]))]
-        shift = float(np.log(count[1] / drawn[0]) - np.log(count[0] / drawn[1]))
-        model = FactorizationMachine([np.frombuffer(t, "<u4").astype(np.int64) for t in rows["terms"]], y, shift)
+        # of the rows that came: labels may be without a document, and the bound in bytes may have cut
+        drawn = [int((y == k).sum()) for k in (1, 0)]
+        if min(drawn) == 0:
+            model = count[1] / (count[0] + count[1])
+        else:
+            shift = float(np.log(count[1] / drawn[0]) - np.log(count[0] / drawn[1]))
+            model = FactorizationMachine([np.frombuffer(t, "<u4").astype(np.int64) for t in rows["terms"]], y, shift)
     return docs.select("doc_id", "text").mapInArrow(_scored(spark.sparkContext.broadcast(model)), "doc_id long, score double")
