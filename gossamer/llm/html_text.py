@@ -169,6 +169,13 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+#: Inputs that show no text of theirs, and what browsers write on a button without a value.
+MUTE = {"checkbox", "color", "file", "hidden", "password", "radio", "range"}
+LABELS = {"reset": "Reset", "submit": "Submit"}
+#: Levels of quotes and lists that are indented; deeper ones stay at the last, so that a page of nested ones doesn't grow with its square.
+LEVELS = 24
+
+
 class Renderer:
     """Lines of text; `gap` is how many line ends are due before the next text."""
 
@@ -219,6 +226,9 @@ class Renderer:
             s = s.lstrip(" ")
         self.line += s
 
+    def indent(self, mark: str) -> None:
+        self.prefix.append(mark if len(self.prefix) < LEVELS else "")
+
     def result(self) -> str:
         self.break_to(1)
         return "\n".join(self.lines)
@@ -275,15 +285,19 @@ class Renderer:
                 self.marker = f"{_number(node)}. " if node.parent is not None and node.parent.name == "ol" else "- "
                 self.prefix.append("")
             elif name == "blockquote":
-                self.prefix.append("> ")
+                self.indent("> ")
             elif name == "dd":
-                self.prefix.append("    ")
+                self.indent("    ")
             elif nested:
-                self.prefix.append("  ")
+                self.indent("  ")
         elif name in ("td", "th"):
             self.text(" ", False)
-        elif name == "input" and not node.hid and node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", ""):
-            self.text(node.attributes.get("value", ""), False)
+        elif name == "input" and not node.hid:
+            kind = node.attributes.get("type", "text").strip().lower()
+            if kind == "image":
+                self.text(node.attributes.get("alt", ""), False)
+            elif kind not in MUTE:
+                self.text(node.attributes.get("value", "") or (LABELS.get(kind, "") if "value" not in node.attributes else ""), False)
         pre = pre or name in ("pre", "textarea", "xmp")
         stack.append(("close", node, pre))
         if name == "table":  # of one column: its cells stand below one another
@@ -346,21 +360,27 @@ def lay_out(table: Node) -> None:
     if all(len(r) < 2 for r in rows):
         return
     lines = [line for x in [*loose, *captions] for line in Renderer().render([x], table.hid).result().split("\n") if line]
-    taken: dict[int, int] = {}  # columns that a cell of a row above still covers, and for how many rows
+    held: list[tuple[int, int, int]] = []  # spans of columns that cells above cover, by their start, and the row where they end
     cells: list[dict[int, list[str]]] = []
-    for row in rows:
+    for r, row in enumerate(rows):
         line: dict[int, list[str]] = {}
-        k, covered = 0, dict(taken)
+        k, at, new = 0, 0, []
         for c in row:
-            while covered.get(k, 0) > 0:
-                k += 1
+            while at < len(held) and held[at][0] <= k:
+                k, at = max(k, held[at][1]), at + 1
             line[k] = Renderer().render(c.children, c.hid).result().split("\n")
             wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
             if high > 1:
-                taken.update((j, high) for j in range(k, k + wide))
+                new.append((k, k + wide, min(r + high, len(rows))))  # no cell goes beyond its table
             k += wide
         cells.append(line)
-        taken = {j: n - 1 for j, n in taken.items() if n > 1}
+        merged: list[tuple[int, int, int]] = []
+        for x in sorted([x for x in held if x[2] > r + 1] + [x for x in new if x[2] > r + 1]):
+            if merged and merged[-1][2] == x[2] and merged[-1][1] >= x[0]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], x[1]), x[2])
+            else:
+                merged.append(x)
+        held = merged
     columns = sorted({k for line in cells for k in line})  # columns where no cell begins take no room
     widths = {k: max((width(t) for line in cells if k in line for t in line[k]), default=0) for k in columns}
     for line in cells:
