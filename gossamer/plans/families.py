@@ -307,3 +307,67 @@ def anchor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr(f"concat('<a href=\"../t/', seq % 50, '\"', {inner}, '<a href=\"', seq, '#top\">self</a><a href=\"#x\">no</a><a href=\"https://other.example/\">other</a>')")
     r = d.select("site", F.lit("GET").alias("method"), "url", "seq", F.lit(200).alias("status"), F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), body.alias("body"))
     return features.page_anchors(r).select("src_seq", urls.path(F.col("href")).alias("target"), "name")
+
+
+@query("""
+SELECT doc_id AS seq, doc_id % 3 AS headings, 0 AS images, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS links FROM documents
+""")
+def attribute_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose attribute values hold whole tags: those are no headings, images or links of the page."""
+    d = _docs(spark, sf_dir)
+    body = F.expr("concat('<main><div data-a=\"', repeat('<img src=x>', cast(seq % 4 as int)), '\" data-b=\"say <h1>no</h1> <a href=/no>n</a>\">', repeat('<h1>yes</h1>', cast(seq % 3 as int)), if(seq % 5 = 0, '<a href=\"/yes\">y</a>', ''), '</div></main>')")
+    r = d.select("site", F.lit("GET").alias("method"), "url", "seq", F.lit(200).alias("status"), F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), body.alias("body"), F.lit(0).alias("ms"))
+    links = features.page_links(r).groupBy(F.col("src_seq").alias("seq")).agg(F.count("*").cast("int").alias("links"))
+    f = features.page_features(r).select("seq", F.size("h1").alias("headings"), F.size("images").alias("images"))
+    return f.join(links.hint("merge"), "seq", "left").fillna(0, ["links"])
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, c_custkey AS n FROM customer),
+f AS (SELECT k, count(*) AS urls, sum(octet_length(encode('<url><loc>https://n.example/é/' || n || '</loc><lastmod>' || CASE WHEN k % 3 = 0 THEN '2024-01-01' WHEN k % 3 = 1 THEN '2024-01-' || lpad((n % 28 + 1)::VARCHAR, 2, '0') ELSE '' END || '</lastmod></url>'))) + 17 AS bytes, k % 3 = 0 AS alike, k % 3 = 2 AS undated FROM c GROUP BY k)
+SELECT k, 'size' AS id, urls || ' ' || bytes AS detail FROM f
+UNION ALL SELECT k, 'sitemap-lastmod-identical', urls::VARCHAR FROM f WHERE alike AND urls >= 5
+UNION ALL SELECT k, 'sitemap-lastmod-missing', '' FROM f WHERE undated
+""")
+def sitemap_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap of each nation's customers: its size in addresses and bytes, and dates that are alike, differ, or are missing."""
+    entry = "concat('<url><loc>https://n.example/é/', c_custkey, '</loc><lastmod>', case c_nationkey % 3 when 0 then '2024-01-01' when 1 then concat('2024-01-', lpad(c_custkey % 28 + 1, 2, '0')) else '' end, '</lastmod></url>')"
+    bodies = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("site")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.expr(entry)), ""), F.lit("</urlset>")).alias("body")).withColumn("url", F.lit("/sitemap.xml"))
+    files = site_files.sitemap_files(bodies)
+    found = site_files.sitemap_findings(files, site_files.sitemap_entries(bodies), F.lit("2026-01-01").cast("timestamp"))
+    sizes = files.select("site", F.lit("size").alias("id"), F.concat_ws(" ", "urls", "bytes").alias("detail"))
+    return found.select("site", "id", "detail").unionByName(sizes).withColumnRenamed("site", "k")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT o_orderkey AS seq, 'https://c' || o_custkey % 50 || '.example/p/' || o_orderkey AS url FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT seq, CASE WHEN seq % 4 = 1 THEN FALSE END AS indexable FROM f
+""")
+def indexable_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of pages of which a quarter isn't to be indexed; the table of those names some pages twice, and pages of other sites."""
+    f = derived.findings_snapshot(spark, sf_dir, 0)
+    hidden = f.where("seq % 4 = 1").select("site", "url")
+    others = f.where("seq % 4 = 2").select(F.lit("https://other.example").alias("site"), "url")
+    return findings.tag_indexable(f, hidden.unionByName(hidden).unionByName(others)).select("seq", "indexable")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT 's' || l_orderkey % 3 AS site, l_partkey AS k FROM lineitem WHERE l_partkey % 3 <> 0),
+e AS (SELECT 's' || o_orderkey % 3 AS site, o_custkey AS k FROM orders GROUP BY ALL), m AS (SELECT 's' || c_custkey % 4 AS site, count(*) AS n FROM customer GROUP BY ALL)
+SELECT site, 'link-sweep-capped' AS id, (count(*) - 200)::VARCHAR AS detail FROM l GROUP BY site HAVING count(*) > 200
+UNION ALL SELECT site, 'external-sweep-capped', (count(*) - 100)::VARCHAR FROM e GROUP BY site HAVING count(*) > 100
+UNION ALL SELECT site, 'redirect-map-capped', (n - 200)::VARCHAR FROM m WHERE n > 200
+""")
+def capped_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sweeps of links, of links to other sites and of redirect maps leave when they are capped."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("concat('s', l_orderkey % 3) as site", "'internal' as kind", "'p' as src_url", "l_orderkey as src_seq", "0 as pos", "concat('u', l_partkey, '/') as href")
+    orders = table(spark, sf_dir, "orders").selectExpr("concat('s', o_orderkey % 3) as site", "'external' as kind", "o_orderkey as src_seq", "concat('x', o_custkey) as href")
+    parts = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").selectExpr("explode(array('s0', 's1', 's2')) as site", "concat('u', p_partkey) as url")
+    targets = response_rules.link_targets(lines, parts, parts.limit(0).withColumnRenamed("url", "loc"))
+    rules = site_files.redirect_rules(table(spark, sf_dir, "customer").selectExpr("concat('s', c_custkey % 4) as site", "c_custkey as line_no", "concat('/', c_custkey, ' /to') as line"))
+    swept = [
+        response_rules.sweep(targets, 200, "link-sweep-capped"),
+        response_rules.sweep(response_rules.external_targets(orders), 100, "external-sweep-capped"),
+        response_rules.sweep(rules.select("site", F.col("src").alias("url"), F.col("line_no").alias("first_seq")), 200, "redirect-map-capped"),
+    ]
+    return swept[0][1].unionByName(swept[1][1]).unionByName(swept[2][1]).select("site", "id", "detail")
