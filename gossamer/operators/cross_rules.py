@@ -15,8 +15,6 @@ from gossamer.operators.features import anchor_phrase
 
 # Phrases that say nothing about where a link leads
 GENERIC = ["click", "click here", "continue reading", "details", "find out more", "go", "here", "learn more", "link", "more", "more info", "more information", "open", "read more", "read the rest", "see more", "this", "this link", "this page", "view", "view more"]
-#: Sites whose limits are sent to all executors.
-SENT_LIMITS = 100_000
 TOP_DEEP, TOP_NAMELESS, TOP_GENERIC = 20, 10, 10
 
 
@@ -104,7 +102,7 @@ def depth_findings(features: DataFrame, depths: DataFrame, links: DataFrame, hom
         deep = deep.where(F.col("depth") > max_depth)
     else:
         own = limits.select("site", F.col("max_click_depth").alias("_limit"))
-        deep = deep.join(own.hint("broadcast" if own.limit(SENT_LIMITS + 1).count() <= SENT_LIMITS else "merge"), "site", "left").where(F.col("depth") > F.coalesce("_limit", F.lit(max_depth))).drop("_limit")
+        deep = deep.join(graph.few(own), "site", "left").where(F.col("depth") > F.coalesce("_limit", F.lit(max_depth))).drop("_limit")
     first = graph.kept(deep.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("depth"), "seq", "url"))).where(F.col("rank") <= top), "deep-pages")
     way = graph.routes(depths, first.select("site", "k").distinct()).select("site", "k", F.array_join(F.transform("route", lambda x: urls.path(x.cast("string"))), " > ").alias("evidence"))
     shown = first.join(way.hint("merge"), ["site", "k"], "left")

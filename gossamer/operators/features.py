@@ -66,7 +66,17 @@ def _images() -> Column:
 
 def page_features(responses: DataFrame) -> DataFrame:
     """One row for each ok HTML response: everything that the rules read from its markup."""
-    d = _sections(responses).withColumn("metas", _tags("markup", "meta", META)).withColumn("links", _tags("markup", "link", LINK))
+    return _features(_sections(responses))
+
+
+def page_tables(responses: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """page_features and page_links of one pass over bodies; keep(df) writes what both are read from."""
+    wide = keep(_features(_with_links(_sections(responses)), ["page_links"]))
+    return wide.drop("page_links"), _exploded(wide)
+
+
+def _features(d: DataFrame, more: list[str] | None = None) -> DataFrame:
+    d = d.withColumn("metas", _tags("markup", "meta", META)).withColumn("links", _tags("markup", "link", LINK))
     # all pictures in one text, so that an image is looked for once
     d = d.withColumn("pictures", F.array_join(F.regexp_extract_all("markup", F.lit(r"(?is)<picture.*?</picture>"), F.lit(0)), "\u0001"))
     rel = lambda value: F.filter("links", lambda t: _is(t, "rel", value))
@@ -102,6 +112,7 @@ def page_features(responses: DataFrame) -> DataFrame:
         units(F.coalesce("body", F.lit(""))).cast("long").alias("html_units"),
         F.filter(F.transform(loaded, lambda t: F.coalesce(read(t, "src"), F.when(is_link(t), read(t, "href")))), lambda u: u.isNotNull()).alias("subresources"),
         *_link_counts(of_kind),
+        *(more or []),
     )
 
 
@@ -137,15 +148,23 @@ def page_links(responses: DataFrame, strict_origin: bool = False) -> DataFrame:
 
     Distinct targets, those of the main part and those with nofollow are sorted together, so that the marks of a target are its neighbours.
     """
+    return _exploded(_with_links(_sections(responses)), strict_origin)
+
+
+def _with_links(d: DataFrame) -> DataFrame:
+    """d with page_links: the page's distinct targets, each with its place and marks."""
     full = lambda refs: F.transform(refs, lambda a: F.struct(urls.resolve(F.col("url"), a["href"]).alias("href"), _nofollow(a).alias("nofollow")))
-    d = _sections(responses).select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), full(_hrefs("markup")).alias("links"), full(_hrefs("main")).alias("main"))
+    d = d.withColumns({"every_link": full(_hrefs("markup")), "main_link": full(_hrefs("main"))})
     distinct = lambda refs: F.array_compact(F.array_distinct(refs["href"]))
     marked = lambda refs, mark: F.transform(distinct(refs), lambda h, i: F.struct(h.alias("href"), F.lit(mark).alias("mark"), i.alias("pos")))
-    marks = F.array_sort(F.concat(marked(F.col("links"), 0), marked(F.col("main"), 1), marked(F.filter("links", lambda a: a["nofollow"]), 2)))
-    d = d.withColumn("marks", marks)
+    d = d.withColumn("marks", F.array_sort(F.concat(marked(F.col("every_link"), 0), marked(F.col("main_link"), 1), marked(F.filter("every_link", lambda a: a["nofollow"]), 2))))
     has = lambda x, i, mark: F.exists(F.slice("marks", i + 2, F.lit(2)), lambda y: (y["href"] == x["href"]) & (y["mark"] == mark))
     told = F.filter(F.transform("marks", lambda x, i: F.when(x["mark"] == 0, F.struct(x["href"], x["pos"], has(x, i, 1).alias("in_main"), has(x, i, 2).alias("nofollow")))), lambda x: x.isNotNull())
-    one = d.select("site", "src_url", "src_seq", F.explode(told).alias("a")).select("site", "src_url", "src_seq", "a.*")
+    return d.withColumn("page_links", told)
+
+
+def _exploded(d: DataFrame, strict_origin: bool = False) -> DataFrame:
+    one = d.select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.explode("page_links").alias("a")).select("site", "src_url", "src_seq", "a.*")
     inside = (urls.origin(F.col("href")) == F.col("site")) if strict_origin else F.startswith("href", "site")
     return one.select("site", "src_url", "src_seq", "href", "pos", "in_main", "nofollow", F.when(inside, "internal").otherwise("external").alias("kind"))
 

@@ -20,7 +20,40 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for open_ in _scopes:
+        open_.paths.append((name, path))
+    return path
+
+
+_scopes: list[scope] = []
+
+
+class scope:  # noqa: N801
+    """With it, tables written to the shared folder are deleted at the end, but for those of the names to keep; after an exception, all."""
+
+    def __init__(self, spark: SparkSession, keep: tuple[str, ...] = ()):
+        self.spark, self.keep, self.paths = spark, keep, []
+
+    def __enter__(self) -> scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _scopes.remove(self)
+        for name, path in self.paths:
+            if kind is not None or name not in self.keep:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of a few short columns that are sent to all executors.
+SENT = 100_000
+
+
+def few(df: DataFrame, rows: int = SENT) -> DataFrame:
+    """df for a join: sent to all executors if it is counted to have so few rows, else shuffled, with the other side, for a merge."""
+    return df.hint("broadcast" if df.limit(rows + 1).count() <= rows else "merge")
 
 
 def kept(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import urls
-from gossamer.operators import cross_rules, sampling
+from gossamer.operators import cross_rules, graph, sampling
 
 # Headers that a home page should send, and how much they matter
 HEADERS = {"content-security-policy": "info", "referrer-policy": "info", "strict-transport-security": "warn", "x-content-type-options": "info"}
@@ -53,7 +53,7 @@ def link_findings(swept: DataFrame, entries: DataFrame, top: int = 20, links: Da
         dead = dead.join(cross_rules.examples(at, ["site", "k"], "src_url", ["src_seq", "src_url"], shown).hint("merge"), ["site", "k"], "left")
     broken = _rows(dead, "error", "broken-link", "The link leads nowhere", F.col("sources"))
     sites = entries.select("site").distinct()
-    absent = swept.where("status = 200 and is_html").join(sites.hint("merge"), "site", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("first_seq", "url")))
+    absent = swept.where("status = 200 and is_html").join(graph.few(sites), "site", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("first_seq", "url")))
     more = absent.groupBy("site").agg((F.count("*") - top).alias("n")).where("n > 0").withColumn("url", F.col("site"))
     return (
         broken.unionByName(_rows(absent.where(F.col("n") <= top), "warn", "missing-from-sitemap", "A linked page isn't in the sitemap"))

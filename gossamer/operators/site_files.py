@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import urls
 from gossamer.functions.text import decoded, first, trimmed
-from gossamer.operators import pattern_index
+from gossamer.operators import graph, pattern_index
 
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
 #: Redirect rules with these aren't followed.
@@ -30,7 +30,7 @@ def robots_rules(bodies: DataFrame) -> DataFrame:
 def robots_verdicts(paths: DataFrame, rules: DataFrame, agent: str = "googlebot") -> DataFrame:
     """(site, path, allowed, rule) of the distinct paths (site, path): the group of the agent, else of *; the longest pattern wins, ties allow."""
     group = rules.groupBy("site").agg(F.coalesce(F.min(F.when(F.col("agent") == agent, F.col("group_no"))), F.min(F.when(F.col("agent") == "*", F.col("group_no")))).alias("group_no"))
-    mine = rules.join(group.hint("merge"), ["site", "group_no"]).where("path <> ''").select("site", "allow", F.col("path").alias("rule")).distinct()
+    mine = rules.join(graph.few(group), ["site", "group_no"]).where("path <> ''").select("site", "allow", F.col("path").alias("rule")).distinct()
     rule = F.struct(F.length("rule").alias("n"), "allow", "rule")
     verdict = pattern_index.best(paths, mine, ["site"], rule, rule, pattern="rule")
     return verdict.select("site", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"), F.col("best.rule").alias("rule"))
@@ -96,7 +96,7 @@ def robots_findings(sites: DataFrame, bodies: DataFrame, entries: DataFrame, res
     all_blocked = robots_verdicts(bodies.select("site", F.lit("/").alias("path")), rules).where("not allowed").select("site", "rule")
     blocked = _site_rows(all_blocked, "error", "robots-blocks-all", "Robots may not visit the site", F.col("rule"))
     silent = _site_rows(bodies.where(~F.col("body").rlike(r"(?im)^\s*sitemap\s*:")), "info", "robots-no-sitemap", "robots.txt names no sitemap", F.lit(""))
-    listed = entries.select("site", urls.path(F.col("loc")).alias("path")).join(all_blocked.hint("merge"), "site", "left_anti")
+    listed = entries.select("site", urls.path(F.col("loc")).alias("path")).join(graph.few(all_blocked), "site", "left_anti")
     barred = robots_verdicts(listed, rules).where("not allowed").groupBy("site").agg(F.count("*").alias("n"))
     shut = _site_rows(barred, "error", "robots-blocks-sitemap-url", "Robots may not visit listed addresses", F.col("n"))
     llms = responses.where(F.col("url").endswith("/llms.txt") & F.col("status").between(200, 299)).select("site").distinct()

@@ -15,6 +15,8 @@ COLUMNS = ["site", "url", "seq", "level", "id", "title", "detail", "evidence"]
 
 
 _kept = graph.kept
+#: Tables that what audit() returns is read from; all others of a run are deleted at its end.
+KEPT = ("asked", "files", "chosen", "hidden", "found")
 
 
 def _session() -> SparkSession:
@@ -33,20 +35,24 @@ def audit(tables: dict[str, DataFrame | str], as_of: Column, page_budget: int |
     psi_strategy: the payloads judged, where the table has several strategies.
     caps: how many targets of a site are asked, by the id of the finding that reports the rest; without one, all are.
     """
+    with graph.scope(_session(), KEPT):
+        return _audit(tables, as_of, page_budget, include_external, caps, shared_limits, psi_sample, psi_strategy, rules)
+
+
+def _audit(tables, as_of, page_budget, include_external, caps, shared_limits, psi_sample, psi_strategy, rules) -> tuple[DataFrame, DataFrame]:
     cap = (caps or {}).get
     given = tables["responses"]
     latest = log.read_latest(_session(), given) if isinstance(given, str) else log.latest(given)
-    asked = _kept(latest.withColumn("location", F.when(F.col("location").isNotNull(), urls.resolve(F.col("url"), F.col("location")))))
+    asked = _kept(latest.withColumn("location", F.when(F.col("location").isNotNull(), urls.resolve(F.col("url"), F.col("location")))), "asked")
     get = asked.where("method = 'GET'")
     ok = F.col("status").between(200, 299)
     sites = _kept(asked.select("site").distinct())
     robots = _kept(get.where(ok & (F.col("url") == F.concat("site", F.lit("/robots.txt")))).select("site", "body"))
-    files = _kept(crawl.chosen_sitemaps(crawl.sitemap_candidates(sites, robots, tables.get("sitemaps")), get))
+    files = _kept(crawl.chosen_sitemaps(crawl.sitemap_candidates(sites, robots, tables.get("sitemaps")), get), "files")
     entries = _kept(site_files.sitemap_entries(files))
 
     # every page of the log once: targets of links and of canonical addresses are pages too
-    every = _kept(features.page_features(get))
-    links = _kept(features.page_links(get))
+    every, links = features.page_tables(get, _kept)
     targets = links.where("kind = 'internal'").select("site", F.regexp_replace("href", "#.*$", "").alias("url"))
     homes = sites.select("site", F.concat("site", F.lit("/")).alias("url"))
     variants = response_rules.host_variants(sites)
@@ -61,8 +67,8 @@ def audit(tables: dict[str, DataFrame | str], as_of: Column, page_budget: int |
     # sites with a sitemap: its pages; others: what links lead to
     listed = entries.select("site").distinct()
     barred = site_files.robots_verdicts(targets.select("site", urls.path(F.col("url")).alias("path")), site_files.robots_rules(robots))
-    edges = crawl.link_edges(links.join(listed.hint("merge"), "site", "left_anti"), chains, barred)
-    seen, left = crawl.reachable(homes.join(listed.hint("merge"), "site", "left_anti"), edges, page_budget)
+    edges = crawl.link_edges(links.join(graph.few(listed), "site", "left_anti"), chains, barred)
+    seen, left = crawl.reachable(homes.join(graph.few(listed), "site", "left_anti"), edges, page_budget)
     of_map = entries.groupBy("site", F.col("loc").alias("url")).agg(F.min(F.struct("file", "pos")).alias("at"))
     if page_budget is not None:
         from pyspark.sql import Window
@@ -70,7 +76,7 @@ def audit(tables: dict[str, DataFrame | str], as_of: Column, page_budget: int |
         of_map = of_map.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("at"))).where(F.col("n") <= page_budget)
         known = entries.groupBy("site").agg(F.count_distinct("loc").alias("n"))
         left = left.unionByName(known.select("site", (F.col("n") - page_budget).alias("left")))
-    chosen = _kept(of_map.select("site", "url").unionByName(seen.select("site", "url")).distinct())
+    chosen = _kept(of_map.select("site", "url").unionByName(seen.select("site", "url")).distinct(), "chosen")
     only = lambda df, key="url": df.join(chosen.select("site", F.col("url").alias(key)).hint("merge"), ["site", key], "left_semi")
     pages, live = only(get), _kept(only(every))
     links, anchors = only(links, "src_url"), only(features.page_anchors(get), "src_url")
@@ -83,8 +89,8 @@ def audit(tables: dict[str, DataFrame | str], as_of: Column, page_budget: int |
     assets = log.asset_status(asked)
     lengths = asked.groupBy("site", "url").agg(F.max(F.col("headers")["content-length"].try_cast("bigint")).alias("length"))
     nodes = structured_data.jsonld_nodes(live)
-    hidden = _kept(findings.not_indexable(pages, live))
-    limits = sites if "site_limits" not in tables else sites.join(tables["site_limits"].hint("merge"), "site", "left")
+    hidden = _kept(findings.not_indexable(pages, live), "hidden")
+    limits = sites if "site_limits" not in tables else sites.join(graph.few(tables["site_limits"]), "site", "left")
     limits = options.site_limits(limits, shared_limits)
     parts = [
         page_rules.page_findings(pages, live, limits),
@@ -137,7 +143,7 @@ def audit(tables: dict[str, DataFrame | str], as_of: Column, page_budget: int |
     found = reduce(DataFrame.unionByName, (p.select(F.col("seq").cast("long").alias("seq"), *(c for c in COLUMNS[:-1] if c != "seq"), "evidence" if "evidence" in p.columns else bare) for p in parts)).select(COLUMNS)
     # of a site that never answers there is nothing else to say
     silent = found.where("id = 'unreachable'").select("site")
-    found = _kept(found.join(silent.hint("merge"), "site", "left_anti").unionByName(found.where("id = 'unreachable'")))
+    found = _kept(found.join(graph.few(silent), "site", "left_anti").unionByName(found.where("id = 'unreachable'")), "found")
     own, common = tables.get("ignore_rules"), tables.get("shared_ignore_rules")
     kept, ignored = found, found.limit(0)
     if own is not None or common is not None:

@@ -78,3 +78,18 @@ def test_audit_runs_them(spark):
     ids = [r.id for r in found.collect()]
     assert ids.count("own") == 1 and "thin-content" not in ids
     assert [(r.id, r.level) for r in found.where("id = 'rule-failed'").collect()] == [("rule-failed", "error")]
+
+
+def test_an_audit_leaves_only_what_it_returns(spark):
+    import os
+
+    from gossamer.operators import graph
+    from gossamer.plans import audit
+
+    root = os.path.dirname(graph.scratch(spark, "x"))
+    before = set(os.listdir(root))
+    log = crawl(spark, HEAD + '<a href="/p1">x</a>', HEAD).withColumn("url", F.replace("url", F.lit("/p0"), F.lit("/")))
+    found, runs = audit.audit({"responses": log}, F.lit("2026-01-01").cast("timestamp"))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left == set(audit.KEPT)
+    assert found.count() > 5 and runs.first()["pages"] == 2
