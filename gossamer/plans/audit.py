@@ -92,6 +92,7 @@ def _audit(tables, as_of, page_budget, include_external, caps, shared_limits, ps
     hidden = _kept(findings.not_indexable(pages, live), "hidden")
     limits = sites if "site_limits" not in tables else sites.join(graph.few(tables["site_limits"]), "site", "left")
     limits = options.site_limits(limits, shared_limits)
+    on_run = _kept(crawl.run_findings(sites, asked, entries, pages, left))
     parts = [
         page_rules.page_findings(pages, live, limits),
         structured_data.incomplete_nodes(nodes),
@@ -100,7 +101,7 @@ def _audit(tables, as_of, page_budget, include_external, caps, shared_limits, ps
         site_files.sitemap_findings(site_files.sitemap_files(files), entries, as_of),
         site_files.sitemap_not_indexable(entries, live, hidden),
         site_files.robots_findings(sites, robots, entries, get),
-        crawl.run_findings(sites, asked, entries, pages, left),
+        on_run,
         response_rules.link_findings(_kept(response_rules.link_status(links, live, entries, statuses, cap("link-sweep-capped"))), entries, links=links),
         response_rules.sweep(response_rules.link_targets(links, live, entries), cap("link-sweep-capped"), "link-sweep-capped")[1],
         response_rules.image_findings(live, assets, cap("image-sweep-capped")),
@@ -142,8 +143,8 @@ def _audit(tables, as_of, page_budget, include_external, caps, shared_limits, ps
     bare = F.lit(None).cast("string").alias("evidence")
     found = reduce(DataFrame.unionByName, (p.select(F.col("seq").cast("long").alias("seq"), *(c for c in COLUMNS[:-1] if c != "seq"), "evidence" if "evidence" in p.columns else bare) for p in parts)).select(COLUMNS)
     # of a site that never answers there is nothing else to say
-    silent = found.where("id = 'unreachable'").select("site")
-    found = _kept(found.join(graph.few(silent), "site", "left_anti").unionByName(found.where("id = 'unreachable'")), "found")
+    silent = on_run.where("id = 'unreachable'").select("site")
+    found = _kept(found.where("id <> 'unreachable'").join(graph.few(silent), "site", "left_anti").unionByName(found.where("id = 'unreachable'")), "found")
     own, common = tables.get("ignore_rules"), tables.get("shared_ignore_rules")
     kept, ignored = found, found.limit(0)
     if own is not None or common is not None:
