@@ -4,7 +4,7 @@ Headers are read in windows of joined lines: each line, and runs of 4 and 16 lin
 one before, so that a notice may stand anywhere in a file and be wrapped at any width; comment marks are no terms. A licence file (named LICENSE,
 LICENCE, COPYING or NOTICE) is also read as a whole. Each of these units is a sparse vector of its terms, weighted by
 tf * ln(1 + N / df), where df counts, over the whole corpus, the files that have the term (a term of no file counts as in one), and is
-compared with templates: headers, short statements, SPDX lines and full texts. A file's own licence is its best
+compared with templates: headers, short statements, SPDX lines, full texts, and of very long texts their title and first words. A file's own licence is its best
 template's, if the cosine reaches MIN_SCORE. A licence file also speaks for its folder and all folders below: a file
 without a licence of its own inherits that of the nearest ancestor folder that has one. Only DataFrame functions.
 
@@ -63,8 +63,19 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-2.1", "This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    ("MIT", "Distributed under the MIT license"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 LICENSES = sorted({k for k, _ in TEMPLATES})
+# Licences that SPDX lines name as this version alone, or as it and later ones
+VERSIONED = ["AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"]
+LICENSES = sorted([*LICENSES, *(f"{k}-{which}" for k in VERSIONED for which in ("only", "or-later"))])
 TEMPLATES += [(k, f"SPDX-License-Identifier: {k}") for k in LICENSES]
 
 

@@ -41,3 +41,26 @@ def test_labels_without_documents_dont_shift_scores(spark):
     lost = labels.unionByName(spark.range(10_000, 10_300).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("label")))
     a, b = (dict(map(tuple, toxicity.score(docs, x).select("doc_id", F.round("score", 3)).collect())) for x in (labels, lost))
     assert max(abs(a[k] - b[k]) for k in a) < 0.1 and a[0] > 0.7 > 0.3 > a[1]
+
+
+def test_licences_are_called_by_their_own_names(spark):
+    from gossamer.llm import license_scan
+
+    long = " ".join(f"This clause {k} speaks of conveying covered works under section {k % 17}." for k in range(300))
+    title = "Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n"
+    files = {
+        "a/LICENSE": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n " + title + "  The GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works, specifically designed to ensure\ncooperation with the community in the case of network server software.\n" + long,
+        "b/COPYING": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA\n " + title + long,
+        "c/COPYING": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n " + title + "  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n" + long,
+        "d/x.c": "// SPDX-License-Identifier: GPL-2.0-or-later\nint main;",
+        "e/x.c": "/* SPDX-License-Identifier: LGPL-2.1-only */\nint main;",
+        "f/x.c": "# SPDX-License-Identifier: GPL-2.0\n",
+        "g/README": "Notes.\n\nDistributed under the MIT license\n\nMore notes.",
+        "h/zlib.h": "  This software is provided 'as-is', without any express or implied\n  warranty.  In no event will the authors be held liable for any damages\n  arising from the use of this software.\n\n  Permission is granted to anyone to use this software for any purpose,\n  including commercial applications, and to alter it and redistribute it\n  freely, subject to the following restrictions:\n\n  1. The origin of this software must not be misrepresented; you must not\n     claim that you wrote the original software. If you use this software\n     in a product, an acknowledgment in the product documentation would be\n     appreciated but is not required.\n  2. Altered source versions must be plainly marked as such, and must not be\n     misrepresented as being the original software.\n  3. This notice may not be removed or altered from any source distribution.",
+    }
+    words = "the of and in that works with any other use is to be on for people of various sections and clauses".split()
+    noise = [(f"n/{k}.txt", " ".join(words[(k * j) % len(words)] for j in range(40))) for k in range(300)]
+    table = spark.createDataFrame([*files.items(), *noise], "path string, text string")
+    got = {r.path: r.license for r in license_scan.scan(table).collect()}
+    want = {"a/LICENSE": "AGPL-3.0", "b/COPYING": "LGPL-2.1", "c/COPYING": "GPL-3.0", "d/x.c": "GPL-2.0-or-later", "e/x.c": "LGPL-2.1-only", "f/x.c": "GPL-2.0", "g/README": "MIT", "h/zlib.h": "Zlib"}
+    assert {k: got[k] for k in want} == want and not any(got[p] for p, _ in noise)
