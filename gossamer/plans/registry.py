@@ -133,6 +133,58 @@ CRAWL_SQL = (
 )
 
 
+#: What each finding says besides its id; nothing where a rule isn't named.
+DETAILS = {
+    "sitemap-redirect": "'/moved'",
+    "page-status": "'404'",
+    "noindex": "'noindex, nofollow'",
+    "x-robots-noindex": "'noindex'",
+    "robots-conflict": "CASE n % 11 WHEN 0 THEN 'index, follow' ELSE 'follow' END",
+    "uncompressed": "units::VARCHAR",
+    "huge-html": "units::VARCHAR",
+    "nofollow-page": "CASE n % 11 WHEN 0 THEN 'noindex, nofollow' ELSE 'nofollow' END || CASE n % 26 WHEN 0 THEN ',all' WHEN 13 THEN ',noindex' ELSE '' END",
+    "meta-refresh": "'0; url=/next'",
+    "title-long": "(n % 80)::VARCHAR",
+    "title-short": "(n % 80)::VARCHAR",
+    "desc-long": "(n % 200)::VARCHAR",
+    "desc-short": "(n % 200)::VARCHAR",
+    "h1-multiple": "CASE n % 4 WHEN 2 THEN 'Head | Head' ELSE 'Head | Head | Head' END",
+    "viewport-locked": "CASE n % 6 WHEN 2 THEN 'width=device-width, user-scalable=no' ELSE 'width=device-width, maximum-scale=1.5' END",
+    "viewport-fixed-width": "'width=600'",
+    "canonical-multiple": "'2'",
+    "canonical-other": "site || '/elsewhere'",
+    "og-image-relative": "'/i.webp'",
+    "og-webp": "'/i.webp'",
+    "og-no-dimensions": "'/i.webp'",
+    "hreflang-invalid": "'en_GB'",
+    "hreflang-lang-mismatch": "CASE n % 12 WHEN 0 THEN 'en_GB' ELSE 'de-AT' END",
+    **{k: "'1'" for k in ("img-alt", "img-alt-filename", "img-alt-placeholder", "img-title-duplicates-alt", "img-title-on-decorative", "img-alt-long", "img-dimensions", "img-srcset")},
+    "img-alt-duplicate": "'a cat'",
+    "thin-content": "(n % 600 + n % 4 + 2 + CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END)::VARCHAR",
+    "internal-nofollow": "site || '/home'",
+    "heading-skip": "'4'",
+    "url-uppercase": "'/Page/' || n",
+    "url-underscore": "'/a_b/' || n",
+    "url-space": "'/a%20b/' || n",
+    "mixed-content": "'http://cdn.example/x.js'",
+    "slow": "(n % 10 * 100 + 50)::VARCHAR",
+    "jsonld-invalid": "'{bad'",
+    "jsonld-no-type": "'{\"name\":\"x\"}'",
+}
+DETAIL_SQL = (
+    CRAWL_SQL.split(" UNION ALL ")[0].split("d AS (SELECT")[0].replace("SELECT doc_id AS n, ", "SELECT doc_id AS n, 'https://' || source || '.example' AS site, ")
+    + f"d AS (SELECT n, site, length({MARKUP_SQL}) AS units FROM (SELECT n, site, base || '/' || n AS url FROM u)) "
+    + " UNION ALL ".join(f"SELECT n AS seq, '{rule}' AS id, {DETAILS.get(rule, chr(39) * 2)} AS detail FROM d WHERE {where}" for (_, rule), where in CRAWL_RULES.items())
+    + f" UNION ALL SELECT n, 'og-missing', ['og:title', 'og:description', 'og:image'][4 - k] FROM d, (VALUES (1), (2), (3)) k(k) WHERE {LIVE} AND (n % 9 = 0 OR n % 9 = 1 AND k < 3)"
+)
+
+
+@query(DETAIL_SQL)
+def page_rule_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules on single pages say of each page."""
+    return _crawl_findings(spark, sf_dir).select("seq", "id", "detail")
+
+
 @query(CRAWL_SQL)
 def page_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules on single pages."""
