@@ -39,7 +39,9 @@ HELD = 80
 #: Bits of the map of frequent pairs (4 MB), and shares of a language that are ranked apart first.
 BITS, SALTS = 1 << 25, 64
 #: Text bytes that are counted at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Rows of a batch of counts.
+ROWS = 1 << 15
 COUNTS = "lang string, words int, phrase string, n long"
 
 #: Kinds of a byte: between words, in a word, between pieces.
@@ -125,7 +127,9 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             single, n = np.unique(s.lang * s.size + s.ids, return_counts=True)
             yield s.rows(single // s.size, [single % s.size], n)
             lang, first, second = s.pair_words()
-            yield s.rows(lang, [first, second], s.pair_counts)
+            for k in range(0, len(s.pairs), ROWS):
+                yield s.rows(lang[k : k + ROWS], [first[k : k + ROWS], second[k : k + ROWS]], s.pair_counts[k : k + ROWS])
+        pa.default_memory_pool().release_unused()
 
 
 def _long(bits):
@@ -149,6 +153,7 @@ def _long(bits):
                 key, n = np.unique(pair[at] * len(s.pairs) + pair[at + 2], return_counts=True)
                 p, q = np.divmod(key, len(s.pairs))
                 yield s.rows(lang[p], [first[p], second[p], first[q], second[q]], n)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -64,3 +64,47 @@ def test_licences_are_called_by_their_own_names(spark):
     got = {r.path: r.license for r in license_scan.scan(table).collect()}
     want = {"a/LICENSE": "AGPL-3.0", "b/COPYING": "LGPL-2.1", "c/COPYING": "GPL-3.0", "d/x.c": "GPL-2.0-or-later", "e/x.c": "LGPL-2.1-only", "f/x.c": "GPL-2.0", "g/README": "MIT", "h/zlib.h": "Zlib"}
     assert {k: got[k] for k in want} == want and not any(got[p] for p, _ in noise)
+
+
+def test_recall_of_chosen_paths_at_the_threshold():
+    """Sets whose similarity is just 0.8, of many sizes, equal in size or one within the other: nearly all meet in some leaf."""
+    import numpy as np
+
+    from gossamer.llm import chosen_path
+
+    rng, runs, met, pairs = np.random.default_rng(1), chosen_path.runs_for(), 0, 0
+    for size in (9, 18, 45, 90, 180, 450):
+        for _ in range(60):
+            words = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+            same = size - size // 9  # 8 of 9 shared on both sides: 8 / 10
+            equal = words[:size], np.concatenate([words[:same], words[size : 2 * size - same]])
+            within = words[:size], words[: int(np.ceil(0.8 * size))]
+            for a, b in (equal, within):
+                assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+                met += bool(len(np.intersect1d(chosen_path.leaves(a, runs), chosen_path.leaves(b, runs))))
+                pairs += 1
+    assert met / pairs >= 0.99
+
+
+def test_the_pipeline_rejects_by_quality_and_passes_the_rest_on(spark, tmp_path):
+    """Labels of both kinds: what the classifier rejects is gone, what it accepts reaches the end, and duplicates are judged among the accepted alone."""
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    good = ["river", "stone", "morning", "walked", "quiet", "letter", "garden", "window", "the", "of", "and", "under"]
+    junk = ["$$$", "CLICK", "win!!!", "free", "xxx", "1000%", "buy", "now", ">>>", "http://x"]
+    text = lambda words: " ".join(rnd.choice(words) for _ in range(60))
+    rows = [(k, text(good if k % 2 else junk)) for k in range(300)]
+    rows += [(300, rows[7][1]), (301, rows[8][1])]  # a copy of an accepted text, and of a rejected one
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(0, 300, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, rows[21][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    accepted = {r.doc_id for r in corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert len(accepted & set(range(1, 300, 2))) >= 145 and len(accepted & set(range(0, 300, 2))) <= 5 and {300} <= accepted and 301 not in accepted
+    out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert out <= accepted and 21 not in out
+    assert 300 in out and 7 not in out  # of equal texts the largest id stays
+    assert len(out) >= len(accepted) - 3
