@@ -19,8 +19,11 @@ def _rows(df: DataFrame, level, rule, title: str, detail: Column | None = None)
     return df.select("site", "url", F.lit(None).cast("long").alias("seq"), as_col(level).alias("level"), as_col(rule).alias("id"), F.lit(title).alias("title"), F.coalesce((F.lit("") if detail is None else detail).cast("string"), F.lit("")).alias("detail"), evidence)
 
 
-def _per_site(df: DataFrame, level: str, rule: str, title: str) -> DataFrame:
+def _per_site(df: DataFrame, level: str, rule: str, title: str, order: list[str] | None = None, value: str = "url", shown: int = 3) -> DataFrame:
+    """A row for each site with the number of its rows, and the first of them by `order` as evidence."""
     g = df.groupBy("site").agg(F.count("*").alias("n")).withColumn("url", F.col("site"))
+    if order is not None:
+        g = g.join(cross_rules.examples(df, ["site"], value, order, shown).hint("merge"), "site", "left")
     return _rows(g, level, rule, title, F.col("n"))
 
 
@@ -58,7 +61,7 @@ def link_findings(swept: DataFrame, entries: DataFrame, top: int = 20, links: Da
     return (
         broken.unionByName(_rows(absent.where(F.col("n") <= top), "warn", "missing-from-sitemap", "A linked page isn't in the sitemap"))
         .unionByName(_rows(more, "info", "missing-from-sitemap-more", "More pages aren't in the sitemap", F.col("n")))
-        .unionByName(_per_site(swept.where(F.col("status").between(300, 399)), "info", "link-redirects", "Links lead to redirects"))
+        .unionByName(_per_site(swept.where(F.col("status").between(300, 399)), "info", "link-redirects", "Links lead to redirects", ["first_seq", "url"]))
     )
 
 
@@ -88,10 +91,11 @@ def canonical_findings(features: DataFrame, statuses: DataFrame) -> DataFrame:
 
 def alternate_findings(features: DataFrame, statuses: DataFrame) -> DataFrame:
     """Pages that declare alternates outside the crawl that are gone: a row for each page."""
-    e = features.select("site", "url", F.explode("hreflang").alias("a")).select("site", "url", F.col("a.href").alias("target"))
+    e = features.select("site", "url", F.posexplode("hreflang").alias("pos", "a")).groupBy("site", "url", F.col("a.href").alias("target")).agg(F.min("pos").alias("pos"))
     e = e.join(features.select("site", F.col("url").alias("target")).distinct().hint("merge"), ["site", "target"], "left_anti")
-    gone = e.distinct().join(statuses.select("site", F.col("url").alias("target"), "status").hint("merge"), ["site", "target"]).where(F.col("status").isin(*GONE))
-    return _rows(gone.groupBy("site", "url").agg(F.count("*").alias("n")), "error", "hreflang-dead", "Alternates are gone", F.col("n"))
+    gone = e.join(statuses.select("site", F.col("url").alias("target"), "status").hint("merge"), ["site", "target"]).where(F.col("status").isin(*GONE))
+    g = gone.groupBy("site", "url").agg(F.count("*").alias("n")).join(cross_rules.examples(gone, ["site", "url"], "target", ["pos", "target"], 3).hint("merge"), ["site", "url"])
+    return _rows(g, "error", "hreflang-dead", "Alternates are gone", F.col("n"))
 
 
 def trailing_slash_findings(features: DataFrame, statuses: DataFrame, sample: int = 12) -> DataFrame:
@@ -132,7 +136,7 @@ def external_findings(links: DataFrame, chains: DataFrame, cap: int | None = Non
     t, _ = sweep(external_targets(links), cap, "external-sweep-capped")
     t = t.join(chains.withColumnRenamed("start", "url").hint("merge"), ["site", "url"])
     first = F.try_element_at("hops", F.lit(1))["status"]
-    return _per_site(t.where(F.col("final_status").isin(*GONE)), "warn", "external-broken", "Links to other sites are gone").unionByName(_per_site(t.where(first.between(300, 399) & F.col("final_status").between(200, 299)), "info", "external-redirects", "Links to other sites redirect"))
+    return _per_site(t.where(F.col("final_status").isin(*GONE)), "warn", "external-broken", "Links to other sites are gone", ["first_seq", "url"]).unionByName(_per_site(t.where(first.between(300, 399) & F.col("final_status").between(200, 299)), "info", "external-redirects", "Links to other sites redirect", ["first_seq", "url"]))
 
 
 def missing_page_findings(probes: DataFrame, chains: DataFrame, features: DataFrame) -> DataFrame:
@@ -170,4 +174,5 @@ def schema_image_findings(images: DataFrame, assets: DataFrame) -> DataFrame:
     t = images.groupBy("site", "target").agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq"))
     gone = t.join(assets.select("site", F.col("url").alias("target"), "status").hint("merge"), ["site", "target"]).where(F.col("status").isin(*GONE))
     g = gone.groupBy("site").agg(F.count("*").alias("n"), F.min_by("url", F.struct("seq", "target")).alias("url"))
+    g = g.join(cross_rules.examples(gone, ["site"], "target", ["seq", "target"], 3).hint("merge"), "site")
     return _rows(g, "warn", "schema-image-broken", "Structured data names images that are gone", F.col("n"))

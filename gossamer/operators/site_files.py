@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import urls
 from gossamer.functions.text import decoded, first, trimmed
-from gossamer.operators import graph, pattern_index
+from gossamer.operators import cross_rules, graph, pattern_index
 
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
 #: Redirect rules with these aren't followed.
@@ -97,7 +97,8 @@ def robots_findings(sites: DataFrame, bodies: DataFrame, entries: DataFrame, res
     blocked = _site_rows(all_blocked, "error", "robots-blocks-all", "Robots may not visit the site", F.col("rule"))
     silent = _site_rows(bodies.where(~F.col("body").rlike(r"(?im)^\s*sitemap\s*:")), "info", "robots-no-sitemap", "robots.txt names no sitemap", F.lit(""))
     listed = entries.select("site", urls.path(F.col("loc")).alias("path")).join(graph.few(all_blocked), "site", "left_anti")
-    barred = robots_verdicts(listed, rules).where("not allowed").groupBy("site").agg(F.count("*").alias("n"))
+    verdicts = robots_verdicts(listed, rules).where("not allowed")
+    barred = verdicts.groupBy("site").agg(F.count("*").alias("n")).join(cross_rules.examples(verdicts, ["site"], "path", ["path"], 3).hint("merge"), "site")
     shut = _site_rows(barred, "error", "robots-blocks-sitemap-url", "Robots may not visit listed addresses", F.col("n"))
     llms = responses.where(F.col("url").endswith("/llms.txt") & F.col("status").between(200, 299)).select("site").distinct()
     no_llms = _site_rows(sites.join(llms.hint("merge"), "site", "left_anti"), "info", "llms-missing", "No llms.txt", F.lit(""))

@@ -371,3 +371,22 @@ def capped_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
         response_rules.sweep(rules.select("site", F.col("src").alias("url"), F.col("line_no").alias("first_seq")), 200, "redirect-map-capped"),
     ]
     return swept[0][1].unionByName(swept[1][1]).unionByName(swept[2][1]).select("site", "id", "detail")
+
+
+@query(f"""
+WITH {DOCS}, e AS (SELECT site, 'https://out.example/' || n % 200 AS href, n % 200 AS k, min(n) AS first FROM d GROUP BY ALL),
+x AS (SELECT *, CASE WHEN k % 6 < 2 THEN 'external-broken' ELSE 'external-redirects' END AS id FROM e WHERE k % 6 < 3),
+a AS (SELECT DISTINCT site, url, site || '/x/' || (n + j) % 500 AS target, j FROM d, (VALUES (1), (2), (3)) a(j) WHERE n % 2 = 0)
+SELECT site AS url, id, array_to_string(list(href ORDER BY first, href)[1:3], ', ') AS evidence FROM x GROUP BY site, id
+UNION ALL SELECT url, 'hreflang-dead', array_to_string(list(target ORDER BY j), ', ') FROM a WHERE regexp_extract(target, '(\\d+)$', 1)::INT % 3 = 0 GROUP BY url
+""")
+def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What findings on links to other sites and on dead alternates name as their first examples."""
+    d = _docs(spark, sf_dir)
+    links = d.selectExpr("site", "'external' as kind", "concat('https://out.example/', seq % 200) as href", "seq as src_seq", "seq % 200 as k")
+    out = links.selectExpr("site", "href", "k").distinct()
+    answers = out.selectExpr("site", "stack(2, href, case k % 6 when 0 then 404 when 1 then 0 when 2 then 301 when 3 then 403 else 200 end, concat(href, '/to'), 200) as (url, status)", "concat(href, '/to') as location")
+    outside = response_rules.external_findings(links, graph.redirect_chains(out.selectExpr("site", "href as url"), answers))
+    pages = d.where("seq % 2 = 0").select("site", "url", "seq", F.expr("transform(array(1, 2, 3), k -> struct('de' as lang, concat(site, '/x/', (seq + k) % 500) as href))").alias("hreflang"))
+    gone = d.select("site").distinct().selectExpr("site", "explode(sequence(0, 499, 3)) as k").select("site", F.concat("site", F.lit("/x/"), "k").alias("url"), F.lit(404).alias("status"))
+    return outside.unionByName(response_rules.alternate_findings(pages, gone)).select("url", "id", "evidence")

@@ -578,7 +578,7 @@ named AS (SELECT k, string_agg('p' || src, ', ' ORDER BY src) AS evidence FROM (
 SELECT 'u' || t.k || '/' AS url, 'broken-link' AS id, n::VARCHAR AS detail, evidence FROM t JOIN named ON named.k = t.k WHERE t.k % 7 = 1
 UNION ALL SELECT 'u' || k || '/', 'missing-from-sitemap', '', NULL FROM absent WHERE place <= 20
 UNION ALL SELECT 's', 'missing-from-sitemap-more', (count(*) - 20)::VARCHAR, NULL FROM absent HAVING count(*) > 20
-UNION ALL SELECT 's', 'link-redirects', count(*)::VARCHAR, NULL FROM t WHERE k % 7 = 2 HAVING count(*) > 0
+UNION ALL SELECT 's', 'link-redirects', count(*)::VARCHAR, array_to_string(list('u' || k || '/' ORDER BY first, 'u' || k || '/')[1:3], ', ') FROM t WHERE k % 7 = 2 HAVING count(*) > 0
 """)
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as targets: a third were crawled, a fifth are listed, of the rest some answer 404 and some redirect."""
