@@ -253,7 +253,7 @@ def test_decontaminate(spark, docs, empty):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(docs, bench).collect()}
     assert got[(30, 0)] == 1.0 and got[(30, 1)] > 0.6 and {k[1] for k in got} == {0, 1, 5}
     assert {k[0] for k in got if k[1] == 5} == {i for i, t in enumerate(TEXTS) if lower(t) == "one"}
-    split = decontaminate.matches(docs, bench, block_bytes=300)
+    split = decontaminate.matches(docs, bench, sent=0)  # seeds are joined by shuffling
     assert {(r["doc_id"], r["item_id"]) for r in split.collect()} == set(got)
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
