@@ -56,6 +56,15 @@ def few(df: DataFrame, rows: int = SENT) -> DataFrame:
     return df.hint("broadcast" if df.limit(rows + 1).count() <= rows else "merge")
 
 
+#: Rows of a few short columns that one task sorts or joins.
+TASK_ROWS = 1_000_000
+
+
+def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks to deal so many rows to, so that a task's share doesn't grow with the table; no fewer than a shuffle has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def kept(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """df, written as Parquet into the shared folder and read from it: computed once, read by column, without lineage."""
     path = path or scratch(df.sparkSession, name)

@@ -158,13 +158,16 @@ UNION ALL SELECT c, 'soft-404', CASE WHEN c % 6 = 0 THEN 'error' ELSE 'warn' END
 """)
 def site_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of home pages, pages under two addresses, and addresses that shouldn't exist, on a site for each customer."""
-    s = table(spark, sf_dir, "customer").selectExpr("c_custkey as c", "concat('https://c', c_custkey, '.example') as site")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as c")
+    # a customer makes 14 pages and their answers, and all customers may be one row group; so they are dealt first, and answers to as many tasks
+    n = graph.tasks(spark, 14 * c.count())
+    s = c.repartition(n, "c").withColumn("site", F.expr("concat('https://c', c, '.example')"))
     names = "map_entries(map('content-security-policy', 2, 'referrer-policy', 3, 'strict-transport-security', 5, 'x-content-type-options', 7))"
     homes = s.selectExpr("site", "concat(site, '/') as url", f"map_from_entries(transform(filter({names}, x -> c % x.value = 0), x -> struct(x.key, 'x'))) as headers")
     # 14 pages a site, with and without a slash at the end; only the first twelve are tried the other way
     pages = s.selectExpr("c", "site", "explode(sequence(1, 14)) as seq").withColumn("url", F.expr("concat(site, '/p', seq, if(seq % 2 = 0, '/', ''))"))
     other = pages.where("c % 4 = 0 or c % 4 = 1 and seq in (5, 13)").selectExpr("site", "if(seq % 2 = 0, concat(site, '/p', seq), concat(site, '/p', seq, '/')) as url", "200 as status")
-    slashes = response_rules.trailing_slash_findings(pages, other.unionByName(pages.selectExpr("site", "url", "200 as status")))
+    slashes = response_rules.trailing_slash_findings(pages, other.unionByName(pages.selectExpr("site", "url", "200 as status")).repartition(n, "site", "url"))
     probes = s.selectExpr("site", "concat(site, '/no-such-page') as url")
     log = s.selectExpr("site", "stack(2, concat(site, '/no-such-page'), case c % 6 when 0 then 200 when 1 then 302 when 2 then 200 when 3 then 404 when 4 then 302 else 410 end, concat(site, '/'), if(c % 6 = 4, 500, 200)) as (url, status)").withColumn("location", F.concat("site", F.lit("/")))
     judged = s.selectExpr("site", "concat(site, '/no-such-page') as url", "if(c % 6 = 2, 'noindex', null) as robots")
