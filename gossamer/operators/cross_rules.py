@@ -86,14 +86,16 @@ def one_way_alternates(features: DataFrame) -> DataFrame:
 
 def depth_findings(features: DataFrame, depths: DataFrame, links: DataFrame, homes: DataFrame, max_depth: int = 4, truncated: DataFrame | None = None, top: int = TOP_DEEP, limits: DataFrame | None = None) -> DataFrame:
     """deep-page, no-path-from-home and their guards; depths: site, k (bare url), depth, via. limits: site, max_click_depth, which go before max_depth."""
-    pages = features.select("site", "url", "seq", urls.key(F.col("url")).alias("k")).join(homes.select("site").distinct(), "site", "left_semi")
-    placed = pages.join(depths.select("site", "k", "depth").hint("merge"), ["site", "k"], "left")
+    pages = features.select("site", "url", "seq", urls.key(F.col("url")).alias("k")).join(graph.few(homes.select("site").distinct()), "site", "left_semi")
+    # all that follows is read from what is kept: pages meet their depths once
+    placed = graph.kept(pages.join(depths.select("site", "k", "depth").hint("merge"), ["site", "k"], "left"), "placed")
     share = placed.groupBy("site").agg(F.count("*").alias("n"), F.count_if(F.col("depth").isNull()).alias("stranded"))
     skipped = share.where((F.col("n") >= 5) & (F.col("stranded") > 0.3 * F.col("n")))
     if truncated is not None:
-        skipped = share.join(truncated.select("site").distinct(), "site", "left_semi").unionByName(skipped).distinct()
+        skipped = share.join(graph.few(truncated.select("site").distinct()), "site", "left_semi").unionByName(skipped).distinct()
+    skipped = graph.kept(skipped, "skipped")
     skip_rows = _rows(skipped.select("site", F.col("site").alias("url"), F.lit(None).cast("long").alias("seq"), "stranded"), "info", "click-depth-skipped", "Click depth isn't judged: too little of the site is linked", F.col("stranded"))
-    judged = placed.join(skipped.select("site"), "site", "left_anti")
+    judged = placed.join(graph.few(skipped.select("site")), "site", "left_anti")
     targets = links.where("kind = 'internal'").select("site", urls.key(F.col("href")).alias("k")).distinct()
     lost = _rows(judged.where("depth is null").join(targets.hint("merge"), ["site", "k"], "left_semi"), "warn", "no-path-from-home", "No path of links from the home page")
     # a site whose depth isn't judged by its own limit has the common one; pages at the home page's depth are never deep, so few rows meet limits
@@ -103,6 +105,7 @@ def depth_findings(features: DataFrame, depths: DataFrame, links: DataFrame, hom
     else:
         own = limits.select("site", F.col("max_click_depth").alias("_limit"))
         deep = deep.join(graph.few(own), "site", "left").where(F.col("depth") > F.coalesce("_limit", F.lit(max_depth))).drop("_limit")
+    deep = graph.kept(deep, "deep")
     first = graph.kept(deep.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("depth"), "seq", "url"))).where(F.col("rank") <= top), "deep-pages")
     way = graph.routes(depths, first.select("site", "k").distinct()).select("site", "k", F.array_join(F.transform("route", lambda x: urls.path(x.cast("string"))), " > ").alias("evidence"))
     shown = first.join(way.hint("merge"), ["site", "k"], "left")

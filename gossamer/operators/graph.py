@@ -65,10 +65,10 @@ def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
-def kept(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
-    """df, written as Parquet into the shared folder and read from it: computed once, read by column, without lineage."""
+def kept(df: DataFrame, name: str = "table", path: str | None = None, by: str | None = None) -> DataFrame:
+    """df, written as Parquet into the shared folder and read from it: computed once, read by column, without lineage. by: a column with few values, of which a filter reads only its own."""
     path = path or scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,11 +76,17 @@ class Buckets:
     """A table that grows by levels, bucketed by its keys into as many buckets as a shuffle has partitions.
 
     What is bucketed alike meets without a shuffle, and a join with other rows shuffles those alone. The catalogue knows the table only
-    while it grows; its files lie in the shared folder.
+    while it grows; its files lie in the shared folder. ordered=True, for a table of one level: buckets are sorted by the keys, and a merge
+    join takes them as they are.
     """
 
-    def __init__(self, spark: SparkSession, name: str, keys: list[str]):
-        self.spark, self.keys, self.depth = spark, keys, -1
+    ORDERING = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+    def __init__(self, spark: SparkSession, name: str, keys: list[str], ordered: bool = False):
+        self.spark, self.keys, self.depth, self.ordered = spark, keys, -1, ordered
+        self.before = spark.conf.get(self.ORDERING)
+        if ordered:
+            spark.conf.set(self.ORDERING, "true")
         self.path = scratch(spark, name)
         self.name = "gossamer_" + self.path.rsplit("/", 1)[-1].replace("-", "_")
 
@@ -89,6 +95,7 @@ class Buckets:
         self.depth += 1
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = df.withColumn("depth", F.lit(self.depth)).write.mode("append").format("parquet").partitionBy("depth").bucketBy(n, *self.keys)
+        dealt = dealt.sortBy(*self.keys) if self.ordered else dealt
         dealt.option("path", self.path).saveAsTable(self.name)
         return self.read().where(F.col("depth") == self.depth)
 
@@ -99,6 +106,7 @@ class Buckets:
         """All rows, read by path; the catalogue forgets the table."""
         schema = self.read().schema
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.conf.set(self.ORDERING, self.before)
         return self.spark.read.schema(schema).parquet(self.path)
 
 
@@ -107,21 +115,40 @@ def click_depth(links: DataFrame, homes: DataFrame, max_depth: int | None = None
 
     links: site, src, dst, and ord, which breaks ties of the predecessor; homes: site, k. A round extends all
     sites by a level, until no site has a new page; its level is one more folder of the table of pages seen. Links and pages seen
-    are bucketed alike, so a round shuffles what it finds and nothing else.
+    are bucketed alike, so a round shuffles what it finds and nothing else. Once the pages found are many beside the links left, links that
+    were followed or lead to pages seen are dropped: what all rounds read is in proportion to the links, not to links times rounds.
     """
     spark, key = links.sparkSession, dict(links.dtypes)["src"]
-    edges, seen = Buckets(spark, "edges", ["site", "src"]), Buckets(spark, "levels", ["site", "k"])
+    seen = Buckets(spark, "levels", ["site", "k"])
+    edges = _edges(spark, links.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("ord").alias("ord")))
     try:
-        edges.append(links.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("ord").alias("ord")).repartition("site", "src"))
         frontier = seen.append(homes.select("site", "k", F.lit(None).cast(key).alias("via")).dropDuplicates(["site", "k"]))
-        while not frontier.isEmpty() and (max_depth is None or seen.depth < max_depth):
-            frontier = seen.append(next_level(frontier, edges.read(), seen.read()))
+        left, found, since = edges.read().count(), 0, 0
+        while (n := frontier.count()) and (max_depth is None or seen.depth < max_depth):
+            found += n
+            if left > TASK_ROWS and found > left / 3:
+                edges, old = _edges(spark, _unfollowed(edges.read(), seen.read().where(F.col("depth") >= since), seen.depth)), edges
+                old.close()
+                left, found, since = edges.read().count(), 0, seen.depth + 1
+            frontier = seen.append(next_level(frontier, edges.read(), seen.read().where(F.col("depth") >= since)))
     finally:
         edges.close()
         levels = seen.close()
     return levels.select("site", "k", "depth", "via")
 
 
+def _edges(spark: SparkSession, rows: DataFrame) -> Buckets:
+    out = Buckets(spark, "edges", ["site", "src"], ordered=True)
+    out.append(rows.select("site", "src", "dst", "ord").repartition("site", "src"))
+    return out
+
+
+def _unfollowed(edges: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+    """Edges but for those from pages seen above `depth`, which were followed, and those to pages seen, which lead to nothing new."""
+    rest = edges.join(seen.where(F.col("depth") < depth).select("site", F.col("k").alias("src")).hint("merge"), ["site", "src"], "left_anti")
+    return rest.join(seen.select("site", F.col("k").alias("dst")).hint("merge"), ["site", "dst"], "left_anti")
+
+
 def next_level(frontier: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
     """(site, k, via) of pages that the frontier links to and that weren't seen. Only the rows that links make of the frontier are shuffled."""
     step = frontier.select("site", F.col("k").alias("src")).join(edges.select("site", "src", "dst", "ord").hint("merge"), ["site", "src"])
@@ -130,17 +157,30 @@ def next_level(frontier: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFr
 
 
 def routes(depths: DataFrame, pages: DataFrame) -> DataFrame:
-    """(site, k, route) of pages (site, k): the keys on the way from home, found by climbing from page to predecessor."""
-    up = depths.select("site", F.col("k").alias("at"), "via")
-    climb = kept(pages.select("site", "k", F.col("k").alias("at"), F.array("k").alias("route")).join(depths.select("site", "k").hint("merge"), ["site", "k"], "left_semi"), "routes")
-    done = []
-    while not climb.isEmpty():
-        step = climb.join(up.hint("merge"), ["site", "at"])
-        done.append(step.where("via is null").select("site", "k", "route"))
-        climb = kept(step.where("via is not null").select("site", "k", F.col("via").alias("at"), F.concat(F.array("via"), "route").alias("route")), "routes")
+    """(site, k, route) of pages (site, k): the keys on the way from home.
+
+    Level by level: first up, which pages are on any way; then down, where a page's route is its predecessor's and itself. So a page is
+    met once each way, however many pages lie behind it.
+    """
+    asked = kept(depths.select("site", "k", "depth").join(pages.select("site", "k").hint("merge"), ["site", "k"], "left_semi"), "asked", by="depth")
+    deepest = asked.agg(F.max("depth")).first()[0]
+    ways, above = [], None
+    for d in range(deepest if deepest is not None else -1, -1, -1):
+        wanted = asked.where(F.col("depth") == d).select("site", "k", F.lit(True).alias("asked"))
+        if above is not None:
+            wanted = wanted.unionByName(above.select("site", F.col("via").alias("k"), F.lit(False).alias("asked")))
+        wanted = wanted.groupBy("site", "k").agg(F.max("asked").alias("asked"))
+        above = kept(depths.where(F.col("depth") == d).select("site", "k", "via").join(wanted.hint("merge"), ["site", "k"]), "ways")
+        ways.insert(0, above)
     out = pages.select("site", "k", F.array("k").alias("route")).limit(0)
-    for d in done:
-        out = out.unionByName(d)
+    down = None
+    for d, way in enumerate(ways):
+        if d == 0:
+            down = way.select("site", "k", "asked", F.array("k").alias("route"))
+        else:
+            before = down.select("site", F.col("k").alias("via"), "route")
+            down = kept(way.join(before.hint("merge"), ["site", "via"]).select("site", "k", "asked", F.concat("route", F.array("k")).alias("route")), "routes")
+        out = out.unionByName(down.where("asked").select("site", "k", "route"))
     return out
 
 

@@ -21,3 +21,24 @@ def test_pages_of_site_probes_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(response_rules, "trailing_slash_findings", lambda *tables: given.extend(tables) or whole(*tables))
     __spark_entry__.queries()["site_probes"](spark, SF)
     assert [largest_share(df) < 0.5 for df in given] == [True, True]
+
+
+def test_routes_and_depths_of_many_levels(spark, monkeypatch):
+    """Links that were followed are dropped on the way, and a page on many ways is met once each way; results are those of the whole graph."""
+    rows = [("s", f"p{k}", f"p{k + 1}", k) for k in range(12)] + [("s", "p0", "q1", 50), ("s", "q1", "p3", 51), ("s", "p5", "p1", 52)] + [("t", "p0", "p1", 0)]
+    links = spark.createDataFrame(rows, "site string, src string, dst string, ord long")
+    homes = spark.createDataFrame([("s", "p0"), ("t", "p0")], "site string, k string")
+    dropped, whole = [], graph._unfollowed
+    monkeypatch.setattr(graph, "_unfollowed", lambda *a: dropped.append(a[2]) or whole(*a))
+    monkeypatch.setattr(graph, "TASK_ROWS", 2)
+    depths = graph.click_depth(links, homes)
+    got = {(r.site, r.k): (r.depth, r.via) for r in depths.collect()}
+    expected = {("s", "p0"): (0, None), ("s", "p1"): (1, "p0"), ("s", "q1"): (1, "p0"), ("s", "p2"): (2, "p1"), ("s", "p3"): (2, "q1"), ("t", "p0"): (0, None), ("t", "p1"): (1, "p0")}
+    assert got == expected | {("s", f"p{k}"): (k - 1, f"p{k - 1}") for k in range(4, 13)} and len(dropped) > 1
+    written, keep = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, *a, **b: written.append(out := keep(df, *a, **b)) or out)
+    asked = depths.where("depth > 3").select("site", "k")
+    routes = {r.k: r.route for r in graph.routes(depths, asked).collect()}
+    assert routes == {f"p{k}": ["p0", "q1", *(f"p{i}" for i in range(3, k + 1))] for k in range(5, 13)}
+    # 11 levels, each met up and down
+    assert sum(df.count() for df in written) <= 3 * 12
