@@ -583,9 +583,11 @@ UNION ALL SELECT 's', 'link-redirects', count(*)::VARCHAR, array_to_string(list(
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as targets: a third were crawled, a fifth are listed, of the rest some answer 404 and some redirect."""
     links = table(spark, sf_dir, "lineitem").selectExpr("'s' as site", "'internal' as kind", "concat('p', l_orderkey) as src_url", "l_orderkey as src_seq", "0 as pos", "concat('u', l_partkey, '/') as href").distinct()
+    # read by the sweep and for examples, and the sweep by every rule: each is computed once
+    links = graph.kept(links, "links")
     parts = table(spark, sf_dir, "part").selectExpr("'s' as site", "p_partkey as k", "concat('u', p_partkey) as url")
     statuses = parts.selectExpr("site", "concat(url, '/') as url", "case k % 7 when 1 then 404 when 2 then 301 else 200 end as status", "k % 2 = 0 as is_html")
-    swept = response_rules.link_status(links, parts.where("k % 3 = 0"), parts.where("k % 5 = 0").withColumnRenamed("url", "loc"), statuses)
+    swept = graph.kept(response_rules.link_status(links, parts.where("k % 3 = 0"), parts.where("k % 5 = 0").withColumnRenamed("url", "loc"), statuses), "swept")
     return response_rules.link_findings(swept, parts.where("k % 5 = 0").withColumnRenamed("url", "loc"), links=links).select("url", "id", "detail", "evidence")
 
 

@@ -42,3 +42,12 @@ def test_routes_and_depths_of_many_levels(spark, monkeypatch):
     assert routes == {f"p{k}": ["p0", "q1", *(f"p{i}" for i in range(3, k + 1))] for k in range(5, 13)}
     # 11 levels, each met up and down
     assert sum(df.count() for df in written) <= 3 * 12
+
+
+def scans(df, name: str) -> int:
+    """How often a plan reads the table of a name."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_links_and_sweep_of_broken_links_are_computed_once(spark):
+    assert scans(__spark_entry__.queries()["broken_links"](spark, SF), "l_orderkey") == 0
