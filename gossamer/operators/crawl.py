@@ -61,13 +61,15 @@ def link_edges(links: DataFrame, chains: DataFrame, verdicts: DataFrame | None =
     Left out: files, addresses that robots may not visit (verdicts: site, path, allowed), targets that leave the site
     or have no response. src and dst are addresses without a trailing slash; url is where the link ends.
     """
-    t = links.where("kind = 'internal'").select("site", urls.bare(F.col("src_url")).alias("src"), "pos", F.regexp_replace("href", "#.*$", "").alias("start"))
-    t = t.where(~F.col("start").rlike(FILE))
+    # what becomes of a target is found out once for each; links, of which there are many more, then meet targets once
+    ends = chains.where("final_status is not null").select("site", "start", F.col("final_url").alias("url")).where(~F.col("start").rlike(FILE))
+    ends = ends.where(urls.origin(F.col("url")) == F.col("site")).withColumn("dst", urls.bare(F.col("url")))
     if verdicts is not None:
         barred = verdicts.where("not allowed").select("site", "path").distinct()
-        t = t.withColumn("path", urls.path(F.col("start"))).join(barred.hint("merge"), ["site", "path"], "left_anti")
-    ends = chains.where("final_status is not null").select("site", "start", F.col("final_url").alias("url"))
-    t = t.join(ends.hint("merge"), ["site", "start"]).where(urls.origin(F.col("url")) == F.col("site")).withColumn("dst", urls.bare(F.col("url")))
+        ends = ends.withColumn("path", urls.path(F.col("start"))).join(barred.hint("merge"), ["site", "path"], "left_anti").drop("path")
+    ends = graph.kept(ends.select("site", "start", "url", "dst"), "ends")
+    t = links.where("kind = 'internal'").select("site", urls.bare(F.col("src_url")).alias("src"), "pos", F.regexp_replace("href", "#.*$", "").alias("start"))
+    t = t.join(graph.few(ends), ["site", "start"])
     return t.where("src <> dst").groupBy("site", "src", "dst").agg(F.min("pos").alias("pos"), F.min_by("url", F.struct("pos", "start")).alias("url"))
 
 
@@ -79,7 +81,7 @@ def reachable(homes: DataFrame, edges: DataFrame, budget: int | None = None, max
     many pages in this order are visited, and `left` is a floor: pages behind unvisited ones aren't known.
     """
     spark, trail = homes.sparkSession, F.expr("cast(array() as array<int>)")
-    links, levels = graph.Buckets(spark, "edges", ["site", "src"]), graph.Buckets(spark, "levels", ["site", "k"])
+    links, levels = graph.Buckets(spark, "edges", ["site", "src"], ordered=True), graph.Buckets(spark, "levels", ["site", "k"])
     try:
         links.append(edges.repartition("site", "src"))
         first = homes.groupBy("site", urls.bare(F.col("url")).alias("k")).agg(F.min("url").alias("url")).withColumn("trail", trail)

@@ -624,7 +624,8 @@ SELECT 'https://s.example/p/' || k AS k, depth FROM walk
 """)
 def crawl_by_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages, linked in the order of an order's lines; some targets are files, barred by robots, or moved."""
-    lines = _next_links(spark, sf_dir).where("src <> dst")
+    # read for links, for the addresses that are asked, and for home
+    lines = graph.kept(_next_links(spark, sf_dir).where("src <> dst"), "lines")
     href = "concat('https://s.example', case dst % 10 when 0 then concat('/p/', dst, '.pdf') when 1 then concat('/x/', dst) when 2 then concat('/old/', dst) else concat('/p/', dst, '#f') end) as href"
     links = lines.selectExpr("'https://s.example' as site", "concat('https://s.example/p/', src) as src_url", "cast(dst % 50 as int) as pos", href, "'internal' as kind")
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey as k")

@@ -51,3 +51,15 @@ def scans(df, name: str) -> int:
 
 def test_links_and_sweep_of_broken_links_are_computed_once(spark):
     assert scans(__spark_entry__.queries()["broken_links"](spark, SF), "l_orderkey") == 0
+
+
+def test_links_of_a_crawl_meet_targets_once(spark):
+    """Redirects, files and robots are told of each target, before links meet targets."""
+    from gossamer.operators import crawl
+
+    links = spark.createDataFrame([("https://s", "internal", "https://s/a", k, f"https://s/b{k}#x") for k in range(4)], "site string, kind string, src_url string, pos int, href string")
+    chains = spark.createDataFrame([("https://s", f"https://s/b{k}", f"https://s/b{k}/", 200 if k else None) for k in range(4)], "site string, start string, final_url string, final_status int")
+    verdicts = spark.createDataFrame([("https://s", "/b1", False), ("https://s", "/b2", True)], "site string, path string, allowed boolean")
+    edges = crawl.link_edges(links, chains, verdicts)
+    assert sorted((r.src, r.dst, r.pos, r.url) for r in edges.collect()) == [("https://s/a", f"https://s/b{k}", k, f"https://s/b{k}/") for k in (2, 3)]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
