@@ -215,7 +215,9 @@ UNION ALL SELECT c, 'sitemap-not-indexable', CASE WHEN c % 2 = 0 THEN '2' ELSE '
 """)
 def site_files_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """robots.txt, llms.txt and sitemaps of a site for each customer."""
-    s = table(spark, sf_dir, "customer").selectExpr("c_custkey as c", "concat('https://c', c_custkey, '.example') as site")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as c")
+    # all customers may be one row group; so they are dealt before files and addresses are made of them
+    s = c.repartition(graph.tasks(spark, 4 * c.count()), "c").withColumn("site", F.expr("concat('https://c', c, '.example')"))
     robots = s.where("c % 2 = 0").selectExpr("site", "concat('User-agent: *\\n', if(c % 5 = 0, 'Disallow: /\\n', 'Disallow: /p\\nAllow: /p/3\\n'), if(c % 4 = 0, '', concat('Sitemap: ', site, '/s.xml'))) as body")
     entries = s.where("c % 3 > 0").selectExpr("site", "explode(array('/', '/p/1', '/p/2', '/p/3')) as path").selectExpr("site", "concat(site, '/s.xml') as file", "concat(site, path) as loc", "cast(null as string) as lastmod")
     log = s.where("c % 7 = 0").selectExpr("site", "concat(site, '/llms.txt') as url", "200 as status")
