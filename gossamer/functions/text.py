@@ -14,8 +14,8 @@ ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#3
 
 
 def units(s: Column) -> Column:
-    """Length in UTF-16 code units: characters beyond the basic plane count twice."""
-    return F.length(s) + F.regexp_count(s, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    """Length in UTF-16 code units: characters beyond the basic plane count twice. Text in ASCII isn't searched for them."""
+    return F.when(F.octet_length(s) == F.length(s), F.length(s)).otherwise(F.length(s) + F.regexp_count(s, F.lit(r"[\x{10000}-\x{10FFFF}]")))
 
 
 def trimmed(s: Column) -> Column:
@@ -38,7 +38,9 @@ def decoded(s: Column) -> Column:
 
 
 def first(s: Column, pattern: str, group: int = 0) -> Column:
-    """The group of the first match, or NULL without a match."""
+    """The group of the first match, or NULL without a match. The text behind a whole match (group 0, which must not be empty) isn't searched."""
+    if group == 0:
+        return let(F.regexp_extract(s, pattern, 0), lambda x: F.when(x != "", x))
     return F.try_element_at(F.regexp_extract_all(s, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
@@ -81,10 +83,12 @@ def attributes(tag: str, names: tuple[str, ...]) -> str:
     alone = r"r'(?=[\s/>])'"
     search = f"coalesce({decode.format(value)}, if(rlike({tag}, concat({start}, {alone})), '', null))"
     listed = f"array({', '.join(repr(n) for n in names)})"
-    times = f"(length({tag}) - length(replace(lower({tag}), n, ''))) / length(n)"
-    one = f"""transform(array(named_struct('e', array_min(filter(es, e -> e.k = n)), 'times', {times})), x ->
-      case when not rlike({tag}, r'{ODD}') and x.e is not null and (x.e.form = 0 or x.times = 1) then x.e.v when x.times > 0 then {search} end)[0]"""
-    return f"named_struct('tag', {tag}, 'map', transform(array(transform(regexp_extract_all({tag}, r'{TOKEN}', 0), (token, at) -> {entry})), es -> map_from_arrays({listed}, transform({listed}, n -> {one})))[0])"
+    times = f"(length({tag}) - length(replace(seen.low, n, ''))) / length(n)"
+    one = f"""if(not contains(seen.low, n), null, transform(array(array_min(filter(seen.es, e -> e.k = n))), e ->
+      case when not seen.odd and e is not null and (e.form = 0 or {times} = 1) then e.v else {search} end)[0])"""
+    entries = f"transform(regexp_extract_all({tag}, r'{TOKEN}', 0), (token, at) -> {entry})"
+    facts = f"named_struct('low', lower({tag}), 'odd', rlike({tag}, r'{ODD}'), 'es', {entries})"
+    return f"named_struct('tag', {tag}, 'map', transform(array({facts}), seen -> map_from_arrays({listed}, transform({listed}, n -> {one})))[0])"
 
 
 def read(tag: Column, name: str) -> Column:
@@ -93,7 +97,11 @@ def read(tag: Column, name: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words of a text; of unspaced scripts, two characters count as a word."""
-    unspaced = F.regexp_count(text, F.lit(UNSPACED))
-    spaced = F.size(F.filter(F.split(F.regexp_replace(text, UNSPACED, " "), rf"{BLANK}+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
-    return F.coalesce(spaced + F.floor(unspaced / 2 + 0.5), F.lit(0)).cast("int")
+    """Words of a text; of unspaced scripts, two characters count as a word. A word is counted from its first letter or digit on."""
+
+    def counted(t: Column) -> Column:
+        spaced = F.regexp_count(t, F.lit(rf"(?U)[\p{{L}}\p{{N}}&&[^{UNSPACED}]][^\s{UNSPACED}]*"))
+        other = spaced + F.floor(F.regexp_count(t, F.lit(UNSPACED)) / 2 + 0.5)
+        return F.coalesce(F.when(F.octet_length(t) == F.length(t), F.regexp_count(t, F.lit(r"[A-Za-z0-9]\S*"))).otherwise(other), F.lit(0)).cast("int")
+
+    return let(text, counted)

@@ -12,25 +12,46 @@ from gossamer.functions import urls
 from gossamer.functions.text import attribute, attributes, collapsed, decoded, first, let, plain, read, trimmed, units, words
 
 # What counts as a script or style, an address in a tag's attribute, a picture, a named link
-SCRIPTS = r"(?is)<script.*?</script>|<style.*?</style>"
+# (a pattern begins with what need not be tried in both cases, as it is tried at each character of a page)
+SCRIPTS = r"(?s)<(?i:script.*?</script|style.*?</style)>"
+TITLE = r"(?s)<(?i:title)[^>]*>(.*?)</(?i:title)>"
 
 
 def _sections(responses: DataFrame) -> DataFrame:
     ok = responses.where((F.col("status").between(200, 299)) & F.lower(F.col("headers")["content-type"]).contains("text/html"))
-    html = F.regexp_replace(F.coalesce("body", F.lit("")), r'(?i)="[^"]*<[a-z][^">]*>[^"]*"', '=""')
-    d = ok.withColumn("html", html).withColumn("markup", F.regexp_replace("html", SCRIPTS, " "))
-    section = lambda name: F.coalesce(first(F.col("markup"), rf"(?is)<{name}.*?</{name}>"), F.col("markup"))
-    return d.withColumns({"head": first(F.col("markup"), r"(?is)<head\b.*?</head>"), "main": section("main")})
+    html = F.regexp_replace(F.coalesce("body", F.lit("")), r'="[^"]*<[a-zA-Z][^">]*>[^"]*"', '=""')
+    d = ok.withColumn("html", html).withColumn("html_parts", _parts("html", rf"script|style|{LOADING}\b"))
+    d = d.withColumn("markup", F.when(_any("html_parts", "script|style"), F.regexp_replace("html", SCRIPTS, " ")).otherwise(F.col("html")))
+    section = lambda name: F.coalesce(first(F.col("markup"), rf"(?s)<(?i:{name}).*?</(?i:{name})>"), F.col("markup"))
+    d = d.withColumns({"head": first(F.col("markup"), r"(?s)<(?i:head)\b.*?</(?i:head)>"), "main": section("main")})
+    return d.withColumns({"markup_parts": _parts("markup", r"picture|(?:meta|link|img|a|h[12])\b"), "main_parts": _parts("main", r"(?:a|h[1-6])\b")})
+
+
+def _parts(source: str, names: str) -> Column:
+    """What stands between one < and the next, where it begins with one of these names: a page is cut once and not searched for each of them."""
+    return F.expr(rf"filter(split({source}, '<'), (p, i) -> i > 0 and rlike(p, r'^(?i:{names})'))")
+
+
+def _any(parts: str, names: str) -> Column:
+    return F.exists(parts, lambda p: p.rlike(f"^(?i:{names})"))
 
 
 #: Attributes that are read from a kind of tag.
 META, LINK, LOADED, ANCHOR = ("name", "http-equiv", "property", "content", "charset"), ("rel", "href", "hreflang"), ("src", "href", "rel"), ("href", "rel")
+LOADING = "(?:img|script|iframe|video|audio|source|embed|track|input|object|link)"
 IMAGE = ("src", "alt", "width", "height", "srcset", "loading", "role", "title")
 
 
 def _tags(source: str, name: str, names: tuple[str, ...]) -> Column:
-    """All tags of a name, each with a map of these attributes."""
-    return F.expr(rf"transform(regexp_extract_all({source}, r'(?i)<{name}\b[^>]*>', 0), t -> {attributes('t', names)})")
+    """All tags of a name, each with a map of these attributes. The source itself is searched only where a tag of this name has a < in it or doesn't end."""
+    cut = f"if(exists(own, p -> not contains(p, '>')), regexp_extract_all({source}, r'<(?i:{name})\\b[^>]*>', 0), transform(own, p -> concat('<', substring_index(p, '>', 1), '>')))"
+    found = rf"transform(array(filter({source}_parts, p -> rlike(p, r'^(?i:{name})\b'))), own -> {cut})[0]"
+    return F.expr(f"transform({found}, t -> {attributes('t', names)})")
+
+
+def _headings(name: str) -> Column:
+    """What stands in the elements of a name."""
+    return F.when(_any("markup_parts", rf"{name}\b"), F.regexp_extract_all("markup", F.lit(rf"(?s)<(?i:{name})\b[^>]*>(.*?)</(?i:{name})>"), F.lit(1))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def _is(tag: Column, name: str, value: str) -> Column:
@@ -78,13 +99,13 @@ def page_tables(responses: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
 def _features(d: DataFrame, more: list[str] | None = None) -> DataFrame:
     d = d.withColumn("metas", _tags("markup", "meta", META)).withColumn("links", _tags("markup", "link", LINK))
     # all pictures in one text, so that an image is looked for once
-    d = d.withColumn("pictures", F.array_join(F.regexp_extract_all("markup", F.lit(r"(?is)<picture.*?</picture>"), F.lit(0)), "\u0001"))
+    d = d.withColumn("pictures", F.when(_any("markup_parts", "picture"), F.array_join(F.regexp_extract_all("markup", F.lit(r"(?s)<(?i:picture).*?</(?i:picture)>"), F.lit(0)), "\u0001")).otherwise(F.lit("")))
     rel = lambda value: F.filter("links", lambda t: _is(t, "rel", value))
     d = d.withColumn("refs", _references(rel)).withColumn("refs", F.filter("refs", lambda r: r["href"].isNotNull() | (r["kind"] == "alternate")))
     of_kind = lambda kind: F.filter("refs", lambda r: r["kind"] == kind)
     charset = F.filter(F.transform("metas", lambda t: read(t, "charset")), lambda c: c.isNotNull())
     is_link = lambda t: t["tag"].rlike("(?i)^<link")
-    loaded = F.filter(_tags("html", "(?:img|script|iframe|video|audio|source|embed|track|input|object|link)", LOADED), lambda t: ~is_link(t) | F.coalesce(read(t, "rel"), F.lit("")).rlike(r"(?i)stylesheet"))
+    loaded = F.filter(_tags("html", LOADING, LOADED), lambda t: ~is_link(t) | F.coalesce(read(t, "rel"), F.lit("")).rlike(r"(?i)stylesheet"))
     return d.select(
         "site",
         "url",
@@ -92,23 +113,23 @@ def _features(d: DataFrame, more: list[str] | None = None) -> DataFrame:
         "status",
         "headers",
         "ms",
-        trimmed(first(F.col("markup"), r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
+        trimmed(first(first(F.col("markup"), TITLE), TITLE, 1)).alias("title"),
         _meta("name", "description").alias("description"),
         _meta("name", "robots").alias("robots"),
         _meta("http-equiv", "refresh").alias("refresh"),
         _meta("name", "viewport").alias("viewport"),
-        attribute(first(F.col("markup"), r"(?i)<html\b[^>]*>"), "lang").alias("lang"),
+        attribute(first(F.col("markup"), r"<(?i:html)\b[^>]*>"), "lang").alias("lang"),
         F.coalesce(F.try_element_at(charset, F.lit(1)), F.when(F.col("head").rlike("(?i)charset="), F.lit("declared"))).alias("charset"),
         of_kind("canonical")["href"].alias("canonical_refs"),
         F.transform(of_kind("alternate"), lambda r: F.struct(r["lang"].alias("lang"), r["href"].alias("href"))).alias("hreflang"),
         _meta_map("property", "og:").alias("og"),
         _meta_map("name", "twitter:").alias("twitter"),
-        F.transform(F.regexp_extract_all("markup", F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), plain).alias("h1"),
-        F.transform(F.regexp_extract_all("markup", F.lit(r"(?is)<h2\b[^>]*>(.*?)</h2>"), F.lit(1)), plain).alias("h2"),
-        F.transform(F.regexp_extract_all("main", F.lit(r"(?i)<h([1-6])\b"), F.lit(1)), lambda x: x.cast("int")).alias("heading_levels"),
+        F.transform(_headings("h1"), plain).alias("h1"),
+        F.transform(_headings("h2"), plain).alias("h2"),
+        F.transform(F.filter("main_parts", lambda p: p.rlike(r"^[hH][1-6]\b")), lambda p: F.substring(p, 2, 1).cast("int")).alias("heading_levels"),
         _images().alias("images"),
-        F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)).alias("jsonld"),
-        words(plain(F.col("main"))).alias("words"),
+        F.when(_any("html_parts", r"script\b"), F.regexp_extract_all("html", F.lit(r"(?s)<(?i:script\b[^>]*application/ld\+json)[^>]*>(.*?)</(?i:script)>"), F.lit(1))).otherwise(F.expr("cast(array() as array<string>)")).alias("jsonld"),
+        words(F.regexp_replace("main", "<[^>]+>", " ")).alias("words"),
         units(F.coalesce("body", F.lit(""))).cast("long").alias("html_units"),
         F.filter(F.transform(loaded, lambda t: F.coalesce(read(t, "src"), F.when(is_link(t), read(t, "href")))), lambda u: u.isNotNull()).alias("subresources"),
         *_link_counts(of_kind),
