@@ -185,7 +185,8 @@ def _with_links(d: DataFrame) -> DataFrame:
 
 
 def _exploded(d: DataFrame, strict_origin: bool = False) -> DataFrame:
-    one = d.select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.explode("page_links").alias("a")).select("site", "src_url", "src_seq", "a.*")
+    # explode would have Spark test first that there are links, and for that work out their marks anew at each link
+    one = d.select("site", F.col("url").alias("src_url"), F.col("seq").alias("src_seq"), F.explode_outer("page_links").alias("a")).where("a is not null").select("site", "src_url", "src_seq", "a.*")
     inside = (urls.origin(F.col("href")) == F.col("site")) if strict_origin else F.startswith("href", "site")
     return one.select("site", "src_url", "src_seq", "href", "pos", "in_main", "nofollow", F.when(inside, "internal").otherwise("external").alias("kind"))
 

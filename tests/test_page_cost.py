@@ -49,3 +49,9 @@ def test_words_of_any_script(spark):
     texts = {"": 0, " -- ! ": 0, "one two3 --4 (five)": 4, "été a b": 3, "日本語": 2, "a日本b c": 4, "naïve—x y": 2, "word\x1cword x": 2, "𝔘𝔫 😀": 1}
     d = spark.createDataFrame(list(texts.items()), "t string, n int")
     assert [x for x in d.select("t", "n", text.words(F.col("t")).alias("got")).collect() if x.n != x.got] == []
+
+
+def test_marks_of_links_are_worked_out_once(spark):
+    """No filter below the explosion of a page's links repeats their marks."""
+    plan = features.page_links(responses(spark, ["<a href=/x>x</a>"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") == 1
